@@ -13,8 +13,26 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_exact_copies(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_suffix_array_dedup, op7_minhash_near_dedup, op10_best_fit_packing)}
 
 
 OP1_SQL = r"""
