@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import documents
+from ._shared import documents, labels
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,18 +13,49 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_exact_copies(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiff import text_media
+
+    return text_media(documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    scored = score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "score", "accepted")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeated_passages
 
     return repeated_passages(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import document_token_counts
+
+    return document_token_counts(documents(spark, sf_dir))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -32,7 +63,9 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_suffix_array_dedup, op7_minhash_near_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (
+        op1_exact_dedup, op2_toxicity, op3_quality_classifier, op4_suffix_array_dedup, op5_token_counts,
+        op7_minhash_near_dedup, op8_tiff_media, op9_language_id, op10_best_fit_packing)}
 
 
 OP1_SQL = r"""

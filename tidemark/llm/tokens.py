@@ -21,8 +21,8 @@ def public(name: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def encoder(ranks_path: str):
-    """A function from a text to its ids (uint32)."""
+def encoder(ranks_path: str, special: bool = True):
+    """A function from a text to its ids (uint32); special: the end-of-text string is one id, else ordinary text."""
     import public_tokenizers
     import tiktoken
 
@@ -32,7 +32,7 @@ def encoder(ranks_path: str):
     made = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: end})
 
     def ids(text: str) -> np.ndarray:
-        if END_OF_TEXT in text:
+        if special and END_OF_TEXT in text:
             return np.array(made.encode(text, allowed_special="all"), np.uint32)
         return made.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
 
