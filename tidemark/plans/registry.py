@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -20,9 +21,20 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def table(spark, folder: str, name: str):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _load() -> None:
+    for module in ("series", "frame", "stats", "scaling", "scoring", "dates", "scalars", "baskets", "learning", "sequential", "storage"):
+        importlib.import_module(f"{__package__}.{module}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
