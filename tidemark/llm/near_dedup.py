@@ -8,9 +8,11 @@ too, and the share of equal bins estimates the Jaccard similarity with concentra
 2.  Bands of ``rows`` bins put the classes into buckets.  Each class is verified against the least member with which it
     shares most buckets, on the full shingle sets.  This gives most links with one pair a class.
 3.  Buckets that still hold several components are searched to the end: members outside a bucket's largest component
-    are compared by sketch with all members of other components, in blocks of bounded size, and every pair whose
-    sketches allow the similarity is verified on full sets.  So no link is lost that shares a bucket, and no bucket is
-    expanded into all pairs.
+    are compared with all members of other components, in blocks of bounded size, and every pair whose sketches and
+    bitmaps allow the similarity is verified on full sets.  A set's bitmap has the parity of the shingles that hash to
+    each bit, so two bitmaps differ in no more bits than the sets differ in shingles: it excludes no link, and groups
+    whose members are all nearly similar enough give few pairs.  So no link is lost that shares a bucket, and no bucket
+    is expanded into all pairs.
 
 With 32 bands of 5 rows a pair at similarity 0.85 shares no bucket with probability 8e-9.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, cut, text_of
 from .shingles import mix, shingle_set
 
-BLOCK = 2048
+BLOCK, BITS = 2048, 2048
 
 
 def sketch(shingles: np.ndarray, bins: int) -> np.ndarray:
@@ -61,18 +63,19 @@ def band_hashes(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sketched(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for text in batch.column(1):
                 s = shingle_set(text.as_py().encode("utf-8", "replace"), words)
                 values = sketch(s, bands * rows) if len(s) else None
                 out[0].append(len(s))
                 out[1].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 out[2].append(mix(values).astype(np.uint8).tobytes() if len(s) else None)
-                out[3].append(band_hashes(values, bands, rows).view(np.int64).tolist() if len(s) else None)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_shingles", "print", "sketch", "bands"])
+                out[3].append(np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.intp), minlength=BITS).astype(np.uint8) & 1).tobytes() if len(s) else None)
+                out[4].append(band_hashes(values, bands, rows).view(np.int64).tolist() if len(s) else None)
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_shingles", "print", "sketch", "bitmap", "bands"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch binary, bands array<long>")
+    return df.mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch binary, bitmap binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -115,16 +118,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _residual_pairs(members: DataFrame, bins: int, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a bucket and whose sketches allow the similarity.
+    """Pairs of classes of different components that share a bucket and whose sketches and bitmaps allow the similarity.
 
-    members: (bucket, doc, component, sketch) of buckets with more than one component.
+    members: (bucket, doc, component, n_shingles, sketch, bitmap) of buckets with more than one component.
     """
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     ranked = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
     info = ranked.select("bucket", F.col("top.component").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cm"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("cx"))
     placed = members.join(info, "bucket").withColumn("_s", F.xxhash64("doc"))
-    member = placed.select("bucket", F.pmod("_s", "cm").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cx") - 1)).alias("j"), F.lit(False).alias("minor"), "doc", "component", "sketch")
-    minor = placed.where("component <> major").select("bucket", F.explode(F.sequence(F.lit(0), F.col("cm") - 1)).alias("i"), F.pmod("_s", "cx").cast("int").alias("j"), F.lit(True).alias("minor"), "doc", "component", "sketch")
+    facts = ("doc", "component", "n_shingles", "sketch", "bitmap")
+    member = placed.select("bucket", F.pmod("_s", "cm").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cx") - 1)).alias("j"), F.lit(False).alias("minor"), *facts)
+    minor = placed.where("component <> major").select("bucket", F.explode(F.sequence(F.lit(0), F.col("cm") - 1)).alias("i"), F.pmod("_s", "cx").cast("int").alias("j"), F.lit(True).alias("minor"), *facts)
     blocks = member.unionByName(minor).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     share = percent / 100
     enough = int(bins * share - 6.5 * (bins * share * (1 - share)) ** 0.5)
@@ -133,10 +137,14 @@ def _residual_pairs(members: DataFrame, bins: int, percent: int) -> DataFrame:
         flag = table["minor"].to_numpy()
         docs, comps = table["doc"].to_numpy(), table["component"].to_numpy()
         grid = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, bins)
+        bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        size = table["n_shingles"].to_numpy()
         rest, found_a, found_b = np.flatnonzero(~flag), [], []
         for x in np.flatnonzero(flag):
-            near = rest[(grid[rest] == grid[x]).sum(1) >= enough]
-            near = near[comps[near] != comps[x]]
+            near = rest[comps[rest] != comps[x]]
+            differ = np.bitwise_count(bits[near] ^ bits[x]).sum(1, dtype=np.int64)
+            near = near[(100 + percent) * differ <= (100 - percent) * (size[near] + size[x])]
+            near = near[(grid[near] == grid[x]).sum(1) >= enough]
             found_a.append(np.maximum(docs[near], docs[x]))
             found_b.append(np.minimum(docs[near], docs[x]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
@@ -192,7 +200,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     labelled = buckets.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    sketches = first.select(F.col("doc_id").alias("doc"), "sketch").dropDuplicates(["doc"])
+    sketches = first.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch", "bitmap").dropDuplicates(["doc"])
     members = scratch.put(labelled.join(mixed, "bucket", "left_semi").distinct().join(sketches, "doc"), "members")
     more = scratch.put(_residual_pairs(members, bins, percent).join(tried, ["a", "b"], "left_anti"), "more")
     late = scratch.put(verified(more, texts, words, percent), "late")
