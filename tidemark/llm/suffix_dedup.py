@@ -106,11 +106,10 @@ class Columns:
         self.group = group
         sizes = np.array([len(e) for e in extents], np.int64)
         self.lo = self.before - at
-        flat = np.frombuffer(b"".join(extents), np.uint8)
-        row = np.repeat(np.arange(len(extents)), sizes)
-        column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.lo, sizes)
-        self.grid = np.full((self.width, len(extents)), PAD, np.uint8)  # by column: a pass reads one row of this
-        self.grid[column, row] = flat
+        rows = np.full((len(extents), self.width), PAD, np.uint8)
+        for row, extent, lo in zip(rows, extents, self.lo.tolist()):
+            row[lo : lo + len(extent)] = np.frombuffer(extent, np.uint8)
+        self.grid = np.ascontiguousarray(rows.T)  # by column: a pass reads one row of this
         self.hi = self.lo + sizes - length  # the last start
 
 
@@ -259,7 +258,7 @@ def _trim(raw: bytes, runs: list[tuple[int, int]], length: int) -> tuple[bytes,
 
 
 def repeated_passages(df: DataFrame, text_col: str = "text", length: int = 400, gram: int = 32, most: int = 32768,
-                      rows_at_once: int = 12000) -> DataFrame:
+                      rows_at_once: int = 6000) -> DataFrame:
     """``df`` with n_bytes, n_removed, n_spans, kept_sha256 and kept_text for each row.
 
     kept_text drops characters that a removed span cuts in two; kept_sha256 is of the bytes themselves.  ``df`` should
