@@ -74,7 +74,7 @@ def learn(df: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000,
             yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     seen = picked.select("text", "y").mapInArrow(measure, "x array<double>, y int").collect()
-    x, y = np.array([r.x for r in seen], float).reshape(len(seen), -1), np.array([r.y for r in seen], int)
+    x, y = np.array([r.x for r in seen], float).reshape(len(seen), -1 if seen else 0), np.array([r.y for r in seen], int)
     order = np.lexsort((*x.T, y)) if len(y) else np.arange(0)
     return fit(x[order], y[order], counts), counts
 

@@ -1,11 +1,14 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-Both dictionaries hold the same ordinary text; the toxic one ends with the phrases typical of toxic documents, the
-ordinary one with as much ordinary text.  A window of a toxic document compresses shorter with the toxic dictionary,
-and as all else is equal the difference of the two lengths is about that alone.  A phrase is typical if it follows many
-different words in toxic documents and, in proportion, hardly any in ordinary ones; counting the words before it makes
-copies of one document count once.  The thresholds on a document's differences are calibrated on labelled documents
-that the dictionaries have not seen, by a regression on its highest differences and the shares above fixed lengths.
+Text is compressed in a form in which each letter stands for its word's beginning up to it (two bytes of a hash of it).
+So a match is a run of words or beginnings of words, never the inside of another word, and an unknown word costs its
+full length.  Both dictionaries hold the same ordinary text; the toxic one ends with the words and stems typical of
+toxic documents, the ordinary one with as much ordinary text.  A window of a toxic document compresses shorter with the
+toxic dictionary, and as all else is equal the difference of the two lengths is about that alone.  A word is typical if
+it follows many different words in toxic documents and, in proportion, hardly any in ordinary ones; counting the words
+before it makes copies of one document count once.  The thresholds on a document's differences are calibrated on
+labelled documents that the dictionaries have not seen, by a regression on its highest differences and the numbers
+above fixed lengths.
 
 Learning uses at most ``per_class`` labelled documents of each class outside the held-out fold.
 
@@ -27,26 +30,45 @@ from pyspark.sql import functions as F
 
 from ._learn import Logistic, fit, labelled_sample
 from ._shared import Scratch, fold_of, text_of
-
-WINDOW, LEVEL, SIZE = 96, 9, 65536
+from .shingles import inverse, mix, powers, prefix_hashes
+
+WINDOW, LEVEL, SIZE, UNIT = 96, 9, 65536, 2
+STEMS = range(4, 8)
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def coded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(UNIT bytes for each letter, number of letters before each word and in all) of a lower-cased text."""
+    codes = np.frombuffer(raw.translate(_WORDS), np.uint8)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = codes != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    ends = np.concatenate(([0], np.cumsum(size)))
+    if not len(begin):
+        return np.empty((0, UNIT), np.uint8), ends
+    sums = prefix_hashes(codes)
+    start = np.repeat(begin, size)
+    at = np.arange(len(start)) - np.repeat(ends[:-1], size) + start
+    stems = mix((sums[at + 1] - sums[start]) * powers(inverse(), len(codes) + 1)[start])
+    return np.ascontiguousarray(stems.view(np.uint8).reshape(-1, 8)[:, :UNIT]), ends
 
 
 def windows(text: str) -> list[bytes]:
-    """The lower-cased words, joined by single spaces, cut before the first space after each WINDOW bytes."""
-    raw = " ".join(text.lower().split()).encode("utf-8", "replace")
-    out, at = [], 0
-    while at < len(raw):
-        end = raw.find(b" ", at + WINDOW)
-        end = len(raw) if end < 0 else end
-        out.append(raw[at:end])
-        at = end
-    return out or [b""]
+    """The coded text, cut before the first word after each WINDOW letters."""
+    letters, ends = coded(text.lower().encode("utf-8", "replace"))
+    if not len(letters):
+        return [b""]
+    cuts = np.unique(ends[np.searchsorted(ends, np.arange(0, ends[-1], WINDOW))]).tolist()
+    cuts = cuts if cuts[-1] == ends[-1] else [*cuts, int(ends[-1])]
+    return [letters[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=8)
 def compressor(content: bytes):
     params = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, source_size=WINDOW, dict_size=len(content), min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        LEVEL, source_size=256, dict_size=len(content), min_match=6, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress
 
 
@@ -54,16 +76,17 @@ def features(text: str, toxic: bytes, ordinary: bytes) -> np.ndarray:
     short, long = compressor(toxic), compressor(ordinary)
     gain = np.array([len(long(w)) - len(short(w)) for w in windows(text)], float)
     gain[::-1].sort()
-    above = [(gain >= k).sum() for k in (3, 4, 5, 6)]
+    above = [(gain >= k).sum() for k in range(1, 11)]
     return np.array([gain[0], gain[:3].mean(), gain[: max(1, len(gain) // 10)].mean(), gain.mean(), *(10 * np.array(above) / len(gain)), *np.log1p(above), np.log(len(gain))])
 
 
 def _phrases(sample: DataFrame, most: int, least: int, ratio: float) -> list[str]:
-    """Words that follow many different words in toxic documents and few in ordinary ones, the most typical last."""
-    words = F.transform(F.split(F.lower("text"), r"[\s]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    """Words and stems that follow many different words in toxic documents and few in ordinary ones, most typical last."""
+    words = F.filter(F.split(F.lower("text"), BREAKS), lambda w: F.length(w) > 0)
     pairs = sample.select("y", words.alias("w")).select("y", F.explode(F.arrays_zip(F.col("w"), F.concat(F.array(F.lit("")), "w").alias("before"))).alias("e"))
-    seen = pairs.select("y", F.col("e.w").alias("w"), F.col("e.before").alias("b")).where("w IS NOT NULL AND length(w) > 1").distinct()
-    counts = seen.groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("plain"))
+    seen = pairs.select("y", F.col("e.w").alias("w"), F.col("e.before").alias("b")).where("w IS NOT NULL").distinct()
+    stems = F.array_compact(F.array(F.when(F.length("w") > 1, F.col("w")), *[F.when(F.length("w") > k, F.substring("w", 1, k)) for k in STEMS]))
+    counts = seen.select("y", "b", F.explode(stems).alias("w")).distinct().groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("plain"))
     total = counts.agg(F.sum("toxic"), F.sum("plain")).first()
     if not total[0] or not total[1]:
         return []
@@ -87,11 +110,11 @@ def learn(df: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (6000,
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for w in cut for x in w], pa.binary())], ["id", "w"])
 
     plain = sample.where("role < 2 AND y = 0").select("id", "text").mapInArrow(some, "id long, w binary")
-    tail = " ".join(phrases).encode()[-SIZE // 4 :]
-    need = (SIZE + len(tail)) // (WINDOW // 2) + 1
+    tail = b"".join(coded(w.encode())[0].tobytes() for w in phrases)[-SIZE // 4 :]
+    need = SIZE // WINDOW + 1
     text = b"".join(r.w for r in plain.distinct().orderBy(F.xxhash64("w"), "w").limit(need).collect())
-    base, rest = text[: SIZE - len(tail)], text[SIZE - len(tail) :][: len(tail)]
-    toxic, ordinary = base + b" " + tail + b" ", base + b" " + rest + b" "
+    base = text[: SIZE - len(tail)]
+    toxic, ordinary = base + tail, base + base[-len(tail) :] if tail else base
 
     def measure(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -100,7 +123,7 @@ def learn(df: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (6000,
 
     seen = sample.where("role = 2").select("text", "y").repartition(8).mapInArrow(measure, "x array<double>, y int").collect()
     scratch.drop()
-    x, y = np.array([r.x for r in seen], float).reshape(len(seen), -1), np.array([r.y for r in seen])
+    x, y = np.array([r.x for r in seen], float).reshape(len(seen), -1 if seen else 0), np.array([r.y for r in seen])
     order = np.lexsort((*x.T, y)) if len(y) else []
     return toxic, ordinary, fit(x[order], y[order], counts) if len(y) else fit(x, y, counts)
 
