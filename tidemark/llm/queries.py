@@ -56,6 +56,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(documents(spark, sf_dir))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import document_pieces
+
+    return document_pieces(documents(spark, sf_dir))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -64,7 +70,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_exact_dedup, op2_toxicity, op3_quality_classifier, op4_suffix_array_dedup, op5_token_counts,
+        op1_exact_dedup, op2_toxicity, op3_quality_classifier, op4_suffix_array_dedup, op5_token_counts, op6_sentencepiece,
         op7_minhash_near_dedup, op8_tiff_media, op9_language_id, op10_best_fit_packing)}
 
 

@@ -277,9 +277,11 @@ def repeated_passages(df: DataFrame, text_col: str = "text", length: int = 400,
 
     long = slim.where(F.col("n_bytes") >= length).select(F.col("_row").alias("row"), "text")
     marked = _anchored(long, length, gram).join(groups.select("row"), "row", "left_semi")
-    listed = scratch.put(marked.select("row", F.explode("anchors").alias("e")).select("row", "e.*"), "anchors")
-    twice = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    repeated = listed.join(twice, "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("key", "place", "lo", "hi")).alias("anchors"))
+    # one row for a text and anchor, so a line that some texts repeat many times counts once for each text below
+    each = marked.select("row", F.explode("anchors").alias("e")).groupBy("row", F.col("e.key").alias("key")).agg(F.collect_list("e").alias("spots"))
+    listed = scratch.put(each, "anchors")
+    twice = listed.groupBy("key").agg(F.sum(F.size("spots")).alias("n")).where("n > 1").select("key")
+    repeated = listed.join(twice, "key", "left_semi").groupBy("row").agg(F.flatten(F.collect_list("spots")).alias("anchors"))
     touched = scratch.put(long.join(repeated, "row"), "touched")
     scratch.drop("anchors")
     extents = scratch.put(_extents(touched, length), "extents")
