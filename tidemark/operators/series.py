@@ -101,7 +101,7 @@ def replace_repeat(df: DataFrame, order: Order, col: str, hit: Column, filler: C
 
     ``other`` says of a row that it holds a filler.
     """
-    w = order.window(descending=keep_last).rowsBetween(-(1 << 62), -1)
+    w = order.window(descending=keep_last).rowsBetween(Window.unboundedPreceding, -1)
     kind = df.withColumns({"__h": flag(hit), "__f": flag(other)})
     before = F.last(F.when(F.col("__f") == 0, F.col("__h")), ignorenulls=True).over(w)
     return kind.withColumn("__p", before).withColumn(out or col, F.when((F.col("__h") == 1) & (F.col("__p") == 1), filler).otherwise(F.col(col))).drop("__h", "__f", "__p")
@@ -213,7 +213,7 @@ def shift(df: DataFrame, order: Order, col: str, n: int = 1, out: str = "shifted
 def fill(df: DataFrame, order: Order, col: str, method: str = "ffill", value=None, out: str | None = None) -> DataFrame:
     """Nulls become the last value before (ffill), the next one behind (bfill), the first of both, or ``value``."""
     forth = F.last(col, ignorenulls=True).over(order.to_here())
-    back = F.first(col, ignorenulls=True).over(order.window().rowsBetween(0, 1 << 62))
+    back = F.first(col, ignorenulls=True).over(order.window().rowsBetween(0, Window.unboundedFollowing))
     how = {"ffill": forth, "bfill": back, "both": F.coalesce(forth, back)}.get(method)
     return df.withColumn(out or col, F.coalesce(F.col(col), F.lit(value)) if how is None else how)
 

@@ -1 +1,58 @@
-"""To come."""
+"""Frequent event types per user and day."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import baskets as B
+from .registry import query, table
+
+_B = "(SELECT DISTINCT user_id || '/' || CAST(ts AS DATE) AS b, event_type AS i FROM events)"
+
+
+def _baskets(spark, d):
+    return table(spark, d, "events").select(F.concat_ws("/", "user_id", F.to_date("ts")).alias("b"), F.col("event_type").alias("i"))
+
+
+_N = f"(SELECT count(DISTINCT b) FROM {_B})"
+
+
+@query("gen_C1", f"SELECT DISTINCT i FROM {_B}")
+def singles(spark, d):
+    return _baskets(spark, d).select("i").distinct()
+
+
+@query("get_CkSup_and_FreqLk", f"SELECT x.i || '&' || y.i AS items, count(*) AS freq, round(count(*) / {_N}, 9) AS support FROM {_B} x JOIN {_B} y ON x.b = y.b AND x.i < y.i GROUP BY x.i, y.i HAVING count(*) >= 0.005 * {_N}")
+def pairs(spark, d):
+    found = B.level_counts(_baskets(spark, d), "b", "i", 0.005, 2)[1]
+    return found.select(F.array_join("items", "&").alias("items"), "freq", F.round("support", 9).alias("support"))
+
+
+def _sets(spark, d):
+    return B.frequent_itemsets(_baskets(spark, d).groupBy("b").agg(F.collect_set("i").alias("items")), "items", 0.005)
+
+
+@query("get_CkSup_and_FreqLk_all", f"""WITH t AS {_B}, a AS (SELECT i AS items, count(*) AS freq FROM t GROUP BY 1), b AS (SELECT x.i || '&' || y.i AS items, count(*) AS freq FROM t x JOIN t y ON x.b = y.b AND x.i < y.i GROUP BY 1),
+c AS (SELECT x.i || '&' || y.i || '&' || z.i AS items, count(*) AS freq FROM t x JOIN t y ON x.b = y.b AND x.i < y.i JOIN t z ON x.b = z.b AND y.i < z.i GROUP BY 1)
+SELECT items, freq, round(freq / {_N}, 9) AS support FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE freq >= 0.005 * {_N}""")
+def itemsets(spark, d):
+    return _sets(spark, d).select(F.array_join("items", "&").alias("items"), "freq", F.round("support", 9).alias("support"))
+
+
+_RULES = f"""WITH t AS {_B}, s AS (SELECT i, count(*) / {_N} AS p FROM t GROUP BY 1), b AS (SELECT x.i AS a, y.i AS c, count(*) / {_N} AS p FROM t x JOIN t y ON x.b = y.b AND x.i <> y.i GROUP BY 1, 2 HAVING count(*) >= 0.005 * {_N})
+SELECT a AS antecedent, c AS consequent, round(b.p, 9) AS support, round(b.p / x.p, 9) AS confidence, round(b.p / x.p / y.p, 6) AS lift FROM b JOIN s x ON x.i = a JOIN s y ON y.i = c WHERE b.p / x.p {{}} 0.02"""
+
+
+def _ruled(spark, d, strict):
+    found = B.rules_table(B.rules(_sets(spark, d).where("size(items) < 3"), 0.02, strict))
+    return found.select("antecedent", "consequent", F.round("support", 9).alias("support"), F.round("confidence", 9).alias("confidence"), F.round("lift", 6).alias("lift"))
+
+
+@query("gen_rules", _RULES.format(">"))
+def rules(spark, d):
+    return _ruled(spark, d, True)
+
+
+@query("fpgrowth_mlx", _RULES.format(">="))
+def rules_at_least(spark, d):
+    return _ruled(spark, d, False)

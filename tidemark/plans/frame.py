@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..operators import frame as T
-from .registry import query, table
+from .registry import plain, query, table
 
 
 @query("df_na2value", "SELECT event_id, coalesce(CASE WHEN value > 50 THEN value END, -1.0) AS x FROM events")
@@ -16,9 +16,9 @@ def na(spark, d):
     return T.na_to_value(df, -1.0)
 
 
-@query("copy_df_structure", "SELECT * FROM orders LIMIT 0")
+@query("copy_df_structure", "SELECT * FROM customer LIMIT 0")
 def structure(spark, d):
-    return T.same_structure(table(spark, d, "orders"))
+    return T.same_structure(table(spark, d, "customer"))
 
 
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("outer", "FULL JOIN")):
@@ -139,23 +139,23 @@ for _fill, _sql in ((None, "v"), ("ffill", f"last_value(v IGNORE NULLS) OVER ({_
                     ("both", f"coalesce(last_value(v IGNORE NULLS) OVER ({_BY} ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER ({_BY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")):
     def _dense(spark, d, fill=_fill):
         daily = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("v"))
-        return T.densify(daily, "day", daily.select("day"), "user_id", "v", fill, method="pivot" if fill else "product")
+        return plain(T.densify(daily, "day", daily.select("day"), "user_id", "v", fill, method="pivot" if fill else "product"))
 
-    query(f"get_full_df{'_' + _fill if _fill else ''}", _GRID + f"SELECT user_id, day, {_sql} AS v FROM f")(_dense)
+    query(f"get_full_df{'_' + _fill if _fill else ''}", _GRID + f"SELECT user_id, CAST(day AS VARCHAR) AS day, {_sql} AS v FROM f")(_dense)
 
 
 @query("get_full_components_df", """
 WITH m AS (SELECT o_custkey % 10 AS idx, o_orderkey AS item, CAST(o_orderdate AS DATE) AS tin, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) + 90 END AS tout FROM orders),
 t AS (SELECT CAST(DATE '1995-01-01' + CAST(i * 61 AS INTEGER) AS DATE) AS "time" FROM range(20) r(i))
-SELECT "time", idx, item, tin, tout FROM t JOIN m ON tin <= "time" AND "time" <= coalesce(tout, DATE '1997-01-01')""")
+SELECT CAST("time" AS VARCHAR) AS "time", idx, item, CAST(tin AS VARCHAR) AS tin, CAST(tout AS VARCHAR) AS tout FROM t JOIN m ON tin <= "time" AND "time" <= coalesce(tout, DATE '1997-01-01')""")
 def components(spark, d):
     m = table(spark, d, "orders").selectExpr("o_custkey % 10 AS idx", "o_orderkey AS item", "CAST(o_orderdate AS DATE) AS tin", "CASE WHEN o_orderkey % 5 <> 0 THEN date_add(CAST(o_orderdate AS DATE), 90) END AS tout")
     dates = spark.range(20).selectExpr("date_add(DATE '1995-01-01', CAST(id * 61 AS INT)) AS day")
-    return T.members_at(m, "idx", "item", "tin", "tout", dates, "day", datetime.date(1997, 1, 1))
+    return plain(T.members_at(m, "idx", "item", "tin", "tout", dates, "day", datetime.date(1997, 1, 1)))
 
 
 @query("get_topn_names", """
-SELECT l_orderkey, l_linenumber, array_to_string(list_transform(list_slice(list_sort([{'v': -l_quantity, 'k': 0, 'c': 'l_quantity'}, {'v': -l_tax * 300, 'k': 1, 'c': 'tax'}, {'v': -l_discount * 300, 'k': 2, 'c': 'discount'}]), 1, 2), x -> x.c), ',') AS top FROM lineitem""")
+SELECT l_orderkey, l_linenumber, array_to_string(list_transform(list_slice(list_sort([{'v': -l_quantity, 'k': 0, 'c': 'l_quantity'}, {'v': -l_tax * 300, 'k': 1, 'c': 'tax'}, {'v': -l_discount * 300, 'k': 2, 'c': 'discount'}]), 1, 2), lambda x: x.c), ',') AS top FROM lineitem""")
 def top(spark, d):
     df = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", "l_tax * 300 AS tax", "l_discount * 300 AS discount")
     return T.top_names(df, ["l_quantity", "tax", "discount"], 2).select("l_orderkey", "l_linenumber", F.array_join("top", ",").alias("top"))

@@ -25,6 +25,11 @@ def table(spark, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def plain(df):
+    """Dates as text, which every client reads alike."""
+    return df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "date"})
+
+
 def _load() -> None:
     for module in ("series", "frame", "stats", "scaling", "scoring", "dates", "scalars", "baskets", "learning", "sequential", "storage"):
         importlib.import_module(f"{__package__}.{module}")

@@ -9,7 +9,7 @@ from ..operators.order import Order
 from .registry import query, table
 
 USER = Order("user_id", ("ts", "event_id"))
-LINE = Order("l_orderkey", "l_linenumber")
+LINE = Order("l_orderkey", ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
 HIGH = F.col("value") > 50
 W = "PARTITION BY user_id ORDER BY ts, event_id"
 UP = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -127,7 +127,7 @@ SELECT user_id, {'max' if _rev else 'min'}_by(value, rn) AS value, {'max' if _re
 
 
 @query("label_rep_index_str", """
-WITH a AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem)
+WITH a AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN n > 1 THEN l_returnflag || '_' || n ELSE l_returnflag END AS label FROM a""")
 def label(spark, d):
     return S.label_repeats(table(spark, d, "lineitem"), LINE, "l_returnflag", "label").select("l_orderkey", "l_linenumber", "label")
@@ -177,9 +177,9 @@ for _how, _sql in (
 
 _RANK = "PARTITION BY l_returnflag, l_quantity IS NULL ORDER BY l_quantity"
 for _m, _sql in (("min", f"rank() OVER ({_RANK})"), ("max", f"count(*) OVER ({_RANK} RANGE UNBOUNDED PRECEDING)"), ("dense", f"dense_rank() OVER ({_RANK})"),
-                 ("average", f"(rank() OVER ({_RANK}) + count(*) OVER ({_RANK} RANGE UNBOUNDED PRECEDING)) / 2.0"), ("first", f"row_number() OVER ({_RANK}, l_orderkey, l_linenumber)")):
+                 ("average", f"(rank() OVER ({_RANK}) + count(*) OVER ({_RANK} RANGE UNBOUNDED PRECEDING)) / 2.0"), ("first", f"row_number() OVER ({_RANK}, l_orderkey, l_linenumber, l_partkey, l_suppkey)")):
     query(f"group_rank_{_m}", f"SELECT l_orderkey, l_linenumber, CAST({_sql} AS DOUBLE) AS rank FROM lineitem")(
-        lambda spark, d, m=_m: S.group_rank(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", m, tie=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "rank"))
+        lambda spark, d, m=_m: S.group_rank(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", m, tie=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "rank"))
 
 
 @query("pct_change", f"SELECT event_id, round((value - l) / nullif(abs(l), 0), 6) AS pct FROM (SELECT event_id, value, lag(value) OVER ({W}) AS l FROM events)")
