@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -79,16 +79,27 @@ def lattice(distinct: DataFrame, table: DataFrame, longest_piece: int) -> DataFr
     return edges.groupBy("unit").agg(F.collect_list(known).alias("edges"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: as a lambda's variable it is not copied into every place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_merges(n: Column, edges: Column) -> Column:
     """Boundaries of the path of a BPE model: the best-scored edge over two neighbours joins them, leftmost on ties."""
 
     def step(bounds: Column, _: Column) -> Column:
         inner = lambda x: F.size(F.filter(bounds, lambda k: (k > x["b"]) & (k < x["e"])))
-        open_ = F.filter(edges, lambda x: (x["e"] - x["b"] > 1) & F.array_contains(bounds, x["b"]) & F.array_contains(bounds, x["e"]) & (inner(x) == 1))
+        open_ = F.filter(joins, lambda x: F.array_contains(bounds, x["b"]) & F.array_contains(bounds, x["e"]) & (inner(x) == 1))
         best = F.array_max(F.transform(open_, lambda x: F.struct(x["score"].alias("score"), (-x["b"]).alias("first"), x["e"].alias("e"))))
-        return F.when(best.isNull(), bounds).otherwise(F.filter(bounds, lambda k: (k <= -best["first"]) | (k >= best["e"])))
+        return bound(best, lambda m: F.when(m.isNull(), bounds).otherwise(F.filter(bounds, lambda k: (k <= -m["first"]) | (k >= m["e"]))))
+
+    def fold(some: Column) -> Column:
+        nonlocal joins
+        joins = some
+        return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    joins = edges
+    return bound(F.filter(edges, lambda x: x["e"] - x["b"] > 1), fold)
 
 
 def fold_viterbi(n: Column, edges: Column, unknown: float) -> Column:
@@ -110,10 +121,10 @@ def path_ids(unit: Column, bounds: Column, edges: Column, first_byte: int) -> Co
     spans = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda b, e: F.struct(b.alias("b"), e.alias("e")))
 
     def ids(x: Column) -> Column:
-        hit = F.get(F.filter(edges, lambda y: (y["b"] == x["b"]) & (y["e"] == x["e"])), F.lit(0))
+        hit = F.transform(F.filter(edges, lambda y: (y["b"] == x["b"]) & (y["e"] == x["e"])), lambda y: y["id"])
         raw = F.hex(F.encode(F.substring(unit, x["b"] + 1, x["e"] - x["b"]), "UTF-8"))
-        spelled = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + first_byte)
-        return F.when(hit.isNotNull(), F.array(hit["id"])).otherwise(spelled)
+        spelled = bound(raw, lambda r: F.transform(F.sequence(F.lit(1), F.length(r), F.lit(2)), lambda k: F.conv(F.substring(r, k, F.lit(2)), 16, 10).cast("int") + first_byte))
+        return bound(hit, lambda h: F.when(F.size(h) > 0, h).otherwise(spelled))
 
     return F.flatten(F.transform(spans, ids))
 
