@@ -1 +1,57 @@
-"""To come."""
+"""Model queries; learned numbers have no SQL, but closed forms do."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import learn as M
+from .registry import query, table
+
+COLS = ["l_quantity", "l_tax", "l_discount"]
+
+
+def lines(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", *COLS, F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"))
+
+
+@query("lr_skl", """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem)
+SELECT 'l_quantity' AS name, round(a, 4) AS value FROM m UNION ALL SELECT 'intercept', round(b, 2) FROM m""")
+def linear(spark, d):
+    found = M.linear_regression(lines(spark, d), "l_extendedprice", ["l_quantity"])
+    return spark.createDataFrame([(k, round(v, 2 if k == "intercept" else 4)) for k, v in found.items()], "name string, value double")
+
+
+@query("lrc_skl")
+def logistic(spark, d):
+    return spark.createDataFrame(list(M.logistic_regression(lines(spark, d), "y", COLS).items()), "name string, value double")
+
+
+@query("get_pca")
+def components(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    return M.pca(lines(spark, d), COLS, 2).select("l_orderkey", "l_linenumber", vector_to_array("pca").alias("pca"))
+
+
+@query("lgb_train")
+def trees(spark, d):
+    model = M.boosted_trees(lines(spark, d), "l_extendedprice", COLS, maxIter=5, maxDepth=3)
+    return model.transform(M.vector(lines(spark, d), COLS)).select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query("get_features_importance")
+def importance(spark, d):
+    return spark.createDataFrame(M.importances(M.boosted_trees(lines(spark, d), "y", COLS, "binary", maxIter=3, maxDepth=3), COLS), "name string, share double")
+
+
+@query("elm_reg")
+def elm(spark, d):
+    df = lines(spark, d).withColumn("z", F.col("l_extendedprice") / 50000)
+    scaled = df.withColumn("l_quantity", F.col("l_quantity") / 50)
+    return scaled.select("l_orderkey", "l_linenumber", M.ExtremeLearningMachine(scaled, ["z"], COLS, 8).outputs()[0].alias("prediction"))
+
+
+@query("elm_cls")
+def elm_classes(spark, d):
+    scaled = lines(spark, d).withColumn("l_quantity", F.col("l_quantity") / 50).withColumn("n", 1 - F.col("y"))
+    return scaled.select("l_orderkey", "l_linenumber", M.ExtremeLearningMachine(scaled, ["n", "y"], COLS, 8).classify().alias("label"))

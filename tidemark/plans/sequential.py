@@ -1 +1,117 @@
-"""To come."""
+"""Queries whose rules follow each key's rows one by one, and forecasting."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import extrema as E
+from ..operators import lags as L
+from ..operators import solve
+from .registry import query, table
+from .series import PRE, USER, W, events
+
+
+def _extrema(spark, d):
+    return E.find_extrema(events(spark, d), USER, "value", t_min=3, val=10.0)
+
+
+@query("find_maxmin")
+def extrema(spark, d):
+    return _extrema(spark, d).select("event_id", "extremum")
+
+
+@query("check_maxmins", "SELECT user_id, TRUE AS good FROM events GROUP BY user_id")
+def checked(spark, d):
+    return E.check_extrema(_extrema(spark, d), USER, "value", "extremum")
+
+
+@query("get_his_maxmin_info")
+def steps(spark, d):
+    return E.extremum_steps(_extrema(spark, d), USER, "value", "extremum").select("event_id", "extremum", "diff", "pct", "gap")
+
+
+_TURN = f"""WITH a AS (SELECT event_id, user_id, ts, value, sign(value - lag(value) OVER ({W})) AS s FROM events),
+b AS (SELECT *, first_value(CASE WHEN s <> 0 THEN s END IGNORE NULLS) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM a),
+t AS (SELECT event_id, user_id, ts, value, CAST(CASE WHEN s IS NULL THEN coalesce(-n, 0) WHEN s <> 0 AND (n IS NULL OR n <> s) THEN s ELSE 0 END AS INTEGER) AS turn FROM b)"""
+
+
+@query("get_maxmin_neighbor_label", _TURN + f"""
+SELECT event_id, coalesce(CASE WHEN turn <> 0 THEN turn END, CASE WHEN lag(turn) OVER w <> 0 AND abs((value - lag(value) OVER w) / nullif(lag(value) OVER w, 0)) <= 0.2 THEN lag(turn) OVER w END,
+CASE WHEN lead(turn) OVER w <> 0 AND abs((value - lead(value) OVER w) / nullif(lead(value) OVER w, 0)) <= 0.2 THEN lead(turn) OVER w END, 0) AS near FROM t WINDOW w AS ({W})""")
+def near(spark, d):
+    from ..operators.series import turns
+
+    return E.near_extrema(turns(events(spark, d), USER, "value"), USER, "value", "turn", 1, 0.2).select("event_id", "near")
+
+
+@query("get_maxmin_records", _TURN + f" SELECT user_id, turn, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value FROM t WHERE turn <> 0")
+def records(spark, d):
+    from ..operators.series import turns
+
+    hits = turns(events(spark, d), USER, "value").where("turn <> 0")
+    return hits.select("user_id", "turn", USER.row().alias("k"), "value")
+
+
+@query("get_last_sure_maxmin_info", _TURN + f""", r AS (SELECT *, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY user_id) AS n, last_value(value) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM t)
+SELECT user_id, max_by(turn, rn) AS label, max_by(value, rn) AS value, min(n - rn) AS since FROM r WHERE turn <> 0 AND n - rn >= 5 AND abs((l - value) / nullif(value, 0)) >= 0.001 GROUP BY user_id""")
+def last_sure(spark, d):
+    from ..operators.series import turns
+
+    return E.last_extremum(turns(events(spark, d), USER, "value"), USER, "value", "turn")
+
+
+@query("zigzag")
+def zigzag(spark, d):
+    return E.zigzag(events(spark, d).withColumn("low", F.col("value") * 0.9), USER, "value", "low", 30.0, relative=False).select("event_id", "zigzag")
+
+
+@query("rolling_curvature_3point")
+def curve(spark, d):
+    df = events(spark, d).withColumn("x", F.unix_seconds(F.col("ts").cast("timestamp")) / 3600.0)
+    return E.rolling_curvature(df, USER, "x", "value").select("event_id", "curvature")
+
+
+@query("backpack01_float_dy")
+def knapsack(spark, d):
+    parts = table(spark, d, "part").where("p_size > 0").select("p_brand", F.col("p_size").cast("double").alias("w"), "p_retailprice", "p_partkey").where("p_partkey % 7 = 0")
+    return solve.knapsack_by(parts, "p_brand", "p_retailprice", "w", 120.0, "p_partkey")
+
+
+@query("find_addends_bigfirst")
+def addends(spark, d):
+    return solve.subset_sum_by(table(spark, d, "lineitem").select("l_suppkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).where("l_suppkey < 50"), "l_suppkey", "l_quantity", 137.0, "k")
+
+
+@query("genXy_X2d_y1d1step", f"""SELECT * FROM (SELECT user_id, CAST(ts AS VARCHAR) AS ts, event_id, lag(value, 4) OVER ({W}) AS value_lag4, lag(value, 3) OVER ({W}) AS value_lag3, lag(value, 2) OVER ({W}) AS value_lag2, event_id AS x_event_id, value AS y0, row_number() OVER ({W}) AS rn FROM events) WHERE rn > 4""".replace("SELECT * FROM (", "SELECT * EXCLUDE (rn) FROM ("))
+def lag_matrix(spark, d):
+    return L.lag_matrix(events(spark, d), USER, "value", {"value": 3}, ["event_id"], gap=1).withColumn("ts", F.col("ts").cast("string"))
+
+
+@query("genXy_X2d_y1dsteps", f"""SELECT * EXCLUDE (rn, n) FROM (SELECT user_id, CAST(ts AS VARCHAR) AS ts, event_id, lag(value, 2) OVER ({W}) AS value_lag2, lag(value, 1) OVER ({W}) AS value_lag1, value AS y0, lead(value) OVER ({W}) AS y1, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rn > 2 AND rn < n""")
+def lag_matrix_steps(spark, d):
+    return L.lag_matrix(events(spark, d), USER, "value", {"value": 2}, steps=2).withColumn("ts", F.col("ts").cast("string"))
+
+
+@query("get_directional_accuracy_1step", f"""WITH a AS (SELECT user_id, value, value * 0.9 + 5 AS p, lag(value) OVER ({W}) AS l FROM events)
+SELECT user_id, round(avg(CASE WHEN coalesce(sign(value - l), 0) = coalesce(sign(p - l), 0) THEN 1.0 ELSE 0 END), 9) AS accuracy FROM a GROUP BY 1""")
+def direction(spark, d):
+    df = events(spark, d).withColumn("p", F.col("value") * 0.9 + 5)
+    return L.directional_accuracy(df, USER, "value", "p").withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("predict_X2d_y1d1step", f"SELECT event_id, round(2 + 0.6 * l1 + 0.3 * l2, 8) AS pred FROM (SELECT event_id, lag(value) OVER ({W}) AS l1, lag(value, 2) OVER ({W}) AS l2 FROM events) WHERE l2 IS NOT NULL")
+def static(spark, d):
+    m = L.lag_matrix(events(spark, d), USER, "value", {"value": 2})
+    return m.select("event_id", F.round(L.linear_predictor({"value_lag1": 0.6, "value_lag2": 0.3}, 2.0), 8).alias("pred"))
+
+
+@query("forward_predict_X2d_y1d1step", f"""WITH RECURSIVE h AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+s AS (SELECT user_id, 0 AS step, max(value) FILTER (r = 2) AS a, max(value) FILTER (r = 1) AS b FROM h GROUP BY 1), f AS (SELECT * FROM s UNION ALL SELECT user_id, step + 1, b, 2 + 0.6 * b + 0.3 * a FROM f WHERE step < 5)
+SELECT user_id, step, round(b, 8) AS forecast FROM f WHERE step > 0""")
+def recursive(spark, d):
+    return L.recursive_forecast(events(spark, d), USER, "value", 2, 5, lambda x: 2 + 0.6 * x[1] + 0.3 * x[0]).withColumn("forecast", F.round("forecast", 8))
+
+
+@query("forward_predict_X2d_y1dsteps")
+def recursive_steps(spark, d):
+    return L.recursive_forecast(events(spark, d), USER, "value", 3, 6, lambda x: [x.mean(), x[-1]], steps=2)

@@ -1 +1,67 @@
-"""To come."""
+"""Queries through files and text; each writes into the shared folder and reads it again."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..sources import files
+from .registry import query, table
+
+
+def folder(spark) -> str:
+    """A new folder in the one that driver and executors share."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-files-")
+    return f"{root}/files-{uuid.uuid4().hex}"
+
+
+for _kind in ("csv", "json", "orc", "parquet"):
+    def _round_trip(spark, d, kind=_kind):
+        df, path = table(spark, d, "supplier"), folder(spark)
+        files.save(df, path, kind)
+        return files.load(spark, path, kind, schema=df.schema)
+
+    query({"csv": "load_csv", "json": "load_json", "orc": "load_dfs_pd", "parquet": "df2file_pd"}[_kind], "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")(_round_trip)
+
+
+@query("cut_dffile_by_year", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders")
+def by_year(spark, d):
+    path = folder(spark)
+    files.save_by_year(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), path, "o_orderdate", "parquet")
+    return spark.read.parquet(path).select("o_orderkey", "year")
+
+
+@query("cut_dffile_by_maxline", "SELECT o_orderkey FROM orders")
+def by_rows(spark, d):
+    path = folder(spark)
+    files.save(table(spark, d, "orders").select("o_orderkey"), path, "parquet", max_rows=1000)
+    return files.load(spark, path, "parquet")
+
+
+@query("archive_df", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, -c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k")
+def archive(spark, d):
+    path, c = folder(spark), table(spark, d, "customer")
+    files.archive(spark, c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "c_acctbal AS v"), path, "k")
+    return files.archive(spark, c.where("c_custkey % 3 = 0").selectExpr("c_custkey AS k", "-c_acctbal AS v"), path, "k")
+
+
+@query("find_files_include_str", "SELECT page_id FROM pages WHERE contains(html, '<title>')")
+def find(spark, d):
+    return files.find_lines(table(spark, d, "pages").selectExpr("page_id", "html AS value"), "<title>").select("page_id")
+
+
+@query("replace_str_in_file", "SELECT page_id, md5(replace(html, '<p>', '<div>')) AS digest FROM pages")
+def replace(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(files.replace_text(F.col("html"), "<p>", "<div>")).alias("digest"))
+
+
+@query("get_csv_df_colmaxmin", "SELECT min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders")
+def bounds(spark, d):
+    return files.column_bounds(table(spark, d, "orders"), "o_totalprice")
