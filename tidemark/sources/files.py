@@ -47,7 +47,7 @@ def load_sorted(spark: SparkSession, paths, by=None, unique=None, **options) ->
 def save(df: DataFrame, path: str, kind: str | None = None, mode: str = "overwrite", by=None, max_rows: int | None = None, **options) -> None:
     """Write by format; ``by`` partitions by columns, ``max_rows`` limits the rows of a file."""
     form = _format(path, kind)
-    writer = df.write.mode(mode).format(form).options(**({"header": True} if form == "csv" else {}), **options)
+    writer = df.write.mode(mode).format(form).options(**({"header": True, "escape": '"'} if form == "csv" else {}), **options)
     if max_rows:
         writer = writer.option("maxRecordsPerFile", max_rows)
     (writer.partitionBy(*names(by)) if by else writer).save(path)
