@@ -12,6 +12,9 @@ from ..operators.order import names
 
 FORMATS = {"csv": "csv", "txt": "text", "json": "json", "jsonl": "json", "parquet": "parquet", "orc": "orc", "xml": "xml"}
 
+#: What gives back the texts that were written, quotes, line ends and outer blanks included.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def _format(path: str, kind: str | None) -> str:
     ending = (kind or path.rstrip("/").rsplit(".", 1)[-1]).lower()
@@ -26,7 +29,7 @@ def load(spark: SparkSession, paths, kind: str | None = None, schema=None, mark:
     form = _format(paths[0], kind)
     reader = spark.read.format(form)
     if form == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        reader = reader.options(multiLine=True, **CSV)
     reader = reader.options(**options)
     df = (reader.schema(schema) if schema else reader).load(paths)
     if not keep_unnamed:
@@ -47,7 +50,7 @@ def load_sorted(spark: SparkSession, paths, by=None, unique=None, **options) ->
 def save(df: DataFrame, path: str, kind: str | None = None, mode: str = "overwrite", by=None, max_rows: int | None = None, **options) -> None:
     """Write by format; ``by`` partitions by columns, ``max_rows`` limits the rows of a file."""
     form = _format(path, kind)
-    writer = df.write.mode(mode).format(form).options(**({"header": True, "escape": '"'} if form == "csv" else {}), **options)
+    writer = df.write.mode(mode).format(form).options(**(CSV if form == "csv" else {}), **options)
     if max_rows:
         writer = writer.option("maxRecordsPerFile", max_rows)
     (writer.partitionBy(*names(by)) if by else writer).save(path)
