@@ -75,6 +75,7 @@ def lattice(distinct: DataFrame, table: DataFrame, longest_piece: int) -> DataFr
     starts = distinct.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("b"))
     spans = starts.select("unit", "b", F.explode(F.sequence(F.col("b") + 1, F.least(n, F.col("b") + longest_piece))).alias("e"))
     edges = spans.withColumn("piece", F.substring("unit", F.col("b") + 1, F.col("e") - F.col("b"))).join(F.broadcast(table), "piece", "left")
+    edges = edges.where("id IS NOT NULL OR (b = 0 AND e = 1)")  # a unit without any piece keeps a row
     known = F.when(F.col("id").isNotNull(), F.struct("b", "e", "id", "score"))
     return edges.groupBy("unit").agg(F.collect_list(known).alias("edges"))
 
@@ -85,21 +86,23 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def fold_merges(n: Column, edges: Column) -> Column:
-    """Boundaries of the path of a BPE model: the best-scored edge over two neighbours joins them, leftmost on ties."""
+    """Boundaries of the path of a BPE model: the best-scored edge over two neighbours joins them, leftmost on ties.
 
-    def step(bounds: Column, _: Column) -> Column:
-        inner = lambda x: F.size(F.filter(bounds, lambda k: (k > x["b"]) & (k < x["e"])))
-        open_ = F.filter(joins, lambda x: F.array_contains(bounds, x["b"]) & F.array_contains(bounds, x["e"]) & (inner(x) == 1))
-        best = F.array_max(F.transform(open_, lambda x: F.struct(x["score"].alias("score"), (-x["b"]).alias("first"), x["e"].alias("e"))))
-        return bound(best, lambda m: F.when(m.isNull(), bounds).otherwise(F.filter(bounds, lambda k: (k <= -m["first"]) | (k >= m["e"]))))
+    The boundaries are the bits of a number (so units have at most 62 characters): an edge joins two neighbours if its
+    ends are boundaries and exactly one boundary is inside.
+    """
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    joins = F.array_sort(F.transform(F.filter(edges, lambda x: x["e"] - x["b"] > 1), lambda x: F.struct(
+        (-x["score"]).alias("rank"), x["b"].alias("b"), (bit(x["e"]) - bit(x["b"] + 1)).alias("inner"), (bit(x["b"]) + bit(x["e"])).alias("ends"))))
 
     def fold(some: Column) -> Column:
-        nonlocal joins
-        joins = some
-        return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+        def step(mask: Column, _: Column) -> Column:
+            fits = F.filter(some, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
+            return bound(F.get(fits, F.lit(0)), lambda m: F.when(m.isNull(), mask).otherwise(mask - mask.bitwiseAND(m["inner"])))
 
-    joins = edges
-    return bound(F.filter(edges, lambda x: x["e"] - x["b"] > 1), fold)
+        return F.aggregate(F.sequence(F.lit(1), n), bit(n + 1) - 1, step)
+
+    return bound(bound(joins, fold), lambda mask: F.filter(F.sequence(F.lit(0), n), lambda k: mask.bitwiseAND(bit(k)) != 0))
 
 
 def fold_viterbi(n: Column, edges: Column, unknown: float) -> Column:
@@ -139,7 +142,7 @@ def encode_units(distinct: DataFrame, path: str, bpe: bool = True) -> DataFrame:
     return grid.withColumn("bounds", bounds).select("unit", path_ids(F.col("unit"), F.col("bounds"), F.col("edges"), first_byte).alias("ids"))
 
 
-def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", longest: int = 64, chunk: int = 4000) -> DataFrame:
+def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", longest: int = 62, chunk: int = 4000) -> DataFrame:
     """(doc_id, ids, text_crc32) for each document, ids as packed unsigned 32-bit numbers."""
     path = path or public("piece_bpe_32k.model")
 
