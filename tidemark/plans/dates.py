@@ -9,63 +9,66 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from .registry import plain, query, table
 
-O = F.to_date("o_orderdate")  # noqa: E741
 S = "CAST(o_orderdate AS DATE)"
 
 
+def O():  # noqa: E743
+    return F.to_date("o_orderdate")
+
+
 def orders(spark, d):
     return table(spark, d, "orders")
 
 
 def _date(name, col, sql):
-    query(name, f"SELECT o_orderkey, CAST({sql} AS VARCHAR) AS y FROM orders")(lambda spark, d: orders(spark, d).select("o_orderkey", col.cast("string").alias("y")))
+    query(name, f"SELECT o_orderkey, CAST({sql} AS VARCHAR) AS y FROM orders")(lambda spark, d: orders(spark, d).select("o_orderkey", col().cast("string").alias("y")))
 
 
 _T = "o_orderdate"
 _QS = f"CAST(date_trunc('quarter', {S}) AS DATE)"
 _MS = f"CAST(date_trunc('month', {S}) AS DATE)"
 for _name, _col, _sql in (
-        ("pd_str2datetime", D.parse(F.date_format(_T, "yyyyMMdd")), f"CAST({S} AS TIMESTAMP)"),
-        ("str2datetime", D.parse(F.date_format(_T, "yyyy/MM/dd HH:mm:ss")), "date_trunc('second', o_orderdate)"),
-        ("x2datetime", D.from_epoch(F.unix_millis(F.col(_T).cast("timestamp"))), "date_trunc('millisecond', o_orderdate)"),
-        ("str2timestamp", D.to_epoch(D.parse(F.date_format(_T, "yyyy-MM-dd HH:mm:ss"))).cast("long"), "CAST(epoch(date_trunc('second', o_orderdate)) AS BIGINT)"),
-        ("timestamp2str", F.date_format(D.from_epoch(F.unix_seconds(F.col(_T).cast("timestamp"))), "yyyy-MM-dd HH:mm:ss"), "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"),
-        ("datetime2str", D.text(F.col(_T)), "strftime(o_orderdate, '%Y-%m-%d')"), ("dtseries2str", D.text(F.col(_T), "."), "strftime(o_orderdate, '%Y.%m.%d')"),
-        ("get_datetime_strformat", D.date_format_of(F.date_format(_T, "yyyy.MM.dd HH:mm")), "'yyyy.MM.dd HH:mm'"),
-        ("time_add", D.add(F.col(_T), seconds=5, minutes=4, hours=3, days=2), "o_orderdate + INTERVAL 2 DAY + INTERVAL 3 HOUR + INTERVAL 4 MINUTE + INTERVAL 5 SECOND"),
-        ("date_add_nday", F.date_add(O, 17), f"{S} + 17"), ("is_month_end", O == F.last_day(O), f"{S} = last_day({S})"), ("is_month_start", F.dayofmonth(O) == 1, f"day({S}) = 1"),
-        ("is_quarter_end", O == D.quarter_end(O), f"{S} = CAST({_QS} + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)"), ("is_quarter_start", O == D.quarter_start(O), f"{S} = {_QS}"),
-        ("get_quarter", D.quarter_name(O), f"year({S}) || 'Q' || quarter({S})"),
-        ("get_quarter_start_end_by_date", F.concat_ws("/", D.quarter_start(O), D.quarter_end(O)), f"{_QS} || '/' || CAST({_QS} + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)"),
-        ("get_quarter_start_end_by_yq", D.quarter_end(F.make_date(F.year(O), F.quarter(O) * 3 - 2, F.lit(1))), f"CAST({_QS} + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)"),
-        ("get_pre_quarter", D.quarter_name(F.add_months(O, -6)), f"year({S} - INTERVAL 6 MONTH) || 'Q' || quarter({S} - INTERVAL 6 MONTH)"),
-        ("get_2part_next", F.concat_ws("-", *D.carry(F.year(O), F.month(O), 12, -8)), f"year({_MS} - INTERVAL 8 MONTH) || '-' || month({_MS} - INTERVAL 8 MONTH)"),
-        ("get_dayofweek", D.day_of_week(O), f"CAST(isodow({S}) AS INTEGER)"), ("get_dayofyear", F.dayofyear(O), f"CAST(dayofyear({S}) AS INTEGER)"), ("get_month_end", D.month_end(O), f"last_day({S})"),
-        ("get_next_nmonth_start_end", F.concat_ws("/", D.month_start(O, 2), D.month_end(O, 2)), f"CAST({_MS} + INTERVAL 2 MONTH AS DATE) || '/' || last_day(CAST({_MS} + INTERVAL 2 MONTH AS DATE))"),
-        ("get_next_nquarter_start_end", F.concat_ws("/", D.quarter_start(O, 1), D.quarter_end(O, 1)), f"CAST({_QS} + INTERVAL 3 MONTH AS DATE) || '/' || CAST({_QS} + INTERVAL 6 MONTH - INTERVAL 1 DAY AS DATE)"),
-        ("date_reformat", D.reformat(F.date_format(_T, "yyyyMMdd"), "/"), "strftime(o_orderdate, '%Y/%m/%d')"), ("date_reformat_chn", D.reformat(F.date_format(_T, "yyyy年MM月dd日")), "strftime(o_orderdate, '%Y-%m-%d')"),
-        ("date8_to_date10", D.date8_to_10(F.date_format(_T, "yyyyMMdd")), "strftime(o_orderdate, '%Y-%m-%d')"), ("date10_to_date8", D.date10_to_8(D.text(F.col(_T))), "strftime(o_orderdate, '%Y%m%d')"),
-        ("diff_time_second", F.timestamp_diff("SECOND", F.lit("1990-01-01").cast("timestamp"), F.col(_T).cast("timestamp")), "CAST(floor(epoch(o_orderdate) - epoch(TIMESTAMP '1990-01-01')) AS BIGINT)"),
-        ("diff_days_date", F.datediff(O, F.lit("1990-01-01").cast("date")), f"CAST(datediff('day', DATE '1990-01-01', {S}) AS INTEGER)"),
-        ("get_date_weekday", D.weekday_date(O, 3, -1), f"CAST(date_trunc('week', {S}) AS DATE) - 5"),
-        ("get_recent_inweekday", D.onto_weekday(O), f"{S} + CASE isodow({S}) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END"), ("get_recent_inweekday_pre", D.onto_weekday(O, False), f"{S} - CASE isodow({S}) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END"),
-        ("get_tgdz_year", D.cycle_year(F.year(O)), f"substr('甲乙丙丁戊己庚辛壬癸', CAST((year({S}) + 6) % 10 + 1 AS BIGINT), 1) || substr('子丑寅卯辰巳午未申酉戌亥', CAST((year({S}) + 8) % 12 + 1 AS BIGINT), 1)"),
-        ("get_tgdz_date", D.cycle_day(O), f"substr('甲乙丙丁戊己庚辛壬癸', CAST(datediff('day', DATE '1949-10-01', {S}) % 10 + 1 AS BIGINT), 1) || substr('子丑寅卯辰巳午未申酉戌亥', CAST(datediff('day', DATE '1949-10-01', {S}) % 12 + 1 AS BIGINT), 1)"),
-        ("get_shuxiang", D.animal(F.year(O)), f"substr('鼠牛虎兔龙蛇马羊猴鸡狗猪', CAST((year({S}) + 8) % 12 + 1 AS BIGINT), 1)")):
+        ("pd_str2datetime", lambda: D.parse(F.date_format(_T, "yyyyMMdd")), f"CAST({S} AS TIMESTAMP)"),
+        ("str2datetime", lambda: D.parse(F.date_format(_T, "yyyy/MM/dd HH:mm:ss")), "date_trunc('second', o_orderdate)"),
+        ("x2datetime", lambda: D.from_epoch(F.unix_millis(F.col(_T).cast("timestamp"))), "date_trunc('millisecond', o_orderdate)"),
+        ("str2timestamp", lambda: D.to_epoch(D.parse(F.date_format(_T, "yyyy-MM-dd HH:mm:ss"))).cast("long"), "CAST(epoch(date_trunc('second', o_orderdate)) AS BIGINT)"),
+        ("timestamp2str", lambda: F.date_format(D.from_epoch(F.unix_seconds(F.col(_T).cast("timestamp"))), "yyyy-MM-dd HH:mm:ss"), "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"),
+        ("datetime2str", lambda: D.text(F.col(_T)), "strftime(o_orderdate, '%Y-%m-%d')"), ("dtseries2str", lambda: D.text(F.col(_T), "."), "strftime(o_orderdate, '%Y.%m.%d')"),
+        ("get_datetime_strformat", lambda: D.date_format_of(F.date_format(_T, "yyyy.MM.dd HH:mm")), "'yyyy.MM.dd HH:mm'"),
+        ("time_add", lambda: D.add(F.col(_T), seconds=5, minutes=4, hours=3, days=2), "o_orderdate + INTERVAL 2 DAY + INTERVAL 3 HOUR + INTERVAL 4 MINUTE + INTERVAL 5 SECOND"),
+        ("date_add_nday", lambda: F.date_add(O(), 17), f"{S} + 17"), ("is_month_end", lambda: O() == F.last_day(O()), f"{S} = last_day({S})"), ("is_month_start", lambda: F.dayofmonth(O()) == 1, f"day({S}) = 1"),
+        ("is_quarter_end", lambda: O() == D.quarter_end(O()), f"{S} = CAST({_QS} + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)"), ("is_quarter_start", lambda: O() == D.quarter_start(O()), f"{S} = {_QS}"),
+        ("get_quarter", lambda: D.quarter_name(O()), f"year({S}) || 'Q' || quarter({S})"),
+        ("get_quarter_start_end_by_date", lambda: F.concat_ws("/", D.quarter_start(O()), D.quarter_end(O())), f"{_QS} || '/' || CAST({_QS} + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)"),
+        ("get_quarter_start_end_by_yq", lambda: D.quarter_end(F.make_date(F.year(O()), F.quarter(O()) * 3 - 2, F.lit(1))), f"CAST({_QS} + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)"),
+        ("get_pre_quarter", lambda: D.quarter_name(F.add_months(O(), -6)), f"year({S} - INTERVAL 6 MONTH) || 'Q' || quarter({S} - INTERVAL 6 MONTH)"),
+        ("get_2part_next", lambda: F.concat_ws("-", *D.carry(F.year(O()), F.month(O()), 12, -8)), f"year({_MS} - INTERVAL 8 MONTH) || '-' || month({_MS} - INTERVAL 8 MONTH)"),
+        ("get_dayofweek", lambda: D.day_of_week(O()), f"CAST(isodow({S}) AS INTEGER)"), ("get_dayofyear", lambda: F.dayofyear(O()), f"CAST(dayofyear({S}) AS INTEGER)"), ("get_month_end", lambda: D.month_end(O()), f"last_day({S})"),
+        ("get_next_nmonth_start_end", lambda: F.concat_ws("/", D.month_start(O(), 2), D.month_end(O(), 2)), f"CAST({_MS} + INTERVAL 2 MONTH AS DATE) || '/' || last_day(CAST({_MS} + INTERVAL 2 MONTH AS DATE))"),
+        ("get_next_nquarter_start_end", lambda: F.concat_ws("/", D.quarter_start(O(), 1), D.quarter_end(O(), 1)), f"CAST({_QS} + INTERVAL 3 MONTH AS DATE) || '/' || CAST({_QS} + INTERVAL 6 MONTH - INTERVAL 1 DAY AS DATE)"),
+        ("date_reformat", lambda: D.reformat(F.date_format(_T, "yyyyMMdd"), "/"), "strftime(o_orderdate, '%Y/%m/%d')"), ("date_reformat_chn", lambda: D.reformat(F.date_format(_T, "yyyy年MM月dd日")), "strftime(o_orderdate, '%Y-%m-%d')"),
+        ("date8_to_date10", lambda: D.date8_to_10(F.date_format(_T, "yyyyMMdd")), "strftime(o_orderdate, '%Y-%m-%d')"), ("date10_to_date8", lambda: D.date10_to_8(D.text(F.col(_T))), "strftime(o_orderdate, '%Y%m%d')"),
+        ("diff_time_second", lambda: F.timestamp_diff("SECOND", F.lit("1990-01-01").cast("timestamp"), F.col(_T).cast("timestamp")), "CAST(floor(epoch(o_orderdate) - epoch(TIMESTAMP '1990-01-01')) AS BIGINT)"),
+        ("diff_days_date", lambda: F.datediff(O(), F.lit("1990-01-01").cast("date")), f"CAST(datediff('day', DATE '1990-01-01', {S}) AS INTEGER)"),
+        ("get_date_weekday", lambda: D.weekday_date(O(), 3, -1), f"CAST(date_trunc('week', {S}) AS DATE) - 5"),
+        ("get_recent_inweekday", lambda: D.onto_weekday(O()), f"{S} + CASE isodow({S}) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END"), ("get_recent_inweekday_pre", lambda: D.onto_weekday(O(), False), f"{S} - CASE isodow({S}) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END"),
+        ("get_tgdz_year", lambda: D.cycle_year(F.year(O())), f"substr('甲乙丙丁戊己庚辛壬癸', CAST((year({S}) + 6) % 10 + 1 AS BIGINT), 1) || substr('子丑寅卯辰巳午未申酉戌亥', CAST((year({S}) + 8) % 12 + 1 AS BIGINT), 1)"),
+        ("get_tgdz_date", lambda: D.cycle_day(O()), f"substr('甲乙丙丁戊己庚辛壬癸', CAST(datediff('day', DATE '1949-10-01', {S}) % 10 + 1 AS BIGINT), 1) || substr('子丑寅卯辰巳午未申酉戌亥', CAST(datediff('day', DATE '1949-10-01', {S}) % 12 + 1 AS BIGINT), 1)"),
+        ("get_shuxiang", lambda: D.animal(F.year(O())), f"substr('鼠牛虎兔龙蛇马羊猴鸡狗猪', CAST((year({S}) + 8) % 12 + 1 AS BIGINT), 1)")):
     _date(_name, _col, _sql)
 
-for _name, _col in (("get_tgdz_hour", D.cycle_hour(F.col(_T))), ("get_xingzuo", D.western_sign(O)), ("get_solar_terms", D.sun_longitude_term(O)), ("get_next_nth_inweekday", D.nth_weekday_day(O, 7))):
-    query(_name)(lambda spark, d, c=_col: orders(spark, d).select("o_orderkey", c.alias("y")))
+for _name, _col in (("get_tgdz_hour", lambda: D.cycle_hour(F.col(_T))), ("get_xingzuo", lambda: D.western_sign(O())), ("get_solar_terms", lambda: D.sun_longitude_term(O())), ("get_next_nth_inweekday", lambda: D.nth_weekday_day(O(), 7))):
+    query(_name)(lambda spark, d, c=_col: orders(spark, d).select("o_orderkey", c().alias("y")))
 
 
 @query("cut_date", f"SELECT o_orderkey, CAST(b AS VARCHAR) AS begin, CAST(least(b + 9, e) AS VARCHAR) AS \"end\" FROM (SELECT o_orderkey, unnest(generate_series({S}, {S} + 25, INTERVAL 10 DAY))::DATE AS b, {S} + 25 AS e FROM orders WHERE o_orderkey % 10 = 1)")
 def cut(spark, d):
-    return plain(orders(spark, d).where("o_orderkey % 10 = 1").select("o_orderkey", F.explode(D.chunks(O, F.date_add(O, 25), 10)).alias("c")).select("o_orderkey", "c.begin", "c.end"))
+    return plain(orders(spark, d).where("o_orderkey % 10 = 1").select("o_orderkey", F.explode(D.chunks(O(), F.date_add(O(), 25), 10)).alias("c")).select("o_orderkey", "c.begin", "c.end"))
 
 
 @query("get_dates_between", f"SELECT o_orderkey, CAST(x AS VARCHAR) AS day FROM (SELECT o_orderkey, unnest(generate_series({S}, {S} + 9, INTERVAL 1 DAY))::DATE AS x, row_number() OVER (PARTITION BY o_orderkey) AS k FROM orders WHERE o_orderkey % 10 = 1) WHERE isodow(x) < 6 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY x) > 1")
 def between(spark, d):
-    return plain(orders(spark, d).where("o_orderkey % 10 = 1").select("o_orderkey", F.explode(D.between(O, F.date_add(O, 9), weekdays=True)).alias("day")))
+    return plain(orders(spark, d).where("o_orderkey % 10 = 1").select("o_orderkey", F.explode(D.between(O(), F.date_add(O(), 9), weekdays=True)).alias("day")))
 
 
 #: Off: the first day of each month, if a weekday; worked: the second Saturday of each January.
@@ -101,4 +104,4 @@ for _name, _n, _forth, _sql in (
         ("get_next_nth_workday", 5, True, "(SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal FROM num WHERE day = o) + 5)"),
         ("get_next_nth_workday_back", -3, True, "(SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal + CASE WHEN is_workday THEN 0 ELSE 1 END FROM num WHERE day = o) - 3)")):
     query(_name, _CAL + f", o AS (SELECT DISTINCT {S} AS o FROM orders WHERE year(o_orderdate) < 1999) SELECT CAST(o AS VARCHAR) AS day, CAST({_sql} AS VARCHAR) AS workday FROM o")(
-        lambda spark, d, n=_n, forth=_forth: plain(D.shift_workdays(orders(spark, d).where("year(o_orderdate) < 1999").select(O.alias("day")).distinct(), "day", _calendar(spark), n, forth=forth)))
+        lambda spark, d, n=_n, forth=_forth: plain(D.shift_workdays(orders(spark, d).where("year(o_orderdate) < 1999").select(O().alias("day")).distinct(), "day", _calendar(spark), n, forth=forth)))

@@ -36,17 +36,20 @@ def linear(spark, d):
     return S.series_linear(events(spark, d), "value", ["event_type"], 1, 5, reverse=True).select("event_id", F.round("value", 8).alias("value"))
 
 
-_V = F.col("value")
+def _v():
+    return F.col("value")
+
+
 for _name, _col, _sql in (
-        ("norm_linear", S.linear(_V, -1000.0, 1000.0, 0, 10), "(value + 1000) / 2000 * 10"),
-        ("norm_mid", S.middle(_V, 10.0, 90.0, 1, 5, 40.0), "CASE WHEN value <= 10 OR value >= 90 THEN 1 WHEN value <= 40 THEN 1 + 4 * (value - 10) / 30 ELSE 1 + 4 * (90 - value) / 50 END"),
-        ("norm01_mid", S.middle(_V, 10.0, 90.0), "CASE WHEN value <= 10 OR value >= 90 THEN 0 WHEN value <= 50 THEN (value - 10) / 40 ELSE (90 - value) / 40 END"),
-        ("norm_side", S.sides(_V, 10.0, 90.0, 1, 5, 40.0, 7), "CASE WHEN value < 10 OR value > 90 THEN 7 WHEN value <= 40 THEN 1 + 4 * (40 - value) / 30 ELSE 1 + 4 * (value - 40) / 50 END"),
-        ("norm01_side", S.sides(_V, 10.0, 90.0), "CASE WHEN value < 10 OR value > 90 THEN 1 WHEN value <= 50 THEN (50 - value) / 40 ELSE (value - 50) / 40 END"),
-        ("norm_range", S.in_range(_V, 30.0, 60.0, 10.0, 90.0, 1, 5), "CASE WHEN value BETWEEN 30 AND 60 THEN 5 WHEN value <= 10 OR value >= 90 THEN 1 WHEN value < 30 THEN 1 + 4 * (value - 10) / 20 ELSE 1 + 4 * (90 - value) / 30 END"),
-        ("norm01_range", S.in_range(_V, 30.0, 60.0, 10.0, 90.0), "CASE WHEN value BETWEEN 30 AND 60 THEN 1 WHEN value <= 10 OR value >= 90 THEN 0 WHEN value < 30 THEN (value - 10) / 20 ELSE (90 - value) / 30 END"),
-        ("sigmoid", X.sigmoid(_V / 50), "1 / (1 + exp(-value / 50))"), ("softplus", X.softplus(_V / 50), "ln(1 + exp(value / 50))"), ("tanh", F.tanh(_V / 50), "(exp(value / 25) - 1) / (exp(value / 25) + 1)")):
-    query(_name, f"SELECT event_id, round(CAST({_sql} AS DOUBLE), 8) AS y FROM events")(lambda spark, d, c=_col: events(spark, d).select("event_id", F.round(c.cast("double"), 8).alias("y")))
+        ("norm_linear", lambda: S.linear(_v(), -1000.0, 1000.0, 0, 10), "(value + 1000) / 2000 * 10"),
+        ("norm_mid", lambda: S.middle(_v(), 10.0, 90.0, 1, 5, 40.0), "CASE WHEN value <= 10 OR value >= 90 THEN 1 WHEN value <= 40 THEN 1 + 4 * (value - 10) / 30 ELSE 1 + 4 * (90 - value) / 50 END"),
+        ("norm01_mid", lambda: S.middle(_v(), 10.0, 90.0), "CASE WHEN value <= 10 OR value >= 90 THEN 0 WHEN value <= 50 THEN (value - 10) / 40 ELSE (90 - value) / 40 END"),
+        ("norm_side", lambda: S.sides(_v(), 10.0, 90.0, 1, 5, 40.0, 7), "CASE WHEN value < 10 OR value > 90 THEN 7 WHEN value <= 40 THEN 1 + 4 * (40 - value) / 30 ELSE 1 + 4 * (value - 40) / 50 END"),
+        ("norm01_side", lambda: S.sides(_v(), 10.0, 90.0), "CASE WHEN value < 10 OR value > 90 THEN 1 WHEN value <= 50 THEN (50 - value) / 40 ELSE (value - 50) / 40 END"),
+        ("norm_range", lambda: S.in_range(_v(), 30.0, 60.0, 10.0, 90.0, 1, 5), "CASE WHEN value BETWEEN 30 AND 60 THEN 5 WHEN value <= 10 OR value >= 90 THEN 1 WHEN value < 30 THEN 1 + 4 * (value - 10) / 20 ELSE 1 + 4 * (90 - value) / 30 END"),
+        ("norm01_range", lambda: S.in_range(_v(), 30.0, 60.0, 10.0, 90.0), "CASE WHEN value BETWEEN 30 AND 60 THEN 1 WHEN value <= 10 OR value >= 90 THEN 0 WHEN value < 30 THEN (value - 10) / 20 ELSE (90 - value) / 30 END"),
+        ("sigmoid", lambda: X.sigmoid(_v() / 50), "1 / (1 + exp(-value / 50))"), ("softplus", lambda: X.softplus(_v() / 50), "ln(1 + exp(value / 50))"), ("tanh", lambda: F.tanh(_v() / 50), "(exp(value / 25) - 1) / (exp(value / 25) + 1)")):
+    query(_name, f"SELECT event_id, round(CAST({_sql} AS DOUBLE), 8) AS y FROM events")(lambda spark, d, c=_col: events(spark, d).select("event_id", F.round(c().cast("double"), 8).alias("y")))
 
 
 @query("softmax", "SELECT event_id, round(exp(value - m) / t, 10) AS softmax FROM events JOIN (SELECT user_id, m, sum(exp(value - m)) AS t FROM events JOIN (SELECT user_id, max(value) AS m FROM events GROUP BY 1) USING (user_id) GROUP BY 1, 2) USING (user_id)")
@@ -76,7 +79,7 @@ _SP = "(SELECT event_id, CASE WHEN value > 80 THEN value END AS a, CASE WHEN val
 
 
 def _sparse(spark, d):
-    return events(spark, d).select("event_id", F.when(_V > 80, _V).alias("a"), F.when(_V > 30, _V).alias("b"))
+    return events(spark, d).select("event_id", F.when(_v() > 80, _v()).alias("a"), F.when(_v() > 30, _v()).alias("b"))
 
 
 @query("get_miss_rate", f"SELECT 'event_id' AS name, 0.0 AS rate UNION ALL SELECT 'a', avg(CASE WHEN a IS NULL THEN 1.0 ELSE 0 END) FROM {_SP} UNION ALL SELECT 'b', avg(CASE WHEN b IS NULL THEN 1.0 ELSE 0 END) FROM {_SP}")
@@ -96,7 +99,7 @@ def drop_rows(spark, d):
 
 @query("fillna_ma", f"SELECT event_id, round(coalesce(x, CASE WHEN count(x) OVER w >= 2 THEN avg(x) OVER w END), 8) AS x FROM (SELECT *, CASE WHEN value > 30 THEN value END AS x FROM events) WINDOW w AS ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def ma(spark, d):
-    return S.fill_moving_average(events(spark, d).withColumn("x", F.when(_V > 30, _V)), USER, "x", 5).select("event_id", F.round("x", 8).alias("x"))
+    return S.fill_moving_average(events(spark, d).withColumn("x", F.when(_v() > 30, _v())), USER, "x", 5).select("event_id", F.round("x", 8).alias("x"))
 
 
 for _how, _f in (("mean", "avg"), ("median", "median")):

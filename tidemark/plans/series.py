@@ -10,7 +10,6 @@ from .registry import query, table
 
 USER = Order("user_id", ("ts", "event_id"))
 LINE = Order("l_orderkey", ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-HIGH = F.col("value") > 50
 W = "PARTITION BY user_id ORDER BY ts, event_id"
 UP = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 PRE = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -20,12 +19,16 @@ def events(spark, d):
     return table(spark, d, "events")
 
 
+def high():
+    return F.col("value") > 50
+
+
 @query("con_count", f"""
 WITH a AS (SELECT event_id, user_id, ts, CASE WHEN value > 50 THEN 1 ELSE 0 END AS c FROM events),
 b AS (SELECT *, sum(1 - c) OVER {UP} AS g FROM a)
 SELECT event_id, user_id, CAST(CASE WHEN c = 1 THEN sum(c) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS BIGINT) AS con_count FROM b""")
 def con_count(spark, d):
-    return S.con_count(events(spark, d), USER, HIGH).select("event_id", "user_id", "con_count")
+    return S.con_count(events(spark, d), USER, high()).select("event_id", "user_id", "con_count")
 
 
 @query("con_count_ignore", f"""
@@ -33,7 +36,7 @@ WITH a AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN 1 E
 b AS (SELECT *, sum((1 - c) * (1 - i)) OVER {UP} AS g FROM a)
 SELECT event_id, CAST(CASE WHEN c = 1 THEN sum(c) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS BIGINT) AS con_count FROM b""")
 def con_count_ignore(spark, d):
-    return S.con_count_ignore(events(spark, d), USER, HIGH, F.col("event_type") == "error").select("event_id", "con_count")
+    return S.con_count_ignore(events(spark, d), USER, high(), F.col("event_type") == "error").select("event_id", "con_count")
 
 
 @query("get_preval_func_cond", f"SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER {PRE} AS preval FROM events")
@@ -45,7 +48,7 @@ def previous(spark, d):
 WITH a AS (SELECT event_id, user_id, ts, value, row_number() OVER ({W}) AS rn FROM events)
 SELECT event_id, coalesce(rn - last_value(CASE WHEN value > 50 THEN rn END IGNORE NULLS) OVER {PRE}, 0) AS gap FROM a""")
 def gap(spark, d):
-    return S.gap_count(events(spark, d), USER, HIGH).select("event_id", "gap")
+    return S.gap_count(events(spark, d), USER, high()).select("event_id", "gap")
 
 
 def _between_sql(now_gap: bool, now: bool) -> str:
@@ -61,7 +64,7 @@ SELECT event_id, CAST({last} AS BIGINT) AS count FROM u WINDOW w AS ({W})"""
 
 def _between(now_gap: bool, now: bool):
     def run(spark, d):
-        return S.count_between_gap(events(spark, d), USER, F.col("event_type") == "purchase", HIGH, now_gap, now).select("event_id", "count")
+        return S.count_between_gap(events(spark, d), USER, F.col("event_type") == "purchase", high(), now_gap, now).select("event_id", "count")
 
     return run
 
@@ -89,7 +92,7 @@ SELECT event_id, CASE WHEN x = 1 AND p = 1 THEN 0 ELSE x END AS x FROM b"""
 
 
 def _signal(spark, d):
-    return events(spark, d).withColumn("x", F.when(HIGH, 1).when(F.col("value") > 25, 0).otherwise(-1))
+    return events(spark, d).withColumn("x", F.when(high(), 1).when(F.col("value") > 25, 0).otherwise(-1))
 
 
 for _last in (False, True):
@@ -114,7 +117,7 @@ WITH a AS (SELECT user_id, ts, event_id, CASE WHEN value > 50 THEN 1 ELSE 0 END
 b AS (SELECT *, sum(1 - c) OVER {UP} AS g FROM a)
 SELECT user_id, min(rn) AS "start", max(rn) AS "end" FROM b WHERE c = 1 GROUP BY user_id, g""")
 def bounds(spark, d):
-    return S.run_bounds(events(spark, d), USER, HIGH)
+    return S.run_bounds(events(spark, d), USER, high())
 
 
 for _rev in (False, True):
