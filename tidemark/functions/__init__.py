@@ -1 +1 @@
-
+"""Functions that make Columns."""

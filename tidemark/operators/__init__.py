@@ -1 +1 @@
-
+"""Operators on DataFrames."""

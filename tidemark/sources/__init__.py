@@ -1 +1 @@
-
+"""Scans, sinks and stores."""

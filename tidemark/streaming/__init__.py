@@ -1 +1 @@
-
+"""Structured Streaming: the table operators on unbounded input."""
