@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from fractions import Fraction
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,23 +34,31 @@ def knapsack(capacity: float, values: list[float], weights: list[float]) -> tupl
     return value, sorted(taken)
 
 
-def subset_sum(target: float, items: list[float], below: float = 0.0, above: float = 0.0, count: int | None = None, most_steps: int = 1_000_000) -> list[int] | None:
+def _scaled(*numbers: float) -> list[int]:
+    """The numbers as they are written in decimals, times the power of ten that makes all of them whole."""
+    exact = [Decimal(str(x)) for x in numbers]
+    places = max(0, *(-x.as_tuple().exponent for x in exact))
+    return [int(Fraction(x) * 10**places) for x in exact]
+
+
+def subset_sum(target: float, items: list[float], below: float = 0.0, above: float = 0.0, count: int | None = None) -> list[int] | None:
     """Positions of items whose sum is in [target - below, target + above], else None; ``count`` of them if given.
 
-    Depth first from the largest item; for positive items the sums of what is left bound the search.  The search gives
-    up after ``most_steps`` steps, as the problem has no fast exact way in general.
+    Depth first from the largest item; the sums of what is left bound the search.  A sum that was reached before with
+    the same items left is not followed again, so the search always ends, and None means that there is no such sum.
+    Steps and memory are bounded by items x different sums, which may be very many if items have many decimals.
+    Nulls, NaN and infinities are not taken.
     """
-    order = sorted(range(len(items)), key=lambda k: -items[k])
-    up = [0.0] * (len(order) + 1)
-    down = [0.0] * (len(order) + 1)
+    order = sorted((k for k, x in enumerate(items) if x is not None and math.isfinite(x)), key=lambda k: -items[k])
+    *sizes, goal, under, over, slack = _scaled(*(items[k] for k in order), target, below, above, 1e-9)
+    up = [0] * (len(order) + 1)
+    down = [0] * (len(order) + 1)
     for k in range(len(order) - 1, -1, -1):
-        x = items[order[k]]
-        up[k], down[k] = up[k + 1] + max(0.0, x), down[k + 1] + min(0.0, x)
-    low, high, steps = target - below - 1e-9, target + above + 1e-9, 0
-    stack = [(0, 0.0, None, 0)]
-    while stack and steps < most_steps:
+        up[k], down[k] = up[k + 1] + max(0, sizes[k]), down[k + 1] + min(0, sizes[k])
+    low, high, seen = goal - under - slack, goal + over + slack, set()
+    stack = [(0, 0, None, 0)]
+    while stack:
         k, total, chain, n = stack.pop()
-        steps += 1
         if low <= total <= high and n and (count is None or n == count):
             taken = []
             while chain:
@@ -55,8 +67,12 @@ def subset_sum(target: float, items: list[float], below: float = 0.0, above: flo
             return sorted(taken)
         if k == len(order) or total + up[k] < low or total + down[k] > high or (count is not None and n >= count):
             continue
+        state = (k, total, n if count is not None else n > 0)
+        if state in seen:
+            continue
+        seen.add(state)
         stack.append((k + 1, total, chain, n))
-        stack.append((k + 1, total + items[order[k]], (order[k], chain), n + 1))
+        stack.append((k + 1, total + sizes[k], (order[k], chain), n + 1))
     return None
 
 
@@ -73,7 +89,7 @@ def knapsack_by(df: DataFrame, key: str, value: str, weight: str, capacity: floa
 
 
 def subset_sum_by(df: DataFrame, key: str, value: str, target: float, ident: str, below: float = 0.0, above: float = 0.0, count: int | None = None) -> DataFrame:
-    """(key, items): for each key the ids of values that add up to the target, null if none were found."""
+    """(key, items): for each key the ids of values that add up to the target, null if there are none."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(ident, kind="stable")

@@ -79,7 +79,7 @@ def knapsack(spark, d):
 
 @query("find_addends_bigfirst")
 def addends(spark, d):
-    return solve.subset_sum_by(table(spark, d, "lineitem").select("l_suppkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).where("l_suppkey < 50"), "l_suppkey", "l_quantity", 137.0, "k")
+    return solve.subset_sum_by(table(spark, d, "lineitem").select("l_suppkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")), "l_suppkey", "l_quantity", 137.0, "k")
 
 
 @query("genXy_X2d_y1d1step", f"""SELECT * FROM (SELECT user_id, CAST(ts AS VARCHAR) AS ts, event_id, lag(value, 4) OVER ({W}) AS value_lag4, lag(value, 3) OVER ({W}) AS value_lag3, lag(value, 2) OVER ({W}) AS value_lag2, event_id AS x_event_id, value AS y0, row_number() OVER ({W}) AS rn FROM events) WHERE rn > 4""".replace("SELECT * FROM (", "SELECT * EXCLUDE (rn) FROM ("))
