@@ -36,3 +36,19 @@ def test_subset_sum_ends_with_an_answer():
     assert found is not None and sum(items[k] for k in found) == 400
     assert sum([0.1, 0.2][k] for k in solve.subset_sum(0.3, [0.2, 0.1, float("nan")])) > 0.29
     assert time.perf_counter() - begun < 20
+
+
+def test_best_load_of_all_parts_of_a_brand(spark):
+    ship_package(spark)
+    parts = spark.read.parquet(f"{FOLDER}/part.parquet").collect()
+    got = {r.p_brand: r for r in registry.queries()["backpack01_float_dy"](spark, FOLDER).collect()}
+    assert set(got) == {r.p_brand for r in parts}
+    for brand, load in got.items():
+        best = [0.0] * 121  # by capacity
+        own = {r.p_partkey: (r.p_size, r.p_retailprice) for r in parts if r.p_brand == brand}
+        for size, price in own.values():
+            for c in range(120, size - 1, -1):
+                best[c] = max(best[c], best[c - size] + price)
+        assert abs(load.total - best[120]) < 1e-6
+        assert len(set(load["items"])) == len(load["items"]) and sum(own[k][0] for k in load["items"]) <= 120
+        assert abs(sum(own[k][1] for k in load["items"]) - load.total) < 1e-6
