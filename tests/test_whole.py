@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import time
+from itertools import combinations
+
+import pytest
 
 from tidemark.operators import solve
 from tidemark.plans import registry
@@ -52,3 +55,37 @@ def test_best_load_of_all_parts_of_a_brand(spark):
         assert abs(load.total - best[120]) < 1e-6
         assert len(set(load["items"])) == len(load["items"]) and sum(own[k][0] for k in load["items"]) <= 120
         assert abs(sum(own[k][1] for k in load["items"]) - load.total) < 1e-6
+
+
+def event_sets(spark):
+    """Support of each frequent set of event types by user and day, by enumeration."""
+    baskets = {}
+    for r in spark.read.parquet(f"{FOLDER}/events.parquet").select("user_id", "ts", "event_type").collect():
+        baskets.setdefault((r.user_id, r.ts.date()), set()).add(r.event_type)
+    kinds = sorted(set().union(*baskets.values()))
+    freq = {c: sum(b.issuperset(c) for b in baskets.values()) for n in range(1, len(kinds) + 1) for c in combinations(kinds, n)}
+    return {c: n for c, n in freq.items() if n >= 0.005 * len(baskets)}, len(baskets)
+
+
+def test_frequent_sets_of_all_sizes(spark):
+    ship_package(spark)
+    sets, _ = event_sets(spark)
+    assert max(map(len, sets)) > 3
+    got = registry.queries()["get_CkSup_and_FreqLk_all"](spark, FOLDER).collect()
+    assert sorted((r["items"], r.freq) for r in got) == sorted(("&".join(c), n) for c, n in sets.items())
+
+
+@pytest.mark.parametrize(("name", "over"), [("gen_rules", lambda c: c > 0.02), ("fpgrowth_mlx", lambda c: c >= 0.02)])
+def test_rules_with_sides_of_all_sizes(spark, name, over):
+    ship_package(spark)
+    sets, n = event_sets(spark)
+    want = {}
+    for whole, freq in sets.items():
+        for size in range(1, len(whole)):
+            for a in combinations(whole, size):
+                c = tuple(x for x in whole if x not in a)
+                if over(freq / sets[a]):
+                    want["&".join(a), "&".join(c)] = (freq / n, freq / sets[a], freq / sets[a] / (sets[c] / n))
+    got = {(r.antecedent, r.consequent): (r.support, r.confidence, r.lift) for r in registry.queries()[name](spark, FOLDER).collect()}
+    assert any("&" in a and "&" in c for a, c in want) and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)

@@ -36,7 +36,7 @@ def _sets(spark, d):
 c AS (SELECT x.i || '&' || y.i || '&' || z.i AS items, count(*) AS freq FROM t x JOIN t y ON x.b = y.b AND x.i < y.i JOIN t z ON x.b = z.b AND y.i < z.i GROUP BY 1)
 SELECT items, freq, round(freq / {_N}, 9) AS support FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE freq >= 0.005 * {_N}""")
 def itemsets(spark, d):
-    return _sets(spark, d).where("size(items) < 4").select(F.array_join("items", "&").alias("items"), "freq", F.round("support", 9).alias("support"))
+    return _sets(spark, d).select(F.array_join("items", "&").alias("items"), "freq", F.round("support", 9).alias("support"))
 
 
 _RULES = f"""WITH t AS {_B}, s AS (SELECT i, count(*) / {_N} AS p FROM t GROUP BY 1), b AS (SELECT x.i AS a, y.i AS c, count(*) / {_N} AS p FROM t x JOIN t y ON x.b = y.b AND x.i <> y.i GROUP BY 1, 2 HAVING count(*) >= 0.005 * {_N})
@@ -44,7 +44,7 @@ SELECT a AS antecedent, c AS consequent, round(b.p, 9) AS support, round(b.p / x
 
 
 def _ruled(spark, d, strict):
-    found = B.rules_table(B.rules(_sets(spark, d).where("size(items) < 3"), 0.02, strict))
+    found = B.rules_table(B.rules(_sets(spark, d), 0.02, strict))
     return found.select("antecedent", "consequent", F.round("support", 9).alias("support"), F.round("confidence", 9).alias("confidence"), F.round("lift", 6).alias("lift"))
 
 
