@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import time
 from itertools import combinations
 
@@ -89,3 +90,26 @@ def test_rules_with_sides_of_all_sizes(spark, name, over):
     got = {(r.antecedent, r.consequent): (r.support, r.confidence, r.lift) for r in registry.queries()[name](spark, FOLDER).collect()}
     assert any("&" in a and "&" in c for a, c in want) and set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+@pytest.mark.parametrize(("name", "n", "forth"), [("get_recent_workday", 0, 1), ("get_recent_workday_pre", 0, -1), ("get_next_nth_workday", 5, 1), ("get_next_nth_workday_back", 3, -1)])
+def test_workdays_of_all_order_dates(spark, name, n, forth):
+    ship_package(spark)
+
+    def worked(day):
+        return day.isoweekday() < 6 and day.day > 1 or day.isoweekday() == 6 and day.month == 1 and 8 <= day.day <= 14
+
+    want = {}
+    for r in spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderdate").distinct().collect():
+        at = r.o_orderdate.date()
+        if n == 0:
+            while not worked(at):
+                at += datetime.timedelta(days=forth)
+        left = n
+        while left:
+            at += datetime.timedelta(days=forth)
+            left -= worked(at)
+        want[str(r.o_orderdate.date())] = str(at)
+    assert max(want) > "2001"
+    got = registry.queries()[name](spark, FOLDER).collect()
+    assert sorted((r.day, r.workday) for r in got) == sorted(want.items())

@@ -77,11 +77,20 @@ cal AS (SELECT day, (isodow(day) = 6 AND month(day) = 1 AND day(day) BETWEEN 8 A
 num AS (SELECT *, CAST(sum(CASE WHEN is_workday THEN 1 ELSE 0 END) OVER (ORDER BY day) AS BIGINT) AS ordinal FROM cal)"""
 
 
-def _calendar(spark):
-    days = spark.range(3288).select(F.date_add(F.lit(datetime.date(1992, 1, 1)), F.col("id").cast("int")).alias("day"))
+def _calendar(spark, begin=datetime.date(1992, 1, 1), end=datetime.date(2000, 12, 31)):
+    days = spark.range((end - begin).days + 1).select(F.date_add(F.lit(begin), F.col("id").cast("int")).alias("day"))
     off = days.where("day(day) = 1").withColumn("name", F.lit("first"))
     worked = days.where("weekday(day) = 5 AND month(day) = 1 AND day(day) BETWEEN 8 AND 14")
-    return D.calendar(spark, datetime.date(1992, 1, 1), datetime.date(2000, 12, 31), off, worked)
+    return D.calendar(spark, begin, end, off, worked)
+
+
+def _shifted(spark, d, n, forth):
+    """Each order date and its working day, by a calendar of the orders' time and a margin on both sides."""
+    dates = orders(spark, d).select(O().alias("day")).distinct()
+    begin, end = dates.agg(F.min("day"), F.max("day")).first()
+    margin = datetime.timedelta(days=31 + 2 * abs(n))
+    cal = _calendar(spark, begin - margin, end + margin) if begin else _calendar(spark)
+    return plain(D.shift_workdays(dates, "day", cal, n, forth=forth))
 
 
 @query("is_workday", _CAL + " SELECT CAST(day AS VARCHAR) AS day, is_workday, name, ordinal FROM num")
@@ -104,4 +113,4 @@ for _name, _n, _forth, _sql in (
         ("get_next_nth_workday", 5, True, "(SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal FROM num WHERE day = o) + 5)"),
         ("get_next_nth_workday_back", -3, True, "(SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal + CASE WHEN is_workday THEN 0 ELSE 1 END FROM num WHERE day = o) - 3)")):
     query(_name, _CAL + f", o AS (SELECT DISTINCT {S} AS o FROM orders WHERE year(o_orderdate) < 1999) SELECT CAST(o AS VARCHAR) AS day, CAST({_sql} AS VARCHAR) AS workday FROM o")(
-        lambda spark, d, n=_n, forth=_forth: plain(D.shift_workdays(orders(spark, d).where("year(o_orderdate) < 1999").select(O().alias("day")).distinct(), "day", _calendar(spark), n, forth=forth)))
+        lambda spark, d, n=_n, forth=_forth: _shifted(spark, d, n, forth))
