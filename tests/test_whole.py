@@ -113,3 +113,16 @@ def test_workdays_of_all_order_dates(spark, name, n, forth):
     assert max(want) > "2001"
     got = registry.queries()[name](spark, FOLDER).collect()
     assert sorted((r.day, r.workday) for r in got) == sorted(want.items())
+
+
+def test_date_ranges_of_all_orders(spark):
+    ship_package(spark)
+    begun = {r.o_orderkey: r.o_orderdate.date() for r in spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey", "o_orderdate").collect()}
+    day = datetime.timedelta(days=1)
+    cut = sorted((k, str(b + i * day), str(b + min(i + 9, 25) * day)) for k, b in begun.items() for i in (0, 10, 20))
+    assert sorted(map(tuple, registry.queries()["cut_date"](spark, FOLDER).select("o_orderkey", "begin", "end").collect())) == cut
+    days = []
+    for k, b in begun.items():
+        # the first weekday is left out, as the reference's range is open at its beginning
+        days += [(k, str(x)) for x in [b + i * day for i in range(10) if (b + i * day).isoweekday() < 6][1:]]
+    assert sorted(map(tuple, registry.queries()["get_dates_between"](spark, FOLDER).select("o_orderkey", "day").collect())) == sorted(days)
