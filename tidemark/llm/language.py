@@ -7,7 +7,7 @@ words favours another language by half a penalty have one span, which is then th
 runs only for texts that may be mixed.
 
 Learning uses about ``per_language`` texts of each language with ids outside the held-out fold (picked by a hash of the
-id, so the same ones every time), of the ``languages`` most frequent ones.
+id, so the same ones every time), of every language there is; ``languages`` of them are counted at a time.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is every text if nothing could be
 learned; a null id is not held out and its rows are not learned from; an empty table gives an empty table.
@@ -16,6 +16,7 @@ learned; a null id is not held out and its rows are not learned from; an empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +143,7 @@ class Model:
 def learn(df: DataFrame, per_language: int = 1500, languages: int = 256, folds: int = 3, held_out: int = 1, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang") -> Model:
     seen = df.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), F.col(f"`{lang_col}`").alias("lang")).where(F.col("lang").isNotNull() & (fold_of("id", folds) != held_out))
-    counts = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = seen.groupBy("lang").count().collect()
     names = sorted(r.lang for r in counts)
     if not names:
         return Model([], np.zeros((0, BINS)), np.zeros((0, 16)))
@@ -151,24 +152,27 @@ def learn(df: DataFrame, per_language: int = 1500, languages: int = 256, folds:
     share = df.sparkSession.createDataFrame(rows, "lang string, k int, share int")
     picked = seen.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(parts)) < F.col("share"))
 
-    def count(batches: Iterator[pa.RecordBatch]):
-        grams, scripts = np.zeros((len(names), BINS), np.int64), np.zeros((len(names), 16), np.int64)
+    def count(batches: Iterator[pa.RecordBatch], begin: int, size: int):
+        grams, scripts = np.zeros((size, BINS), np.int64), np.zeros((size, 16), np.int64)
         for batch in batches:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for found, begin, stop, script in _scan(text.as_py().lower().encode("utf-8", "replace")):
+                for found, first, stop, script in _scan(text.as_py().lower().encode("utf-8", "replace")):
                     inside = np.zeros(len(found) + 1, np.int8)
-                    np.add.at(inside, begin - 1, 1)
+                    np.add.at(inside, first - 1, 1)
                     np.add.at(inside, stop - 1, -1)
-                    grams[k] += np.bincount(found[np.cumsum(inside[:-1]) > 0], minlength=BINS)
-                    scripts[k] += ((script[:, None] >> np.arange(16)) & 1).sum(0)
-        rows = [k for k in range(len(names)) if grams[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([grams[k].astype(np.int32).tobytes() for k in rows], pa.binary()), pa.array([scripts[k].tobytes() for k in rows], pa.binary())], ["k", "grams", "scripts"])
+                    grams[k - begin] += np.bincount(found[np.cumsum(inside[:-1]) > 0], minlength=BINS)
+                    scripts[k - begin] += ((script[:, None] >> np.arange(16)) & 1).sum(0)
+        rows = [k for k in range(size) if grams[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([begin + k for k in rows], pa.int32()), pa.array([grams[k].astype(np.int32).tobytes() for k in rows], pa.binary()), pa.array([scripts[k].tobytes() for k in rows], pa.binary())], ["k", "grams", "scripts"])
 
     grams, scripts = np.zeros((len(names), BINS)), np.zeros((len(names), 16))
-    # the sample is bounded, so are the tasks that count it
-    for r in picked.select("k", "text").repartition(8).mapInArrow(count, "k int, grams binary, scripts binary").toLocalIterator():
-        grams[r.k] += np.frombuffer(r.grams, np.int32)
-        scripts[r.k] += np.frombuffer(r.scripts, np.int64)
+    # a batch's sample is bounded, so are the tasks that count it
+    for begin in range(0, len(names), languages):
+        size = min(languages, len(names) - begin)
+        some = picked.where((F.col("k") >= begin) & (F.col("k") < begin + size)).select("k", "text").repartition(8)
+        for r in some.mapInArrow(partial(count, begin=begin, size=size), "k int, grams binary, scripts binary").toLocalIterator():
+            grams[r.k] += np.frombuffer(r.grams, np.int32)
+            scripts[r.k] += np.frombuffer(r.scripts, np.int64)
     return Model(names, grams, scripts)
 
 
