@@ -6,11 +6,12 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm.exact_dedup import drop_exact_copies, mark_exact_copies
 from tidemark.llm.near_dedup import drop_near_duplicates, near_duplicates
-from tidemark.llm.suffix_dedup import drop_repeated_passages, repeated_passages
+from tidemark.llm.suffix_dedup import anchors, drop_repeated_passages, repeated_passages
 
 
 def both(request):
@@ -91,6 +92,30 @@ def test_repeated_passages(request, name, params):
     assert left.columns == df.columns and left.count() == len(rows)
 
 
+def test_anchors_of_blocks_are_those_of_the_text():
+    rng = np.random.default_rng(3)
+    for n in (70, 71, 500, 4000):
+        raw = bytes(rng.integers(97, 100, n).astype(np.uint8))
+        whole = anchors(raw, 70, 8)
+        for block in (1, 7, 64):
+            assert all((a == b).all() for a, b in zip(whole, anchors(raw, 70, 8, block)))
+
+
+def test_clashing_names(spark, small, tmp_path):
+    some = small.where("doc_id < 40").selectExpr("doc_id", "text", "1 AS _row", "2 AS _bytes", "3 AS _sha", "4 AS N_BYTES", "5 AS n_bytes_in", "6 AS kept_text", "7 AS _n", "8 AS _keep", "9 AS _keep_len", "10 AS _id", "11 AS kept", "12 AS KEEP_ID")
+    some.write.parquet(f"{tmp_path}/some")
+    some = spark.read.parquet(f"{tmp_path}/some")
+    plain = some.select("doc_id", "text")
+    for mark, drop, new in ((repeated_passages, drop_repeated_passages, ("n_bytes", "n_removed", "n_spans", "kept_sha256")), (mark_exact_copies, drop_exact_copies, ("keep_id", "group_size", "kept", "text_sha256"))):
+        got, want = mark(some), mark(plain)
+        assert sorted(got.select("doc_id", *new).collect()) == sorted(want.select("doc_id", *new).collect())
+        left = drop(some)
+        assert left.columns == some.columns
+        assert {tuple(r)[2:] for r in left.collect()} == {tuple(range(1, 13))}
+    left = drop_near_duplicates(some)
+    assert left.columns == some.columns and left.count() == drop_near_duplicates(plain).count()
+
+
 def test_no_rows(nothing):
     assert mark_exact_copies(nothing).count() == drop_exact_copies(nothing).count() == 0
     assert near_duplicates(nothing).count() == drop_near_duplicates(nothing).count() == 0

@@ -49,9 +49,9 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
-    """Names like ``wanted`` that no column of ``df`` has, in any case of letters."""
-    taken = {c.lower() for c in df.columns}
+def free_names(df: DataFrame, *wanted: str, besides: tuple[str, ...] = ()) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` and none of ``besides`` has, in any case of letters."""
+    taken = {c.lower() for c in (*df.columns, *besides)}
     out = []
     for name in wanted:
         while name.lower() in taken:
@@ -61,6 +61,26 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, *new: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns named like one of ``new``, in any case, renamed to ``<name>_in``; its names, old to now."""
+    clash = [c for c in df.columns if c.lower() in {n.lower() for n in new}]
+    free = dict(zip(clash, free_names(df, *[f"{c}_in" for c in clash], besides=new)))
+    names = {c: free.get(c, c) for c in df.columns}
+    return df.withColumnsRenamed(free), names
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with each row's place in it as a long; the same in every reading of a written table.
+
+    How a table is split over tasks depends on the number of cores, which changes as executors are lost, unless
+    ``spark.sql.files.minPartitionNum`` is set; so that is set here to what it is now, if it is not yet.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(df.sparkSession.sparkContext.defaultParallelism))
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def text_of(col: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))

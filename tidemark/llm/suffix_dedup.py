@@ -4,9 +4,10 @@ A byte goes when a ``length``-byte string that covers it starts anywhere else to
 
 1.  Every window of ``length`` bytes has an anchor: its least-hashed ``gram``-byte string, leftmost on ties.  Equal
     windows have equal anchors at equal distance, so only windows whose anchor occurs at two places can repeat.  What
-    crosses the network first is one short row for each anchor; texts of a digest seen before are left out.
+    crosses the network first is one short row for each text and anchor; texts of a digest seen before are left out.
 2.  For each such anchor the bytes that its windows cover (its extent) are laid out with the anchor in one column.
-    Extents that are equal byte for byte are counted, not compared: their windows repeat.
+    Extents that are equal byte for byte are counted, not compared: their windows repeat.  A text that has the same
+    extent many times has one row for it, with the places.
 3.  The extents of an anchor are split in shards.  A shard's transform lists, column by column from the right, the
     bytes before its sorted suffixes.  Two transforms are merged by refining the interleave: a pass over the bits that
     say which shard comes next puts each of them into the bucket of the byte before it, which sorts the suffixes by one
@@ -29,72 +30,87 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, text_of
-from .shingles import inverse, mix, powers, prefix_hashes
+from ._shared import Scratch, free_names, numbered, set_aside, text_of
+from .shingles import BASE, inverse, mix, powers, prefix_hashes
 
 PAD = 255  # no byte of UTF-8
+OTHER = 0xC2B2AE3D27D4EB4F  # a second odd base
+OUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
-def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(hash, place, first start, last start) of each anchor; its windows start at first..last."""
-    codes = np.frombuffer(raw, np.uint8)
-    n = len(codes) - gram + 1
-    sums = prefix_hashes(codes)
-    grams = mix((sums[gram:] - sums[:-gram]) * powers(inverse(), len(codes) + 1)[:n])
-    rank = (grams >> np.uint64(28) << np.uint64(28)) | np.arange(n, dtype=np.uint64)
-    width = length - gram + 1
-    windows = n - width + 1
-    blocks = -(-n // width)
-    full = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-    full[:n] = rank
-    grid = full.reshape(blocks, width)
-    left = np.minimum.accumulate(grid, 1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-    least = np.minimum(right[:windows], left[width - 1 : width - 1 + windows])
-    place = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
-    begin = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    end = np.append(begin[1:], windows) - 1
-    return grams[place[begin]].view(np.int64), place[begin], begin, end
-
-
-def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row for each text of at least ``length`` bytes: its digest, and its anchors in packed arrays."""
+def anchors(raw: bytes, length: int, gram: int, block: int = 1 << 22) -> tuple[np.ndarray, ...]:
+    """(hash, place, first start, last start) of each anchor; its windows start at first..last.
+
+    ``block`` windows are looked at together (fewer than 2^27, as a place within a block has 28 bits).
+    """
+    whole, windows, width = np.frombuffer(raw, np.uint8), len(raw) - length + 1, length - gram + 1
+    keys, places, begins, last = [], [], [], -1
+    for at in range(0, windows, block):
+        m = min(block, windows - at)
+        codes = whole[at : at + m + length - 1]
+        n = len(codes) - gram + 1
+        sums = prefix_hashes(codes)
+        grams = mix((sums[gram:] - sums[:-gram]) * powers(inverse(), len(codes) + 1)[:n])
+        rank = (grams >> np.uint64(28) << np.uint64(28)) | np.arange(n, dtype=np.uint64)
+        full = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+        full[:n] = rank
+        grid = full.reshape(-1, width)
+        left = np.minimum.accumulate(grid, 1).ravel()
+        right = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+        least = np.minimum(right[:m], left[width - 1 : width - 1 + m])
+        place = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
+        first = np.concatenate(([True], place[1:] != place[:-1]))
+        first[0] = at + int(place[0]) != last  # else the block before ended with the same anchor
+        last = at + int(place[-1])
+        begin = np.flatnonzero(first)
+        for out, part in zip((keys, places, begins), (grams[place[begin]].view(np.int64), at + place[begin], at + begin)):
+            out.append(part)
+    begin = np.concatenate(begins)
+    return np.concatenate(keys), np.concatenate(places), begin, np.append(begin[1:], windows) - 1
+
+
+def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(row, keys) for each text of at least ``length`` bytes: its anchors, and once more those at several places in it."""
 
     def run(batches):
         for batch in batches:
-            found = [anchors(text.as_py().encode("utf-8", "replace"), length, gram) for text in batch.column(1)]
-            if not found:
-                continue
-            flat = [np.concatenate(part) for part in zip(*found)]
-            ends = np.cumsum([0] + [len(f[0]) for f in found]).astype(np.int32)
-            each = pa.StructArray.from_arrays([pa.array(flat[0]), *(pa.array(f.astype(np.int32)) for f in flat[1:])], ["key", "place", "lo", "hi"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), each)], ["row", "anchors"])
+            found = [np.unique(anchors(text.as_py().encode("utf-8", "replace"), length, gram)[0], return_counts=True) for text in batch.column(1)]
+            if found:
+                keys = [np.repeat(k, np.minimum(n, 2)) for k, n in found]
+                ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["row", "keys"])
 
-    return docs.mapInArrow(run, "row long, anchors array<struct<key: long, place: int, lo: int, hi: int>>")
+    return docs.mapInArrow(run, "row long, keys array<long>")
 
 
-def _extents(found: DataFrame, length: int) -> DataFrame:
-    """For each listed anchor the bytes that its windows cover; equal extents of one text share a row."""
+def _extents(found: DataFrame, length: int, gram: int) -> DataFrame:
+    """For each listed anchor the bytes that its windows cover, with the places in the text where they begin."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+
+    def pack(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row", "key", "at", "digest", "los", "extent"])
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(7)]
+            out, held = [[] for _ in kinds], 0
             for row, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 raw = text.as_py().encode("utf-8", "replace")
-                for a in listed.as_py():
-                    extent = raw[a["lo"] : a["hi"] + length]
-                    for column, value in zip(out, (row, a["key"], a["place"] - a["lo"], xxhash.xxh3_128_digest(extent), a["lo"], a["hi"], extent)):
+                keys, place, lo, hi = anchors(raw, length, gram)
+                own: dict = {}
+                for k in np.flatnonzero(np.isin(keys, listed.values.to_numpy())).tolist():
+                    extent = raw[lo[k] : hi[k] + length]
+                    spot = own.setdefault((int(keys[k]), xxhash.xxh3_128_digest(extent)), (int(place[k] - lo[k]), [], extent))
+                    spot[1].append(int(lo[k]))
+                for (key, digest), (at, los, extent) in own.items():
+                    for column, value in zip(out, (row, key, at, digest, los, extent)):
                         column.append(value)
-                if len(out[0]) > 8000:
-                    yield pack(out)
-                    out = [[] for _ in range(7)]
+                    held += len(extent)
+                    if held > 1 << 22:
+                        yield pack(out)
+                        out, held = [[] for _ in kinds], 0
             yield pack(out)
 
-    def pack(out):
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row", "key", "at", "digest", "lo", "hi", "extent"])
-
-    return found.mapInArrow(run, "row long, key long, at int, digest binary, lo int, hi int, extent binary")
+    return found.mapInArrow(run, "row long, key long, at int, digest binary, los array<long>, extent binary")
 
 
 class Columns:
@@ -222,19 +238,30 @@ def _merged(groups: DataFrame, length: int, gram: int, rows_at_once: int) -> Dat
 
 
 def _counted(groups: DataFrame, length: int) -> DataFrame:
-    """The same result for anchors with very many extents, from counts of window digests."""
+    """The same result for anchors with very many extents, from counts of 128-bit hashes of their windows."""
 
     def windows(batches):
+        names = ["key", "digest", "start", "off", "one", "two"]
         for batch in batches:
-            for key, at, digest, extent in zip(*(batch.column(k) for k in range(4))):
-                raw, place = extent.as_py(), at.as_py()
-                n = len(raw) - length + 1
-                prints = [xxhash.xxh3_128_digest(raw[s : s + length]) for s in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * n, pa.int64()), pa.array([digest.as_py()] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([place - s for s in range(n)], pa.int32()), pa.array(prints, pa.binary())], ["key", "digest", "start", "off", "print"])
-
-    each = groups.select("key", "at", "digest", "extent").mapInArrow(windows, "key long, digest binary, start int, off int, print binary")
-    twice = each.groupBy("key", "off", "print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hit = each.join(twice, ["key", "off", "print"], "left_semi")
+            if not batch.num_rows:
+                continue
+            sizes, prints, starts = [], [[], []], []
+            for extent in batch.column(3):
+                codes = np.frombuffer(extent.as_py(), np.uint8)
+                n = len(codes) - length + 1
+                for base, out in zip((BASE, OTHER), prints):
+                    sums = prefix_hashes(codes, base)
+                    out.append(mix((sums[length:] - sums[:-length]) * powers(inverse(base), n)).view(np.int64))
+                sizes.append(n)
+                starts.append(np.arange(n, dtype=np.int32))
+            each, start = pa.array(np.repeat(np.arange(len(sizes)), sizes)), np.concatenate(starts)
+            off = np.repeat(batch.column(1).to_numpy(), sizes) - start
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(2).take(each), *map(pa.array, (start, off.astype(np.int32), *map(np.concatenate, prints)))], names)
+
+    each = groups.select("key", "at", "digest", "extent").mapInArrow(windows, "key long, digest binary, start int, off int, one long, two long")
+    same = ["key", "off", "one", "two"]
+    twice = each.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hit = each.join(twice, same, "left_semi")
     return hit.groupBy("key", "digest").agg(F.collect_set(F.struct(F.col("start").alias("a"), F.col("start").alias("b"))).alias("runs"))
 
 
@@ -262,30 +289,30 @@ def repeated_passages(df: DataFrame, text_col: str = "text", length: int = 400,
     """``df`` with n_bytes, n_removed, n_spans, kept_sha256 and kept_text for each row.
 
     kept_text drops characters that a removed span cuts in two; kept_sha256 is of the bytes themselves.  ``df`` should
-    be a written table: its rows are numbered by their place in it, and it is read more than once.
+    be a written table: its rows are numbered by their place in it, and it is read more than once.  Its columns that have
+    the name of a new one, in any case of letters, are renamed to ``<name>_in``.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
-    out = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    df = df.withColumnsRenamed({c: f"{c}_in" for c in out if c in df.columns})
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    text = text_of(text_col)
-    slim = rows.select("_row", text.alias("text"), F.octet_length(text).alias("n_bytes"))
-    known = scratch.put(slim.select("_row", "n_bytes", F.sha2("text", 256).alias("digest")), "known")
-    groups = known.groupBy("digest").agg(F.min("_row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"))
+    df, names = set_aside(df, *OUT)
+    number, size, sha = free_names(df, "_row", "_bytes", "_sha", besides=OUT)
+    rows = numbered(df, number)
+    text = text_of(names[text_col])
+    slim = rows.select(F.col(number).alias("row"), text.alias("text"), F.octet_length(text).alias("n_bytes"))
+    known = scratch.put(slim.select("row", "n_bytes", F.sha2("text", 256).alias("digest")), "known")
+    groups = known.groupBy("digest").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"))
     groups = scratch.put(groups.where(F.col("n_bytes") >= length), "texts")
 
-    long = slim.where(F.col("n_bytes") >= length).select(F.col("_row").alias("row"), "text")
-    marked = _anchored(long, length, gram).join(groups.select("row"), "row", "left_semi")
-    # one row for a text and anchor, so a line that some texts repeat many times counts once for each text below
-    each = marked.select("row", F.explode("anchors").alias("e")).groupBy("row", F.col("e.key").alias("key")).agg(F.collect_list("e").alias("spots"))
-    listed = scratch.put(each, "anchors")
-    twice = listed.groupBy("key").agg(F.sum(F.size("spots")).alias("n")).where("n > 1").select("key")
-    repeated = listed.join(twice, "key", "left_semi").groupBy("row").agg(F.flatten(F.collect_list("spots")).alias("anchors"))
+    # of equal texts the first goes on
+    long = slim.where(F.col("n_bytes") >= length).select("row", "text")
+    later = known.join(groups.where("copies > 1").select("digest", F.col("row").alias("kept")), "digest").where("row != kept").select("row")
+    listed = scratch.put(_marked(long, length, gram).join(later, "row", "left_anti").select("row", F.explode("keys").alias("key")), "anchors")
+    twice = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    repeated = listed.join(twice, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))
     touched = scratch.put(long.join(repeated, "row"), "touched")
     scratch.drop("anchors")
-    extents = scratch.put(_extents(touched, length), "extents")
-    distinct = extents.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("at").alias("at"), F.first("extent").alias("extent"))
+    extents = scratch.put(_extents(touched, length, gram), "extents")
+    distinct = extents.groupBy("key", "digest").agg(F.sum(F.size("los")).alias("n"), F.first("at").alias("at"), F.first("extent").alias("extent"))
     distinct = scratch.put(distinct, "distinct")
     per_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
     full = distinct.where("n > 1").select("key", "digest", F.expr(f"array(named_struct('a', 0, 'b', cast(octet_length(extent) as int) - {length}))").alias("runs"))
@@ -295,34 +322,34 @@ def repeated_passages(df: DataFrame, text_col: str = "text", length: int = 400,
     if not per_key.where(F.col("kinds") > most).isEmpty():
         merged = merged.unionByName(_counted(crowded, length))
     runs = scratch.put(full.unionByName(merged.where(F.size("runs") > 0)), "runs")
-    places = extents.select("row", "key", "digest", "lo").join(runs, ["key", "digest"])
-    spans = places.select("row", F.explode("runs").alias("r"), "lo").select("row", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))
-    by_row = spans.distinct().groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    places = extents.select("row", "key", "digest", "los").join(runs, ["key", "digest"])
+    by_row = places.groupBy("row").agg(F.collect_list(F.struct("los", "runs")).alias("spans"))
 
     def trim(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
-            res = [[], [], [], [], []]
-            for row, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                kept, removed, n = _trim(text.as_py().encode("utf-8", "replace"), [(s["a"], s["b"]) for s in listed.as_py()], length)
+            res = [[] for _ in kinds]
+            for row, raw, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                spans = {(lo + r["a"], lo + r["b"]) for s in listed.as_py() for lo in s["los"] for r in s["runs"]}
+                kept, removed, n = _trim(raw.as_py().encode("utf-8", "replace"), list(spans), length)
                 for column, value in zip(res, (row, removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(res, kinds)], ["row", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     cut_texts = scratch.put(touched.select("row", "text").join(by_row, "row").mapInArrow(trim, "row long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "cut")
     for name in ("touched", "extents", "distinct", "runs"):
         scratch.drop(name)
-    copies = known.join(groups.where("copies > 1").select("digest"), "digest").select(F.col("_row").alias("row"), F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept_text"))
+    copies = known.join(groups.where("copies > 1").select("digest"), "digest").select("row", F.col("n_bytes").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept_text"))
     changed = cut_texts.join(copies.select("row"), "row", "left_anti").unionByName(copies)
-    before = rows.withColumn("_bytes", F.octet_length(text).cast("long")).withColumn("_sha", F.sha2(text, 256))
-    whole = before.join(changed.withColumnRenamed("row", "_row"), "_row", "left")
-    return whole.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_bytes").alias("n_bytes"),
+    before = rows.withColumn(size, F.octet_length(text).cast("long")).withColumn(sha, F.sha2(text, 256))
+    whole = before.join(changed.withColumnRenamed("row", number), number, "left")
+    return whole.select(*[F.col(f"`{c}`") for c in df.columns], F.col(size).alias("n_bytes"),
                         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-                        F.coalesce("kept_sha256", "_sha").alias("kept_sha256"), F.coalesce("kept_text", text).alias("kept_text"))
+                        F.coalesce("kept_sha256", sha).alias("kept_sha256"), F.coalesce("kept_text", text).alias("kept_text"))
 
 
 def drop_repeated_passages(df: DataFrame, text_col: str = "text", **params) -> DataFrame:
     """``df`` with the repeated passages cut out of the text; every row stays, with its other columns."""
-    names = [f"{c}_in" if c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text") else c for c in df.columns]
+    names = set_aside(df, *OUT)[1]
     done = repeated_passages(df, text_col, **params)
-    return done.select(*[F.col("kept_text" if c == text_col else f"`{n}`").alias(c) for c, n in zip(df.columns, names)])
+    return done.select(*[F.col("kept_text" if c == text_col else f"`{names[c]}`").alias(c) for c in df.columns])
