@@ -3,8 +3,9 @@
 Texts are equal when they agree after deleting every character of ``[\\x20\\x09-\\x0D]``.  The digest of that form is
 the key.  A mergeable Misra-Gries summary (``approx_top_k``, a frequent-items sketch with decrementing counters) names
 at most ``heavy`` frequent digests.  Their winners are verified by an exact aggregation, which combines map-side, and
-are broadcast (``heavy`` rows at most), so the rows of a frequent digest never cross a shuffle.  All other digests go
-through an ordinary shuffled aggregation and join; each of them has a small share of the rows by the sketch's bound.
+are broadcast (``heavy`` rows at most), so the rows of a frequent digest are never grouped in a task.  All other digests
+go through an ordinary shuffled aggregation and join; each of them has a small share of the rows by the sketch's bound.
+Texts are read and hashed once; after that only rows of (place, id, digest, length) are counted, grouped and joined.
 
 Defined cases: a null text counts as empty, and all blank texts are copies of each other.  A null id sorts after every
 other id.  Rows that repeat an id with an equal text are one document: :func:`mark_exact_copies` marks them alike and
@@ -16,69 +17,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import free_names, text_of
+from ._shared import Scratch, free_names, numbered, set_aside, text_of
 
 #: The characters that do not count when texts are compared.
 BLANK = r"[\x20\x09-\x0D]+"
+OUT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(text, BLANK, "")
 
 
-def _winner(length: str, ident: str) -> Column:
-    """The row that stays: most code points, then smallest id, null ids last."""
-    return F.max(F.struct(F.col(length).alias("n"), F.col(ident).isNotNull().alias("has"), (-F.col(ident)).alias("neg")))
-
-
 def frequent_digests(df: DataFrame, digest: str, heavy: int, counters: int) -> DataFrame:
     """At most ``heavy`` digests which the Misra-Gries summary has seen at least twice."""
     top = df.agg(F.expr(f"approx_top_k(`{digest}`, {heavy}, {counters})").alias("top"))
     return top.select(F.explode("top").alias("e")).where("e.count > 1").select(F.col("e.item").alias(digest))
 
 
-def _groups(rows: DataFrame, digest: str, length: str, ident: str) -> DataFrame:
-    return rows.groupBy(digest).agg(_winner(length, ident).alias("_w"), F.count(F.lit(1)).alias("_n")).select(
-        digest, (-F.col("_w.neg")).alias("_keep"), F.col("_w.n").alias("_keep_len"), "_n")
+def _groups(rows: DataFrame) -> DataFrame:
+    """For each digest the row that stays (most code points, then smallest id, null ids last), and the number of rows."""
+    best = F.max(F.struct("length", F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("neg"), (-F.col("row")).alias("place")))
+    return rows.groupBy("digest").agg(best.alias("w"), F.count(F.lit(1)).alias("size")).select(
+        "digest", (-F.col("w.neg")).alias("keep"), F.col("w.length").alias("keep_length"), (-F.col("w.place")).alias("keep_row"), "size")
+
+
+def _split(digests: DataFrame, heavy: int, counters: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the frequent digests' groups, the rows of other digests, their groups); the first is a local relation of at most ``heavy`` rows."""
+    spark = digests.sparkSession
+    names = spark.createDataFrame([tuple(r) for r in frequent_digests(digests, "digest", heavy, counters).collect()], "digest string")
+    hot = _groups(digests.join(F.broadcast(names), "digest", "left_semi"))
+    hot = spark.createDataFrame([tuple(r) for r in hot.collect()], hot.schema)
+    rest = digests.join(F.broadcast(names), "digest", "left_anti")
+    return hot, rest, _groups(rest)
+
+
+def _digests(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
+    """``df`` with numbered rows, the number's name, and the narrow table (row, id, digest, length): texts are hashed once."""
+    (number,) = free_names(df, "_row", besides=OUT)
+    rows, text = numbered(df, number), text_of(text_col)
+    narrow = rows.select(F.col(number).alias("row"), F.col(f"`{id_col}`").alias("id"), F.sha2(normalised(text), 256).alias("digest"), F.char_length(text).alias("length"))
+    return rows, number, Scratch(df.sparkSession).put(narrow, "digests")
 
 
 def mark_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 1024,
                       counters: int = 16384) -> DataFrame:
     """``df`` with keep_id, group_size, kept and text_sha256 for every row, copies included.
 
-    heavy: most digests that are broadcast; counters: size of the Misra-Gries summary (a power of two), which has each
-    digest with more than about 3.5 / counters of the rows.
+    ``df`` should be a written table, whose rows are numbered by their place.  Its columns that have the name of a new
+    one, in any case of letters, are renamed to ``<name>_in``.  heavy: most digests that are broadcast; counters: size of
+    the Misra-Gries summary (a power of two), which has each digest with more than about 3.5 / counters of the rows.
     """
-    out = ["keep_id", "group_size", "kept", "text_sha256"]
-    old = {c: n for c, n in zip(out, free_names(df, *[f"{c}_in" for c in out])) if c in df.columns}
-    df = df.withColumnsRenamed(old)
-    digest, length = free_names(df, "_digest", "_length")
-    keyed = df.withColumn(digest, F.sha2(normalised(text_of(text_col)), 256)).withColumn(length, F.char_length(text_of(text_col)))
-    slim = keyed.select(F.col(f"`{id_col}`").alias("_id"), digest, length)
-    frequent = frequent_digests(keyed, digest, heavy, counters)
-    spark = df.sparkSession
-    # at most `heavy` short rows; the action runs here, so the plans below see a local relation
-    names = spark.createDataFrame([tuple(r) for r in frequent.collect()], f"`{digest}` string")
-    hot = _groups(slim.join(F.broadcast(names), digest, "left_semi"), digest, length, "_id")
-    hot = spark.createDataFrame([tuple(r) for r in hot.collect()], hot.schema)  # again at most `heavy` rows
-    rest = _groups(slim.join(F.broadcast(names), digest, "left_anti"), digest, length, "_id")
-    done = [keyed.join(F.broadcast(hot), digest), keyed.join(F.broadcast(names), digest, "left_anti").join(rest, digest)]
-    keep = F.col("_keep")
-    final = [d.select(*[F.col(f"`{c}`") for c in df.columns], keep.alias("keep_id"), F.col("_n").alias("group_size"),
-                      (F.col(f"`{id_col}`").eqNullSafe(keep) & (F.col(length) == F.col("_keep_len"))).alias("kept"),
-                      F.col(digest).alias("text_sha256")) for d in done]
-    return final[0].unionByName(final[1])
-
-
-def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    df, now = set_aside(df, *OUT)
+    rows, number, digests = _digests(df, now[id_col], now[text_col])
+    hot, rest, groups = _split(digests, heavy, counters)
+    marks = digests.join(F.broadcast(hot), "digest").unionByName(rest.join(groups, "digest"))
+    kept = F.col("id").eqNullSafe(F.col("keep")) & (F.col("length") == F.col("keep_length"))
+    marks = marks.select(F.col("row").alias(number), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    return rows.join(marks, number).select(*[F.col(f"`{c}`") for c in df.columns], *OUT)
+
+
+def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 1024, counters: int = 16384) -> DataFrame:
     """The rows of ``df`` that stay, one of each group, with the columns of ``df``.
 
-    Rows that repeat both id and text are told apart by nothing, so any one of them stays.
+    Rows that repeat both id and text are told apart by their place: the first of them stays.
     """
-    marked = mark_exact_copies(df, id_col, text_col, **params)
-    names = marked.columns[: len(df.columns)]
-    kept = marked.where("kept")
-    ties = kept.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("_t")).where("_t > 1").select("text_sha256")
-    single = kept.join(ties, "text_sha256", "left_anti")
-    again = kept.join(ties, "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
-    return single.unionByName(again).select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, df.columns)])
+    rows, number, digests = _digests(df, id_col, text_col)
+    hot, _, groups = _split(digests, heavy, counters)
+    stay = hot.unionByName(groups).select(F.col("keep_row").alias(number))
+    return rows.join(stay, number, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
