@@ -53,7 +53,7 @@ def test_stages_in_turn(spark, tmp_path):
 
     before, after = seen["passage dedup"]
     ids = sorted(before)
-    for d, (kept, _, _) in zip(ids, removed([before[d].text.encode() for d in ids], 400)):
+    for d, (kept, _, _) in zip(ids, removed([before[d].text.encode() for d in ids], 200)):
         assert after[d].text == kept.decode("utf-8", "ignore") and after[d].n_chars == len(after[d].text)
 
     before, after = seen["quality"]
