@@ -37,6 +37,45 @@ def test_quality_held_out(tables):
     assert kept > 0.98 and caught > 0.9, (kept, caught)
 
 
+def test_site_rates_by_hand(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = [(h, f"{h}/{p}", rng.gauss(0.3 * ord(h) - 30, 2)) for h, p in ((rng.choice("abcdefg"), rng.randrange(4)) for _ in range(500))]
+    share, sig = 0.7, lambda x: 1 / (1 + math.exp(-x))
+    prior, n, good, hn, hgood = math.log(share / (1 - share)), {}, {}, {}, {}
+    for h, p, e in rows:
+        n[h, p], good[h, p] = n.get((h, p), 0) + 1, good.get((h, p), 0) + sig(e + prior)
+        hn[h], hgood[h] = hn.get(h, 0) + 1, hgood.get(h, 0) + sig(e + prior)
+    top = sum(hgood.values()) / sum(hn.values())
+
+    def strength(items):  # of (rows, rate, the level above)
+        total = sum(k for k, _, _ in items)
+        spread, noise = sum(k * (r - a) ** 2 for k, r, a in items) / total, sum(a * (1 - a) for _, _, a in items) / total
+        return min(1e4, max(1.0, sum(k * a * (1 - a) for k, _, a in items) / total / max(spread - noise, 1e-6) - 1))
+
+    a = strength([(hn[h], hgood[h] / hn[h], top) for h in hn])
+    host = {h: (hgood[h] + a * top) / (hn[h] + a) for h in hn}
+    b = strength([(n[k], good[k] / n[k], host[k[0]]) for k in n])
+    got = {(r.host, r.path): (r.host_rate, r.path_rate) for r in quality.site_rates(spark.createDataFrame(rows, "host string, path string, evidence double"), share).collect()}
+    assert set(got) == set(n)
+    for k, (hr, pr) in got.items():
+        assert hr == pytest.approx(host[k[0]], abs=1e-9) and pr == pytest.approx((good[k] + b * host[k[0]]) / (n[k] + b), abs=1e-9)
+
+
+def test_quality_with_clashing_names(spark, small, tmp_path):
+    small.selectExpr("doc_id", "text", "source", "1 AS HOST", "2 AS _row", "3 AS score", "4 AS accepted_in").write.parquet(f"{tmp_path}/some")
+    some, labels = spark.read.parquet(f"{tmp_path}/some"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    scored = {r.doc_id: r.accepted for r in quality.score_quality(some, labels).select("doc_id", "accepted").collect()}
+    plain = {r.doc_id: r.accepted for r in quality.score_quality(small, labels).select("doc_id", "accepted").collect()}
+    assert scored == plain
+    kept = quality.keep_good(some, labels)
+    assert kept.columns == some.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, a in plain.items() if a}
+    assert {tuple(r)[3:] for r in kept.collect()} == {(1, 2, 3, 4)}
+
+
 def test_language_held_out(tables):
     docs, _ = tables
     got = {r.doc_id: r for r in language.identify(docs).collect()}

@@ -69,16 +69,21 @@ def set_aside(df: DataFrame, *new: str) -> tuple[DataFrame, dict[str, str]]:
     return df.withColumnsRenamed(free), names
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with each row's place in it as a long; the same in every reading of a written table.
+def pinned(df: DataFrame) -> DataFrame:
+    """``df``, which is split over tasks in the same way whenever it is read, if it is a written table.
 
-    How a table is split over tasks depends on the number of cores, which changes as executors are lost, unless
+    How a table is split depends on the number of cores, which changes as executors are lost, unless
     ``spark.sql.files.minPartitionNum`` is set; so that is set here to what it is now, if it is not yet.
     """
     conf = df.sparkSession.conf
     if conf.get("spark.sql.files.minPartitionNum", None) is None:
         conf.set("spark.sql.files.minPartitionNum", str(df.sparkSession.sparkContext.defaultParallelism))
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return df
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with each row's place in it as a long; the same in every reading of a written table."""
+    return pinned(df).withColumn(name, F.monotonically_increasing_id())
 
 
 def text_of(col: str = "text"):

@@ -7,7 +7,8 @@ strengths estimated from the spread of the rates (method of moments).  A documen
 to its own evidence, so a site with few documents says what its host or the corpus says, and a clear text always speaks
 for itself.
 
-The sums are grouped aggregations with partial sums before the shuffle.  Sites are broadcast up to ``broadcast_sites``
+Texts are measured once; what follows reads rows of (place, host, path, evidence).  The sums are grouped aggregations
+with partial sums before the shuffle.  Sites are broadcast up to ``broadcast_sites``
 rows (counted first); beyond that they are joined by a shuffle on the site.  Learning uses at most ``per_class``
 labelled documents of each class outside the held-out fold.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._learn import Logistic, fit, labelled_sample
-from ._shared import Scratch, text_of
+from ._shared import Scratch, free_names, numbered, set_aside, text_of
 from .shingles import word_hashes
 
 _LETTER = np.zeros(256, bool)
@@ -39,6 +40,7 @@ _UPPER[ord("A") : ord("Z") + 1] = True
 _SPACE = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 _MARKS = np.frombuffer(b"!\"#$%&()*+/:;<=>?@[\\]^_{|}~", np.uint8)
 _DIGITS = slice(48, 58)
+OUT = ("host", "path", "evidence", "host_rate", "path_rate", "score", "accepted")
 
 
 def features(text: str) -> list[float]:
@@ -114,27 +116,35 @@ def site_rates(evidence: DataFrame, share: float) -> DataFrame:
     return both.select("host", "path", "host_rate", ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
 
 
-def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                  threshold: float = 0.5, broadcast_sites: int = 20000, **params) -> DataFrame:
-    """``df`` with host, path, evidence, host_rate, path_rate, score (posterior of good) and accepted."""
-    out = ["host", "path", "evidence", "host_rate", "path_rate", "score", "accepted"]
-    df = df.withColumnsRenamed({c: f"{c}_in" for c in out if c in df.columns})
+def _rated(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, source_col: str, threshold: float, broadcast_sites: int, params: dict) -> tuple[DataFrame, str, DataFrame]:
+    """``df`` with numbered rows, the number's name, and a narrow table of each row's marks; texts are measured once."""
+    (number,) = free_names(df, "_row", besides=OUT)
+    rows, scratch = numbered(df, number), Scratch(df.sparkSession)
     model, counts = learn(df, labels, id_col=id_col, text_col=text_col, **params)
     share = min(0.999, max(0.001, counts[1] / sum(counts))) if sum(counts) else 0.5
     host, path = site_columns(F.col(f"`{source_col}`"))
-    evident = df.withColumns({"host": host, "path": path, "evidence": _evidence(model, share)(text_of(text_col))})
-    scratch = Scratch(df.sparkSession)
-    sites = scratch.put(site_rates(evident.select("host", "path", "evidence"), share), "sites")
+    evident = scratch.put(rows.select(number, host.alias("host"), path.alias("path"), _evidence(model, share)(text_of(text_col)).alias("evidence")), "evidence")
+    sites = scratch.put(site_rates(evident, share), "sites")
     small = sites.count() <= broadcast_sites
-    rated = evident.join(F.broadcast(sites) if small else sites, ["host", "path"])
     logit = F.ln(F.col("path_rate") / (1 - F.col("path_rate")))
-    rated = rated.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + logit))))
-    return rated.select(*[F.col(f"`{c}`") for c in df.columns], "host", "path", "evidence", "host_rate", "path_rate", "score",
-                        (F.lit(not isinstance(model, Logistic)) | (F.col("score") >= threshold)).alias("accepted"))
+    rated = evident.join(F.broadcast(sites) if small else sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + logit))))
+    return rows, number, rated.select(number, *OUT[:-1], (F.lit(not isinstance(model, Logistic)) | (F.col("score") >= threshold)).alias("accepted"))
+
+
+def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                  threshold: float = 0.5, broadcast_sites: int = 20000, **params) -> DataFrame:
+    """``df`` with host, path, evidence, host_rate, path_rate, score (posterior of good) and accepted.
+
+    ``df`` should be a written table, whose rows are numbered by their place.  Its columns that have the name of a new
+    one, in any case of letters, are renamed to ``<name>_in``.
+    """
+    df, now = set_aside(df, *OUT)
+    rows, number, rated = _rated(df, labels, now[id_col], now[text_col], now[source_col], threshold, broadcast_sites, params)
+    return rows.join(rated, number).select(*[F.col(f"`{c}`") for c in df.columns], *OUT)
 
 
-def keep_good(df: DataFrame, labels: DataFrame, **params) -> DataFrame:
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+              threshold: float = 0.5, broadcast_sites: int = 20000, **params) -> DataFrame:
     """The accepted rows of ``df``, in its columns."""
-    out = {"host", "path", "evidence", "host_rate", "path_rate", "score", "accepted"}
-    kept = score_quality(df, labels, **params).where("accepted")
-    return kept.select(*[F.col(f"`{c}_in`").alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
+    rows, number, rated = _rated(df, labels, id_col, text_col, source_col, threshold, broadcast_sites, params)
+    return rows.join(rated.where("accepted").select(number), number, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
