@@ -1,15 +1,15 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Text is cut where no piece can join two sides (before runs of the blank mark, and round characters in no piece), which
-gives units much like words.  Each different unit is encoded once: all its substrings up to the longest piece are
-exploded and equi-joined to the piece table (a vocabulary, so its size is bounded, and it is broadcast), and the edges
-are grouped by unit, which is the unit's lattice.  A fold with Spark's higher-order ``aggregate`` then picks the path.
+gives units much like words.  Each different unit of a chunk of rows is encoded once: all its substrings up to the
+longest piece are exploded and equi-joined to the piece table (a vocabulary, so its size is bounded, and it is
+broadcast), and the edges are grouped by unit, which is the unit's lattice.  A fold with Spark's higher-order ``aggregate`` then picks the path.
 For a unigram model that is Viterbi over the edges' scores (:func:`fold_viterbi`).  The ids of a BPE model are not its
 lattice's best path: it merges the best-scored neighbours first, so for BPE models the same lattice is folded in merge
 order (:func:`fold_merges`), which gives the library's ids.  Characters without a piece become byte pieces.
 
-Documents are held meanwhile as codes into a dictionary of the units of their chunk of rows, so only the chunks'
-different units are joined to the encoded units, and each chunk gets its own small dictionary back.
+Documents are held meanwhile as codes into their chunk's list of units.  Units and codes are shuffled once, by chunk;
+lattice, fold and decoding of the codes then stay in the chunk's task, whose size is bounded by ``chunk_bytes``.
 
 Defined cases: null and empty texts have no ids; units over ``longest`` characters (a text without blanks) are encoded
 by the library in the task that found them; rows that repeat an id are separate documents; a null id passes through.
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, text_of
+from ._shared import pinned, text_of
 from .tokens import public
 
 BLANK = "▁"
@@ -69,15 +69,18 @@ def _encode_alone(unit: str, path: str) -> list[int]:
     return sp.encode(unit[1:]) if unit[0] == BLANK else sp.encode("\n" + unit)[2:]
 
 
-def lattice(distinct: DataFrame, table: DataFrame, longest_piece: int) -> DataFrame:
-    """(unit, edges): for each unit its substrings that are pieces, as (b, e, id, score), b and e counted from 0."""
-    n = F.length("unit")
-    starts = distinct.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("b"))
-    spans = starts.select("unit", "b", F.explode(F.sequence(F.col("b") + 1, F.least(n, F.col("b") + longest_piece))).alias("e"))
+def lattice(words: DataFrame, table: DataFrame, longest_piece: int, key: tuple[str, ...] = ("unit",)) -> DataFrame:
+    """(key.., unit, edges): for each unit its substrings that are pieces, as (b, e, id, score), b and e counted from 0.
+
+    If ``words`` is partitioned by some of ``key`` already, nothing is shuffled: the pieces are broadcast.
+    """
+    n, rest = F.length("unit"), [k for k in key if k != "unit"]
+    starts = words.select(*rest, "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("b"))
+    spans = starts.select(*rest, "unit", "b", F.explode(F.sequence(F.col("b") + 1, F.least(n, F.col("b") + longest_piece))).alias("e"))
     edges = spans.withColumn("piece", F.substring("unit", F.col("b") + 1, F.col("e") - F.col("b"))).join(F.broadcast(table), "piece", "left")
     edges = edges.where("id IS NOT NULL OR (b = 0 AND e = 1)")  # a unit without any piece keeps a row
     known = F.when(F.col("id").isNotNull(), F.struct("b", "e", "id", "score"))
-    return edges.groupBy("unit").agg(F.collect_list(known).alias("edges"))
+    return edges.groupBy(*rest, "unit").agg(F.collect_list(known).alias("edges"))
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -132,76 +135,88 @@ def path_ids(unit: Column, bounds: Column, edges: Column, first_byte: int) -> Co
     return F.flatten(F.transform(spans, ids))
 
 
-def encode_units(distinct: DataFrame, path: str, bpe: bool = True) -> DataFrame:
-    """(unit, ids) for (unit)."""
+def encode_units(words: DataFrame, path: str, bpe: bool = True, key: tuple[str, ...] = ("unit",)) -> DataFrame:
+    """(key.., unit, ids) for (key.., unit), whose rows are distinct."""
     table = pieces(path)
     first_byte = processor(path).piece_to_id("<0x00>")
-    grid = lattice(distinct, piece_table(distinct.sparkSession, path), max(len(p) for p, _, _ in table))
+    grid = lattice(words, piece_table(words.sparkSession, path), max(len(p) for p, _, _ in table), key)
     n = F.length("unit")
     bounds = fold_merges(n, F.col("edges")) if bpe else fold_viterbi(n, F.col("edges"), min(s for _, _, s in table) - 10.0)
-    return grid.withColumn("bounds", bounds).select("unit", path_ids(F.col("unit"), F.col("bounds"), F.col("edges"), first_byte).alias("ids"))
-
-
-def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", longest: int = 62, chunk: int = 4000) -> DataFrame:
-    """(doc_id, ids, text_crc32) for each document, ids as packed unsigned 32-bit numbers."""
+    rest = [k for k in key if k != "unit"]
+    return grid.withColumn("bounds", bounds).select(*rest, "unit", path_ids(F.col("unit"), F.col("bounds"), F.col("edges"), first_byte).alias("ids"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], path: str, chunk_bytes: int):
+    """(chunk, [(id, text, codes)..], units) for stretches of a task's rows with about ``chunk_bytes`` of text each."""
+    part, n, known, held, size = TaskContext.get().partitionId(), 0, {}, [], 0
+    for batch in batches:
+        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = text.as_py()
+            held.append((ident, text, np.array([known.setdefault(u, len(known)) for u in units(text, path)], np.int32)))
+            size += len(text)
+            if size >= chunk_bytes:
+                yield part << 32 | n, held, list(known)
+                n, known, held, size = n + 1, {}, [], 0
+    if held:
+        yield part << 32 | n, held, list(known)
+
+
+def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", longest: int = 62, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """(doc_id, ids, text_crc32) for each document, ids as packed unsigned 32-bit numbers.
+
+    The texts are read twice, once for the chunks' units and once for the documents' codes, so neither is stored; both
+    are shuffled once, by chunk.  ``df`` should be a written table, which gives the same chunks in both readings.
+    """
     path = path or public("piece_bpe_32k.model")
 
-    def split(batches: Iterator[pa.RecordBatch]):
-        part, n = TaskContext.get().partitionId(), 0
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.list_(pa.int32()))
-
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["chunk", "doc_id", "crc", "codes", "idx", "unit", "ids"])
-
-        known, held = {}, 0
-        for batch in batches:
-            docs = [[], [], [], []]
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                codes = np.array([known.setdefault(u, len(known)) for u in units(text, path)], np.int32)
-                for column, value in zip(docs, (part << 32 | n, ident, zlib.crc32(text.encode("utf-8", "replace")), zlib.compress(codes.tobytes(), 1))):
-                    column.append(value)
-                held += 1
-                if held >= chunk:
-                    yield out([*docs, *[[None] * len(docs[0])] * 3])
-                    yield from flush(known, part << 32 | n, out)
-                    known, held, n, docs = {}, 0, n + 1, [[], [], [], []]
-            if docs[0]:
-                yield out([*docs, *[[None] * len(docs[0])] * 3])
-        if known:
-            yield from flush(known, part << 32 | n, out)
-
-    def flush(known, chunk_id, out):
-        names = list(known)
-        for a in range(0, len(names), 20000):
-            some = names[a : a + 20000]
-            long = [_encode_alone(u, path) if len(u) > longest else None for u in some]
-            yield out([[chunk_id] * len(some), [None] * len(some), [None] * len(some), [None] * len(some), list(range(a, a + len(some))), some, long])
+    def units_of(batches: Iterator[pa.RecordBatch]):
+        for chunk, _, names in _chunks(batches, path, chunk_bytes):
+            for a in range(0, len(names), 4096):
+                some = names[a : a + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([a], pa.int32()), pa.array([[None if len(u) > longest else u for u in some]], pa.list_(pa.string()))], ["chunk", "first", "units"])
+
+    def codes_of(batches: Iterator[pa.RecordBatch]):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
+        names = ["of", "doc_id", "crc", "codes", "long_idx", "long_ids"]
+        for chunk, docs, known in _chunks(batches, path, chunk_bytes):
+            rows = [(chunk, ident, zlib.crc32(text.encode("utf-8", "replace")), zlib.compress(codes.tobytes(), 1), None, None) for ident, text, codes in docs]
+            long = [k for k, u in enumerate(known) if len(u) > longest]
+            if long:
+                rows.append((chunk, None, None, None, long, [_encode_alone(known[k], path) for k in long]))
+            for a in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 512]), kinds)], names)
 
     def put(docs: pa.Table, words: pa.Table) -> pa.Table:
-        idx = words["idx"].to_numpy()
-        lists = words["ids"].combine_chunks()
-        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-        begin, size = np.zeros(len(idx), np.int64), np.zeros(len(idx), np.int64)
-        begin[idx], size[idx] = ends[:-1] - ends[0], np.diff(ends)
+        parts = [(words["idx"].to_numpy(), words["ids"])]
+        for k in np.flatnonzero(docs["long_idx"].is_valid().to_numpy()).tolist():
+            parts.append((np.array(docs["long_idx"][k].as_py()), pa.chunked_array([docs["long_ids"][k].values])))
+        docs = docs.filter(docs["codes"].is_valid())
+        count = max((int(idx.max()) + 1 for idx, _ in parts if len(idx)), default=0)
+        begin, size, flats, at = np.zeros(count, np.int64), np.zeros(count, np.int64), [], 0
+        for idx, ids in parts:
+            for piece in ids.chunks:
+                if not len(piece):
+                    continue
+                here, idx = idx[: len(piece)], idx[len(piece) :]
+                ends = piece.offsets.to_numpy().astype(np.int64)
+                flats.append(piece.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+                begin[here], size[here] = ends[:-1] - ends[0] + at, np.diff(ends)
+                at += len(flats[-1])
+        flat = np.concatenate(flats) if flats else np.empty(0, "<u4")
         made = []
         for codes in docs["codes"]:
             c = np.frombuffer(zlib.decompress(codes.as_py()), np.int32)
             n = size[c]
-            at = np.repeat(begin[c] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(c) else np.empty(0, np.int64)
-            made.append(flat[at].tobytes())
+            spots = np.repeat(begin[c] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(c) else np.empty(0, np.int64)
+            made.append(flat[spots].tobytes())
         return pa.table([docs["doc_id"], pa.array(made, pa.binary()), docs["crc"]], names=["doc_id", "ids", "text_crc32"])
 
-    slim = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    kind = "chunk long, doc_id long, crc long, codes binary, idx int, unit string, ids array<int>"
-    scratch = Scratch(df.sparkSession)
-    rows = scratch.put(slim.mapInArrow(split, kind), "coded")
-    words = rows.where("unit IS NOT NULL")
-    encoded = encode_units(words.where("ids IS NULL").select("unit").distinct(), path)
-    joined = words.where("ids IS NULL").select("chunk", "idx", "unit").join(encoded, "unit").select("chunk", "idx", "ids")
-    dictionary = joined.unionByName(words.where("ids IS NOT NULL").select("chunk", "idx", "ids")).select(F.col("chunk").alias("of"), "idx", "ids")
-    docs = rows.where("codes IS NOT NULL").select("chunk", "doc_id", "crc", "codes")
-    return docs.groupBy("chunk").cogroup(dictionary.groupBy("of")).applyInArrow(put, "doc_id long, ids binary, text_crc32 long")
+    slim = pinned(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    words = slim.mapInArrow(units_of, "chunk long, first int, units array<string>").repartition("chunk")
+    words = words.select("chunk", "first", F.posexplode("units").alias("k", "unit")).where("unit IS NOT NULL").select("chunk", (F.col("first") + F.col("k")).alias("idx"), "unit")
+    dictionary = encode_units(words, path, key=("chunk", "idx", "unit")).select("chunk", "idx", "ids")
+    docs = slim.mapInArrow(codes_of, "of long, doc_id long, crc long, codes binary, long_idx array<int>, long_ids array<array<int>>")
+    return docs.groupBy("of").cogroup(dictionary.groupBy("chunk")).applyInArrow(put, "doc_id long, ids binary, text_crc32 long")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
