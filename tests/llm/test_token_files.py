@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tidemark.llm.token_files import document_token_counts, read_token_files, scan_blocks
+from tidemark.llm.token_files import document_token_counts, read_token_files, scan_blocks, token_stream
 
 
 @pytest.mark.parametrize("block_bytes", [2, 6, 4096])
@@ -39,3 +39,11 @@ def test_documents(request, name):
     for block_ids in (7, 1 << 16) if name == "edges" else (1 << 16,):
         got = sorted(((r.doc_id, r.n_tokens) for r in document_token_counts(df, block_ids=block_ids).collect()), key=key)
         assert got == want
+
+
+def test_an_id_too_large_is_an_error(small):
+    from pyspark.errors import PythonException
+
+    with pytest.raises(PythonException, match="does not fit"):
+        token_stream(small.limit(3), 70000).count()
+    assert document_token_counts(small, 70000, dtype="<u4").count() == small.count()

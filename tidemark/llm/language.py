@@ -56,13 +56,13 @@ _script(12, range(0xEA, 0xEE))  # Hangul
 _BREAK = np.array([not (chr(b).isalpha() or b >= 128 or b == 39) for b in range(256)])
 
 
-def _scan(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _scan(raw: bytes, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of a text: (trigram bins at each byte, begin and end of the words, scripts of the words)."""
     at = 0
     while at < len(raw):
         end = len(raw)
-        if end - at > BLOCK:
-            end = raw.rfind(b" ", at, at + BLOCK) + 1 or at + BLOCK
+        if end - at > block:
+            end = raw.rfind(b" ", at, at + block) + 1 or at + block
         codes = np.frombuffer(b" " + raw[at:end] + b"  ", np.uint8)
         at = end
         blank = _BREAK[codes]
@@ -87,7 +87,8 @@ class Model:
     def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(scores of each word and language, bytes of each word)."""
         scores, sizes = [np.empty((0, len(self.names)))], [np.empty(0, np.int64)]
-        for grams, begin, stop, script in _scan(raw):
+        # the sums of a block have a row for each byte and a column for each language: 64 MB at most
+        for grams, begin, stop, script in _scan(raw, min(BLOCK, max(1 << 12, (1 << 23) // max(1, len(self.names))))):
             sums = np.zeros((len(grams) + 1, len(self.names)))
             np.cumsum(self.table[grams], 0, out=sums[1:])
             score = sums[stop - 1] - sums[begin - 1]

@@ -71,10 +71,11 @@ def read_token_files(spark: SparkSession, path: str, block_bytes: int = 1 << 20)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, data binary")
 
 
-def token_stream(df: DataFrame, end_id: int, block_ids: int = 1 << 16, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_stream(df: DataFrame, end_id: int, block_ids: int = 1 << 16, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> DataFrame:
     """The documents as token files in blocks: (file, block, data, ids), a file for each partition of ``df``.
 
     ``ids`` lists the documents that end in the block, in their order in the file; only the check of a scan uses it.
+    An id that ``dtype`` cannot hold is an error.
     """
     path = ranks_path or public("byte_bpe_50k.tiktoken")
 
@@ -83,7 +84,9 @@ def token_stream(df: DataFrame, end_id: int, block_ids: int = 1 << 16, ranks_pat
         held, size, block, names = [], 0, 0, []
 
         def row(ids, listed):
-            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([ids.astype("<u2").tobytes()]), pa.array([listed], pa.list_(pa.int64()))], ["file", "block", "data", "ids"])
+            if int(ids.max()) > np.iinfo(dtype).max:
+                raise ValueError(f"id {int(ids.max())} does not fit {dtype}")
+            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([ids.astype(dtype).tobytes()]), pa.array([listed], pa.list_(pa.int64()))], ["file", "block", "data", "ids"])
 
         for batch in batches:
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -103,13 +106,13 @@ def token_stream(df: DataFrame, end_id: int, block_ids: int = 1 << 16, ranks_pat
     return slim.mapInArrow(run, "file string, block long, data binary, ids array<long>")
 
 
-def document_token_counts(df: DataFrame, end_id: int = 50256, **params) -> DataFrame:
+def document_token_counts(df: DataFrame, end_id: int = 50256, dtype: str = "<u2", **params) -> DataFrame:
     """doc_id, file, doc, start, n_tokens for each document: its tokens are written as token files and found again.
 
     The end-of-text string inside a text is encoded as ordinary text, so the end id marks ends of documents only.
     """
-    stream = Scratch(df.sparkSession).put(token_stream(df, end_id, **params), "stream")
-    counts = scan_blocks(stream, end_id)
+    stream = Scratch(df.sparkSession).put(token_stream(df, end_id, dtype=dtype, **params), "stream")
+    counts = scan_blocks(stream, end_id, dtype)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stream.select("file", "block", F.size("ids").cast("long").alias("m"))
     base = sizes.select("file", "block", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))

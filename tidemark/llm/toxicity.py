@@ -10,7 +10,8 @@ before it makes copies of one document count once.  The thresholds on a document
 labelled documents that the dictionaries have not seen, by a regression on its highest differences and the numbers
 above fixed lengths.
 
-Learning uses at most ``per_class`` labelled documents of each class outside the held-out fold.
+Learning uses at most ``per_class`` labelled documents of each class outside the held-out fold, and about eight windows
+spread over each of the ordinary ones for the common base; scores are of all windows of all texts.
 
 Defined cases: a null or empty text is one empty window and gets the score that the calibration gives it; without
 labels of both classes every score is the share of toxic labels (0 without labels); a null id is not held out, and its
