@@ -122,6 +122,47 @@ def date10_to_8(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 
 
+def joiner_of(x: Column, joiners: str = " -/*#@._") -> Column:
+    """(size, joiner): length of a text date and the mark between its parts; 8 and "" for eight digits; nulls for others."""
+    found = F.when(x.rlike(r"^\d{8}$"), F.struct(F.length(x).alias("size"), F.lit("").alias("joiner")))
+    for mark in reversed(joiners):
+        part = "[" + (" " if mark == " " else "\\" + mark) + "]"
+        found = F.when(x.rlike(rf"\d{{4}}{part}\d{{2}}{part}\d{{2}}"), F.struct(F.length(x).alias("size"), F.lit(mark).alias("joiner"))).otherwise(found)
+    return found
+
+
+def rejoin(x: Column, old: str, new: str = "-") -> Column:
+    """Parts of a text date with another mark between them, each of two digits at least."""
+    parts = F.split(x, "[" + "\\" + old + "]")
+    return F.array_join(F.transform(parts, lambda p: F.when(F.length(p) < 2, F.lpad(p, 2, "0")).otherwise(p)), new)
+
+
+def is_date(x: Column) -> Column:
+    """Whether one of the formats reads the text."""
+    return parse(x).isNotNull()
+
+
+def kind_of(x: Column) -> Column:
+    """The format of a text date, or 'timestamp' for a number of 10 to 19 characters; else null."""
+    s = x.cast("string")
+    return F.coalesce(date_format_of(s), F.when(s.rlike(r"^\d+(\.\d+)?$") & F.length(s).between(10, 19), "timestamp"))
+
+
+def written_like(t: Column, sample: Column) -> Column:
+    """A time as text in the format of a sample; as seconds, if the sample is a number of seconds."""
+    fmt = kind_of(sample)
+    out = F.when(fmt == "timestamp", F.unix_seconds(t.cast("timestamp")).cast("string"))
+    for f in FORMATS:
+        out = F.when(fmt == f, F.date_format(t, f)).otherwise(out)
+    return out
+
+
+def now_parts() -> dict[str, Column]:
+    """The time now, and its date, month and quarter."""
+    now = F.current_timestamp()
+    return {"now": F.date_format(now, "yyyy-MM-dd HH:mm:ss"), "date": F.date_format(now, "yyyy-MM-dd"), "month": F.date_format(now, "yyyyMM"), "quarter": quarter_name(F.to_date(now))}
+
+
 # ---- calendar
 
 
@@ -157,6 +198,22 @@ def shift_workdays(df: DataFrame, date: str, cal: DataFrame, n: int = 1, out: st
     return placed.join(F.broadcast(days), F.col("__t0") == F.col("__t"), "left").drop("__d", "__o", "__w", "__t", "__t0")
 
 
+def find_workday(df: DataFrame, date: str, cal: DataFrame, n: int = 0, out: str = "workday") -> DataFrame:
+    """The working day ``n`` behind the date or, on a day off, behind the next one; before the date, if n is negative."""
+    moved = onto_workday(df, date, cal, out="__on")
+    return shift_workdays(moved, "__on", cal, n, out).drop("__on") if n > 0 else shift_workdays(df, date, cal, n, out)
+
+
+def trading_calendar(cal: DataFrame, first: datetime.date, known: DataFrame | None = None) -> DataFrame:
+    """The calendar with trading days as working days: weekdays worked from ``first`` on, and what ``known`` (day, is_trading) says."""
+    open_ = F.col("is_workday") & (F.weekday("day") < 5)
+    days = cal
+    if known is not None:
+        days, open_ = cal.join(F.broadcast(known.select("day", F.col("is_trading").alias("__t"))), "day", "left"), F.coalesce("__t", open_)
+    days = days.select("day", (open_ & (F.col("day") >= F.lit(first))).alias("is_workday"), "name")
+    return days.withColumn("ordinal", F.sum(F.col("is_workday").cast("int")).over(Window.orderBy("day")).cast("long"))
+
+
 STEMS, BRANCHES = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
 ANIMALS = "鼠牛虎兔龙蛇马羊猴鸡狗猪"
 

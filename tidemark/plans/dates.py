@@ -61,20 +61,22 @@ for _name, _col in (("get_tgdz_hour", lambda: D.cycle_hour(F.col(_T))), ("get_xi
     query(_name)(lambda spark, d, c=_col: orders(spark, d).select("o_orderkey", c().alias("y")))
 
 
-@query("cut_date", f"SELECT o_orderkey, CAST(b AS VARCHAR) AS begin, CAST(least(b + 9, e) AS VARCHAR) AS \"end\" FROM (SELECT o_orderkey, unnest(generate_series({S}, {S} + 25, INTERVAL 10 DAY))::DATE AS b, {S} + 25 AS e FROM orders WHERE o_orderkey % 10 = 1)")
+@query("cut_date", f"SELECT o_orderkey, CAST(b AS VARCHAR) AS begin, CAST(least(b + 9, e) AS VARCHAR) AS \"end\" FROM (SELECT o_orderkey, unnest(generate_series({S}, {S} + 25, INTERVAL 10 DAY))::DATE AS b, {S} + 25 AS e FROM orders)")
 def cut(spark, d):
     return plain(orders(spark, d).select("o_orderkey", F.explode(D.chunks(O(), F.date_add(O(), 25), 10)).alias("c")).select("o_orderkey", "c.begin", "c.end"))
 
 
-@query("get_dates_between", f"SELECT o_orderkey, CAST(x AS VARCHAR) AS day FROM (SELECT o_orderkey, unnest(generate_series({S}, {S} + 9, INTERVAL 1 DAY))::DATE AS x, row_number() OVER (PARTITION BY o_orderkey) AS k FROM orders WHERE o_orderkey % 10 = 1) WHERE isodow(x) < 6 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY x) > 1")
+@query("get_dates_between", f"SELECT o_orderkey, CAST(x AS VARCHAR) AS day FROM (SELECT o_orderkey, unnest(generate_series({S}, {S} + 9, INTERVAL 1 DAY))::DATE AS x, row_number() OVER (PARTITION BY o_orderkey) AS k FROM orders) WHERE isodow(x) < 6 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY x) > 1")
 def between(spark, d):
     return plain(orders(spark, d).select("o_orderkey", F.explode(D.between(O(), F.date_add(O(), 9), weekdays=True)).alias("day")))
 
 
 #: Off: the first day of each month, if a weekday; worked: the second Saturday of each January.
-_CAL = """WITH days AS (SELECT CAST(DATE '1992-01-01' + CAST(i AS INTEGER) AS DATE) AS day FROM range(3288) r(i)),
-cal AS (SELECT day, (isodow(day) = 6 AND month(day) = 1 AND day(day) BETWEEN 8 AND 14) OR (isodow(day) < 6 AND day(day) > 1) AS is_workday, CASE WHEN day(day) = 1 THEN 'first' END AS name FROM days),
+_NUM = """cal AS (SELECT day, (isodow(day) = 6 AND month(day) = 1 AND day(day) BETWEEN 8 AND 14) OR (isodow(day) < 6 AND day(day) > 1) AS is_workday, CASE WHEN day(day) = 1 THEN 'first' END AS name FROM days),
 num AS (SELECT *, CAST(sum(CASE WHEN is_workday THEN 1 ELSE 0 END) OVER (ORDER BY day) AS BIGINT) AS ordinal FROM cal)"""
+_CAL = f"WITH days AS (SELECT CAST(DATE '1992-01-01' + CAST(i AS INTEGER) AS DATE) AS day FROM range(3288) r(i)), {_NUM}"
+#: The same calendar over the time of the orders, with a margin.
+_WIDE = f"WITH lim AS (SELECT min({S}) AS a, max({S}) AS b FROM orders), days AS (SELECT CAST(unnest(generate_series(a - 60, b + 60, INTERVAL 1 DAY)) AS DATE) AS day FROM lim), {_NUM}"
 
 
 def _calendar(spark, begin=datetime.date(1992, 1, 1), end=datetime.date(2000, 12, 31)):
@@ -112,5 +114,75 @@ for _name, _n, _forth, _sql in (
         ("get_recent_workday", 0, True, "(SELECT min(day) FROM num WHERE is_workday AND day >= o)"), ("get_recent_workday_pre", 0, False, "(SELECT max(day) FROM num WHERE is_workday AND day <= o)"),
         ("get_next_nth_workday", 5, True, "(SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal FROM num WHERE day = o) + 5)"),
         ("get_next_nth_workday_back", -3, True, "(SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal + CASE WHEN is_workday THEN 0 ELSE 1 END FROM num WHERE day = o) - 3)")):
-    query(_name, _CAL + f", o AS (SELECT DISTINCT {S} AS o FROM orders WHERE year(o_orderdate) < 1999) SELECT CAST(o AS VARCHAR) AS day, CAST({_sql} AS VARCHAR) AS workday FROM o")(
+    query(_name, _WIDE + f", o AS (SELECT DISTINCT {S} AS o FROM orders) SELECT CAST(o AS VARCHAR) AS day, CAST({_sql} AS VARCHAR) AS workday FROM o")(
         lambda spark, d, n=_n, forth=_forth: _shifted(spark, d, n, forth))
+
+
+for _name, _sql, _make in (
+        ("is_holiday", "SELECT CAST(day AS VARCHAR) AS day, NOT is_workday AS off FROM num", lambda cal: cal.select("day", (~F.col("is_workday")).alias("off"))),
+        ("get_holiday_detail", "SELECT CAST(day AS VARCHAR) AS day, NOT is_workday AS off, name FROM num", lambda cal: cal.select("day", (~F.col("is_workday")).alias("off"), "name")),
+        ("is_in_lieu", "SELECT CAST(day AS VARCHAR) AS day, name IS NOT NULL AND isodow(day) = 1 AS in_lieu FROM num", lambda cal: cal.select("day", (F.col("name").isNotNull() & (F.weekday("day") == 0)).alias("in_lieu"))),
+        ("get_workdays", "SELECT CAST(day AS VARCHAR) AS day FROM num WHERE is_workday AND day BETWEEN DATE '1994-02-01' AND DATE '1994-12-31'", lambda cal: cal.where("is_workday AND day BETWEEN DATE '1994-02-01' AND DATE '1994-12-31'").select("day")),
+        ("get_work_dates_chncal", "SELECT CAST(day AS VARCHAR) AS day FROM num WHERE is_workday", lambda cal: cal.where("is_workday").select("day"))):
+    query(_name, f"{_CAL} {_sql}")(lambda spark, d, make=_make: plain(make(_calendar(spark))))
+
+#: Trading days: weekdays worked since the market opened.
+_OPEN = datetime.date(1993, 6, 1)
+_TRADE = _WIDE.replace("num AS (SELECT *, CAST(sum(CASE WHEN is_workday", "trade AS (SELECT day, is_workday AND isodow(day) < 6 AND day >= DATE '1993-06-01' AS is_workday, name FROM cal),\nnum AS (SELECT *, CAST(sum(CASE WHEN is_workday").replace("AS ordinal FROM cal)", "AS ordinal FROM trade)")
+
+
+def _order_days(spark, d):
+    """(distinct order dates, a calendar of their time with a margin)."""
+    dates = orders(spark, d).select(O().alias("day")).distinct()
+    begin, end = dates.agg(F.min("day"), F.max("day")).first()
+    margin = datetime.timedelta(days=60)
+    return dates, _calendar(spark, begin - margin, end + margin) if begin else _calendar(spark)
+
+
+def _moved(name, sql, cal_sql, move, trading=False):
+    def run(spark, d):
+        dates, cal = _order_days(spark, d)
+        return plain(move(dates, D.trading_calendar(cal, _OPEN) if trading else cal))
+
+    query(name, cal_sql + f", o AS (SELECT DISTINCT {S} AS o FROM orders) SELECT CAST(o AS VARCHAR) AS day, {sql} FROM o")(run)
+
+
+_NEXT = "CAST((SELECT min(day) FROM num WHERE is_workday AND day >= o) AS VARCHAR) AS workday"
+_moved("find_workday", "CAST((SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal + CASE WHEN is_workday THEN 0 ELSE 1 END FROM num WHERE day = o) + 2) AS VARCHAR) AS workday", _WIDE, lambda x, cal: D.find_workday(x, "day", cal, 2))
+_moved("get_recent_workday_chncal", _NEXT, _WIDE, lambda x, cal: D.onto_workday(x, "day", cal))
+_moved("get_next_nth_workday_chncal", "CAST((SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal FROM num WHERE day = o) + 9) AS VARCHAR) AS workday", _WIDE, lambda x, cal: D.shift_workdays(x, "day", cal, 9))
+_moved("is_tradeday", "(SELECT is_workday FROM num WHERE day = o) AS trading", _TRADE, lambda x, cal: x.join(F.broadcast(cal), "day").select("day", F.col("is_workday").alias("trading")), True)
+_moved("get_recent_tradeday", _NEXT, _TRADE, lambda x, cal: D.onto_workday(x, "day", cal), True)
+_moved("get_next_nth_tradeday", "CAST((SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal FROM num WHERE day = o) + 3) AS VARCHAR) AS workday", _TRADE, lambda x, cal: D.shift_workdays(x, "day", cal, 3), True)
+
+
+@query("get_trade_dates", _TRADE + " SELECT CAST(day AS VARCHAR) AS day FROM num WHERE is_workday AND day BETWEEN DATE '1993-01-01' AND DATE '1995-12-31'")
+def trading_days(spark, d):
+    cal = D.trading_calendar(_order_days(spark, d)[1], _OPEN)
+    return plain(cal.where("is_workday AND day BETWEEN DATE '1993-01-01' AND DATE '1995-12-31'").select("day"))
+
+
+@query("get_dates", f"SELECT o_orderkey, CAST(unnest(generate_series({S}, {S} + 6, INTERVAL 1 DAY))::DATE AS VARCHAR) AS day FROM orders")
+def all_days(spark, d):
+    return plain(orders(spark, d).select("o_orderkey", F.explode(D.between(O(), F.date_add(O(), 6), keep_a=True)).alias("day")))
+
+
+for _name, _col, _sql in (
+        ("get_date_format", lambda: F.concat_ws("|", D.joiner_of(F.date_format(_T, "yyyy/MM/dd"))["size"], D.joiner_of(F.date_format(_T, "yyyy/MM/dd"))["joiner"], D.joiner_of(F.date_format(_T, "yyyyMMdd"))["size"]), "'10|/|8'"),
+        ("date_reformat_simple", lambda: D.rejoin(F.concat_ws(".", F.year(_T), F.month(_T), F.dayofmonth(_T)), ".", "/"), "strftime(o_orderdate, '%Y/%m/%d')"),
+        ("is_datetime", lambda: D.is_date(F.when(F.col("o_orderkey") % 3 == 0, "no date").otherwise(F.date_format(_T, "yyyy-MM-dd HH:mm:ss"))), "CASE WHEN o_orderkey % 3 = 0 THEN 'false' ELSE 'true' END"),
+        ("get_datetime_format", lambda: F.concat_ws("|", D.kind_of(F.date_format(_T, "yyyyMMdd")), D.kind_of(F.lit("1600000000"))), "'yyyyMMdd|timestamp'"),
+        ("copy_format", lambda: D.written_like(F.col(_T), F.lit("2001.02.03 04:05")), "strftime(o_orderdate, '%Y.%m.%d %H:%M')"),
+        ("copy_format0", lambda: D.written_like(F.col(_T), F.lit("20010203")), "strftime(o_orderdate, '%Y%m%d')")):
+    _date(_name, _col, _sql)
+
+
+@query("datetime_now", "SELECT TRUE AS good")
+def now(spark, d):
+    """The parts of the time now agree with each other."""
+    parts = spark.range(1).select(*[c.alias(n) for n, c in D.now_parts().items()])
+    return parts.select((F.col("now").startswith(F.col("date")) & (F.replace(F.substring("date", 1, 7), F.lit("-"), F.lit("")) == F.col("month")) & F.col("quarter").rlike(r"^\d{4}Q[1-4]$")).alias("good"))
+
+
+for _name, _part, _size in (("today_date", "date", 10), ("today_month", "month", 6), ("today_quarter", "quarter", 6)):
+    query(_name, f"SELECT {_size} AS size")(lambda spark, d, p=_part: spark.range(1).select(F.length(D.now_parts()[p]).alias("size")))
