@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def frequent_itemsets(df: DataFrame, items: str, min_support: float) -> DataFrame:
     """(items sorted, freq, support) of the sets in at least ``min_support`` of the baskets (arrays), by FP-growth."""
@@ -35,6 +37,36 @@ def level_counts(df: DataFrame, basket: str, item: str, min_support: float, leve
     return out
 
 
+def all_levels(df: DataFrame, basket: str, item: str, min_support: float) -> DataFrame:
+    """(items, freq, support) of the frequent sets of every size, level by level until a level has none.
+
+    Each level is written before the next one is built on it, so the plan stays short.
+    """
+    rows = df.select(F.col(basket).alias("b"), F.col(item).alias("i")).distinct()
+    n = rows.select("b").distinct().count()
+    one = rows.groupBy("i").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_support * n)
+    rows = cut(rows.join(one.select("i"), "i", "left_semi"))
+    have, found = rows.select("b", F.array("i").alias("s")), [one.select(F.array("i").alias("items"), "freq")]
+    while True:
+        longer = have.join(rows, "b").where(F.col("i") > F.element_at("s", -1)).select("b", F.array_append("s", F.col("i")).alias("s"))
+        counts = cut(longer.groupBy("s").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_support * n))
+        if counts.isEmpty():
+            break
+        found.append(counts.select(F.col("s").alias("items"), "freq"))
+        have = cut(longer.join(counts.select("s"), "s", "left_semi"))
+    out = found[0]
+    for level in found[1:]:
+        out = out.unionByName(level)
+    return out.withColumn("support", F.col("freq") / n)
+
+
+def next_candidates(frequent: DataFrame) -> DataFrame:
+    """(items) of one item more: pairs of frequent sorted sets that agree in all but the last item."""
+    sets = frequent.select("items", F.expr("slice(items, 1, size(items) - 1)").alias("head"), F.element_at("items", -1).alias("tail"))
+    other = sets.select("head", F.col("tail").alias("more"))
+    return sets.join(other, "head").where("more > tail").select(F.array_append("items", F.col("more")).alias("items"))
+
+
 def rules(sets: DataFrame, min_confidence: float, strict: bool = True) -> DataFrame:
     """(antecedent, consequent, support_a, support_c, support, confidence, lift) for every split of every frequent set.
 

@@ -16,6 +16,10 @@ def _baskets(spark, d):
 
 _N = f"(SELECT count(DISTINCT b) FROM {_B})"
 
+#: Sets of every size: each basket's sets are extended by its later items until none is left.
+_SETS = f"""WITH RECURSIVE t AS {_B}, s AS (SELECT b, i AS last, [i] AS items FROM t UNION ALL SELECT s.b, t.i, list_append(s.items, t.i) FROM s JOIN t ON s.b = t.b AND t.i > s.last),
+f AS (SELECT items, count(*) AS freq, count(*) / {_N} AS p FROM s GROUP BY items HAVING count(*) >= 0.005 * {_N})"""
+
 
 @query("gen_C1", f"SELECT DISTINCT i FROM {_B}")
 def singles(spark, d):
@@ -28,19 +32,33 @@ def pairs(spark, d):
     return found.select(F.array_join("items", "&").alias("items"), "freq", F.round("support", 9).alias("support"))
 
 
+@query("gen_Ck_from_FreqLk_1", _SETS + " SELECT array_to_string(x.items, '&') || '&' || y.items[2] AS candidate FROM f x JOIN f y ON len(x.items) = 2 AND len(y.items) = 2 AND x.items[1] = y.items[1] AND x.items[2] < y.items[2]")
+def candidates(spark, d):
+    frequent = B.level_counts(_baskets(spark, d), "b", "i", 0.005, 2)[1]
+    return B.next_candidates(frequent.select("items")).select(F.array_join("items", "&").alias("candidate"))
+
+
 def _sets(spark, d):
     return B.frequent_itemsets(_baskets(spark, d).groupBy("b").agg(F.collect_set("i").alias("items")), "items", 0.005)
 
 
-@query("get_CkSup_and_FreqLk_all", f"""WITH t AS {_B}, a AS (SELECT i AS items, count(*) AS freq FROM t GROUP BY 1), b AS (SELECT x.i || '&' || y.i AS items, count(*) AS freq FROM t x JOIN t y ON x.b = y.b AND x.i < y.i GROUP BY 1),
-c AS (SELECT x.i || '&' || y.i || '&' || z.i AS items, count(*) AS freq FROM t x JOIN t y ON x.b = y.b AND x.i < y.i JOIN t z ON x.b = z.b AND y.i < z.i GROUP BY 1)
-SELECT items, freq, round(freq / {_N}, 9) AS support FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE freq >= 0.005 * {_N}""")
+_ALL = _SETS + " SELECT array_to_string(items, '&') AS items, freq, round(p, 9) AS support FROM f"
+
+
+@query("get_CkSup_and_FreqLk_all", _ALL)
 def itemsets(spark, d):
     return _sets(spark, d).select(F.array_join("items", "&").alias("items"), "freq", F.round("support", 9).alias("support"))
 
 
-_RULES = f"""WITH t AS {_B}, s AS (SELECT i, count(*) / {_N} AS p FROM t GROUP BY 1), b AS (SELECT x.i AS a, y.i AS c, count(*) / {_N} AS p FROM t x JOIN t y ON x.b = y.b AND x.i <> y.i GROUP BY 1, 2 HAVING count(*) >= 0.005 * {_N})
-SELECT a AS antecedent, c AS consequent, round(b.p, 9) AS support, round(b.p / x.p, 9) AS confidence, round(b.p / x.p / y.p, 6) AS lift FROM b JOIN s x ON x.i = a JOIN s y ON y.i = c WHERE b.p / x.p {{}} 0.02"""
+@query("apriori_levels", _ALL)
+def levels(spark, d):
+    """The same sets level by level: each level's sets extend those of the last."""
+    found = B.all_levels(_baskets(spark, d), "b", "i", 0.005)
+    return found.select(F.array_join("items", "&").alias("items"), "freq", F.round("support", 9).alias("support"))
+
+
+_RULES = _SETS + """ SELECT array_to_string(a.items, '&') AS antecedent, array_to_string(c.items, '&') AS consequent, round(w.p, 9) AS support, round(w.p / a.p, 9) AS confidence, round(w.p / a.p / c.p, 6) AS lift
+FROM f w JOIN f a ON len(a.items) < len(w.items) AND list_has_all(w.items, a.items) JOIN f c ON len(c.items) = len(w.items) - len(a.items) AND list_has_all(w.items, c.items) AND NOT list_has_any(a.items, c.items) WHERE w.p / a.p {} 0.02"""
 
 
 def _ruled(spark, d, strict):
@@ -56,3 +74,24 @@ def rules(spark, d):
 @query("fpgrowth_mlx", _RULES.format(">="))
 def rules_at_least(spark, d):
     return _ruled(spark, d, False)
+
+
+@query("apriori_rules", _RULES.format(">="))
+def rules_by_level(spark, d):
+    """Rules from the sets found level by level."""
+    found = B.rules_table(B.rules(B.all_levels(_baskets(spark, d), "b", "i", 0.005), 0.02, False))
+    return found.select("antecedent", "consequent", F.round("support", 9).alias("support"), F.round("confidence", 9).alias("confidence"), F.round("lift", 6).alias("lift"))
+
+
+@query("rules2df", _SETS + """ SELECT array_to_string(a.items, '&') || ' -> ' || array_to_string(c.items, '&') AS rule, len(w.items) AS size, round(w.p / a.p, 9) AS confidence, rank() OVER (ORDER BY round(w.p, 9) DESC, round(w.p / a.p, 9) DESC, array_to_string(a.items, '&'), array_to_string(c.items, '&')) AS place
+FROM f w JOIN f a ON len(a.items) < len(w.items) AND list_has_all(w.items, a.items) JOIN f c ON len(c.items) = len(w.items) - len(a.items) AND list_has_all(w.items, c.items) AND NOT list_has_any(a.items, c.items) WHERE w.p / a.p > 0.02""")
+def rule_rows(spark, d):
+    """Rules as one line of text each, with their place; the rules of a corpus of baskets are few."""
+    from pyspark.sql import Window
+
+    found = B.rules(_sets(spark, d), 0.02)
+    rounded = found.select("antecedent", "consequent", F.round("support", 9).alias("support"), F.round("confidence", 9).alias("confidence"))
+    text = {c: F.array_join(c, "&") for c in ("antecedent", "consequent")}
+    size = (F.size("antecedent") + F.size("consequent")).cast("long")
+    placed = rounded.withColumn("size", size).withColumns(text).withColumn("place", F.rank().over(Window.orderBy(F.desc("support"), F.desc("confidence"), "antecedent", "consequent")).cast("long"))
+    return placed.select(F.concat_ws(" -> ", "antecedent", "consequent").alias("rule"), "size", "confidence", "place")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -20,6 +20,17 @@ def session(name: str = "tidemark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that ``spark.checkpoint.dir`` names: the plan is short, a lost executor costs nothing."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that Python workers can import it anywhere."""
     app = spark.sparkContext.applicationId
