@@ -95,18 +95,108 @@ def test_solvers_against_brute_force():
 
 
 def test_extrema_rules():
+    near = [0, 5, 4, 6, 0]
+    marks = extrema.turning_marks(near)
+    assert marks == [-1, 1, -1, 1, -1]
+    assert extrema.prune(near, marks, extrema.Limits(2)) == [-1, 0, 0, 1, -1]  # one row apart, and the trend is the same without
+    assert extrema.prune(near, marks, extrema.Limits(2, max_val=1)) == marks  # but it differs enough
+    assert extrema.prune(near, marks, extrema.Limits(2, max_pct=0.3)) == [-1, 0, 0, 1, -1]
+    assert extrema.prune(near, marks, extrema.Limits(0)) == marks
+    trend = [0, 5, 4, 3, 0]
+    assert extrema.prune(trend, extrema.turning_marks(trend), extrema.Limits(2)) == [-1, 1, 0, 0, -1]
+    needed = [0, 9, 1, 5, 0, 7]  # the peak of 9 is above the next one, so its pair stays
+    assert extrema.prune(needed, extrema.turning_marks(needed), extrema.Limits(2))[1] == 1
+    far = [0, 4, 8, 7.8, 7.6, 7.4, 7.2, 12, 0]
+    marks = extrema.turning_marks(far)
+    assert extrema.prune(far, marks, extrema.Limits(2)) == marks
+    assert extrema.prune(far, marks, extrema.Limits(2, min_val=1)) == [-1, 0, 0, 0, 0, 0, 0, 1, -1]
+    assert extrema.prune(far, marks, extrema.Limits(2, t_max=4, min_val=1)) == marks
+    assert extrema.turning_marks([1, 3, 3, 2]) == [-1, 1, 0, -1] and extrema.turning_marks([2, 2]) == [0, 0]
     rng = random.Random(2)
     for _ in range(50):
-        v = [rng.uniform(0, 50) for _ in range(30)]
-        marks = [0] * 30
-        for k in range(1, 29):
-            marks[k] = 1 if v[k - 1] < v[k] > v[k + 1] else -1 if v[k - 1] > v[k] < v[k + 1] else 0
-        kept = extrema.prune(v, marks, 3, None, 8.0)
+        v = [rng.uniform(0, 50) for _ in range(60)]
+        kept = extrema.prune(v, extrema.turning_marks(v), extrema.Limits(3, min_val=8.0))
         spots = [k for k, m in enumerate(kept) if m]
-        assert all(b - a >= 3 and abs(v[b] - v[a]) >= 8 and kept[a] == -kept[b] and (v[b] - v[a]) * kept[b] > 0 for a, b in zip(spots, spots[1:]))
+        assert all(kept[a] == -kept[b] and (v[b] - v[a]) * kept[b] > 0 for a, b in zip(spots, spots[1:]))
     assert extrema.zigzag_marks([1, 5, 9, 4, 2, 6, 8], [1, 5, 9, 4, 2, 6, 8], 3, 3, False) == [-1.0, 0.0, 1.0, 0.0, -1.0, 0.0, 0.5]
 
 
+def test_labels_of_the_last_row(spark):
+    rng = random.Random(7)
+    v = [float(rng.randrange(30)) for _ in range(40)]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(v)], "g int, t int, x double")
+    order = Order("g", "t")
+    got = {r.t: r.extremum for r in extrema.last_labels(df, order, "x", 10).collect()}
+    whole = {r.t: r.extremum for r in extrema.last_labels(df, order, "x", None, 3).collect()}
+    for k in range(40):
+        some = v[max(0, k - 9) : k + 1]
+        assert got[k] == (extrema.prune(some, extrema.turning_marks(some))[-1] if k >= 9 else None)
+        assert whole[k] == (extrema.prune(v[: k + 1], extrema.turning_marks(v[: k + 1]))[-1] if k >= 2 else None)
+    close = spark.createDataFrame([(1, k, x, m) for k, (x, m) in enumerate([(10.0, 1), (9.9, -1), (20.0, 1), (5.0, -1)])], "g int, t int, x double, m int")
+    assert [r.m for r in extrema.drop_close(close, order, "x", "m").orderBy("t").collect()] == [0, 0, 1, -1]
+
+
+def test_sums(spark):
+    rng = random.Random(3)
+    rows = [(k, i, float(rng.randint(-3, 12))) for k in range(12) for i in range(9)]
+    df = spark.createDataFrame(rows, "k int, i long, x double")
+    got = {}
+    for r in solve.sums_by(df, "k", "x", 10.0, "i", 10000).collect():
+        got.setdefault(r.k, set()).add(tuple(r["items"]))
+    best = {r.k: r.total for r in solve.nearest_sum_by(df, "k", "x", 20.0).collect()}
+    loads = {r.k: r.total for r in solve.knapsack_value_by(df.withColumn("w", F.abs("x").cast("int")), "k", "x", "w", 15).collect()}
+    exact = {r.k: r.total for r in solve.knapsack_value_by(df.withColumn("w", F.abs("x")), "k", "x", "w", 15.0, whole=False).collect()}
+    for k in range(12):
+        x = {i: v for kk, i, v in rows if kk == k}
+        sets = [c for n in range(1, 10) for c in combinations(sorted(x), n)]
+        assert got.get(k, set()) == {c for c in sets if sum(x[i] for i in c) == 10}
+        assert best[k] == max([0] + [s for c in sets if all(x[i] > 0 for i in c) and (s := sum(x[i] for i in c)) <= 20])
+        assert loads[k] == exact[k] == max([0] + [sum(x[i] for i in c) for c in sets if sum(abs(x[i]) for i in c) <= 15])
+
+
+def test_known_ciphers(spark):
+    from tidemark.functions import scalars
+
+    key, iv = bytes.fromhex("2b7e151628aed2a6abf7158809cf4f3c"), bytes(range(16))
+    df = spark.createDataFrame([("exactly 16 bytes",), ("short",), ("",), ("über sechzehn Zeichen lang",)], "s string")
+    plain = spark.createDataFrame([(bytearray.fromhex("6bc1bee22e409f96e93d7e117393172a"),)], "s binary")
+    assert plain.select(scalars.encrypt_ecb(F.col("s"), key)).first()[0] == "3ad77bb40d7a3660a89ecaf32466ef97"
+    assert plain.select(scalars.encrypt_cbc(F.col("s"), key, iv)).first()[0] == "7649abac8119b246cee98e9b12e9197d"
+    for back in (scalars.decrypt_ecb(scalars.encrypt_ecb(F.col("s"), key), key), scalars.decrypt_cbc(scalars.encrypt_cbc(F.col("s"), key, iv), key, iv)):
+        assert all(r.s == r.back for r in df.select("s", back.alias("back")).collect())
+
+
+def test_sinks_keep_rows_and_keys(spark, tmp_path):
+    from tidemark.sources import tables
+
+    tables.create_database(spark, "sinks", str(tmp_path / "sinks"))
+    try:
+        one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+        tables.sink(one, "sinks.t")
+        tables.set_key(spark, "sinks.t", "k")
+        with pytest.raises(ValueError):
+            tables.sink(one, "sinks.t", "insert", "k")
+        tables.sink(spark.createDataFrame([(3, 1.5)], "k int, w double"), "sinks.t", "insert", "k")
+        assert sorted(map(tuple, spark.table("sinks.t").collect())) == [(1, "a", None), (2, "b", None), (3, None, 1.5)]
+        with pytest.raises(ValueError):
+            tables.set_key(spark, "sinks.t", "v")
+        tables.rename_columns(spark, "sinks.t", {"v": "u"})
+        assert tables.primary_key(spark, "sinks.t") == ["k"] and tables.tables(spark, "sinks") == ["t"]
+        tables.drop_columns(spark, "sinks.t", "k")
+        assert tables.primary_key(spark, "sinks.t") == [] and spark.table("sinks.t").count() == 3
+    finally:
+        tables.drop_database(spark, "sinks")
+
+
+def test_rejection_picks_by_weight(spark):
+    from tidemark.operators import picks
+
+    options = spark.createDataFrame([(1, 1), (2, 2), (3, 7)], "o int, w int")
+    got = picks.by_rejection(spark.range(6000).withColumnRenamed("id", "d"), "d", options, "o", "w", tries=2)
+    share = {r.o: r.n / 6000 for r in picks.counted(got, options, "o").collect()}
+    assert abs(sum(share.values()) - 1) < 1e-9 and all(abs(share[o] - w / 10) < 0.03 for o, w in ((1, 1), (2, 2), (3, 7)))
+
+
 def test_weights_of_a_consistent_matrix():
     w = np.array([0.5, 0.3, 0.2])
     got, index, _ = scoring.eigen_weights(w[:, None] / w[None, :])

@@ -6,6 +6,7 @@ Which turning points stay depends on those kept before, so each key's rows are f
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,48 +17,185 @@ from .order import Order
 from .series import turns
 
 
-def _big_enough(a: float, b: float, pct: float | None, val: float | None) -> bool:
-    rise = abs(b - a)
-    return (val is None or rise >= val) and (pct is None or (rise / abs(a) if a else math.inf) >= pct)
+@dataclass(frozen=True)
+class Limits:
+    """When a pair of neighbouring extrema stays.
 
-
-def prune(values: list[float], marks: list[int], t_min: int = 2, pct: float | None = None, val: float | None = None) -> list[int]:
-    """Alternating extrema that are ``t_min`` rows apart or more and differ enough.
-
-    Starting from all turning points, the neighbouring pair with the smallest difference among those that break a rule
-    goes, until no pair does; at an end only the outer point goes.  What stays still alternates.
+    Fewer than ``t_min`` rows between them: it goes, unless it differs by ``max_pct`` or ``max_val`` and more.  ``t_max``
+    rows apart and more: it stays.  Else it goes if it differs by ``min_pct`` or ``min_val`` at most.  A pair whose removal
+    would change the trend before and after stays in any case.  Of a share and a value the share counts.
     """
-    spots = [k for k, m in enumerate(marks) if m]
-    while len(spots) > 1:
-        bad = [(abs(values[b] - values[a]), i) for i, (a, b) in enumerate(zip(spots, spots[1:])) if b - a < t_min or not _big_enough(values[a], values[b], pct, val)]
-        if not bad:
-            break
-        _, i = min(bad)
-        if len(spots) == 2:
-            spots = spots[:1]
-        elif i == 0:
-            del spots[0]
-        elif i == len(spots) - 2:
-            del spots[-1]
-        else:
-            del spots[i : i + 2]
+
+    t_min: int = 2
+    t_max: float = math.inf
+    min_pct: float | None = None
+    min_val: float | None = None
+    max_pct: float | None = None
+    max_val: float | None = None
+    from_zero: float = 1.0
+
+    def _change(self, a: float, b: float) -> float:
+        return abs(b - a) / abs(a) if a else (abs(self.from_zero) if b else 0.0)
+
+    def _goes(self, a: tuple, b: tuple) -> bool:
+        rows, rise = b[0] - a[0], abs(b[1] - a[1])
+        if rows < self.t_min + 1:
+            if self.max_pct is not None:
+                return self._change(a[1], b[1]) < self.max_pct
+            return self.max_val is None or rise < self.max_val
+        if rows >= self.t_max:
+            return False
+        if self.min_pct is not None:
+            return self._change(a[1], b[1]) <= self.min_pct
+        return self.min_val is not None and rise <= self.min_val
+
+    def sweep(self, spots: list[tuple]) -> list[tuple]:
+        """One pass over (place, value, label) in order: the pairs that go are left out; the first point may go alone."""
+        kept: list[tuple] = []
+        k = 0
+        while k < len(spots):
+            if k + 2 < len(spots):
+                here, there, behind = spots[k : k + 3]
+                up = here[2]  # compare heights as if ``here`` were a peak
+                if kept:
+                    needed = up * here[1] > up * behind[1] or up * there[1] < up * kept[-1][1]
+                    gone = 2
+                else:
+                    needed = up * here[1] >= up * behind[1]
+                    gone = 1
+                if not needed and self._goes(here, there):
+                    k += gone
+                    continue
+            kept.append(spots[k])
+            k += 1
+        return kept
+
+
+def _both_ways(spots: list[tuple], limits: Limits) -> list[tuple]:
+    forth = limits.sweep(spots)
+    back = limits.sweep([(-p, v, m) for p, v, m in reversed(forth)])
+    return [(-p, v, m) for p, v, m in reversed(back)]
+
+
+def prune(values: list[float], marks: list[int], limits: Limits = Limits()) -> list[int]:
+    """The turning points that stay after sweeps forth and back, repeated until they are far enough apart or nothing changes."""
+    spots = [(k, values[k], m) for k, m in enumerate(marks) if m]
+    if limits.t_min >= 1:
+        spots, before = _both_ways(spots, limits), None
+        while spots != before and len(spots) > 3 and any(b[0] - a[0] - 1 < limits.t_min for a, b in zip(spots, spots[1:])):
+            spots, before = _both_ways(spots, limits), spots
     out = [0] * len(values)
-    for k in spots:
-        out[k] = marks[k]
+    for k, _, m in spots:
+        out[k] = m
+    return out
+
+
+def turning_marks(values: list[float]) -> list[int]:
+    """1 at peaks, -1 at troughs (a plateau at its first row), 0 elsewhere, both ends labelled; as ``series.turns`` has it."""
+    steps = [0] + [(b > a) - (b < a) for a, b in zip(values, values[1:])]
+    out, ahead = [0] * len(values), 0
+    for k in range(len(values) - 1, 0, -1):
+        if steps[k] and steps[k] != ahead:
+            out[k] = steps[k]
+        ahead = steps[k] or ahead
+    if values:
+        out[0] = -ahead
     return out
 
 
-def find_extrema(df: DataFrame, order: Order, col: str, t_min: int = 2, pct: float | None = None, val: float | None = None, out: str = "extremum") -> DataFrame:
+def find_extrema(df: DataFrame, order: Order, col: str, limits: Limits = Limits(), out: str = "extremum") -> DataFrame:
     """1 at kept peaks, -1 at kept troughs, else 0."""
     marked = turns(df, order, col, "__m")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(order.by), kind="stable")
-        return frame.drop(columns="__m").assign(**{out: prune(frame[col].tolist(), frame["__m"].tolist(), t_min, pct, val)})
+        return frame.drop(columns="__m").assign(**{out: prune(frame[col].tolist(), frame["__m"].tolist(), limits)})
 
     return marked.groupBy(*order.key).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())]))
 
 
+def last_labels(df: DataFrame, order: Order, col: str, window: int | None, least: int = 1, limits: Limits = Limits(), out: str = "extremum") -> DataFrame:
+    """The label that each row has as the last of its window: the last ``window`` rows, or all rows so far if None.
+
+    Null until there are ``window`` (``least``) rows.
+    """
+    first = window if window is not None else max(least, 1)
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(list(order.by), kind="stable")
+        values = frame[col].tolist()
+        labels: list = [None] * min(first - 1, len(values))
+        for k in range(first, len(values) + 1):
+            some = values[0 if window is None else k - window : k]
+            labels.append(prune(some, turning_marks(some), limits)[-1])
+        return frame.assign(**{out: pd.array(labels, dtype="Int32")})
+
+    return df.groupBy(*order.key).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())]))
+
+
+def drop_close(df: DataFrame, order: Order, col: str, label: str, pct: float = 0.05) -> DataFrame:
+    """``label`` without pairs of neighbouring extrema whose values differ by less than ``pct`` of the later one."""
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(list(order.by), kind="stable")
+        marks, values = frame[label].tolist(), frame[col].tolist()
+        spots = [k for k, m in enumerate(marks) if m]
+        for a, b in zip(spots, spots[1:]):
+            # of a pair that went, the second still is the first of the next pair only if it stayed
+            if marks[a] and values[b] and abs(values[a] / values[b] - 1) < pct:
+                marks[a] = marks[b] = 0
+        return frame.assign(**{label: marks})
+
+    return df.groupBy(*order.key).applyInPandas(fold, df.schema)
+
+
+def last_position(df: DataFrame, order: Order, col: str, label: str, min_gap: int = 2) -> DataFrame:
+    """(key, ..): where each key's last row stands against its last peak and trough, and against the moves before.
+
+    The labels of the last ``min_gap`` rows do not count.  gap, dif and pct are from the last trough (up) and peak (down)
+    to the last row; pos_ is their place between the least and the largest such move so far, null if those are equal.
+    """
+    w, upto = order.window(), order.before()
+    rows = df.withColumns({"__rn": order.row(), "__n": F.count(F.lit(1)).over(order.whole())})
+    rows = rows.withColumn("__l", F.when(F.col("__n") - F.col("__rn") >= min_gap, F.coalesce(F.col(label), F.lit(0))).otherwise(0))
+    for name, mark in (("max", 1), ("min", -1)):
+        hit = F.col("__l") == mark
+        rows = rows.withColumns({f"__v{name}": F.last(F.when(hit, F.col(col)), ignorenulls=True).over(upto), f"__r{name}": F.last(F.when(hit, F.col("__rn")), ignorenulls=True).over(upto)})
+    rows = rows.withColumns({
+        "pct_min2now": F.try_divide(F.col(col), F.col("__vmin")) - 1, "dif_min2now": F.col(col) - F.col("__vmin"), "gap_min2now": F.col("__rn") - F.col("__rmin"),
+        "pct_max2now": F.try_divide(F.col("__vmax"), F.col(col)) - 1, "dif_max2now": F.col("__vmax") - F.col(col), "gap_max2now": F.col("__rn") - F.col("__rmax")})
+    last = F.col("__rn") == F.col("__n")
+    now = [F.max(F.when(last, F.col(c))).alias(c) for c in ("pct_min2now", "dif_min2now", "gap_min2now", "pct_max2now", "dif_max2now", "gap_max2now")]
+    past = [f(F.when(F.col("__l") == mark, F.col(f"{kind}_{way}"))).alias(f"{n}_{kind}_{way}") for way, mark in (("min2now", 1), ("max2now", -1)) for kind in ("pct", "dif", "gap") for n, f in (("least", F.min), ("most", F.max))]
+    ends = [F.max(F.when(last, F.col("__vmax"))).alias("pre_max"), F.max(F.when(last, F.col("__vmin"))).alias("pre_min"), F.max_by(F.when(F.col("__l") != 0, F.col("__l")), F.when(F.col("__l") != 0, F.col("__rn"))).alias("last_label")]
+    stats = rows.groupBy(*order.key).agg(*now, *past, *ends)
+    place = {f"pos_{kind}_{way}": F.try_divide(F.col(f"{kind}_{way}") - F.col(f"least_{kind}_{way}"), F.col(f"most_{kind}_{way}") - F.col(f"least_{kind}_{way}")) for way in ("min2now", "max2now") for kind in ("pct", "dif", "gap")}
+    return stats.select(*order.key, *[c.alias(n) for n, c in place.items()], "pct_min2now", "dif_min2now", "gap_min2now", "pct_max2now", "dif_max2now", "gap_max2now", "pre_max", "pre_min", "last_label")
+
+
+def streak_of_signals(signals: DataFrame, order: Order, place: str, label: str) -> DataFrame:
+    """(key, n, label): how many of the last snapshots in a row saw the same signal, each one row further on.
+
+    ``signals`` has a row for each snapshot: the place of its last extremum and its label.
+    """
+    w = order.window()
+    breaks = (F.col(place) - F.lag(place).over(w) != 1) | (F.lag(label).over(w) != F.col(label))
+    runs = signals.withColumn("__b", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("__s", F.sum("__b").over(order.to_here()))
+    each = runs.groupBy(*order.key, "__s").agg(F.count(F.lit(1)).alias("n"), F.max(label).alias("label"))
+    return each.groupBy(*order.key).agg(F.max_by("n", "__s").alias("n"), F.max_by("label", "__s").alias("label"))
+
+
+def vanished(signals: DataFrame, order: Order, place: str, where: int, tolerance: int = 10) -> DataFrame:
+    """(key, vanished): whether a signal within ``tolerance`` rows of ``where`` was in a snapshot and not in a later one.
+
+    ``signals`` has a row for each snapshot (by ``order``) and extremum in it; ``place`` is null where it has none.
+    """
+    seen = F.max(F.coalesce(F.col(place).between(where - tolerance, where + tolerance), F.lit(False)))
+    each = signals.groupBy(*order.key, *order.by).agg(seen.alias("__s"))
+    begun = each.withColumn("__a", F.max("__s").over(order.to_here()))
+    return begun.groupBy(*order.key).agg(F.max(F.col("__a") & ~F.col("__s")).alias("vanished"))
+
+
 def check_extrema(df: DataFrame, order: Order, col: str, label: str) -> DataFrame:
     """(key, good): whether labels alternate and each peak is above the troughs beside it."""
     hits = df.where(F.col(label) != 0)

@@ -6,8 +6,10 @@ import math
 from decimal import Decimal
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -97,3 +99,72 @@ def subset_sum_by(df: DataFrame, key: str, value: str, target: float, ident: str
         return pd.DataFrame({key: [frame[key].iloc[0]], "items": [None if taken is None else [int(frame[ident].iloc[k]) for k in taken]]})
 
     return df.groupBy(key).applyInPandas(run, T.StructType([df.schema[key], T.StructField("items", T.ArrayType(T.LongType()))]))
+
+
+def knapsack_whole(capacity: int, values: list[float], weights: list[int]) -> float:
+    """Highest value for whole weights: one array over the capacities."""
+    best = np.zeros(int(capacity) + 1)
+    for v, w in zip(values, weights):
+        if v > 0 and 0 <= w <= capacity:
+            # the right side is computed in full before it is assigned, so an item counts once
+            best[int(w) :] = np.maximum(best[int(w) :], best[: len(best) - int(w)] + v)
+    return float(best[-1])
+
+
+def knapsack_value_by(df: DataFrame, key: str, value: str, weight: str, capacity: float, whole: bool = True) -> DataFrame:
+    """(key, total): for each key the highest value within the capacity."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        v, w = frame[value].tolist(), frame[weight].tolist()
+        return pd.DataFrame({key: [frame[key].iloc[0]], "total": [knapsack_whole(int(capacity), v, w) if whole else knapsack(capacity, v, w)[0]]})
+
+    return df.groupBy(key).applyInPandas(run, T.StructType([df.schema[key], T.StructField("total", T.DoubleType())]))
+
+
+def nearest_sum_by(df: DataFrame, key: str, value: str, target: float) -> DataFrame:
+    """(key, total): the largest sum of some of each key's positive values that is not over the target.
+
+    The sums that can be reached are the bits of one number, so the work is bounded by items x target in units.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        *sizes, goal = _scaled(*(x for x in frame[value].dropna() if x > 0), target)
+        mask, reach = (1 << goal + 1) - 1, 1
+        for x in sizes:
+            reach |= reach << x & mask if x <= goal else 0
+        return pd.DataFrame({key: [frame[key].iloc[0]], "total": [(reach.bit_length() - 1) * target / goal if goal else 0.0]})
+
+    return df.groupBy(key).applyInPandas(run, T.StructType([df.schema[key], T.StructField("total", T.DoubleType())]))
+
+
+def sums_by(df: DataFrame, key: str, value: str, target: float, ident: str, most: int) -> DataFrame:
+    """(key, items): up to ``most`` different sets of each key's values that add up to the target, as sorted ids.
+
+    ``most`` is how many are asked for, as many targets have exponentially many sets.  Memory is bounded by items x
+    different sums.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(ident, kind="stable")
+        *sizes, goal = _scaled(*frame[value].tolist(), target)
+        ids, found = frame[ident].tolist(), []
+        reach = [{0}]  # sums of some of the items from k on, so every branch that is followed ends in a set
+        for x in reversed(sizes):
+            reach.append(reach[-1] | {x + s for s in reach[-1]})
+        reach.reverse()
+        stack = [(0, 0, ())]
+        while stack and len(found) < most:
+            k, total, taken = stack.pop()
+            if k == len(sizes):
+                if taken:
+                    found.append([int(ids[i]) for i in taken])
+                continue
+            stack += [s for s in ((k + 1, total, taken), (k + 1, total + sizes[k], (*taken, k))) if goal - s[1] in reach[k + 1]]
+        return pd.DataFrame({key: pd.Series([frame[key].iloc[0]] * len(found), dtype=frame[key].dtype), "items": pd.Series(found, dtype=object)})
+
+    return df.groupBy(key).applyInPandas(run, T.StructType([df.schema[key], T.StructField("items", T.ArrayType(T.LongType()))]))
+
+
+def candidates(df: DataFrame, value: str, target: float, tolerance: float = 0.0) -> DataFrame:
+    """The rows whose value alone is not over the target."""
+    return df.where(F.col(value) <= target + tolerance)

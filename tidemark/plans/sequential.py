@@ -12,7 +12,7 @@ from .series import PRE, USER, W, events
 
 
 def _extrema(spark, d):
-    return E.find_extrema(events(spark, d), USER, "value", t_min=3, val=10.0)
+    return E.find_extrema(events(spark, d), USER, "value", E.Limits(t_min=3, min_val=10.0))
 
 
 @query("find_maxmin")
@@ -20,6 +20,21 @@ def extrema(spark, d):
     return _extrema(spark, d).select("event_id", "extremum")
 
 
+@query("find_maxmin_rolling")
+def rolling(spark, d):
+    return E.last_labels(events(spark, d), USER, "value", 12, limits=E.Limits(t_min=2)).select("event_id", "extremum")
+
+
+@query("find_maxmin_cum")
+def cumulative(spark, d):
+    return E.last_labels(events(spark, d), USER, "value", None, 5, E.Limits(t_min=2)).select("event_id", "extremum")
+
+
+@query("del_tooclose_maxmin")
+def apart(spark, d):
+    return E.drop_close(_extrema(spark, d), USER, "value", "extremum", 0.2).select("event_id", "extremum")
+
+
 @query("check_maxmins", "SELECT user_id, TRUE AS good FROM events GROUP BY user_id")
 def checked(spark, d):
     return E.check_extrema(_extrema(spark, d), USER, "value", "extremum")
@@ -60,6 +75,41 @@ def last_sure(spark, d):
     return E.last_extremum(turns(events(spark, d), USER, "value"), USER, "value", "turn")
 
 
+_POS = _TURN + f""", r AS (SELECT *, row_number() OVER ({W}) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM t), l AS (SELECT *, CASE WHEN n - rn >= 2 THEN turn ELSE 0 END AS l FROM r),
+p AS (SELECT *, last_value(CASE WHEN l = 1 THEN value END IGNORE NULLS) OVER b AS vmax, last_value(CASE WHEN l = 1 THEN rn END IGNORE NULLS) OVER b AS rmax, last_value(CASE WHEN l = -1 THEN value END IGNORE NULLS) OVER b AS vmin, last_value(CASE WHEN l = -1 THEN rn END IGNORE NULLS) OVER b AS rmin
+FROM l WINDOW b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, max(CASE WHEN rn = n THEN rn - rmin END) AS gap_min2now, max(CASE WHEN rn = n THEN rn - rmax END) AS gap_max2now, round(max(CASE WHEN rn = n THEN value - vmin END), 6) AS dif_min2now, round(max(CASE WHEN rn = n THEN vmax - value END), 6) AS dif_max2now,
+round((max(CASE WHEN rn = n THEN rn - rmin END) - min(CASE WHEN l = 1 THEN rn - rmin END)) / nullif(CAST(max(CASE WHEN l = 1 THEN rn - rmin END) - min(CASE WHEN l = 1 THEN rn - rmin END) AS DOUBLE), 0), 6) AS pos_gap_min2now,
+round((max(CASE WHEN rn = n THEN vmax - value END) - min(CASE WHEN l = -1 THEN vmax - value END)) / nullif(max(CASE WHEN l = -1 THEN vmax - value END) - min(CASE WHEN l = -1 THEN vmax - value END), 0), 6) AS pos_dif_max2now, max(CASE WHEN rn = n THEN vmax END) AS pre_max,
+max_by(l, CASE WHEN l <> 0 THEN rn END) FILTER (l <> 0) AS last_label FROM p GROUP BY user_id"""
+
+
+@query("get_last_pos_info", _POS)
+def position(spark, d):
+    from ..operators.series import turns
+
+    found = E.last_position(turns(events(spark, d), USER, "value"), USER, "value", "turn")
+    return found.select("user_id", "gap_min2now", "gap_max2now", *[F.round(c, 6).alias(c) for c in ("dif_min2now", "dif_max2now", "pos_gap_min2now", "pos_dif_max2now")], "pre_max", "last_label")
+
+
+_SNAPS = "(SELECT user_id, event_id, CAST(floor(value / 10) AS INTEGER) AS place, CASE WHEN event_id % 7 < 5 THEN 1 ELSE -1 END AS label, ts FROM events)"
+
+
+def _snapshots(spark, d):
+    return events(spark, d).selectExpr("user_id", "event_id", "ts", "CAST(floor(value / 10) AS INT) AS place", "CASE WHEN event_id % 7 < 5 THEN 1 ELSE -1 END AS label")
+
+
+@query("get_continue_maxmin_info", f"""WITH a AS (SELECT *, CASE WHEN coalesce(place - lag(place) OVER ({W}) <> 1 OR lag(label) OVER ({W}) <> label, TRUE) THEN 1 ELSE 0 END AS b FROM {_SNAPS}), s AS (SELECT *, sum(b) OVER ({W}) AS s FROM a),
+g AS (SELECT user_id, s, count(*) AS n, max(label) AS label FROM s GROUP BY 1, 2) SELECT user_id, max_by(n, s) AS n, max_by(label, s) AS label FROM g GROUP BY 1""")
+def streak(spark, d):
+    return E.streak_of_signals(_snapshots(spark, d), USER, "place", "label")
+
+
+@query("disaper", f"""WITH a AS (SELECT *, place BETWEEN 3 AND 5 AS s FROM {_SNAPS}), c AS (SELECT *, max(CASE WHEN s THEN 1 ELSE 0 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM a) SELECT user_id, bool_or(a = 1 AND NOT s) AS vanished FROM c GROUP BY 1""")
+def gone(spark, d):
+    return E.vanished(_snapshots(spark, d), USER, "place", 4, 1)
+
+
 @query("zigzag")
 def zigzag(spark, d):
     return E.zigzag(events(spark, d).withColumn("low", F.col("value") * 0.9), USER, "value", "low", 30.0, relative=False).select("event_id", "zigzag")
@@ -82,6 +132,80 @@ def addends(spark, d):
     return solve.subset_sum_by(table(spark, d, "lineitem").select("l_suppkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")), "l_suppkey", "l_quantity", 137.0, "k")
 
 
+def _parts(spark, d):
+    return table(spark, d, "part").select("p_brand", "p_size", "p_retailprice", "p_partkey")
+
+
+@query("backpack01_int_dy")
+def knapsack_whole(spark, d):
+    """Whole weights; the capacity is that of the other knapsack query, and so are the totals."""
+    return solve.knapsack_value_by(_parts(spark, d), "p_brand", "p_retailprice", "p_size", 120).withColumn("total", F.round("total", 4))
+
+
+@query("backpack01_float_dy_smp")
+def knapsack_value(spark, d):
+    return solve.knapsack_value_by(_parts(spark, d), "p_brand", "p_retailprice", "p_size", 60.0, whole=False).withColumn("total", F.round("total", 4))
+
+
+#: Sums of whole quantities within a target, by supplier: every sum that some of its orders' first lines reach.
+_SUMS = """WITH RECURSIVE a AS (SELECT l_suppkey, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS r FROM lineitem),
+s AS (SELECT l_suppkey, 0 AS r, [0] AS reach FROM a GROUP BY 1 UNION ALL SELECT s.l_suppkey, s.r + 1, list_distinct(list_concat(s.reach, list_filter(list_transform(s.reach, lambda x: x + a.q), lambda x: x <= 137))) FROM s JOIN a ON a.l_suppkey = s.l_suppkey AND a.r = s.r + 1)
+SELECT l_suppkey, CAST(max(list_max(reach)) AS DOUBLE) AS total FROM s GROUP BY 1"""
+
+
+@query("find_addends_backpack01int", _SUMS)
+def nearest(spark, d):
+    return solve.nearest_sum_by(table(spark, d, "lineitem").select("l_suppkey", "l_quantity"), "l_suppkey", "l_quantity", 137.0)
+
+
+@query("find_addends_backpack01float")
+def nearest_broken(spark, d):
+    return solve.nearest_sum_by(table(spark, d, "lineitem").select("l_suppkey", "l_tax"), "l_suppkey", "l_tax", 0.55).withColumn("total", F.round("total", 6))
+
+
+@query("find_addends_recu")
+def addend_sets(spark, d):
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    return solve.sums_by(rows, "l_partkey", "l_quantity", 50.0, "k", 5)
+
+
+@query("find_addends_smlfirst")
+def addends_small_first(spark, d):
+    """Values that add up to the target, within a tolerance, a given number of them."""
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    return solve.subset_sum_by(rows, "l_suppkey", "l_quantity", 60.0, "k", below=1.0, above=1.0, count=3)
+
+
+@query("get_alts_sml", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity <= 20.5")
+def alternatives(spark, d):
+    return solve.candidates(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", 20.0, 0.5)
+
+
+@query("valid_test_predict_X2d_y1d1step", f"""SELECT event_id, split, round(2 + 0.6 * l1 + 0.3 * l2, 8) AS pred FROM (SELECT event_id, CASE WHEN event_id % 10 < 7 THEN 'train' WHEN event_id % 10 < 9 THEN 'valid' ELSE 'test' END AS split, lag(value) OVER ({W}) AS l1, lag(value, 2) OVER ({W}) AS l2 FROM events) WHERE l2 IS NOT NULL""")
+def splits(spark, d):
+    m = L.lag_matrix(events(spark, d), USER, "value", {"value": 2})
+    parts = {"train": m.where("event_id % 10 < 7"), "valid": m.where("event_id % 10 BETWEEN 7 AND 8"), "test": m.where("event_id % 10 = 9")}
+    done = L.split_predict(parts, L.linear_predictor({"value_lag1": 0.6, "value_lag2": 0.3}, 2.0))
+    return done.select("event_id", "split", F.round("pred", 8).alias("pred"))
+
+
+@query("forward_valid_test_predict_X2d_y1d1step", f"""WITH RECURSIVE h AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT user_id, 0 AS step, max(value) FILTER (r = n - 7) AS a, max(value) FILTER (r = n - 6) AS b FROM h WHERE n > 8 GROUP BY 1), f AS (SELECT * FROM s UNION ALL SELECT user_id, step + 1, b, 2 + 0.6 * b + 0.3 * a FROM f WHERE step < 6)
+SELECT user_id, step, CASE WHEN step <= 3 THEN 'valid' ELSE 'test' END AS split, round(b, 8) AS forecast FROM f WHERE step > 0""")
+def forward_splits(spark, d):
+    """The last three rows of each user are the test, the three before them the validation; both are forecast from what is before."""
+    rows = events(spark, d).withColumns({"__r": USER.row(), "__n": F.count(F.lit(1)).over(USER.whole())}).where("__n > 8 AND __r <= __n - 6")
+    done = L.recursive_forecast(rows.select("user_id", "ts", "event_id", "value"), USER, "value", 2, 6, lambda x: 2 + 0.6 * x[1] + 0.3 * x[0])
+    return done.select("user_id", "step", F.when(F.col("step") <= 3, "valid").otherwise("test").alias("split"), F.round("forecast", 8).alias("forecast"))
+
+
+@query("forward_valid_test_predict_X2d_y1dsteps")
+def forward_split_steps(spark, d):
+    rows = events(spark, d).withColumns({"__r": USER.row(), "__n": F.count(F.lit(1)).over(USER.whole())}).where("__n > 9 AND __r <= __n - 6")
+    done = L.recursive_forecast(rows.select("user_id", "ts", "event_id", "value"), USER, "value", 3, 6, lambda x: [x.mean(), x[-1]], steps=2)
+    return done.withColumn("split", F.when(F.col("step") <= 3, "valid").otherwise("test"))
+
+
 @query("genXy_X2d_y1d1step", f"""SELECT * FROM (SELECT user_id, CAST(ts AS VARCHAR) AS ts, event_id, lag(value, 4) OVER ({W}) AS value_lag4, lag(value, 3) OVER ({W}) AS value_lag3, lag(value, 2) OVER ({W}) AS value_lag2, event_id AS x_event_id, value AS y0, row_number() OVER ({W}) AS rn FROM events) WHERE rn > 4""".replace("SELECT * FROM (", "SELECT * EXCLUDE (rn) FROM ("))
 def lag_matrix(spark, d):
     return L.lag_matrix(events(spark, d), USER, "value", {"value": 3}, ["event_id"], gap=1).withColumn("ts", F.col("ts").cast("string"))
