@@ -158,3 +158,112 @@ def hmac_sha256(s: Column, key: str) -> Column:
     inner, outer = bytes(b ^ 0x36 for b in k), bytes(b ^ 0x5C for b in k)
     first = F.unhex(F.sha2(F.concat(F.lit(inner), s.cast("binary")), 256))
     return F.sha2(F.concat(F.lit(outer), first), 256)
+
+
+def sorted_array(a: Column, ascending: bool = True) -> Column:
+    return F.sort_array(a, ascending)
+
+
+def insertion_index(a: Column, x: Column) -> Column:
+    """Where ``x`` goes in a sorted array, counted from 0, behind equal items."""
+    return F.size(F.filter(a, lambda y: y <= x))
+
+
+def insert_sorted(a: Column, x: Column) -> Column:
+    """The sorted array with ``x`` in its place."""
+    return F.concat(F.filter(a, lambda y: y <= x), F.array(x), F.filter(a, lambda y: y > x))
+
+
+def rank_of_insert(a: Column, x: Column, method: str = "dense") -> Column:
+    """The rank from 1 that ``x`` would have among the items: dense, min, max, average or first (last of its equals)."""
+    less = F.filter(a, lambda y: y < x)
+    same = F.size(F.filter(a, lambda y: y == x))
+    return {"dense": F.size(F.array_distinct(less)) + 1, "min": F.size(less) + 1, "max": F.size(less) + same + 1, "first": F.size(less) + same + 1,
+            "average": F.size(less) + 1 + same / 2}[method]
+
+
+def at_least(x: Column, y: Column, tol: float = 0.0) -> Column:
+    return x >= y - tol
+
+
+def at_most(x: Column, y: Column, tol: float = 0.0) -> Column:
+    return x <= y + tol
+
+
+def below(x: Column, y: Column, tol: float = 0.0) -> Column:
+    """Smaller by more than ``tol``."""
+    return x < y - tol
+
+
+def padded(s: Column, size: int = 16) -> Column:
+    """The text's bytes, with zero bytes up to a multiple of ``size``."""
+    raw = s.cast("binary")
+    return F.rpad(raw, (F.ceil(F.octet_length(raw) / size) * size).cast("int"), F.lit(b"\0"))
+
+
+def _key(key: str | bytes) -> bytes:
+    raw = key.encode() if isinstance(key, str) else key
+    return raw + b"\0" * (-len(raw) % 16)
+
+
+def encrypt_ecb(s: Column, key: str | bytes) -> Column:
+    """AES in ECB mode of the text padded with zero bytes, as hex: Spark's own padding is one block more, which is cut off."""
+    raw = padded(s)
+    return F.lower(F.hex(F.substring(F.aes_encrypt(raw, F.lit(_key(key)), F.lit("ECB"), F.lit("PKCS")), F.lit(1), F.octet_length(raw))))
+
+
+def decrypt_ecb(s: Column, key: str | bytes) -> Column:
+    whole = F.concat(F.unhex(s), F.aes_encrypt(F.lit(b""), F.lit(_key(key)), F.lit("ECB"), F.lit("PKCS")))
+    return F.rtrim(F.decode(F.aes_decrypt(whole, F.lit(_key(key)), F.lit("ECB"), F.lit("PKCS")), "UTF-8"), F.lit("\0"))
+
+
+def encrypt_cbc(s: Column, key: str | bytes, iv: str | bytes) -> Column:
+    """AES in CBC mode of the text padded with zero bytes, as hex."""
+    raw = padded(s)
+    made = F.aes_encrypt(raw, F.lit(_key(key)), F.lit("CBC"), F.lit("PKCS"), F.lit(_key(iv)))
+    return F.lower(F.hex(F.substring(made, F.lit(17), F.octet_length(raw))))
+
+
+def decrypt_cbc(s: Column, key: str | bytes, iv: str | bytes) -> Column:
+    """The block of padding that Spark wants is made from the last block, which is what it is chained to."""
+    code = F.unhex(s)
+    last = F.when(F.octet_length(code) > 0, F.substring(code, F.octet_length(code) - 15, F.lit(16))).otherwise(F.lit(_key(iv)))
+    tail = F.substring(F.aes_encrypt(F.lit(b""), F.lit(_key(key)), F.lit("CBC"), F.lit("PKCS"), last), F.lit(17), F.lit(16))
+    whole = F.concat(F.lit(_key(iv)), code, tail)
+    return F.rtrim(F.decode(F.aes_decrypt(whole, F.lit(_key(key)), F.lit("CBC"), F.lit("PKCS")), "UTF-8"), F.lit("\0"))
+
+
+def base64_url(s: Column) -> Column:
+    return F.translate(F.base64(s.cast("binary")), "+/", "-_")
+
+
+def from_base64_url(s: Column) -> Column:
+    return F.decode(F.unbase64(F.translate(s, "-_", "+/")), "UTF-8")
+
+
+# ---- pages
+
+
+def html_text(html: Column) -> Column:
+    """What a reader sees: without scripts, styles and tags, blanks collapsed."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"[ \t\n\r\f]+", " "))
+
+
+def html_head(html: Column) -> Column:
+    return F.regexp_extract(html, r"(?is)<head[^>]*>(.*?)</head>", 1)
+
+
+def head_items(html: Column) -> Column:
+    """Number of tags that open in the head."""
+    return F.size(F.regexp_extract_all(html_head(html), F.lit("<([A-Za-z])"), F.lit(1)))
+
+
+def add_to_head(html: Column, tag: str) -> Column:
+    """``tag`` at the end of the head."""
+    return F.replace(html, F.lit("</head>"), F.lit(tag + "</head>"))
+
+
+def drop_head_script(html: Column) -> Column:
+    """Without a script that is last in the head."""
+    return F.regexp_replace(html, r"<script[^>]*></script></head>", "</head>")

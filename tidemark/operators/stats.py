@@ -296,3 +296,26 @@ def variance_test(df: DataFrame, col: str, group: str) -> DataFrame:
     """Levene's test of equal variances: one-way analysis of variance of the distances to the groups' means."""
     means = df.groupBy(group).agg(F.avg(col).alias("__m"))
     return anova(df.join(means, group).withColumn("__d", F.abs(F.col(col) - F.col("__m"))), "__d", group)
+
+
+def pooled_variance(n0, m0, v0, n1, m1, v1):
+    """Population variance of two samples together, from their sizes, means and population variances."""
+    n = n0 + n1
+    m = F.try_divide(n0 * m0 + n1 * m1, n)
+    return F.try_divide(n0 * (v0 + (m - m0) * (m - m0)) + n1 * (v1 + (m - m1) * (m - m1)), n)
+
+
+def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(threshold, tpr, fpr) at every distinct score; the scores are counted first, and only the counts are run through."""
+    each = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(y).alias("__p"), F.sum(1 - F.col(y)).alias("__n"))
+    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    total = each.agg(F.sum("__p").alias("__tp"), F.sum("__n").alias("__tn"))
+    run = each.withColumns({"__cp": F.sum("__p").over(down), "__cn": F.sum("__n").over(down)})
+    return run.join(F.broadcast(total)).select("threshold", F.try_divide(F.col("__cp"), F.col("__tp")).alias("tpr"), F.try_divide(F.col("__cn"), F.col("__tn")).alias("fpr"))
+
+
+def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
+    """(bin, n) over ``bins`` equal ranges from the least to the largest value."""
+    edge = df.agg(F.min(col).alias("__a"), F.max(col).alias("__b"))
+    at = F.least(F.floor(F.try_divide(F.col(col) - F.col("__a"), F.col("__b") - F.col("__a")) * bins), F.lit(bins - 1))
+    return df.join(F.broadcast(edge)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

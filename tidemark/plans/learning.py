@@ -55,3 +55,41 @@ def elm(spark, d):
 def elm_classes(spark, d):
     scaled = lines(spark, d).withColumn("l_quantity", F.col("l_quantity") / 50).withColumn("n", 1 - F.col("y"))
     return scaled.select("l_orderkey", "l_linenumber", M.ExtremeLearningMachine(scaled, ["n", "y"], COLS, 8).classify().alias("label"))
+
+
+def _priced(spark, d):
+    return table(spark, d, "part").select("p_retailprice", F.col("p_size").cast("double").alias("p_size"), (F.col("p_partkey") % 100).cast("double").alias("r"))
+
+
+def _search(spark, d, grid):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor
+
+    df = M.vector(_priced(spark, d), ["p_size", "r"])
+    trees = GBTRegressor(labelCol="p_retailprice", maxIter=2, maxDepth=2, seed=1)
+    return M.cross_validate(df, trees, RegressionEvaluator(labelCol="p_retailprice"), grid(trees), folds=2)
+
+
+@query("lgb_cv")
+def validated(spark, d):
+    """(rmse): the mean error over the folds."""
+    return spark.createDataFrame([(float(_search(spark, d, lambda trees: None).avgMetrics[0]),)], "rmse double")
+
+
+@query("lgb_cv_grid_search")
+def searched(spark, d):
+    """(depth, rmse) of each depth that was tried."""
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    found = _search(spark, d, lambda trees: ParamGridBuilder().addGrid(trees.maxDepth, [1, 3]).build())
+    return spark.createDataFrame([(depth, float(x)) for depth, x in zip((1, 3), found.avgMetrics)], "depth int, rmse double")
+
+
+@query("lr_fit_sm", """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b, regr_r2(l_extendedprice, l_quantity) AS r FROM lineitem)
+SELECT 'l_quantity' AS name, round(a, 4) AS value FROM m UNION ALL SELECT 'intercept', round(b, 2) FROM m UNION ALL SELECT 'r2', round(r, 6) FROM m""")
+def summary(spark, d):
+    """Least squares with the share of the variance that it explains."""
+    df = lines(spark, d)
+    found = M.linear_regression(df, "l_extendedprice", ["l_quantity"])
+    r2 = df.agg((F.corr("l_extendedprice", "l_quantity") ** 2).alias("r")).first()[0]
+    return spark.createDataFrame([("l_quantity", round(found["l_quantity"], 4)), ("intercept", round(found["intercept"], 2)), ("r2", round(r2, 6))], "name string, value double")

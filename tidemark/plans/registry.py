@@ -31,7 +31,7 @@ def plain(df):
 
 
 def _load() -> None:
-    for module in ("series", "frame", "stats", "scaling", "scoring", "dates", "scalars", "baskets", "learning", "sequential", "storage"):
+    for module in ("series", "frame", "stats", "scaling", "scoring", "dates", "scalars", "baskets", "learning", "sequential", "storage", "store", "chance", "fits"):
         importlib.import_module(f"{__package__}.{module}")
 
 

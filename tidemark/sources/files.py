@@ -68,6 +68,43 @@ def lines(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(names(paths)).select(F.input_file_name().alias("file"), "value")
 
 
+def load_text(spark: SparkSession, paths, sep: str = ",", header: bool = True, drop_first_col: bool = False, drop_last_col: bool = False) -> DataFrame:
+    """Delimited text as strings, as it stands; ``header``: the first line names the columns, else they are _c0, _c1, ..."""
+    df = spark.read.options(**{**CSV, "header": header}).csv(names(paths), sep=sep)
+    cols = df.columns[1 if drop_first_col else 0 : -1 if drop_last_col else None]
+    return df.select(*[f"`{c}`" for c in cols])
+
+
+def save_lines(text: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The one text column of ``text`` as lines."""
+    text.write.mode(mode).text(path)
+
+
+def file_info(spark: SparkSession, paths, pattern: str | None = None, recursive: bool = True) -> DataFrame:
+    """(path, name, length, modified) of files; their content is not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(names(paths))
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
+
+
+def per_batch(df: DataFrame, func, schema: str) -> DataFrame:
+    """A Python function on pandas frames of some thousand rows each, wherever they are."""
+
+    def run(frames):
+        for frame in frames:
+            yield func(frame)
+
+    return df.mapInPandas(run, schema)
+
+
+def merged(old: DataFrame, new: DataFrame, unique, by, keep: str = "last") -> DataFrame:
+    """Both frames' rows, of rows equal in ``unique`` the first or last in order of ``by``."""
+    both = old.unionByName(new, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in names(unique)]
+    pick = (F.max_by if keep == "last" else F.min_by)(F.struct(*rest), F.struct(*names(by)))
+    return both.groupBy(*names(unique)).agg(pick.alias("__r")).select(*names(unique), *[F.col(f"__r.`{c}`").alias(c) for c in rest])
+
+
 def find_lines(text: DataFrame, target: str, regex: bool = False, all_hits: bool = True) -> DataFrame:
     """(file, value): lines that hold the text or match the pattern; one a file, if not ``all_hits``."""
     hits = text.where(F.col("value").rlike(target) if regex else F.contains("value", F.lit(target)))
@@ -97,7 +134,10 @@ def archive(spark: SparkSession, new: DataFrame, path: str, keys=None, keep: str
     both = upsert(old, new, keys, keep) if keys else upsert_rows(old, new, keep=keep)
     beside, aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
     save(both, beside, kind, "errorifexists")
-    fs.rename(at, jvm_path(aside))
-    fs.rename(jvm_path(beside), at)
+    if not fs.rename(at, jvm_path(aside)):
+        raise OSError(f"{path} could not be renamed; the union is in {beside}")
+    if not fs.rename(jvm_path(beside), at):
+        fs.rename(jvm_path(aside), at)
+        raise OSError(f"{beside} could not be renamed to {path}")
     fs.delete(jvm_path(aside), True)
     return load(spark, path, kind)

@@ -45,6 +45,115 @@ def copy(spark: SparkSession, table: str, target: str, data: bool = False) -> No
     (source if data else source.limit(0)).write.saveAsTable(target)
 
 
+def create(spark: SparkSession, table: str, columns: dict[str, str], keys=None, by=None) -> None:
+    """An empty table of (name: type), with its keys noted and partitioned by ``by``."""
+    made = ", ".join(f"`{c}` {k}" for c, k in columns.items())
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({made}) USING parquet" + (f" PARTITIONED BY ({', '.join(names(by))})" if by else ""))
+    if keys:
+        set_key(spark, table, keys)
+
+
+def create_database(spark: SparkSession, database: str, folder: str | None = None) -> None:
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{folder}'" if folder else ""))
+
+
+def drop_database(spark: SparkSession, database: str) -> None:
+    """The database with all its tables."""
+    spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+
+
+def database(spark: SparkSession) -> str:
+    return spark.catalog.currentDatabase()
+
+
+def folder(spark: SparkSession, table: str) -> str:
+    """Where the table's files are."""
+    return next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Location")
+
+
+def column_info(spark: SparkSession, table: str) -> DataFrame:
+    """(place, name, type) of the columns."""
+    return spark.createDataFrame([(k, c, t) for k, (c, t) in enumerate(fields(spark, table))], "place int, name string, type string")
+
+
+# ---- keys: notes on a table that the sinks go by, as Spark's tables have none
+
+
+def _properties(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect() if r.key.startswith("keys.")}
+
+
+def _note(spark: SparkSession, table: str, properties: dict[str, str]) -> None:
+    if properties:
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES (" + ", ".join(f"'{k}' = '{v}'" for k, v in properties.items()) + ")")
+
+
+def set_key(spark: SparkSession, table: str, cols, index: str | None = None) -> None:
+    """Note the primary key, or a unique index by name; rows that repeat it or lack it are an error."""
+    rows = spark.table(table).select(*names(cols))
+    missing = rows.where(" OR ".join(f"`{c}` IS NULL" for c in names(cols)))
+    if not rows.groupBy(*names(cols)).count().where("count > 1").isEmpty() or (index is None and not missing.isEmpty()):
+        raise ValueError("the columns are no key")
+    _note(spark, table, {f"keys.{f'unique.{index}' if index else 'primary'}": ",".join(names(cols))})
+
+
+def primary_key(spark: SparkSession, table: str) -> list[str]:
+    return [c for c in _properties(spark, table).get("keys.primary", "").split(",") if c]
+
+
+def unique_indexes(spark: SparkSession, table: str) -> dict[str, list[str]]:
+    return {k[len("keys.unique.") :]: v.split(",") for k, v in _properties(spark, table).items() if k.startswith("keys.unique.")}
+
+
+def key_columns(spark: SparkSession, table: str) -> list[str]:
+    """Columns of the primary key and of all unique indexes."""
+    return list(dict.fromkeys([*primary_key(spark, table), *(c for cols in unique_indexes(spark, table).values() for c in cols)]))
+
+
+def drop_key(spark: SparkSession, table: str, index: str | None = None) -> None:
+    spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('keys.{f'unique.{index}' if index else 'primary'}')")
+
+
+# ---- columns
+
+
+def add_columns(spark: SparkSession, table: str, columns: dict[str, str]) -> None:
+    """Columns that the table lacks, null in its rows; no row is rewritten."""
+    new = {c: k for c, k in columns.items() if c not in spark.table(table).columns}
+    if new:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS (" + ", ".join(f"`{c}` {k}" for c, k in new.items()) + ")")
+
+
+def drop_columns(spark: SparkSession, table: str, cols) -> None:
+    _rewrite(spark, table, spark.table(table).drop(*names(cols)))
+
+
+def retype_columns(spark: SparkSession, table: str, kinds: dict[str, str]) -> None:
+    """Other types for columns; values that the new type cannot hold become null."""
+    _rewrite(spark, table, spark.table(table).withColumns({c: F.col(f"`{c}`").try_cast(k) for c, k in kinds.items()}))
+
+
+def rename_columns(spark: SparkSession, table: str, new: dict[str, str]) -> None:
+    _rewrite(spark, table, spark.table(table).withColumnsRenamed(new))
+
+
+# ---- partitions
+
+
+def partitions(spark: SparkSession, table: str) -> DataFrame:
+    """(partition) of a partitioned table."""
+    return spark.sql(f"SHOW PARTITIONS {table}")
+
+
+def drop_partitions(spark: SparkSession, table: str, condition: str) -> None:
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({condition})")
+
+
+def unpartition(spark: SparkSession, table: str) -> None:
+    """The same rows in a table without partitions."""
+    _rewrite(spark, table, spark.table(table))
+
+
 def drop(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table}")
 
@@ -72,11 +181,20 @@ def prepared(df: DataFrame, upper: bool = True, infinite=None) -> DataFrame:
 
 
 def _rewrite(spark: SparkSession, table: str, df: DataFrame) -> None:
-    """Store a frame that reads the table in its place: written beside it first, then renamed."""
-    beside = f"{table}_{uuid.uuid4().hex}"
+    """Store a frame that reads the table in its place.
+
+    It is written beside the table first; then the old one is renamed aside, the new one takes its name, and only then
+    the old one goes, so the rows are never in no table.  Noted keys stay if their columns do.
+    """
+    noted, mark = {k: v for k, v in _properties(spark, table).items() if set(v.split(",")) <= set(df.columns)}, uuid.uuid4().hex
+    home, _, own = table.rpartition(".")
+    home = f"{home}." if home else ""
+    beside, aside = f"{home}{own}_new_{mark}", f"{home}{own}_old_{mark}"
     df.write.saveAsTable(beside)
-    spark.sql(f"DROP TABLE {table}")
-    spark.sql(f"ALTER TABLE {beside} RENAME TO {table.rsplit('.', 1)[-1]}")
+    _note(spark, beside, noted)
+    spark.sql(f"ALTER TABLE {table} RENAME TO {aside}")
+    spark.sql(f"ALTER TABLE {beside} RENAME TO {table}")
+    spark.sql(f"DROP TABLE {aside}")
 
 
 def remove(spark: SparkSession, table: str, where: str) -> None:
@@ -106,10 +224,26 @@ def sink(df: DataFrame, table: str, mode: str = "replace", keys=None) -> None:
     if mode == "insert":
         if keys and not old.join(df, names(keys), "left_semi").isEmpty():
             raise ValueError("a key is stored already")
-        _rewrite(spark, table, old.unionByName(df, allowMissingColumns=True))
+        add_columns(spark, table, {c: k for c, k in df.dtypes if c not in old.columns})
+        wide = spark.table(table).dtypes
+        df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in wide]).write.insertInto(table)
     elif mode in ("replace", "insert_ignore"):
         _rewrite(spark, table, upsert(old, df, keys, "new" if mode == "replace" else "old"))
     else:
         fresh = [c for c in df.columns if c not in old.columns]
         part = df if mode == "insert_ignore_new_columns" else df.join(old.select(*names(keys)).distinct(), names(keys), "left_semi")
         _rewrite(spark, table, upsert(old, part.select(*names(keys), *fresh) if mode == "insert_new_columns" else part, keys, "old"))
+
+
+def replace_rows(df: DataFrame, table: str, keys) -> None:
+    """Stored rows with a new row's key go whole, also what the new row has no columns for; then the new rows are added."""
+    spark = df.sparkSession
+    old = spark.table(table)
+    _rewrite(spark, table, old.join(df.select(*names(keys)), names(keys), "left_anti").select(*old.columns).unionByName(df, allowMissingColumns=True))
+
+
+def merge(spark: SparkSession, table: str, source: DataFrame, keys, cols, keep: str = "source") -> None:
+    """Rows with a stored key set its ``cols`` (unless ``keep`` is "target"), others are inserted with keys and ``cols``."""
+    old = spark.table(table)
+    part = source.select(*names(keys), *names(cols))
+    _rewrite(spark, table, upsert(old, part, keys, "new" if keep == "source" else "old").select(*old.columns))
