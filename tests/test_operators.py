@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -188,6 +189,17 @@ def test_sinks_keep_rows_and_keys(spark, tmp_path):
         tables.drop_database(spark, "sinks")
 
 
+def test_bootstrap_and_dense_grid(spark):
+    df = spark.range(0, 500, 1, 4).withColumn("v", F.col("id") * 2)
+    got = frame.bootstrap(df, 3, seed=4).collect()
+    assert Counter(r["round"] for r in got) == {0: 500, 1: 500, 2: 500} and all(r.v == 2 * r.id for r in got)
+    assert len({r.id for r in got}) > 400 and len({r.id for r in got if r["round"] == 0}) < 400
+    assert frame.bootstrap(df.limit(0), 2).count() == 0
+    tuples = spark.range(7).withColumnRenamed("id", "a")
+    for most in (100_000, 10):
+        assert frame._every(tuples, spark.range(2500).withColumnRenamed("id", "t"), "t", most).distinct().count() == 7 * 2500
+
+
 def test_rejection_picks_by_weight(spark):
     from tidemark.operators import picks
 

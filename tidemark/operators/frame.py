@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .order import Order, names
 
 
@@ -136,6 +137,19 @@ def crosstab(df: DataFrame, a: str, b: str, values: list | None = None, margins:
     return counts.join(F.broadcast(sums)).select(a, *[F.try_divide(F.col(c), whole if normalize == "all" else F.col(f"__{c}")).alias(c) for c in cols])
 
 
+def _every(tuples: DataFrame, domain: DataFrame, col: str, most: int = 100_000) -> DataFrame:
+    """Each of ``tuples`` with each value of ``domain``.
+
+    Up to ``most`` values go along as one array; more are dealt into buckets, each of which every tuple meets once.
+    """
+    n = domain.count()
+    if n <= most:
+        return tuples.join(F.broadcast(domain.agg(F.collect_list(col).alias("__d")))).withColumn(col, F.explode("__d")).drop("__d")
+    buckets = -(-n // 1000)
+    dealt = domain.withColumn("__b", F.pmod(F.xxhash64(col), F.lit(buckets)))
+    return tuples.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))).join(dealt, "__b").drop("__b")
+
+
 def densify(df: DataFrame, full_col: str, domain: DataFrame, ids, cols, fill: str | None = None, value=None, method: str = "product", only_domain: bool = True, final_dropna: bool = False) -> DataFrame:
     """Every value of ``domain`` for every id, with gaps filled forth, back, both ways or not at all.
 
@@ -149,7 +163,7 @@ def densify(df: DataFrame, full_col: str, domain: DataFrame, ids, cols, fill: st
         tuples = reduce(lambda a, b: a.crossJoin(b), [df.select(c).distinct() for c in ids])
     else:
         tuples = df.select(*ids).distinct()
-    grid = tuples.withColumn("__one", F.lit(1)).join(domain.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    grid = _every(tuples, domain, full_col)
     keys = [*ids, full_col]
     full = grid.withColumn("__in", F.lit(True)).join(df.select(*keys, *cols), keys, "left" if method == "product" else "full_outer")
     order = Order(ids, full_col)
@@ -195,5 +209,15 @@ def top_rows(df: DataFrame, label: str, cols, n: int = 1, largest: bool = True)
 
 
 def bootstrap(df: DataFrame, rounds: int, seed: int = 0, out: str = "round") -> DataFrame:
-    """``rounds`` samples with replacement of about the size of ``df``, numbered from 0."""
-    return reduce(lambda a, b: a.unionByName(b), [df.sample(True, 1.0, seed + k).withColumn(out, F.lit(k)) for k in range(rounds)])
+    """``rounds`` samples with replacement, numbered from 0, each with as many rows as ``df``.
+
+    The rows are numbered through by the sizes of the tasks' shares; draws are numbers, and meet the rows in an equi-join.
+    """
+    rows = cut(df.withColumn("__id", F.monotonically_increasing_id())).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # one row for each task that read rows
+    begin = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    numbered = rows.join(begin, "__part").withColumn("__k", F.col("__b") + F.col("__at")).drop("__part", "__at", "__id", "__b")
+    draws = df.sparkSession.range(total * rounds).select(F.floor(F.col("id") / max(total, 1)).cast("int").alias(out), F.floor(F.rand(seed) * total).cast("long").alias("__k"))
+    return numbered.join(draws, "__k").select(*[F.col(f"`{c}`") for c in df.columns], out)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SLOTS = 4096
 
 
@@ -38,6 +40,7 @@ def by_rejection(draws: DataFrame, draw: str, options: DataFrame, ident: str, we
     """``draws`` with an option, each try taking any one and keeping it with probability weight / largest weight.
 
     Rounds of tries run until every draw has an option: draws without one after ``tries`` tries go to the next round.
+    What a round leaves is written, so plans do not grow.
     """
     numbered = options.select(ident, weight, (F.row_number().over(Window.orderBy(ident)) - 1).cast("long").alias("__k"))
     n, top = numbered.agg(F.count(F.lit(1)), F.max(weight)).first()
@@ -49,10 +52,10 @@ def by_rejection(draws: DataFrame, draw: str, options: DataFrame, ident: str, we
         each = left.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
         each = each.withColumn("__k", F.floor(uniform(F.col(draw), F.col("__t"), F.lit(1)) * n).cast("long"))
         kept = each.join(numbered, "__k").where(uniform(F.col(draw), F.col("__t"), F.lit(2)) <= F.col(weight) / float(top))
-        first = kept.groupBy(draw).agg(F.min_by(ident, "__t").alias(ident))
+        first = cut(kept.groupBy(draw).agg(F.min_by(ident, "__t").alias(ident)))
         hit = left.join(first, draw)
         done = hit if done is None else done.unionByName(hit)
-        left, turn = left.join(first, draw, "left_anti"), turn + 1
+        left, turn = cut(left.join(first, draw, "left_anti")), turn + 1
     return done
 
 

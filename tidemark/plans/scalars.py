@@ -108,7 +108,7 @@ def vote_binary(spark, d):
     return table(spark, d, "lineitem").select(*KEYS, X.vote_binary(F.array(D() * 10, F.col("l_tax") * 10), 0.45).alias("y"))
 
 
-@query("vote_prob_multi")
+@query("vote_prob_multi", "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_tax + l_discount * 2 > l_discount + l_tax THEN 1 ELSE 0 END AS INTEGER) AS y FROM lineitem")
 def vote_multi(spark, d):
     return table(spark, d, "lineitem").select(*KEYS, X.vote_multi(F.array(F.array(D(), F.col("l_tax")), F.array(F.col("l_tax"), D() * 2))).alias("y"))
 

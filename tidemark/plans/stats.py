@@ -156,8 +156,11 @@ def weibullcdf(spark, d):
 
 for _name, _params in (("norm", (50.0, 10.0)), ("lognorm", (3.0, 0.5)), ("t", (5.0, 50.0, 10.0)), ("f", (5.0, 9.0)), ("chi2", (40.0,))):
     query({"t": "tcdf", "f": "fcdf"}.get(_name, _name + "cdf"))(lambda spark, d, n=_name, p=_params: events(spark, d).select("event_id", D.cdf_column(n, F.col("value"), p).alias("p")))
-for _name, _f in (("tpdf", lambda x: D.student_pdf(x, 5.0, 50.0, 10.0)), ("fpdf", lambda x: D.f_pdf(x, 5.0, 9.0)), ("chi2pdf", lambda x: D.chi2_pdf(x, 40.0))):
-    query(_name)(lambda spark, d, f=_f: events(spark, d).select("event_id", f(F.col("value")).alias("p")))
+for _name, _f, _sql in (
+        ("tpdf", lambda x: D.student_pdf(x, 5.0, 50.0, 10.0), "exp(lgamma(3.0) - lgamma(2.5)) / sqrt(5 * pi()) / 10 * pow(1 + pow((value - 50) / 10, 2) / 5, -3.0)"),
+        ("fpdf", lambda x: D.f_pdf(x, 5.0, 9.0), "CASE WHEN value > 0 THEN exp(2.5 * ln(5 / 9.0) + lgamma(7.0) - lgamma(2.5) - lgamma(4.5) + 1.5 * ln(CASE WHEN value > 0 THEN value END) - 7 * ln(1 + 5 / 9.0 * value)) ELSE 0 END"),
+        ("chi2pdf", lambda x: D.chi2_pdf(x, 40.0), "CASE WHEN value > 0 THEN exp(-20 * ln(2) - lgamma(20.0) + 19 * ln(CASE WHEN value > 0 THEN value END) - value / 2) ELSE 0 END")):
+    query(_name, f"SELECT event_id, round({_sql}, 11) AS p FROM events")(lambda spark, d, f=_f: events(spark, d).select("event_id", F.round(f(F.col("value")), 11).alias("p")))
 
 
 def _fitted(name, fit, dist, arrange=lambda p: p):
