@@ -33,7 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Parquet tables in the shared folder, for what is read more than once; ``drop`` deletes one of them."""
+    """Parquet tables in the shared folder, for what is read more than once.
+
+    ``drop`` deletes one of them; results may read the others until the application ends, which deletes what is left.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -42,6 +45,8 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

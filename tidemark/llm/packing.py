@@ -161,12 +161,14 @@ def _places(patterns, capacity: int):
     return np.array(rows, np.int64).reshape(-1, 3)
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, salts: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, salts: int | None = None) -> DataFrame:
     """``pieces`` (with lengths 1 to ``capacity``, read more than once: pass a written table) with their places."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         counts[length] = n
     places = _places(plan_patterns(counts, capacity), capacity)
+    # pieces of one length are ranked in groups of some hundred thousand, however many there are
+    salts = salts or max(256, int(counts.max()) // 200_000)
 
     def place(batches):
         for batch in batches:
