@@ -140,11 +140,11 @@ def crosstab(df: DataFrame, a: str, b: str, values: list | None = None, margins:
 def _every(tuples: DataFrame, domain: DataFrame, col: str, most: int = 100_000) -> DataFrame:
     """Each of ``tuples`` with each value of ``domain``.
 
-    Up to ``most`` values go along as one array; more are dealt into buckets, each of which every tuple meets once.
+    Up to ``most`` values are broadcast; more are dealt into buckets, each of which every tuple meets once.
     """
     n = domain.count()
     if n <= most:
-        return tuples.join(F.broadcast(domain.agg(F.collect_list(col).alias("__d")))).withColumn(col, F.explode("__d")).drop("__d")
+        return tuples.crossJoin(F.broadcast(domain))
     buckets = -(-n // 1000)
     dealt = domain.withColumn("__b", F.pmod(F.xxhash64(col), F.lit(buckets)))
     return tuples.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))).join(dealt, "__b").drop("__b")
