@@ -9,6 +9,7 @@ from ..functions import distributions as D
 from ..functions import scalars as C
 from ..operators import scoring as S
 from ..operators import stats as ST
+from . import integrals as I
 from .registry import query, table
 from .series import events
 
@@ -35,9 +36,13 @@ query("chi2fit", _C + " SELECT round(df, 5) AS df, round(loc, 5) AS loc, round(s
 query("ffit", _F + " SELECT round(d1, 5) AS d1, round(d2, 5) AS d2 FROM q")(lambda spark, d: _row(spark, ("d1", "d2"), D.fit_f(_positive(spark, d), "x")))
 
 
-@query("weibullfit", f"""WITH RECURSIVE x AS (SELECT x / (SELECT max(x) FROM {_POS}) AS x FROM {_POS}), c AS (SELECT avg(ln(x)) AS c FROM x),
+_W = f"""WITH RECURSIVE x AS (SELECT x / (SELECT max(x) FROM {_POS}) AS x FROM {_POS}), c AS (SELECT avg(ln(x)) AS c FROM x),
 b AS (SELECT 0 AS n, CAST(0.05 AS DOUBLE) AS lo, CAST(50 AS DOUBLE) AS hi UNION ALL SELECT n + 1, CASE WHEN s > 0 THEN lo ELSE sqrt(lo * hi) END, CASE WHEN s > 0 THEN sqrt(lo * hi) ELSE hi END
-FROM (SELECT n, lo, hi, (SELECT sum(pow(x, sqrt(lo * hi)) * ln(x)) / sum(pow(x, sqrt(lo * hi))) FROM x) - 1 / sqrt(lo * hi) - (SELECT c FROM c) AS s FROM b WHERE n < 60)) SELECT round(hi, 4) AS shape FROM b WHERE n = 60""")
+FROM (SELECT n, lo, hi, (SELECT sum(pow(x, sqrt(lo * hi)) * ln(x)) / sum(pow(x, sqrt(lo * hi))) FROM x) - 1 / sqrt(lo * hi) - (SELECT c FROM c) AS s FROM b WHERE n < 60)),
+q AS (SELECT hi AS shape, (SELECT max(x) FROM {_POS}) * pow((SELECT avg(pow(x, hi)) FROM x), 1 / hi) AS scale FROM b WHERE n = 60)"""
+
+
+@query("weibullfit", _W + " SELECT round(shape, 4) AS shape FROM q")
 def weibull(spark, d):
     return spark.createDataFrame([(round(D.fit_weibull(_positive(spark, d), "x")[0], 4),)], "shape double")
 
@@ -52,9 +57,36 @@ _pdf("t", D.fit_student, lambda x, p: D.student_pdf(x, *p), _T + f" SELECT event
 _pdf("chi2", D.fit_chi2, lambda x, p: D.chi2_pdf(x, *p), _C + f""" SELECT event_id, CASE WHEN z > 0 THEN round(exp(-(df / 2) * ln(2) - lgamma(df / 2) - ln(scale) + (df / 2 - 1) * ln(CASE WHEN z > 0 THEN z ELSE 1 END) - z / 2), 9) ELSE 0 END AS p
 FROM (SELECT event_id, (x - loc) / scale AS z, df, scale FROM {_POS}, q)""")
 _pdf("f", D.fit_f, lambda x, p: D.f_pdf(x, *p), _F + f" SELECT event_id, round(exp(d1 / 2 * ln(d1 / d2) + lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2) + (d1 / 2 - 1) * ln(x) - (d1 + d2) / 2 * ln(1 + d1 / d2 * x)), 9) AS p FROM {_POS}, q")
-_pdf("weibull", D.fit_weibull, lambda x, p: D.weibull_pdf(p[0], p[1], x))
-for _n, _fit in (("norm", D.fit_normal), ("lognorm", D.fit_lognormal), ("t", D.fit_student), ("chi2", D.fit_chi2), ("f", D.fit_f), ("weibull", D.fit_weibull)):
-    query(f"fit_{_n}_cdf")(lambda spark, d, n=_n, fit=_fit: _positive(spark, d).select("event_id", D.cdf_column(n, F.col("x"), fit(_positive(spark, d), "x")).alias("p")))
+_pdf("weibull", D.fit_weibull, lambda x, p: D.weibull_pdf(p[0], p[1], x), _W + f" SELECT event_id, round(shape / scale * pow(x / scale, shape - 1) * exp(-pow(x / scale, shape)), 9) AS p FROM {_POS}, q")
+
+#: Distribution functions of x under the parameters of q, and these parameters in order.
+_FITS = {
+    "norm": (D.fit_normal, f"WITH q AS (SELECT avg(x) AS mu, stddev_pop(x) AS sigma FROM {_POS})", ("mu", "sigma"), I.normal("((x - mu) / sigma)")),
+    "lognorm": (D.fit_lognormal, f"WITH q AS (SELECT avg(ln(x)) AS mu, stddev_pop(ln(x)) AS sigma FROM {_POS})", ("mu", "sigma"), I.normal("((ln(x) - mu) / sigma)")),
+    "t": (D.fit_student, _T, ("df", "loc", "scale"), I.student("((x - loc) / scale)", "df")), "chi2": (D.fit_chi2, _C, ("df", "loc", "scale"), I.gamma("(df / 2)", "((x - loc) / scale / 2)")),
+    "f": (D.fit_f, _F, ("d1", "d2"), I.beta("(d1 / 2)", "(d2 / 2)", "(d1 * x / (d1 * x + d2))")), "weibull": (D.fit_weibull, _W, ("shape", "scale"), "1 - exp(-pow(x / scale, shape))"),
+}
+
+
+def _both(name, fit, head, names, cdf):
+    digits = 5 if name == "weibull" else 7  # its shape is searched, not computed
+
+    @query(f"fit_{name}_cdf", f"{head} SELECT event_id, round({cdf}, {digits}) AS p FROM {_POS}, q")
+    def fitted(spark, d):
+        return _positive(spark, d).select("event_id", F.round(D.cdf_column(name, F.col("x"), fit(_positive(spark, d), "x")), digits).alias("p"))
+
+    values = ", ".join(f"round({n}, 4) AS p{k}" for k, n in enumerate(names))
+    test = I.kolmogorov(f"(SELECT * FROM (SELECT x, count(*) AS n FROM {_POS} GROUP BY x), q)", cdf)
+
+    @query(f"{name}test", f"{head} SELECT {values}, n, round(statistic, 7) AS statistic, round(p_value, 6) AS p_value FROM ({test}), q")
+    def tested(spark, d):
+        p = fit(_positive(spark, d), "x")
+        done = ST.ks_test(_positive(spark, d), "x", name, p)
+        return done.select(*[F.lit(round(float(v), 4)).alias(f"p{k}") for k, v in enumerate(p)], "n", F.round("statistic", 7).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+
+
+for _n, _parts in _FITS.items():
+    _both(_n, *_parts)
 
 
 @query("r2_by_r2adj", "SELECT l_orderkey, l_linenumber, round(1 - (1 - l_discount) * 47 / 49, 9) AS r2 FROM lineitem")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..operators import stats as S
+from . import integrals as I
 from .registry import query, table
 from .series import PRE, UP, USER, W, events
 
@@ -154,8 +155,11 @@ def weibullcdf(spark, d):
     return events(spark, d).select("event_id", F.round(D.cdf_column("weibull", F.col("value"), (1.5, 40.0)), 12).alias("p"))
 
 
-for _name, _params in (("norm", (50.0, 10.0)), ("lognorm", (3.0, 0.5)), ("t", (5.0, 50.0, 10.0)), ("f", (5.0, 9.0)), ("chi2", (40.0,))):
-    query({"t": "tcdf", "f": "fcdf"}.get(_name, _name + "cdf"))(lambda spark, d, n=_name, p=_params: events(spark, d).select("event_id", D.cdf_column(n, F.col("value"), p).alias("p")))
+for _name, _key, _params, _z, _sql in (
+        ("normcdf", "norm", (50.0, 10.0), "(value - 50) / 10.0", I.normal("z")), ("lognormcdf", "lognorm", (3.0, 0.5), "CASE WHEN value > 0 THEN (ln(CASE WHEN value > 0 THEN value END) - 3) / 0.5 ELSE -40.0 END", I.normal("z")),
+        ("tcdf", "t", (5.0, 50.0, 10.0), "(value - 50) / 10.0", I.student("z", "5.0")), ("fcdf", "f", (5.0, 9.0), "5 * greatest(value, 0) / (5 * greatest(value, 0) + 9)", I.beta("2.5", "4.5", "z")), ("chi2cdf", "chi2", (40.0,), "value / 2", I.gamma("20.0", "z"))):
+    query(_name, f"SELECT event_id, round({_sql}, 7) AS p FROM (SELECT event_id, {_z} AS z FROM events)")(
+        lambda spark, d, n=_key, p=_params: events(spark, d).select("event_id", F.round(D.cdf_column(n, F.col("value"), p), 7).alias("p")))
 for _name, _f, _sql in (
         ("tpdf", lambda x: D.student_pdf(x, 5.0, 50.0, 10.0), "exp(lgamma(3.0) - lgamma(2.5)) / sqrt(5 * pi()) / 10 * pow(1 + pow((value - 50) / 10, 2) / 5, -3.0)"),
         ("fpdf", lambda x: D.f_pdf(x, 5.0, 9.0), "CASE WHEN value > 0 THEN exp(2.5 * ln(5 / 9.0) + lgamma(7.0) - lgamma(2.5) - lgamma(4.5) + 1.5 * ln(CASE WHEN value > 0 THEN value END) - 7 * ln(1 + 5 / 9.0 * value)) ELSE 0 END"),
@@ -163,24 +167,6 @@ for _name, _f, _sql in (
     query(_name, f"SELECT event_id, round({_sql}, 11) AS p FROM events")(lambda spark, d, f=_f: events(spark, d).select("event_id", F.round(f(F.col("value")), 11).alias("p")))
 
 
-def _fitted(name, fit, dist, arrange=lambda p: p):
-    def run(spark, d):
-        df = events(spark, d).where("value > 0")
-        p = arrange(fit(df, "value"))
-        tested = S.ks_test(df, "value", dist, p)
-        return tested.select(*[F.lit(float(v)).alias(f"p{i}") for i, v in enumerate(p)], "n", "statistic", "p_value")
-
-    query(name)(run)
-
-
-_fitted("normtest", D.fit_normal, "norm")
-_fitted("lognormtest", D.fit_lognormal, "lognorm")
-_fitted("weibulltest", D.fit_weibull, "weibull")
-_fitted("ttest", D.fit_student, "t")
-_fitted("chi2test", D.fit_chi2, "chi2")
-_fitted("ftest", D.fit_f, "f")
-
-
 @query("normfit", "SELECT round(avg(value), 8) AS mu, round(stddev_pop(value), 8) AS sigma FROM events")
 def normfit(spark, d):
     return events(spark, d).agg(F.round(F.avg("value"), 8).alias("mu"), F.round(F.stddev_pop("value"), 8).alias("sigma"))
@@ -223,16 +209,27 @@ def anova(spark, d):
     return S.anova(events(spark, d), "value", "event_type").select(F.round("f", 6).alias("f"), "df_between", "df_within")
 
 
-@query("ind_ttest")
+def _two_sided(t: str, free: str, rows: str) -> str:
+    return f"SELECT round(t, 6) AS t, round(df, 6) AS df, round({I.student_p('t', 'df')}, 6) AS p_value FROM (SELECT {t} AS t, CAST({free} AS DOUBLE) AS df FROM {rows})"
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) for c in df.columns])
+
+
+@query("ind_ttest", _two_sided("(a - b) / sqrt(p + q)", "pow(p + q, 2) / (p * p / (m - 1) + q * q / (n - 1))", """(SELECT m, n, a, b, v / m AS p, w / n AS q FROM (SELECT count(value) FILTER (event_type = 'view') AS m, count(value) FILTER (event_type = 'click') AS n, avg(value) FILTER (event_type = 'view') AS a,
+avg(value) FILTER (event_type = 'click') AS b, var_samp(value) FILTER (event_type = 'view') AS v, var_samp(value) FILTER (event_type = 'click') AS w FROM events))"""))
 def ind(spark, d):
-    return S.t_test_independent(events(spark, d), "value", "event_type", "view", "click", equal=False)
+    return _rounded(S.t_test_independent(events(spark, d), "value", "event_type", "view", "click", equal=False))
 
 
-@query("rel_ttest")
+@query("rel_ttest", _two_sided("m * sqrt(n) / s", "n - 1", "(SELECT count(*) AS n, avg(l_discount - l_tax) AS m, stddev_samp(l_discount - l_tax) AS s FROM lineitem)"))
 def rel(spark, d):
-    return S.t_test_paired(table(spark, d, "lineitem"), "l_discount", "l_tax")
+    return _rounded(S.t_test_paired(table(spark, d, "lineitem"), "l_discount", "l_tax"))
 
 
-@query("var_hom_test")
+@query("var_hom_test", f"""WITH c AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1), e AS (SELECT event_type, abs(value - m) AS e FROM events JOIN c USING (event_type)),
+g AS (SELECT event_type, count(*) AS n, avg(e) AS m, var_pop(e) AS v FROM e GROUP BY 1), s AS (SELECT CAST(count(*) - 1 AS DOUBLE) AS d1, CAST(sum(n) - count(*) AS DOUBLE) AS d2, (sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) AS b, sum(n * v) AS w FROM g),
+t AS (SELECT b / d1 / (w / d2) AS f, d1, d2 FROM s) SELECT round(f, 6) AS f, d1 AS df_between, d2 AS df_within, round({I.f_p('f', 'd1', 'd2')}, 6) AS p_value FROM t""")
 def levene(spark, d):
-    return S.variance_test(events(spark, d), "value", "event_type")
+    return _rounded(S.variance_test(events(spark, d), "value", "event_type"))
