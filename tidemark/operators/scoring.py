@@ -83,6 +83,14 @@ def column_weights(matrix: DataFrame) -> DataFrame:
     return matrix.join(sums, "b").groupBy(F.col("a").alias("name")).agg(F.avg(F.col("value") / F.col("s")).alias("weight"))
 
 
+def column_consistency(matrix: DataFrame) -> DataFrame:
+    """(ci): the consistency index with the eigenvalue that the column weights give; 0 for up to two items."""
+    w = column_weights(matrix)
+    products = matrix.join(w, F.col("b") == F.col("name")).groupBy("a").agg(F.sum(F.col("value") * F.col("weight")).alias("y"))
+    both = products.join(w, F.col("a") == F.col("name")).agg(F.avg(F.try_divide("y", "weight")).alias("top"), F.count(F.lit(1)).alias("n"))
+    return both.select(F.when(F.col("n") <= 2, 0.0).otherwise(F.try_divide(F.col("top") - F.col("n"), F.col("n") - 1)).alias("ci"))
+
+
 def eigen_weights(matrix: np.ndarray, random_index: float | None = None) -> tuple[np.ndarray, float, float | None]:
     """(weights, consistency index, ratio) of a small matrix on the driver, from its principal eigenvector."""
     values, vectors = np.linalg.eig(np.asarray(matrix, float))

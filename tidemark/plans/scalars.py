@@ -56,7 +56,10 @@ _line("aes_round_trip", lambda: X.decrypt(X.encrypt(F.concat_ws("-", "l_returnfl
 _line("md5", lambda: F.md5(F.concat_ws("-", "l_returnflag", "l_orderkey")), "md5(l_returnflag || '-' || l_orderkey)", None)
 
 
-@query("hmac_sha256")
+_INNER, _OUTER = ("".join(f"\\x{b ^ pad:02X}" for b in b"secret".ljust(64, b"\0")) for pad in (0x36, 0x5C))
+
+
+@query("hmac_sha256", f"SELECT o_orderkey, sha256('{_OUTER}'::BLOB || unhex(sha256('{_INNER}'::BLOB || encode(CAST(o_orderkey AS VARCHAR))))) AS y FROM orders")
 def hmac(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.hmac_sha256(F.col("o_orderkey").cast("string"), "secret").alias("y"))
 

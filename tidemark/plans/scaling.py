@@ -57,9 +57,12 @@ def softmax(spark, d):
     return S.softmax(events(spark, d), ["user_id"], "value").select("event_id", F.round("softmax", 10).alias("softmax"))
 
 
-@query("softmax2d")
+@query("softmax2d", """WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), e AS (SELECT vec_id, list_transform(a, lambda x: exp(x - list_max(a))) AS e FROM a)
+SELECT vec_id, unnest(range(len(e))) AS place, unnest(list_transform(e, lambda x: round(x / list_sum(e), 10))) AS softmax FROM e""")
 def softmax2d(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", X.softmax_array(F.col("embedding")).alias("softmax"))
+    """One row for each element of each vector."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(X.softmax_array(F.col("embedding"))).alias("place", "softmax"))
+    return rows.select("vec_id", F.col("place").cast("long").alias("place"), F.round("softmax", 10).alias("softmax"))
 
 
 @query("scale_skl_std", "SELECT l_orderkey, l_linenumber, round((l_quantity - a) / b, 8) AS l_quantity FROM lineitem, (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS b FROM lineitem)")
@@ -87,7 +90,7 @@ def miss(spark, d):
     return S.miss_rate(_sparse(spark, d))
 
 
-@query("drop_miss_feature")
+@query("drop_miss_feature", f"SELECT event_id, b FROM {_SP}")
 def drop_cols(spark, d):
     return S.drop_sparse_columns(_sparse(spark, d), limit=0.6)
 

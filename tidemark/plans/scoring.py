@@ -24,9 +24,9 @@ def entropy(spark, d):
     return S.entropy_weights(parts(spark, d), ["p_size", "p_retailprice"], ["p_retailprice"]).withColumn("weight", F.round("weight", 7))
 
 
-@query("entropy_weight_score")
+@query("entropy_weight_score", _W + f" SELECT p_partkey, round((hu * u + hv * v) / (hu + hv), 7) AS score FROM (SELECT p_partkey, {_UNIT} FROM part, e), h")
 def entropy_score(spark, d):
-    return S.entropy_scores(parts(spark, d), ["p_size", "p_retailprice"], ["p_retailprice"]).select("p_partkey", "score")
+    return S.entropy_scores(parts(spark, d), ["p_size", "p_retailprice"], ["p_retailprice"]).select("p_partkey", F.round("score", 7).alias("score"))
 
 
 @query("topsis", """WITH e AS (SELECT sqrt(sum(CAST(p_size AS DOUBLE) * p_size)) AS n, max(p_size) AS b, min(p_size) AS a, sqrt(sum(p_retailprice * p_retailprice)) AS m, max(p_retailprice) AS d, min(p_retailprice) AS c FROM part),
@@ -61,14 +61,36 @@ def column_weights(spark, d):
     return S.column_weights(_judged(spark, d)).withColumn("weight", F.round("weight", 9))
 
 
-@query("cal_weights")
-def eigen(spark, d):
+#: The principal eigenvector by repeated products, and the largest eigenvalue as the sum of the next product.
+_E = _J.replace("WITH r AS", "WITH RECURSIVE r AS") + """, m AS (SELECT list(a ORDER BY a) AS names, list(row ORDER BY a) AS m FROM (SELECT a, list(value ORDER BY b) AS row FROM j GROUP BY a)),
+p AS (SELECT 0 AS step, names, m, list_transform(m, lambda row: 1.0 / len(m)) AS v FROM m UNION ALL SELECT step + 1, names, m, list_transform(y, lambda z: z / list_sum(y)) FROM (SELECT step, names, m, list_transform(m, lambda row: list_dot_product(row, v)) AS y FROM p WHERE step < 200))"""
+
+
+def _matrix(spark, d):
+    """The judgements of the five regions as a matrix."""
     rows = _judged(spark, d).collect()
     items = sorted({r.a for r in rows})
     m = np.ones((len(items), len(items)))
     for r in rows:
         m[items.index(r.a), items.index(r.b)] = r.value
-    return spark.createDataFrame([(int(k), float(w)) for k, w in zip(items, S.eigen_weights(m)[0])], "name int, weight double")
+    return items, m
+
+
+@query("cal_weights", _E + " SELECT unnest(names) AS name, unnest(list_transform(v, lambda x: round(x, 7))) AS weight FROM p WHERE step = 200")
+def eigen(spark, d):
+    items, m = _matrix(spark, d)
+    return spark.createDataFrame([(int(k), round(float(w), 7)) for k, w in zip(items, S.eigen_weights(m)[0])], "name int, weight double")
+
+
+@query("cal_CI", _E + " SELECT round((list_sum(list_transform(m, lambda row: list_dot_product(row, v))) - len(m)) / (len(m) - 1), 7) + 0.0 AS ci FROM p WHERE step = 200")
+def consistency(spark, d):
+    return spark.createDataFrame([(round(float(S.eigen_weights(_matrix(spark, d)[1])[1]), 7) + 0.0,)], "ci double")
+
+
+@query("cal_CI_sim", _J + """, s AS (SELECT b, sum(value) AS s FROM j GROUP BY 1), w AS (SELECT a, avg(value / s) AS w FROM j JOIN s USING (b) GROUP BY 1), p AS (SELECT j.a, sum(value * w) AS y FROM j JOIN w ON j.b = w.a GROUP BY 1)
+SELECT round((avg(y / w) - count(*)) / (count(*) - 1), 7) AS ci FROM p JOIN w USING (a)""")
+def consistency_by_columns(spark, d):
+    return S.column_consistency(_judged(spark, d)).select(F.round("ci", 7).alias("ci"))
 
 
 @query("get_RIs")

@@ -115,10 +115,16 @@ def zigzag(spark, d):
     return E.zigzag(events(spark, d).withColumn("low", F.col("value") * 0.9), USER, "value", "low", 30.0, relative=False).select("event_id", "zigzag")
 
 
-@query("rolling_curvature_3point")
+_XY = ", ".join(f"{move}({c}, 3) OVER w AS {c}{k}" for k, move in ((0, "lag"), (2, "lead")) for c in "xy")
+
+
+@query("rolling_curvature_3point", f"""WITH a AS (SELECT event_id, user_id, ts, floor(epoch(ts)) / 3600.0 AS x, value AS y FROM events), p AS (SELECT event_id, x, y, {_XY} FROM a WINDOW w AS ({W})),
+s AS (SELECT *, sqrt(pow(x - x0, 2) + pow(y - y0, 2)) AS a, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS b FROM p), t AS (SELECT event_id, a, b, (x - x0) / nullif(a, 0) AS p, (x2 - x) / nullif(b, 0) AS q, (y - y0) / nullif(a, 0) AS r, (y2 - y) / nullif(b, 0) AS s FROM s),
+u AS (SELECT event_id, (p * b + q * a) / (a + b) AS dx, (q - p) / (a + b) * 2 AS ex, (r * b + s * a) / (a + b) AS dy, (s - r) / (a + b) * 2 AS ey FROM t)
+SELECT event_id, round((ex * dy - ey * dx) / nullif(pow(dx * dx + dy * dy, 1.5), 0), 7) AS curvature FROM u""")
 def curve(spark, d):
     df = events(spark, d).withColumn("x", F.unix_seconds(F.col("ts").cast("timestamp")) / 3600.0)
-    return E.rolling_curvature(df, USER, "x", "value").select("event_id", "curvature")
+    return E.rolling_curvature(df, USER, "x", "value").select("event_id", F.round("curvature", 7).alias("curvature"))
 
 
 @query("backpack01_float_dy")
@@ -136,13 +142,21 @@ def _parts(spark, d):
     return table(spark, d, "part").select("p_brand", "p_size", "p_retailprice", "p_partkey")
 
 
-@query("backpack01_int_dy")
+def _loads(capacity: int) -> str:
+    """The best value of every capacity, one part after another, as all sizes are whole."""
+    return f"""WITH RECURSIVE a AS (SELECT p_brand, CAST(p_size AS INTEGER) AS w, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part),
+s AS (SELECT p_brand, CAST(0 AS BIGINT) AS r, list_transform(range({capacity} + 1), lambda c: CAST(0 AS DOUBLE)) AS best FROM a GROUP BY 1
+UNION ALL SELECT s.p_brand, s.r + 1, list_transform(range({capacity} + 1), lambda c: CASE WHEN c >= a.w THEN greatest(s.best[c + 1], s.best[c - a.w + 1] + a.v) ELSE s.best[c + 1] END) FROM s JOIN a ON a.p_brand = s.p_brand AND a.r = s.r + 1)
+SELECT p_brand, round(max(best[{capacity} + 1]), 4) AS total FROM s GROUP BY 1"""
+
+
+@query("backpack01_int_dy", _loads(120))
 def knapsack_whole(spark, d):
     """Whole weights; the capacity is that of the other knapsack query, and so are the totals."""
     return solve.knapsack_value_by(_parts(spark, d), "p_brand", "p_retailprice", "p_size", 120).withColumn("total", F.round("total", 4))
 
 
-@query("backpack01_float_dy_smp")
+@query("backpack01_float_dy_smp", _loads(60))
 def knapsack_value(spark, d):
     return solve.knapsack_value_by(_parts(spark, d), "p_brand", "p_retailprice", "p_size", 60.0, whole=False).withColumn("total", F.round("total", 4))
 
@@ -158,7 +172,7 @@ def nearest(spark, d):
     return solve.nearest_sum_by(table(spark, d, "lineitem").select("l_suppkey", "l_quantity"), "l_suppkey", "l_quantity", 137.0)
 
 
-@query("find_addends_backpack01float")
+@query("find_addends_backpack01float", _SUMS.replace("CAST(l_quantity AS INTEGER)", "CAST(round(l_tax * 100) AS INTEGER)").replace("137", "55").replace("CAST(max(list_max(reach)) AS DOUBLE)", "max(list_max(reach)) / 100"))
 def nearest_broken(spark, d):
     return solve.nearest_sum_by(table(spark, d, "lineitem").select("l_suppkey", "l_tax"), "l_suppkey", "l_tax", 0.55).withColumn("total", F.round("total", 6))
 
@@ -199,11 +213,17 @@ def forward_splits(spark, d):
     return done.select("user_id", "step", F.when(F.col("step") <= 3, "valid").otherwise("test").alias("split"), F.round("forecast", 8).alias("forecast"))
 
 
-@query("forward_valid_test_predict_X2d_y1dsteps")
+#: Two values a block from the last three, (a, b, c): their mean and c; the next block starts from c, the mean and c.
+_BLOCKS = """f AS (SELECT * FROM s UNION ALL SELECT user_id, k + 1, c, (a + b + c) / 3, c FROM f WHERE k < 3), g AS (SELECT user_id, 2 * k - 1 AS step, b AS forecast FROM f WHERE k > 0 UNION ALL SELECT user_id, 2 * k, c FROM f WHERE k > 0)"""
+
+
+@query("forward_valid_test_predict_X2d_y1dsteps", f"""WITH RECURSIVE h AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT user_id, 0 AS k, max(value) FILTER (r = n - 8) AS a, max(value) FILTER (r = n - 7) AS b, max(value) FILTER (r = n - 6) AS c FROM h WHERE n > 9 GROUP BY 1), {_BLOCKS}
+SELECT user_id, step, round(forecast, 8) AS forecast, CASE WHEN step <= 3 THEN 'valid' ELSE 'test' END AS split FROM g""")
 def forward_split_steps(spark, d):
     rows = events(spark, d).withColumns({"__r": USER.row(), "__n": F.count(F.lit(1)).over(USER.whole())}).where("__n > 9 AND __r <= __n - 6")
     done = L.recursive_forecast(rows.select("user_id", "ts", "event_id", "value"), USER, "value", 3, 6, lambda x: [x.mean(), x[-1]], steps=2)
-    return done.withColumn("split", F.when(F.col("step") <= 3, "valid").otherwise("test"))
+    return done.select("user_id", "step", F.round("forecast", 8).alias("forecast"), F.when(F.col("step") <= 3, "valid").otherwise("test").alias("split"))
 
 
 @query("genXy_X2d_y1d1step", f"""SELECT * FROM (SELECT user_id, CAST(ts AS VARCHAR) AS ts, event_id, lag(value, 4) OVER ({W}) AS value_lag4, lag(value, 3) OVER ({W}) AS value_lag3, lag(value, 2) OVER ({W}) AS value_lag2, event_id AS x_event_id, value AS y0, row_number() OVER ({W}) AS rn FROM events) WHERE rn > 4""".replace("SELECT * FROM (", "SELECT * EXCLUDE (rn) FROM ("))
@@ -236,6 +256,8 @@ def recursive(spark, d):
     return L.recursive_forecast(events(spark, d), USER, "value", 2, 5, lambda x: 2 + 0.6 * x[1] + 0.3 * x[0]).withColumn("forecast", F.round("forecast", 8))
 
 
-@query("forward_predict_X2d_y1dsteps")
+@query("forward_predict_X2d_y1dsteps", f"""WITH RECURSIVE h AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+s AS (SELECT user_id, 0 AS k, max(value) FILTER (r = 3) AS a, max(value) FILTER (r = 2) AS b, max(value) FILTER (r = 1) AS c FROM h GROUP BY 1), {_BLOCKS}
+SELECT user_id, step, CASE WHEN (SELECT count(*) FROM h WHERE h.user_id = g.user_id) > 2 THEN round(forecast, 8) END AS forecast FROM g""")
 def recursive_steps(spark, d):
-    return L.recursive_forecast(events(spark, d), USER, "value", 3, 6, lambda x: [x.mean(), x[-1]], steps=2)
+    return L.recursive_forecast(events(spark, d), USER, "value", 3, 6, lambda x: [x.mean(), x[-1]], steps=2).withColumn("forecast", F.round("forecast", 8))

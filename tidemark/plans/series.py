@@ -100,7 +100,13 @@ for _last in (False, True):
         lambda spark, d, last=_last: S.replace_repeat(_signal(spark, d), USER, "x", F.col("x") == 1, F.lit(0), F.col("x") == 0, keep_last=last).select("event_id", "x"))
 
 
-@query("replace_repeat_gap")
+#: Rows of each user in order, for rules that look back at what they kept.
+_ROWS = f"a AS (SELECT event_id, user_id, value, CASE WHEN value > 50 THEN 1 WHEN value > 25 THEN 0 ELSE -1 END AS x, row_number() OVER ({W}) AS rn FROM events)"
+
+
+@query("replace_repeat_gap", f"""WITH RECURSIVE {_ROWS}, r AS (SELECT user_id, rn, event_id, x, CASE WHEN x = 1 THEN rn END AS kept FROM a WHERE rn = 1
+UNION ALL SELECT a.user_id, a.rn, a.event_id, CASE WHEN a.x = 1 AND a.rn - r.kept <= 2 THEN 0 ELSE a.x END, CASE WHEN a.x = -1 THEN NULL WHEN a.x = 0 OR a.rn - r.kept <= 2 THEN r.kept ELSE a.rn END FROM r JOIN a ON a.user_id = r.user_id AND a.rn = r.rn + 1)
+SELECT event_id, x FROM r""")
 def replace_gap(spark, d):
     return S.replace_repeat_gap(_signal(spark, d), USER, "x", 1, 0, gap=2).select("event_id", "x")
 
@@ -161,7 +167,9 @@ def turn(spark, d):
     return S.turns(events(spark, d), USER, "value").select("event_id", "turn")
 
 
-@query("filter_by_func_prenext_series")
+@query("filter_by_func_prenext_series", f"""WITH RECURSIVE {_ROWS}, r AS (SELECT user_id, rn, event_id, value AS kept, value AS last FROM a WHERE rn = 1
+UNION ALL SELECT a.user_id, a.rn, a.event_id, CASE WHEN a.value >= r.last + 5 THEN a.value END, CASE WHEN a.value >= r.last + 5 THEN a.value ELSE r.last END FROM r JOIN a ON a.user_id = r.user_id AND a.rn = r.rn + 1)
+SELECT event_id, kept FROM r""")
 def chain(spark, d):
     return S.chain_filter(events(spark, d), USER, "value", lambda a, b: b >= a + 5).select("event_id", "kept")
 
