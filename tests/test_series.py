@@ -53,7 +53,10 @@ def test_repeats(spark):
     keep = {False: [0, 1, 0, 0, 0, -1, 0, 1, 0], True: [0, 0, 0, 0, 1, -1, 0, 0, 1]}
     for last, want in keep.items():
         assert column(S.replace_repeat(df, ORDER, "x", F.col("x") == 1, F.lit(0), F.col("x") == 0, keep_last=last), "x") == want
-    assert column(S.replace_repeat_gap(df, ORDER, "x", 1, 0, gap=2), "x") == [0, 1, 0, 0, 1, -1, 0, 1, 0]
+    assert column(S.replace_repeat_gap(df, ORDER, "x", 1, 0, gap=3), "x") == [0, 1, 0, 0, 1, -1, 0, 1, 0]
+    other = frame(spark, [-1, 1, -1, 0, 1, 0, 1, 1, -1])
+    assert column(S.replace_repeat_gap(other, ORDER, "x", 1, 0, gap=5), "x") == [-1, 1, -1, 0, 1, 0, 0, 0, -1]
+    assert column(S.replace_repeat_gap(other, ORDER, "x", lambda x: x > 0, lambda x: min(x, 0), gap=1), "x") == [-1, 1, -1, 0, 1, 0, 0, 0, -1]
 
 
 def test_segments_turns_and_chain(spark):

@@ -244,6 +244,13 @@ def animal(year: Column) -> Column:
     return F.substring(F.lit(ANIMALS), F.pmod(year - 1984, F.lit(12)).cast("int") + 1, F.lit(1))
 
 
+def years_of_animal(sign: Column, until: int, n: int) -> Column:
+    """The last ``n`` years of a sign up to a year, latest first; null for what is no sign."""
+    place = F.instr(F.lit(ANIMALS), sign) - 1
+    latest = F.lit(until) - F.pmod(F.lit(until - 1984) - place, F.lit(12))
+    return F.when((place >= 0) & (F.length(sign) == 1), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: latest - k * 12))
+
+
 #: Last day of each western sign in its month, from January, and the signs in that order; fixed values.
 SIGN_ENDS = (19, 18, 20, 19, 20, 21, 22, 22, 22, 23, 22, 21)
 SIGNS = ("Capricorn", "Aquarius", "Pisces", "Aries", "Taurus", "Gemini", "Cancer", "Leo", "Virgo", "Libra", "Scorpio", "Sagittarius")

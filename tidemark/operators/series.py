@@ -108,18 +108,23 @@ def replace_repeat(df: DataFrame, order: Order, col: str, hit: Column, filler: C
 
 
 def replace_repeat_gap(df: DataFrame, order: Order, col: str, val, val0, gap: int, keep_last: bool = False) -> DataFrame:
-    """As replace_repeat with values, but a hit stays again once ``gap`` rows have passed since the one kept."""
+    """As replace_repeat with values, but a hit stays again from ``gap`` rows behind the one kept on; 1 is no limit.
+
+    ``val`` is the value of hits or says of a value whether it is one, ``val0`` what hits become or gives it for a value.
+    """
+    hit = val if callable(val) else lambda x: x == val
+    filler = val0 if callable(val0) else lambda x: val0
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(order.by), ascending=not keep_last, kind="stable")
         out, kept = [], None
         for n, x in enumerate(frame[col].tolist()):
-            if x == val:
-                if kept is not None and n - kept <= gap:
-                    out.append(val0)
+            if hit(x):
+                if kept is not None and (gap == 1 or n - kept < gap):
+                    out.append(filler(x))
                     continue
                 kept = n
-            elif x != val0:
+            elif x != filler(x):
                 kept = None
             out.append(x)
         return frame.assign(**{col: out})

@@ -190,3 +190,12 @@ def now(spark, d):
 
 for _name, _part, _size in (("today_date", "date", 10), ("today_month", "month", 6), ("today_quarter", "quarter", 6)):
     query(_name, f"SELECT {_size} AS size")(lambda spark, d, p=_part: spark.range(1).select(F.length(D.now_parts()[p]).alias("size")))
+
+
+@query("get_age_by_shuxiang", """WITH c AS (SELECT c_custkey, substr('鼠牛虎兔龙蛇马羊猴鸡狗猪', CAST(c_custkey % 12 + 1 AS BIGINT), 1) AS sign FROM customer), y AS (SELECT CAST(y AS INTEGER) AS year, substr('鼠牛虎兔龙蛇马羊猴鸡狗猪', CAST((y + 8) % 12 + 1 AS BIGINT), 1) AS sign FROM range(1987, 2023) t(y))
+SELECT c_custkey, year, 2022 - year AS age FROM c JOIN y USING (sign)""")
+def ages(spark, d):
+    """The three latest years up to 2022 of a sign of each customer."""
+    sign = F.substring(F.lit(D.ANIMALS), (F.col("c_custkey") % 12).cast("int") + 1, F.lit(1))
+    rows = table(spark, d, "customer").select("c_custkey", F.explode(D.years_of_animal(sign, 2022, 3)).alias("year"))
+    return rows.select("c_custkey", F.col("year").cast("int").alias("year"), (2022 - F.col("year")).cast("int").alias("age"))

@@ -105,10 +105,26 @@ _ROWS = f"a AS (SELECT event_id, user_id, value, CASE WHEN value > 50 THEN 1 WHE
 
 
 @query("replace_repeat_gap", f"""WITH RECURSIVE {_ROWS}, r AS (SELECT user_id, rn, event_id, x, CASE WHEN x = 1 THEN rn END AS kept FROM a WHERE rn = 1
-UNION ALL SELECT a.user_id, a.rn, a.event_id, CASE WHEN a.x = 1 AND a.rn - r.kept <= 2 THEN 0 ELSE a.x END, CASE WHEN a.x = -1 THEN NULL WHEN a.x = 0 OR a.rn - r.kept <= 2 THEN r.kept ELSE a.rn END FROM r JOIN a ON a.user_id = r.user_id AND a.rn = r.rn + 1)
+UNION ALL SELECT a.user_id, a.rn, a.event_id, CASE WHEN a.x = 1 AND a.rn - r.kept < 3 THEN 0 ELSE a.x END, CASE WHEN a.x = -1 THEN NULL WHEN a.x = 0 OR a.rn - r.kept < 3 THEN r.kept ELSE a.rn END FROM r JOIN a ON a.user_id = r.user_id AND a.rn = r.rn + 1)
 SELECT event_id, x FROM r""")
 def replace_gap(spark, d):
-    return S.replace_repeat_gap(_signal(spark, d), USER, "x", 1, 0, gap=2).select("event_id", "x")
+    return S.replace_repeat_gap(_signal(spark, d), USER, "x", 1, 0, gap=3).select("event_id", "x")
+
+
+@query("replace_repeat_func_iter", f"""WITH RECURSIVE {_ROWS}, r AS (SELECT user_id, rn, event_id, value AS v, CASE WHEN value > 50 THEN rn END AS kept FROM a WHERE rn = 1
+UNION ALL SELECT a.user_id, a.rn, a.event_id, CASE WHEN a.value > 50 AND a.rn - r.kept < 4 THEN 30 ELSE a.value END, CASE WHEN a.value > 30 AND a.value <= 50 THEN NULL WHEN a.value <= 30 OR a.rn - r.kept < 4 THEN r.kept ELSE a.rn END FROM r JOIN a ON a.user_id = r.user_id AND a.rn = r.rn + 1)
+SELECT event_id, v FROM r""")
+def replace_gap_by_rule(spark, d):
+    """Values over 50 that come less than 4 rows behind one that stays become 30; those from 30 to 50 begin anew."""
+    done = S.replace_repeat_gap(events(spark, d), USER, "value", lambda x: x > 50, lambda x: min(x, 30.0), gap=4)
+    return done.select("event_id", F.col("value").alias("v"))
+
+
+@query("replace_repeat_func_pd", f"""WITH a AS (SELECT event_id, value, last_value(CASE WHEN value > 30 THEN value > 50 END IGNORE NULLS) OVER {PRE} AS p FROM events) SELECT event_id, CASE WHEN value > 50 AND p THEN 30 ELSE value END AS v FROM a""")
+def replace_by_rule(spark, d):
+    low = F.lit(30.0)
+    done = S.replace_repeat(events(spark, d), USER, "value", high(), F.least("value", low), F.col("value") <= low)
+    return done.select("event_id", F.col("value").alias("v"))
 
 
 @query("cut_df_by_con_val", f"""

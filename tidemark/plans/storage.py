@@ -185,3 +185,29 @@ def files_info(spark, d):
 def find_in_folder(spark, d):
     found = files.find_lines(files.lines(spark, f"{_files(spark, d)}/*"), '[^,]*,.*7', regex=True)
     return found.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("get_file_info", "SELECT 1 AS n, TRUE AS filled")
+def one_file(spark, d):
+    path = f"{_files(spark, d)}/part1"
+    return files.file_info(spark, path, "*.csv").agg(F.count(F.lit(1)).cast("int").alias("n"), (F.min("length") > 0).alias("filled"))
+
+
+@query("replace_str_in_files", "SELECT replace(s_name, '#', '-') AS value FROM supplier")
+def replace_in_files(spark, d):
+    path = folder(spark)
+    for k in range(2):
+        files.save_lines(_suppliers(spark, d).where(F.col("s_suppkey") % 2 == k).select(F.col("s_name").alias("value")), f"{path}/old{k}")
+    new = files.lines(spark, [f"{path}/old0", f"{path}/old1"]).select(files.replace_text(F.col("value"), "#", "-").alias("value"))
+    files.save_lines(new, f"{path}/new")
+    return files.lines(spark, f"{path}/new").select("value")
+
+
+@query("load_df_pd", "SELECT kind, s_suppkey AS k, s_name AS name FROM supplier, (VALUES ('csv'), ('json'), ('orc'), ('parquet')) t(kind)")
+def every_format(spark, d):
+    path, rows = folder(spark), _suppliers(spark, d).selectExpr("s_suppkey AS k", "s_name AS name")
+    done = []
+    for kind in ("csv", "json", "orc", "parquet"):
+        files.save(rows, f"{path}/t.{kind}")
+        done.append(files.load(spark, f"{path}/t.{kind}", schema="k long, name string").withColumn("kind", F.lit(kind)))
+    return done[0].unionByName(done[1]).unionByName(done[2]).unionByName(done[3])
