@@ -56,7 +56,9 @@ def test_repeats(spark):
     assert column(S.replace_repeat_gap(df, ORDER, "x", 1, 0, gap=3), "x") == [0, 1, 0, 0, 1, -1, 0, 1, 0]
     other = frame(spark, [-1, 1, -1, 0, 1, 0, 1, 1, -1])
     assert column(S.replace_repeat_gap(other, ORDER, "x", 1, 0, gap=5), "x") == [-1, 1, -1, 0, 1, 0, 0, 0, -1]
-    assert column(S.replace_repeat_gap(other, ORDER, "x", lambda x: x > 0, lambda x: min(x, 0), gap=1), "x") == [-1, 1, -1, 0, 1, 0, 0, 0, -1]
+    assert column(S.replace_repeat_gap(other, ORDER, "x", lambda x: x > 0, lambda x: 0, gap=1), "x") == [-1, 1, -1, 0, 1, 0, 0, 0, -1]
+    # a value that the rule leaves as it is breaks no run
+    assert column(S.replace_repeat_gap(other, ORDER, "x", lambda x: x > 0, lambda x: min(x, 0), gap=1), "x") == [-1, 1, -1, 0, 0, 0, 0, 0, -1]
 
 
 def test_segments_turns_and_chain(spark):
