@@ -35,7 +35,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes and more that occur twice are cut out; every document stays, with its new length.
 
-    200 bytes are some 35 words of running text, so a passage of over 50 words is found whole, whatever its words.
+    200 bytes are some 35 words of running text, so a passage of over 50 words is found whole, unless its words have less
+    than three letters on average.
     """
     cut = drop_repeated_passages(docs, length=200)
     return cut.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")) if "n_chars" in cut.columns else cut

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -70,3 +71,34 @@ def test_run_packs_what_the_stages_keep(spark):
     for r in pieces:
         filled[r.sequence_id] += r.length
     assert max(filled.values()) <= 1024
+
+
+@pytest.mark.parametrize("name", ["edges", "nothing"])
+def test_stages_on_edge_cases(request, spark, tmp_path, name):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names and no rows at all pass through every stage."""
+    docs = request.getfixturevalue(name)
+    columns = docs.columns
+    for stage, apply in corpus_pipeline.STAGES:
+        before = Counter(r.doc_id for r in docs.collect())
+        apply(spark, docs, FOLDER).write.parquet(f"{tmp_path}/{stage}")
+        docs = spark.read.parquet(f"{tmp_path}/{stage}")
+        after = Counter(r.doc_id for r in docs.collect())
+        if stage != "packing":
+            assert docs.columns == columns and not after - before
+        assert stage not in ("passage dedup", "packing") or set(after) == set(before)
+
+
+def test_passages_of_over_50_words_go(spark, tmp_path):
+    """Planted passages of 51 words are cut from every document that has them; the other documents stay as they are."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    planted = [some(51) for _ in range(4)]
+    texts = {k: " ".join([some(60), planted[k % 4], some(80)] if k % 3 else [some(150)]) for k in range(60)}
+    rows = [(k, t, "en", "a/b", len(t)) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    for r in corpus_pipeline.passages(spark, spark.read.parquet(f"{tmp_path}/docs"), FOLDER).collect():
+        if r.doc_id % 3:
+            assert planted[r.doc_id % 4][1:-1] not in r.text and len(texts[r.doc_id]) - r.n_chars >= len(planted[r.doc_id % 4])
+        else:
+            assert r.text == texts[r.doc_id]
