@@ -162,7 +162,8 @@ def fit_lognormal(df: DataFrame, col: str) -> tuple[float, float]:
 
 
 def fit_weibull(df: DataFrame, col: str, rounds: int = 40) -> tuple[float, float]:
-    """Maximum likelihood (shape, scale) of the positive values: bisection on the shape, ten shapes a pass over the rows."""
+    """Maximum likelihood (shape, scale) of the positive values: a bracket of the shape, narrowed by ten shapes a pass over the
+    rows; within the last one the score is a straight line."""
     x = df.where(F.col(col) > 0).select(F.col(col).cast("double").alias("x"))
     mean, top = x.agg(F.avg(F.ln("x")), F.max("x")).first()
     if mean is None:
@@ -174,9 +175,10 @@ def fit_weibull(df: DataFrame, col: str, rounds: int = 40) -> tuple[float, float
         score = [sums[f"l{i}"] / sums[f"s{i}"] - 1 / k - mean for i, k in enumerate(tries)]
         k = next((i for i, s in enumerate(score) if s > 0), len(tries) - 1)
         low, high = tries[max(0, k - 1)], tries[k]
-        if high - low < 1e-9 * high:
+        below, above = score[max(0, k - 1)], score[k]
+        if high - low < 1e-8 * high:
             break
-    shape = math.sqrt(low * high)
+    shape = float(low - below * (high - low) / (above - below)) if below <= 0 < above else math.sqrt(low * high)
     return shape, top * x.agg(F.avg(F.pow(F.col("x") / top, F.lit(shape)))).first()[0] ** (1 / shape)
 
 

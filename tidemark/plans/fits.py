@@ -158,4 +158,4 @@ def pooled(spark, d):
 def pooled_free(spark, d):
     both = _two(spark, d).where("n0 > 2 AND n1 > 2")
     n = F.col("n0") + F.col("n1")
-    return both.select("user_id", F.round(ST.pooled_variance(*[F.col(c) for c in ("n0", "m0", "v0", "n1", "m1", "v1")]) * n / (n - 2), 6).alias("v"))
+    return both.select("user_id", F.round(F.round(ST.pooled_variance(*[F.col(c) for c in ("n0", "m0", "v0", "n1", "m1", "v1")]) * n / (n - 2), 9), 6).alias("v"))  # exact halves stay halves
