@@ -68,10 +68,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_documents
+
+    return align_documents(documents(spark, sf_dir)).withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_toxicity, op3_quality_classifier, op4_suffix_array_dedup, op5_token_counts, op6_sentencepiece,
-        op7_minhash_near_dedup, op8_tiff_media, op9_language_id, op10_best_fit_packing)}
+        op7_minhash_near_dedup, op8_tiff_media, op9_language_id, op10_best_fit_packing,
+        op11_tokenizer_alignment)}
 
 
 OP1_SQL = r"""
