@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -34,3 +35,24 @@ def edges(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def nothing(edges):
     return edges.limit(0)
+
+
+@pytest.fixture(scope="session")
+def same_as_sql(spark):
+    """A function that holds a corpus query to its SQL over the smallest tables."""
+    import duckdb
+
+    from tidemark.llm.queries import oracle_sql, queries
+    from tidemark.session import ship_package
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+
+    def check(name: str) -> None:
+        ship_package(spark)
+        want, got = duck.sql(oracle_sql()[name]), queries()[name](spark, SMALL)
+        assert sorted(got.columns) == sorted(want.columns)
+        order = sorted(want.columns)
+        assert Counter(tuple(r) for r in got.select(order).collect()) == Counter(want.select(*order).fetchall())
+
+    return check

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._shared import documents, labels
 
@@ -74,11 +75,18 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(documents(spark, sf_dir)).withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    sharded = shard_documents(documents(spark, sf_dir))
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_toxicity, op3_quality_classifier, op4_suffix_array_dedup, op5_token_counts, op6_sentencepiece,
         op7_minhash_near_dedup, op8_tiff_media, op9_language_id, op10_best_fit_packing,
-        op11_tokenizer_alignment)}
+        op11_tokenizer_alignment, op13_sharding)}
 
 
 OP1_SQL = r"""
@@ -87,6 +95,45 @@ g AS (SELECT h, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*) AS gr
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)
 """
 
+#: A table of the 256 remainders, and the CRC-32 of a string with it.
+CRC_SQL = """
+crc_steps(n, k, v) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS crc FROM crc_steps WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])))"
+
+
+#: step: one shard of a greedy walk with the capacity mid; at its end mid is feasible or not.  laid: the walk with the least capacity.
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 16 AS size, sha256(coalesce(text, '')) AS h FROM documents),
+g AS (SELECT h, sum(size)::BIGINT AS b FROM d GROUP BY h),
+o AS (SELECT h, b, row_number() OVER (ORDER BY b DESC, h) AS r, sum(b) OVER (ORDER BY b DESC, h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM g),
+a AS (SELECT h, b, r, bool_and(b * (41 - r) > rest) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS alone FROM o),
+n AS (SELECT count(*) FILTER (alone) AS own, 40 - count(*) FILTER (alone) AS k, coalesce(sum(b) FILTER (NOT alone), 0)::BIGINT AS total FROM a),
+p AS (SELECT h, b, (sum(b) OVER (ORDER BY h))::BIGINT AS e FROM a WHERE NOT alone),
+step AS (
+  SELECT (total + k - 1) // k AS lo, total AS hi, ((total + k - 1) // k + total) // 2 AS mid, 0::BIGINT AS x, 0 AS j FROM n
+  UNION ALL
+  SELECT lo, hi, (lo + hi) // 2, x, j FROM (
+    SELECT CASE WHEN x < total AND j = k THEN mid + 1 ELSE lo END AS lo, CASE WHEN x = total THEN mid ELSE hi END AS hi,
+      CASE WHEN x = total OR j = k THEN 0 ELSE coalesce(e, 0) END AS x, CASE WHEN x = total OR j = k THEN 0 ELSE j + 1 END AS j
+    FROM (SELECT s.*, p.e FROM step s ASOF LEFT JOIN p ON s.x + s.mid >= p.e) CROSS JOIN n WHERE lo < hi)),
+least AS (SELECT min(hi) AS c FROM step),
+laid AS (
+  SELECT 0 AS j, 0::BIGINT AS x UNION ALL
+  SELECT j + 1, e FROM (SELECT l.j, l.x, p.e FROM (SELECT j, x, x + c AS y FROM laid, least) l ASOF JOIN p ON l.y >= p.e), n WHERE x < total),
+s AS (
+  SELECT h, (r - 1)::INT AS shard FROM a WHERE alone UNION ALL
+  SELECT h, (own + (SELECT count(*) FROM laid WHERE j > 0 AND x <= p.e - p.b))::INT FROM p, n)
+SELECT doc_id, size, {_crc32("t")} AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY sha256(doc_id::VARCHAR), doc_id, h) - 1 AS slot, NULL::INT AS grown_shard
+FROM d JOIN s USING (h), crc
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op13_sharding": OP13_SQL}
