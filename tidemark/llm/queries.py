@@ -75,6 +75,12 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(documents(spark, sf_dir)).withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_forms
+
+    return spelling_forms(documents(spark, sf_dir))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -86,7 +92,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_toxicity, op3_quality_classifier, op4_suffix_array_dedup, op5_token_counts, op6_sentencepiece,
         op7_minhash_near_dedup, op8_tiff_media, op9_language_id, op10_best_fit_packing,
-        op11_tokenizer_alignment, op13_sharding)}
+        op11_tokenizer_alignment, op12_spelling_forms, op13_sharding)}
 
 
 OP1_SQL = r"""
@@ -106,6 +112,26 @@ def _crc32(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])))"
 
 
+#: Near words share a string with one letter left out, or one is the other with one left out.
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY id, run),
+h AS (SELECT run, n, {_crc32("id || ':' || run")} AS h FROM c, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+y AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM x),
+near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM y a JOIN y b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT y.word, v.word, v.n FROM y JOIN v ON v.word = y.cut
+  UNION SELECT v.word, y.word, y.n FROM y JOIN v ON v.word = y.cut),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN b USING (word)),
+follow(word, root) AS (SELECT word, word FROM f UNION ALL SELECT follow.word, f.form FROM follow JOIN f ON f.word = follow.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, follow.root, f.n, f.n_near, f.form_n FROM f JOIN follow USING (word) JOIN f AS last ON last.word = follow.root WHERE last.form IS NULL
+"""
+
 #: step: one shard of a greedy walk with the capacity mid; at its end mid is feasible or not.  laid: the walk with the least capacity.
 OP13_SQL = f"""
 WITH RECURSIVE {CRC_SQL},
@@ -136,4 +162,4 @@ FROM d JOIN s USING (h), crc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op13_sharding": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op12_spelling_forms": OP12_SQL, "op13_sharding": OP13_SQL}
