@@ -119,7 +119,6 @@ def test_extrema_rules():
         kept = extrema.prune(v, extrema.turning_marks(v), extrema.Limits(3, min_val=8.0))
         spots = [k for k, m in enumerate(kept) if m]
         assert all(kept[a] == -kept[b] and (v[b] - v[a]) * kept[b] > 0 for a, b in zip(spots, spots[1:]))
-    assert extrema.zigzag_marks([1, 5, 9, 4, 2, 6, 8], [1, 5, 9, 4, 2, 6, 8], 3, 3, False) == [-1.0, 0.0, 1.0, 0.0, -1.0, 0.0, 0.5]
 
 
 def test_labels_of_the_last_row(spark):

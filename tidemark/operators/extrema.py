@@ -1,4 +1,4 @@
-"""Turning points under rules of distance and height, pivots of high and low series, curvature.
+"""Turning points under rules of distance and height, curvature.
 
 Which turning points stay depends on those kept before, so each key's rows are folded in one ``applyInPandas`` call.
 """
@@ -231,42 +231,6 @@ def last_extremum(df: DataFrame, order: Order, col: str, label: str, gap: int =
     return sure.groupBy(*order.key).agg(F.max_by(label, "__rn").alias("label"), F.max_by(col, "__rn").alias("value"), F.min(F.col("__n") - F.col("__rn")).alias("since"))
 
 
-def zigzag_marks(high: list[float], low: list[float], up: float, down: float, relative: bool = True) -> list[float]:
-    """1 at pivots above, -1 below, 0.5 or -0.5 at the last one, which later rows may still move."""
-    out = [0.0] * len(high)
-    if not high:
-        return out
-    top = bottom = 0
-    way, last = 0, None
-    for k in range(1, len(high)):
-        if way >= 0 and high[k] > high[top]:
-            top = k
-        if way <= 0 and low[k] < low[bottom]:
-            bottom = k
-        fall = high[top] - low[k]
-        rise = high[k] - low[bottom]
-        if relative:
-            fall, rise = (fall / abs(high[top]) if high[top] else 0.0), (rise / abs(low[bottom]) if low[bottom] else 0.0)
-        if way >= 0 and top < k and fall >= down:
-            out[top], way, bottom, last = 1.0, -1, k, top
-        elif way <= 0 and bottom < k and rise >= up:
-            out[bottom], way, top, last = -1.0, 1, k, bottom
-    spot = top if way > 0 else bottom if way < 0 else None
-    if spot is not None and spot != last:
-        out[spot] = 0.5 * way
-    return out
-
-
-def zigzag(df: DataFrame, order: Order, high: str, low: str, up: float, down: float | None = None, relative: bool = True, out: str = "zigzag") -> DataFrame:
-    """Pivots where a high is followed by a fall of ``down``, or a low by a rise of ``up`` (relative, or in values)."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order.by), kind="stable")
-        return frame.assign(**{out: zigzag_marks(frame[high].tolist(), frame[low].tolist(), up, up if down is None else down, relative)})
-
-    return df.groupBy(*order.key).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
-
-
 def curvature(x: list[Column], y: list[Column]) -> Column:
     """Signed curvature at the middle of three points, from the parabolas x(t), y(t) through them with t by chord length."""
     ta = F.sqrt(F.pow(x[1] - x[0], 2) + F.pow(y[1] - y[0], 2))

@@ -110,11 +110,6 @@ def gone(spark, d):
     return E.vanished(_snapshots(spark, d), USER, "place", 4, 1)
 
 
-@query("zigzag")
-def zigzag(spark, d):
-    return E.zigzag(events(spark, d).withColumn("low", F.col("value") * 0.9), USER, "value", "low", 30.0, relative=False).select("event_id", "zigzag")
-
-
 _XY = ", ".join(f"{move}({c}, 3) OVER w AS {c}{k}" for k, move in ((0, "lag"), (2, "lead")) for c in "xy")
 
 
