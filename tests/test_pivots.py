@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 
+from tidemark.operators.extrema import Limits, Prefixes, prune, turning_marks
 from tidemark.operators.order import Order
 from tidemark.operators.pivots import Leg, next_high, resumed_labels, zigzag, zigzag_labels
 
@@ -85,3 +87,25 @@ def test_frames(spark):
 def test_next_high_at_the_end():
     leg = Leg(min_val=1.0)
     assert next_high([1.0, 3.0], [1.0, 3.0], 0, leg, leg) == (1, True, False) and next_high([1.0], [1.0], 0, leg, leg) == (1, False, False)
+
+
+def test_prefixes_are_pruned_alike():
+    for rng, high, _ in walks(8, 120):
+        for values in (high, [float(int(x) // 2) for x in high]):
+            limits = Limits(rng.choice((0, 1, 2, 4)), rng.choice((math.inf, 8)), min_val=rng.choice((None, 2.0)), max_pct=rng.choice((None, 0.1)))
+            sofar = Prefixes(limits)
+            for k, x in enumerate(values, 1):
+                assert sofar.put(x) == prune(values[:k], turning_marks(values[:k]), limits)[-1]
+
+
+def test_prefixes_take_time_in_proportion():
+    rng, took = random.Random(1), []
+    values = [50.0]
+    for _ in range(40_000):
+        values.append(values[-1] + rng.gauss(0, 1))
+    for n in (10_000, 40_000):
+        sofar, begun = Prefixes(Limits(3, min_val=1.0)), time.process_time()
+        for x in values[:n]:
+            sofar.put(x)
+        took.append(time.process_time() - begun)
+    assert took[1] < 8 * took[0] and took[1] < 60

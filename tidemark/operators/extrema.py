@@ -77,15 +77,19 @@ def _both_ways(spots: list[tuple], limits: Limits) -> list[tuple]:
     return [(-p, v, m) for p, v, m in reversed(back)]
 
 
-def prune(values: list[float], marks: list[int], limits: Limits = Limits()) -> list[int]:
-    """The turning points that stay after sweeps forth and back, repeated until they are far enough apart or nothing changes."""
-    spots = [(k, values[k], m) for k, m in enumerate(marks) if m]
+def prune_spots(spots: list[tuple], limits: Limits = Limits()) -> list[tuple]:
+    """The turning points (place, value, label) that stay after sweeps forth and back, repeated until they are far enough apart or nothing changes."""
     if limits.t_min >= 1:
         spots, before = _both_ways(spots, limits), None
         while spots != before and len(spots) > 3 and any(b[0] - a[0] - 1 < limits.t_min for a, b in zip(spots, spots[1:])):
             spots, before = _both_ways(spots, limits), spots
+    return spots
+
+
+def prune(values: list[float], marks: list[int], limits: Limits = Limits()) -> list[int]:
+    """Labels of all rows: those of the turning points that stay, 0 elsewhere."""
     out = [0] * len(values)
-    for k, _, m in spots:
+    for k, _, m in prune_spots([(k, values[k], m) for k, m in enumerate(marks) if m], limits):
         out[k] = m
     return out
 
@@ -103,6 +107,122 @@ def turning_marks(values: list[float]) -> list[int]:
     return out
 
 
+class _Chain:
+    """A list of turning points that shares its beginning with others: the last point, and the chain before it.
+
+    Equal chains of one :class:`Prefixes` are one object.  ``tight``: two neighbours are closer than the limits have it.
+    ``forth`` is how far a sweep forth has come with what it knows: (kept chain, the points it cannot decide yet).
+    """
+
+    __slots__ = ("spot", "before", "size", "tight", "forth")
+
+    def __init__(self, spot: tuple, before: _Chain | None, limits: Limits):
+        self.spot, self.before, self.forth = spot, before, None
+        self.size = 1 + (before.size if before else 0)
+        self.tight = bool(before) and (before.tight or spot[0] - before.spot[0] - 1 < limits.t_min)
+
+
+class Prefixes:
+    """The label of the newest row among all rows so far, row by row, as :func:`prune` of those rows has it.
+
+    From row to row only the last turning point moves or one is added, so nearly all decisions of the sweeps are those of
+    the row before.  A sweep forth needs the next two points for a decision and keeps its state at each point of a chain;
+    a sweep back meets, after few points, a point and a last kept point that an earlier sweep back had met, and from there
+    on the result is the earlier one.  Chains are never changed, so both are looked up.
+    """
+
+    def __init__(self, limits: Limits):
+        self.limits, self.n = limits, 0
+        self.points: _Chain | None = None
+        self.first: tuple | None = None
+        self.chains: dict[tuple, _Chain] = {}
+        self.backs: dict[tuple, _Chain | None] = {}
+
+    def _chain(self, spot: tuple, before: _Chain | None) -> _Chain:
+        key = (spot[0], spot[2], id(before))
+        if key not in self.chains:
+            self.chains[key] = _Chain(spot, before, self.limits)
+        return self.chains[key]
+
+    def _gone(self, here: tuple, there: tuple, behind: tuple, last: tuple | None, way: int) -> int:
+        """How many points from ``here`` on a sweep leaves out; way: 1 forth, -1 back."""
+        up = here[2]
+        needed = up * here[1] >= up * behind[1] if last is None else up * here[1] > up * behind[1] or up * there[1] < up * last[1]
+        if needed or not self.limits._goes((way * here[0], here[1]), (way * there[0], there[1])):
+            return 0
+        return 1 if last is None else 2
+
+    def _forth_state(self, chain: _Chain) -> tuple[_Chain | None, tuple]:
+        todo, at = [], chain
+        while at is not None and at.forth is None:
+            todo.append(at)
+            at = at.before
+        kept, open_ = at.forth if at is not None else (None, ())
+        for at in reversed(todo):
+            open_ = (*open_, at.spot)
+            while len(open_) > 2:
+                gone = self._gone(*open_, kept.spot if kept else None, 1)
+                if not gone:
+                    kept = self._chain(open_[0], kept)
+                open_ = open_[gone or 1 :]
+            at.forth = kept, open_
+        return kept, open_
+
+    def _forth(self, chain: _Chain | None) -> _Chain | None:
+        if chain is None:
+            return None
+        kept, open_ = self._forth_state(chain)
+        for spot in open_:
+            kept = self._chain(spot, kept)
+        return kept
+
+    def _back(self, chain: _Chain | None) -> _Chain | None:
+        at, last, met, stayed = chain, None, [], []
+        while at is not None:
+            key = (id(at), last[0] if last else None)
+            if key in self.backs:
+                break
+            there = at.before
+            behind = there.before if there else None
+            gone = self._gone(at.spot, there.spot, behind.spot, last, -1) if behind else 0
+            met.append((key, None if gone else at.spot))
+            if gone:
+                at = there if gone == 1 else behind
+            else:
+                last, at = at.spot, there
+        result = self.backs[key] if at is not None else None
+        for key, spot in reversed(met):
+            if spot is not None:
+                result = self._chain(spot, result)
+            self.backs[key] = result
+        return result
+
+    def skip(self, value: float) -> None:
+        """Count a row in without asking for its label."""
+        place, self.n = self.n, self.n + 1
+        if self.points is None:
+            if self.first is None or value == self.first[1]:
+                self.first = self.first or (place, value)
+                return
+            step = 1 if value > self.first[1] else -1
+            self.points = self._chain((place, value, step), self._chain((*self.first, -step), None))
+            return
+        _, before, label = self.points.spot
+        step = (value > before) - (value < before)
+        if step:
+            self.points = self._chain((place, value, step), self.points.before if step == label else self.points)
+
+    def put(self, value: float) -> int:
+        """Count a row in; its label."""
+        self.skip(value)
+        kept = self.points
+        if self.limits.t_min >= 1:
+            kept, before = self._back(self._forth(kept)), None
+            while kept is not before and kept is not None and kept.size > 3 and kept.tight:
+                kept, before = self._back(self._forth(kept)), kept
+        return kept.spot[2] if kept is not None and kept.spot[0] == self.n - 1 else 0
+
+
 def find_extrema(df: DataFrame, order: Order, col: str, limits: Limits = Limits(), out: str = "extremum") -> DataFrame:
     """1 at kept peaks, -1 at kept troughs, else 0."""
     marked = turns(df, order, col, "__m")
@@ -117,17 +237,21 @@ def find_extrema(df: DataFrame, order: Order, col: str, limits: Limits = Limits(
 def last_labels(df: DataFrame, order: Order, col: str, window: int | None, least: int = 1, limits: Limits = Limits(), out: str = "extremum") -> DataFrame:
     """The label that each row has as the last of its window: the last ``window`` rows, or all rows so far if None.
 
-    Null until there are ``window`` (``least``) rows.
+    Null until there are ``window`` (``least``) rows.  All rows so far are not pruned afresh at each row: see :class:`Prefixes`.
     """
     first = window if window is not None else max(least, 1)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(order.by), kind="stable")
         values = frame[col].tolist()
-        labels: list = [None] * min(first - 1, len(values))
-        for k in range(first, len(values) + 1):
-            some = values[0 if window is None else k - window : k]
-            labels.append(prune(some, turning_marks(some), limits)[-1])
+        if window is None:
+            sofar = Prefixes(limits)
+            labels: list = [sofar.put(x) if k >= first else sofar.skip(x) for k, x in enumerate(values, 1)]
+        else:
+            labels = [None] * min(first - 1, len(values))
+            for k in range(first, len(values) + 1):
+                some = values[k - window : k]
+                labels.append(prune(some, turning_marks(some), limits)[-1])
         return frame.assign(**{out: pd.array(labels, dtype="Int32")})
 
     return df.groupBy(*order.key).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())]))
@@ -197,12 +321,34 @@ def vanished(signals: DataFrame, order: Order, place: str, where: int, tolerance
 
 
 def check_extrema(df: DataFrame, order: Order, col: str, label: str) -> DataFrame:
-    """(key, good): whether labels alternate and each peak is above the troughs beside it."""
-    hits = df.where(F.col(label) != 0)
+    """(key, good): whether the labels (1 peak, -1 trough, else 0 or null) are in order.
+
+    Three and more must alternate, and each two neighbours must be the highest and the lowest row of the closed stretch
+    between them; no row before the first or behind the last may go beyond it.  One or two labelled rows must be the
+    series' highest or lowest value, two of them one of each.  Without any the labels are not in order.
+    """
     w = order.window()
-    step = hits.withColumns({"__l": F.lag(label).over(w), "__v": F.lag(col).over(w)})
-    bad = (F.col("__l") == F.col(label)) | ((F.col(col) - F.col("__v")) * F.col(label) <= 0)
-    return step.groupBy(*order.key).agg((F.count_if(bad) == 0).alias("good"))
+    hit = F.coalesce(F.abs(F.col(label)) == 1, F.lit(False))
+    rows = df.withColumn("__s", F.coalesce(F.sum(hit.cast("long")).over(order.to_here()), F.lit(0)))
+    first = F.max_by(F.struct(F.col(label).cast("int").alias("m"), F.col(col).alias("v")), F.when(hit, 1))
+    parts = rows.groupBy(*order.key, "__s").agg(first.alias("__f"), F.max(col).alias("__hi"), F.min(col).alias("__lo"))
+    by_part = Window.partitionBy(*order.key).orderBy("__s")
+    top, low = F.greatest("__hi", F.lead("__f.v").over(by_part)), F.least("__lo", F.lead("__f.v").over(by_part))
+    mine, its, there = F.col("__f.m"), F.col("__f.v"), F.lead("__f.v").over(by_part)
+    ends = F.lead("__f").over(by_part).isNull()
+    beyond = F.when(mine == 1, its < F.col("__hi")).otherwise(its > F.col("__lo"))  # a row of the stretch goes beyond
+    ahead = F.lead("__f.m").over(by_part)
+    before = F.when(ahead == 1, there < F.col("__hi")).otherwise(there > F.col("__lo"))
+    bad = (F.when(F.col("__s") == 0, ~ends & before).when(ends, beyond)
+           .otherwise((mine == ahead) | (its == there) | F.when(mine == 1, (its != top) | (there != low)).otherwise((its != low) | (there != top))))
+    found = parts.withColumn("__bad", F.coalesce(bad, F.lit(False)))
+    whole = found.groupBy(*order.key).agg(
+        F.max("__s").alias("n"), F.count_if("__bad").alias("bad"), F.max("__hi").alias("hi"), F.min("__lo").alias("lo"),
+        F.max(F.when(F.col("__s") > 0, F.col("__f.v"))).alias("most"), F.min(F.when(F.col("__s") > 0, F.col("__f.v"))).alias("least"),
+        F.max_by("__f.m", "__f.v").alias("up"), F.min_by("__f.m", "__f.v").alias("down"))
+    one, two = (F.col("most") == F.col("hi")) | (F.col("most") == F.col("lo")), (F.col("most") == F.col("hi")) & (F.col("least") == F.col("lo")) & (F.col("most") > F.col("least"))
+    good = F.when(F.col("n") == 0, False).when(F.col("n") == 1, one).when(F.col("n") == 2, two & (F.col("up") == 1) & (F.col("down") == -1)).otherwise(F.col("bad") == 0)
+    return whole.select(*order.key, F.coalesce(good, F.lit(False)).alias("good"))
 
 
 def extremum_steps(df: DataFrame, order: Order, col: str, label: str) -> DataFrame:

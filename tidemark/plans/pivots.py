@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pivots as P
+from ..operators import signals as G
+from ..operators.extrema import Limits
 from .registry import query
 from .series import USER, W, events
 
@@ -96,3 +98,10 @@ def zigzag_resumed(spark, d):
     early = P.zigzag(rows.where("rn * 3 <= n * 2"), USER, "value", "low", PLAIN)
     came = rows.where("rn * 3 > n * 2").withColumn("zigzag", F.lit(None).cast("double"))
     return P.zigzag(early.unionByName(came), USER, "value", "low", PLAIN, label="zigzag").select("event_id", "zigzag")
+
+
+@query("find_maxmin_dy")
+def signals(spark, d):
+    """Troughs and peaks as they are called: at least 5 away, or a tenth of the value with the last opposite one 20 away."""
+    rules = G.Rules(Limits(t_min=2), G.Called(dif=(5.0, 90.0), pct=None), G.Called(pct=(0.1, 9.0), other_dif=20.0), start=6)
+    return G.call(events(spark, d), USER, "value", rules).select("event_id", "signal", "signal_kind")

@@ -35,9 +35,26 @@ def apart(spark, d):
     return E.drop_close(_extrema(spark, d), USER, "value", "extremum", 0.2).select("event_id", "extremum")
 
 
-@query("check_maxmins", "SELECT user_id, TRUE AS good FROM events GROUP BY user_id")
+_PEAKS = f"""e AS (SELECT user_id, value, row_number() OVER ({W}) AS rn, CASE WHEN value > lag(value) OVER ({W}) AND value > lead(value) OVER ({W}) THEN 1 WHEN value < lag(value) OVER ({W}) AND value < lead(value) OVER ({W}) THEN -1 ELSE 0 END AS m FROM events),
+e2 AS (SELECT user_id, value, rn, CASE WHEN user_id % 3 = 0 AND rn > 8 THEN 0 WHEN user_id % 5 = 0 AND rn <> 3 THEN 0 ELSE m END AS m FROM e)"""
+
+
+@query("check_maxmins", f"""WITH {_PEAKS},
+l AS (SELECT *, row_number() OVER v AS k, lead(rn) OVER v AS rn2, lead(value) OVER v AS value2, lead(m) OVER v AS m2 FROM e2 WHERE m <> 0 WINDOW v AS (PARTITION BY user_id ORDER BY rn)),
+u AS (SELECT user_id, max(value) AS hi, min(value) AS lo FROM e2 GROUP BY user_id),
+n AS (SELECT user_id, count(*) AS n, count(*) FILTER (m = 1) AS ups, max(value) AS most, min(value) AS least, min(rn) AS first, max(rn) AS last FROM l GROUP BY user_id),
+b AS (SELECT l.user_id, bool_or(l.m = l.m2 OR l.value = l.value2 OR e2.value > greatest(l.value, l.value2) OR e2.value < least(l.value, l.value2) OR (l.value - l.value2) * l.m < 0) AS bad FROM l JOIN e2 ON e2.user_id = l.user_id AND e2.rn BETWEEN l.rn AND l.rn2 WHERE l.rn2 IS NOT NULL GROUP BY 1),
+o AS (SELECT l.user_id, bool_or((e2.value - l.value) * l.m > 0) AS bad FROM l JOIN n USING (user_id) JOIN e2 ON e2.user_id = l.user_id AND (l.rn = n.first AND e2.rn < n.first OR l.rn = n.last AND e2.rn > n.last) GROUP BY 1)
+SELECT u.user_id, CASE WHEN n.n IS NULL THEN FALSE WHEN n.n = 1 THEN most IN (hi, lo) WHEN n.n = 2 THEN ups = 1 AND most > least AND most = hi AND least = lo AND NOT b.bad ELSE NOT b.bad AND NOT coalesce(o.bad, FALSE) END AS good
+FROM u LEFT JOIN n USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN o USING (user_id)""")
 def checked(spark, d):
-    return E.check_extrema(_extrema(spark, d), USER, "value", "extremum")
+    """Strict local extremes as labels, of some users only the first rows or one row: some are in order, some are not."""
+    w = USER.window()
+    before, behind = F.lag("value").over(w), F.lead("value").over(w)
+    label = F.when((F.col("value") > before) & (F.col("value") > behind), 1).when((F.col("value") < before) & (F.col("value") < behind), -1).otherwise(0)
+    rows = events(spark, d).withColumns({"label": label, "rn": USER.row()})
+    few = F.when((F.col("user_id") % 3 == 0) & (F.col("rn") > 8), 0).when((F.col("user_id") % 5 == 0) & (F.col("rn") != 3), 0).otherwise(F.col("label"))
+    return E.check_extrema(rows.withColumn("label", few), USER, "value", "label")
 
 
 @query("get_his_maxmin_info")
