@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import bisect
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.distributions import cdf_column
 from .order import Order
+from .ranges import running, same
+from .ranks import cum_rank
 
 # ---- metrics: aggregate Columns of a truth and a prediction column
 
@@ -160,18 +159,17 @@ def rolling_scale(df: DataFrame, order: Order, col: str, lag: int, kind: str = "
 
 
 def quantiles(df: DataFrame, key: list[str], col: str, method: str = "dense", out: str = "quantile") -> DataFrame:
-    """Each value's place in its group: dense rank over the highest dense rank, or mean rank over the number of rows."""
+    """Each value's place in its group: dense rank over the highest dense rank, or mean rank over the number of rows.
+
+    Values are counted first and run through in ranges, so no task holds a group.
+    """
     values = df.groupBy(*key, col).agg(F.count(F.lit(1)).alias("__n"))
-    some = F.col(col).isNotNull()
-    w = Window.partitionBy(*key, some).orderBy(col)
-    if method == "dense":
-        q = F.row_number().over(w) / F.count(F.lit(1)).over(Window.partitionBy(*key, some))
-    else:
-        upto = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        q = (upto - (F.col("__n") - 1) / 2.0) / F.sum("__n").over(Window.partitionBy(*key))
-    ranked = values.withColumn(out, F.when(some, q)).drop("__n").withColumnsRenamed({c: f"__k_{c}" for c in [*key, col]})
-    on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*key, col]]
-    return df.join(ranked, on, "left").drop(*[f"__k_{c}" for c in [*key, col]])
+    run = running(values.where(F.col(col).isNotNull()), list(key), [col], __upto=F.lit(1) if method == "dense" else F.col("__n"))
+    counted = F.count(col) if method == "dense" else F.sum("__n")
+    whole = values.groupBy(*[F.col(k).alias(f"__w_{k}") for k in key]).agg(counted.alias("__whole"))
+    q = F.col("__upto") / F.col("__whole") if method == "dense" else (F.col("__upto") - (F.col("__n") - 1) / 2.0) / F.col("__whole")
+    ranked = run.join(whole, same(list(key), [f"__w_{k}" for k in key])).select(*[F.col(c).alias(f"__k_{c}") for c in [*key, col]], q.alias(out))
+    return df.join(ranked, same([*key, col], [f"__k_{c}" for c in [*key, col]]), "left").select(*df.columns, out)
 
 
 def cum_unique(df: DataFrame, order: Order, col: str, skipna: bool = True, out: str = "n_unique") -> DataFrame:
@@ -182,36 +180,6 @@ def cum_unique(df: DataFrame, order: Order, col: str, skipna: bool = True, out:
     return (seen.withColumn(out, F.when(F.col(col).isNotNull(), F.col(out))) if skipna else seen).drop("__f")
 
 
-RANKS = ("min", "max", "average", "first", "dense")
-
-
-def cum_rank(df: DataFrame, order: Order, col: str, method: str = "dense", ascending: bool = True, out: str = "rank") -> DataFrame:
-    """Rank of each value among those so far in its key (ties by ``method``); null rows have none and do not count.
-
-    A running rank is no frame that SQL has: each key's rows are folded with a sorted list, n log n comparisons a key.
-    """
-    if method not in RANKS:
-        raise ValueError(f"method must be one of {RANKS}")
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order.by), kind="stable")
-        every, kinds, res = [], [], []
-        for x in frame[col].tolist():
-            if x is None or x != x:
-                res.append(None)
-                continue
-            v = x if ascending else -x
-            bisect.insort(every, v)
-            low, high = bisect.bisect_left(every, v), bisect.bisect_right(every, v)
-            k = bisect.bisect_left(kinds, v)
-            if k == len(kinds) or kinds[k] != v:
-                kinds.insert(k, v)
-            res.append({"min": low + 1, "max": high, "average": (low + 1 + high) / 2, "first": high, "dense": k + 1}[method])
-        return frame.assign(**{out: pd.Series(res, index=frame.index, dtype="float64")})
-
-    return df.groupBy(*order.key).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
-
-
 def cum_pct_loc(df: DataFrame, order: Order, col: str, method: str = "dense", out: str = "pct") -> DataFrame:
     """Running rank over the number of different values (dense) or of rows (average) so far."""
     ranked = cum_rank(df, order, col, method, out="__r")
@@ -306,11 +274,10 @@ def pooled_variance(n0, m0, v0, n1, m1, v1):
 
 
 def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
-    """(threshold, tpr, fpr) at every distinct score; the scores are counted first, and only the counts are run through."""
+    """(threshold, tpr, fpr) at every distinct score; the scores are counted first, and only the counts are run through, in ranges."""
     each = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(y).alias("__p"), F.sum(1 - F.col(y)).alias("__n"))
-    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     total = each.agg(F.sum("__p").alias("__tp"), F.sum("__n").alias("__tn"))
-    run = each.withColumns({"__cp": F.sum("__p").over(down), "__cn": F.sum("__n").over(down)})
+    run = running(each, [], [F.col("threshold").desc()], __cp=F.col("__p"), __cn=F.col("__n"))
     return run.join(F.broadcast(total)).select("threshold", F.try_divide(F.col("__cp"), F.col("__tp")).alias("tpr"), F.try_divide(F.col("__cn"), F.col("__tn")).alias("fpr"))
 
 

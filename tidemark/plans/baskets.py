@@ -86,12 +86,12 @@ def rules_by_level(spark, d):
 @query("rules2df", _SETS + """ SELECT array_to_string(a.items, '&') || ' -> ' || array_to_string(c.items, '&') AS rule, len(w.items) AS size, round(w.p / a.p, 9) AS confidence, rank() OVER (ORDER BY round(w.p, 9) DESC, round(w.p / a.p, 9) DESC, array_to_string(a.items, '&'), array_to_string(c.items, '&')) AS place
 FROM f w JOIN f a ON len(a.items) < len(w.items) AND list_has_all(w.items, a.items) JOIN f c ON len(c.items) = len(w.items) - len(a.items) AND list_has_all(w.items, c.items) AND NOT list_has_any(a.items, c.items) WHERE w.p / a.p > 0.02""")
 def rule_rows(spark, d):
-    """Rules as one line of text each, with their place; the rules of a corpus of baskets are few."""
-    from pyspark.sql import Window
+    """Rules as one line of text each, with their place, which is counted in ranges."""
+    from ..operators.ranges import running
 
     found = B.rules(_sets(spark, d), 0.02)
     rounded = found.select("antecedent", "consequent", F.round("support", 9).alias("support"), F.round("confidence", 9).alias("confidence"))
     text = {c: F.array_join(c, "&") for c in ("antecedent", "consequent")}
     size = (F.size("antecedent") + F.size("consequent")).cast("long")
-    placed = rounded.withColumn("size", size).withColumns(text).withColumn("place", F.rank().over(Window.orderBy(F.desc("support"), F.desc("confidence"), "antecedent", "consequent")).cast("long"))
+    placed = running(rounded.withColumn("size", size).withColumns(text), [], [F.desc("support"), F.desc("confidence"), "antecedent", "consequent"], place=F.lit(1))
     return placed.select(F.concat_ws(" -> ", "antecedent", "consequent").alias("rule"), "size", "confidence", "place")
