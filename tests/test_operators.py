@@ -188,6 +188,53 @@ def test_sinks_keep_rows_and_keys(spark, tmp_path):
         tables.drop_database(spark, "sinks")
 
 
+def test_sinks_rewrite_only_what_changes(spark, tmp_path):
+    import glob
+    import os
+
+    from tidemark.sources import tables
+
+    rows = [(k, float(k), f"p{k % 4}" if k % 4 else None) for k in range(40)]
+    spark.range(1).createOrReplaceTempView("a_view")
+    tables.create_database(spark, "parts", str(tmp_path / "parts"))
+    try:
+        tables.create(spark, "parts.t", {"k": "long", "v": "double", "s": "string"}, "k", "s")
+        tables.sink(spark.createDataFrame(rows, "k long, v double, s string"), "parts.t", "insert")
+
+        def times():
+            return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{tmp_path}/parts/t/**/*.parquet", recursive=True)}
+
+        def stored():
+            return {r.k: (r.v, r.s) for r in spark.table("parts.t").collect()}
+
+        before, want = times(), {k: (v, s) for k, v, s in rows}
+        tables.sink(spark.createDataFrame([(1, -1.0, "p1"), (50, 5.0, "p9")], "k long, v double, s string"), "parts.t")
+        want |= {1: (-1.0, "p1"), 50: (5.0, "p9")}
+        after = times()
+        assert stored() == want and {f for f in before if "s=p1" not in f} == {f for f in before if after.get(f) == before[f]}
+        tables.remove(spark, "parts.t", "s = 'p2' OR k = 50 OR s IS NULL")  # whole partitions, the one of null too
+        want = {k: x for k, x in want.items() if x[1] not in ("p2", "p9", None)}
+        assert stored() == want and {r.partition for r in tables.partitions(spark, "parts.t").collect()} == {"s=p1", "s=p3"}
+        tables.sink(spark.createDataFrame([(k, 0.0, "it's") for k in range(3, 40, 4)], "k long, v double, s string"), "parts.t", keys="k")  # p3 is empty now
+        want |= {k: (0.0, "it's") for k in range(3, 40, 4)}
+        assert stored() == want and tables.partitions(spark, "parts.t").count() == 2
+        tables.rename_columns(spark, "parts.t", {"k": "id", "s": "part"})
+        assert tables.primary_key(spark, "parts.t") == ["id"] and tables.partition_columns(spark, "parts.t") == ["part"] and tables.tables(spark, "parts") == ["t"]
+        tables.retype_columns(spark, "parts.t", {"v": "int"})
+        tables.drop_columns(spark, "parts.t", "v")
+        assert tables.partition_columns(spark, "parts.t") == ["part"]
+        for bad in ([(5, "x"), (5, "y")], [(None, "x")], [(1, "x")]):
+            with pytest.raises(ValueError):
+                tables.sink(spark.createDataFrame(bad, "id long, part string"), "parts.t", "insert")
+        with pytest.raises(ValueError):
+            tables.sink(spark.createDataFrame([(5, "x"), (5, "y")], "id long, part string"), "parts.t")
+        tables.unpartition(spark, "parts.t")
+        assert tables.partition_columns(spark, "parts.t") == [] and spark.table("parts.t").count() == len(want)
+    finally:
+        tables.drop_database(spark, "parts")
+        spark.catalog.dropTempView("a_view")
+
+
 def test_bootstrap_and_dense_grid(spark):
     df = spark.range(0, 500, 1, 4).withColumn("v", F.col("id") * 2)
     got = frame.bootstrap(df, 3, seed=4).collect()

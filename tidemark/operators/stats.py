@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.distributions import cdf_column
 from .order import Order
 from .ranges import running, same
-from .ranks import cum_rank
+from .ranks import RANKS, cum_rank  # noqa: F401
 
 # ---- metrics: aggregate Columns of a truth and a prediction column
 

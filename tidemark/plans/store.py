@@ -13,8 +13,8 @@ from ..sources import tables as T
 from .registry import query, table
 from .storage import folder
 
-_OLD = "(SELECT c_custkey AS k, c_acctbal AS v, c_mktsegment AS s FROM customer WHERE c_custkey % 2 = 0)"
-_NEW = "(SELECT c_custkey AS k, -c_acctbal AS v, c_nationkey AS w FROM customer WHERE c_custkey % 3 = 0)"
+_OLD = "(SELECT c_custkey AS k, c_acctbal AS v, c_mktsegment AS s FROM customer WHERE c_custkey % 3 <> 2)"
+_NEW = "(SELECT c_custkey AS k, -c_acctbal AS v, c_nationkey AS w FROM customer WHERE c_custkey % 3 <> 0)"
 
 
 def _name(spark) -> str:
@@ -24,11 +24,11 @@ def _name(spark) -> str:
 
 
 def _old(spark, d):
-    return table(spark, d, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "c_acctbal AS v", "c_mktsegment AS s")
+    return table(spark, d, "customer").where("c_custkey % 3 <> 2").selectExpr("c_custkey AS k", "c_acctbal AS v", "c_mktsegment AS s")
 
 
 def _new(spark, d):
-    return table(spark, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey AS k", "-c_acctbal AS v", "c_nationkey AS w")
+    return table(spark, d, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey AS k", "-c_acctbal AS v", "c_nationkey AS w")
 
 
 def _stored(spark, d) -> str:
@@ -50,14 +50,14 @@ for _mode, _sql in (("replace", _NEW_WINS), ("insert_ignore", _OLD_WINS), ("inse
     query(f"df_to_sql_{_mode}", _sql)(_sunk)
 
 
-@query("df_to_sql_insert", f"SELECT k, v, s, NULL AS w FROM {_OLD} UNION ALL SELECT k, v, NULL, w FROM {_NEW} WHERE k % 2 = 1")
+@query("df_to_sql_insert", f"SELECT k, v, s, NULL AS w FROM {_OLD} UNION ALL SELECT k, v, NULL, w FROM {_NEW} WHERE k % 3 = 2")
 def inserted(spark, d):
     name = _stored(spark, d)
-    T.sink(_new(spark, d).where("k % 2 = 1"), name, "insert", "k")
+    T.sink(_new(spark, d).where("k % 3 = 2"), name, "insert", "k")
     return spark.table(name)
 
 
-@query("df_to_sql_by_row", f"SELECT k, v, s, NULL AS w FROM {_OLD} WHERE k % 3 <> 0 UNION ALL SELECT k, v, NULL, w FROM {_NEW}")
+@query("df_to_sql_by_row", f"SELECT k, v, s, NULL AS w FROM {_OLD} WHERE k % 3 = 0 UNION ALL SELECT k, v, NULL, w FROM {_NEW}")
 def by_row(spark, d):
     name = _stored(spark, d)
     T.replace_rows(_new(spark, d), name, "k")
@@ -270,3 +270,33 @@ def unparted(spark, d):
     name = _parted(spark, d)
     T.unpartition(spark, name)
     return spark.table(name)
+
+
+_MOVED = "(SELECT c_custkey AS k, -c_acctbal AS v, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS s, c_nationkey AS w FROM customer WHERE c_custkey % 3 <> 0)"
+_BOTH = f"FROM {_OLD} a FULL JOIN {_MOVED} b ON a.k = b.k"
+
+
+def _moved(spark, d):
+    segment = "CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS s"
+    return table(spark, d, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey AS k", "-c_acctbal AS v", segment, "c_nationkey AS w")
+
+
+_WINS = "CASE WHEN b.k IS NOT NULL THEN b.{0} ELSE a.{0} END AS {0}"
+for _mode, _sql in (("replace", f"SELECT coalesce(a.k, b.k) AS k, {_WINS.format('v')}, {_WINS.format('s')}, w {_BOTH}"),
+                    ("insert_ignore", f"SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL THEN a.v ELSE b.v END AS v, CASE WHEN a.k IS NOT NULL THEN a.s ELSE b.s END AS s, w {_BOTH}")):
+    def _split(spark, d, mode=_mode):
+        """Rows move between the partitions of a table; its partitioning and key stay."""
+        name = _parted(spark, d)
+        T.set_key(spark, name, "k")
+        T.sink(_moved(spark, d), name, mode)
+        assert T.partition_columns(spark, name) == ["s"] and T.primary_key(spark, name) == ["k"]
+        return spark.table(name)
+
+    query(f"df_to_sql_{_mode}_split", _sql)(_split)
+
+
+@query("drop_data_by_where_str_split", f"SELECT * FROM {_OLD} WHERE NOT (v > 100 OR s = 'MACHINERY')")
+def removed_parts(spark, d):
+    name = _parted(spark, d)
+    T.remove(spark, name, "v > 100 OR s = 'MACHINERY'")
+    return spark.table(name)

@@ -1,10 +1,16 @@
-"""Catalog tables as a store: queries, structure, and the sink modes of a database table."""
+"""Catalog tables as a store: queries, structure, and the sink modes of a database table.
+
+Sinks keep a table's partitioning and its noted keys, and of a partitioned table they rewrite only the partitions in
+which a row can change: those that hold a key of the new rows, and those the new rows go to.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.frame import upsert
@@ -18,7 +24,8 @@ def execute(spark: SparkSession, sql: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, database: str | None = None) -> list[str]:
-    return [t.name for t in spark.catalog.listTables(database)]
+    """The stored tables; views of the session are none."""
+    return [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
 
 
 def has(spark: SparkSession, table: str) -> bool:
@@ -71,6 +78,10 @@ def folder(spark: SparkSession, table: str) -> str:
     return next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Location")
 
 
+def _provider(spark: SparkSession, table: str) -> str:
+    return next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Provider")
+
+
 def column_info(spark: SparkSession, table: str) -> DataFrame:
     """(place, name, type) of the columns."""
     return spark.createDataFrame([(k, c, t) for k, (c, t) in enumerate(fields(spark, table))], "place int, name string, type string")
@@ -134,12 +145,18 @@ def retype_columns(spark: SparkSession, table: str, kinds: dict[str, str]) -> No
 
 
 def rename_columns(spark: SparkSession, table: str, new: dict[str, str]) -> None:
-    _rewrite(spark, table, spark.table(table).withColumnsRenamed(new))
+    """Other names for columns, in noted keys and in the partitioning too."""
+    noted = {k: ",".join(new.get(c, c) for c in v.split(",")) for k, v in _properties(spark, table).items()}
+    _rewrite(spark, table, spark.table(table).withColumnsRenamed(new), [new.get(c, c) for c in partition_columns(spark, table)], noted)
 
 
 # ---- partitions
 
 
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
 def partitions(spark: SparkSession, table: str) -> DataFrame:
     """(partition) of a partitioned table."""
     return spark.sql(f"SHOW PARTITIONS {table}")
@@ -151,7 +168,7 @@ def drop_partitions(spark: SparkSession, table: str, condition: str) -> None:
 
 def unpartition(spark: SparkSession, table: str) -> None:
     """The same rows in a table without partitions."""
-    _rewrite(spark, table, spark.table(table))
+    _rewrite(spark, table, spark.table(table), [])
 
 
 def drop(spark: SparkSession, table: str) -> None:
@@ -180,26 +197,104 @@ def prepared(df: DataFrame, upper: bool = True, infinite=None) -> DataFrame:
     return df.select(*out)
 
 
-def _rewrite(spark: SparkSession, table: str, df: DataFrame) -> None:
-    """Store a frame that reads the table in its place.
+def _rewrite(spark: SparkSession, table: str, df: DataFrame, by: list[str] | None = None, noted: dict[str, str] | None = None) -> None:
+    """Store a frame that reads the table in its place, partitioned as before or by ``by``.
 
     It is written beside the table first; then the old one is renamed aside, the new one takes its name, and only then
-    the old one goes, so the rows are never in no table.  Noted keys stay if their columns do.
+    the old one goes, so the rows are never in no table.  A table whose partitions are known by their folders is not
+    renamed, as they would go by their old ones: it goes first, while the rows are in the table beside.  Noted keys stay if
+    their columns do.
     """
-    noted, mark = {k: v for k, v in _properties(spark, table).items() if set(v.split(",")) <= set(df.columns)}, uuid.uuid4().hex
+    by = [c for c in partition_columns(spark, table) if c in df.columns] if by is None else by
+    noted, mark = _properties(spark, table) if noted is None else noted, uuid.uuid4().hex
+    noted = {k: v for k, v in noted.items() if set(v.split(",")) <= set(df.columns)}
     home, _, own = table.rpartition(".")
     home = f"{home}." if home else ""
     beside, aside = f"{home}{own}_new_{mark}", f"{home}{own}_old_{mark}"
-    df.write.saveAsTable(beside)
+    if by:
+        df.limit(0).write.partitionBy(*by).saveAsTable(beside)
+        df.write.mode("append").partitionBy(*by).format(_provider(spark, beside)).save(folder(spark, beside))
+    else:
+        df.write.saveAsTable(beside)
     _note(spark, beside, noted)
-    spark.sql(f"ALTER TABLE {table} RENAME TO {aside}")
+    parted = bool(partition_columns(spark, table))
+    spark.sql(f"DROP TABLE {table}" if parted else f"ALTER TABLE {table} RENAME TO {aside}")
     spark.sql(f"ALTER TABLE {beside} RENAME TO {table}")
-    spark.sql(f"DROP TABLE {aside}")
+    if by:
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    if not parted:
+        spark.sql(f"DROP TABLE {aside}")
+
+
+#: Up to so many partitions are read by a condition, which prunes; more by a join.
+LISTED = 200
+
+
+def _within(old: DataFrame, by: list[str], found: list[tuple]) -> DataFrame:
+    """The rows of the partitions ``found``; a table's partitions are listed on the driver by the catalog as well."""
+    if len(found) <= LISTED:
+        one = lambda values: reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, values)])
+        return old.where(reduce(Column.__or__, map(one, found), F.lit(False)))
+    schema = old.select(*[F.col(c).alias(f"__{c}") for c in by]).schema
+    listed = old.sparkSession.createDataFrame(found, schema)
+    return old.join(F.broadcast(listed), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]), "left_semi")
+
+
+def _rewrite_partitions(spark: SparkSession, table: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Store ``change`` of the rows of the ``touched`` partitions in their place; files of other partitions stay.
+
+    The rows are written beside the table first; then the partitions they belong to are exchanged, and partitions without
+    rows now go last: stopped in between, some rows are in their old and their new partition until the sink runs again.
+    """
+    by, old = partition_columns(spark, table), spark.table(table)
+    found = [tuple(r) for r in touched.select(*by).distinct().collect()]
+    if not found:
+        return
+    home, _, own = table.rpartition(".")
+    beside = f"{home}.{own}_new_{uuid.uuid4().hex}" if home else f"{own}_new_{uuid.uuid4().hex}"
+    change(_within(old, by, found)).select(*old.columns).write.partitionBy(*by).saveAsTable(beside)
+    made = spark.table(beside)
+    filled = {tuple(r) for r in made.select(*by).distinct().collect()}
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(_provider(spark, table)).save(folder(spark, table))
+    spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    for values in found:
+        if values not in filled:
+            spec = ", ".join(f"`{c}` = " + ("NULL" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'") for c, v in zip(by, values))
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    spark.catalog.refreshTable(table)
+    spark.sql(f"DROP TABLE {beside}")
+
+
+def _update(spark: SparkSession, table: str, rows: DataFrame, keys: list[str], change: Callable[[DataFrame], DataFrame]) -> None:
+    """Store ``change`` of the table, which differs from it only at the keys of ``rows``."""
+    by, old = partition_columns(spark, table), spark.table(table)
+    fresh = {c: k for c, k in change(old).dtypes if c not in old.columns}
+    if not by or not set(by) <= set(rows.columns):
+        _rewrite(spark, table, change(old))
+        return
+    add_columns(spark, table, fresh)
+    held = spark.table(table).join(rows.select(*keys), keys, "left_semi").select(*by)
+    _rewrite_partitions(spark, table, held.union(rows.select(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in by])), lambda part: change(part.select(*old.columns)))
 
 
 def remove(spark: SparkSession, table: str, where: str) -> None:
     """Delete rows; null conditions keep them."""
-    _rewrite(spark, table, spark.table(table).where(f"NOT coalesce({where}, false)"))
+    by, old = partition_columns(spark, table), spark.table(table)
+    if by:
+        _rewrite_partitions(spark, table, old.where(where).select(*by), lambda part: part.where(f"NOT coalesce({where}, false)"))
+    else:
+        _rewrite(spark, table, old.where(f"NOT coalesce({where}, false)"))
+
+
+def _check_keys(df: DataFrame, keys: list[str], stored: DataFrame | None = None, primary: bool = False) -> None:
+    """Rows of ``df`` must not repeat a key, nor have one that is stored already, nor lack a primary one."""
+    some = df.select(*keys).where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
+    if not some.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"new rows repeat a key of {keys}")
+    if stored is not None and not stored.join(some, keys, "left_semi").isEmpty():
+        raise ValueError(f"a key of {keys} is stored already")
+    if primary and not df.where(" OR ".join(f"`{c}` IS NULL" for c in keys)).isEmpty():
+        raise ValueError(f"new rows lack {keys}")
 
 
 def sink(df: DataFrame, table: str, mode: str = "replace", keys=None) -> None:
@@ -208,11 +303,16 @@ def sink(df: DataFrame, table: str, mode: str = "replace", keys=None) -> None:
     new: the table starts anew; ignore_table: nothing, if it exists; insert: append (no key may come twice);
     replace: new rows win by key; insert_ignore: stored rows win; the new_columns modes fill only columns the table
     lacks, for keys it has (and insert other keys).  Columns that the table lacks are added.
+
+    Without ``keys`` the noted primary key counts, or else the first noted unique index; without any of them rows are
+    inserted.  New rows that repeat a key are an error; inserting holds all noted keys.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = df.sparkSession
     if not has(spark, table):
+        if keys:
+            _check_keys(df, names(keys))
         df.write.saveAsTable(table)
         return
     if mode == "ignore_table":
@@ -220,30 +320,37 @@ def sink(df: DataFrame, table: str, mode: str = "replace", keys=None) -> None:
     if mode == "new":
         _rewrite(spark, table, df)
         return
-    old = spark.table(table)
-    if mode == "insert":
-        if keys and not old.join(df, names(keys), "left_semi").isEmpty():
-            raise ValueError("a key is stored already")
+    old, noted = spark.table(table), [primary_key(spark, table), *unique_indexes(spark, table).values()]
+    keys = names(keys) or next((k for k in noted if k), [])
+    if mode == "insert" or not keys:
+        for n, held in enumerate([*noted, keys]):
+            if held and set(held) <= set(df.columns):
+                _check_keys(df, held, old, n == 0)
+            elif n == 0 and held:
+                raise ValueError(f"new rows lack {held}")
         add_columns(spark, table, {c: k for c, k in df.dtypes if c not in old.columns})
         wide = spark.table(table).dtypes
         df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in wide]).write.insertInto(table)
-    elif mode in ("replace", "insert_ignore"):
-        _rewrite(spark, table, upsert(old, df, keys, "new" if mode == "replace" else "old"))
-    else:
-        fresh = [c for c in df.columns if c not in old.columns]
-        part = df if mode == "insert_ignore_new_columns" else df.join(old.select(*names(keys)).distinct(), names(keys), "left_semi")
-        _rewrite(spark, table, upsert(old, part.select(*names(keys), *fresh) if mode == "insert_new_columns" else part, keys, "old"))
+        return
+    _check_keys(df, keys)
+    if mode in ("replace", "insert_ignore"):
+        _update(spark, table, df, keys, lambda part: upsert(part, df, keys, "new" if mode == "replace" else "old"))
+        return
+    fresh = [c for c in df.columns if c not in old.columns]
+    rows = df.join(old.select(*keys).distinct(), keys, "left_semi").select(*keys, *fresh) if mode == "insert_new_columns" else df
+    _update(spark, table, rows, keys, lambda part: upsert(part, rows, keys, "old"))
 
 
 def replace_rows(df: DataFrame, table: str, keys) -> None:
     """Stored rows with a new row's key go whole, also what the new row has no columns for; then the new rows are added."""
-    spark = df.sparkSession
-    old = spark.table(table)
-    _rewrite(spark, table, old.join(df.select(*names(keys)), names(keys), "left_anti").select(*old.columns).unionByName(df, allowMissingColumns=True))
+    keys = names(keys)
+    _check_keys(df, keys)
+    _update(df.sparkSession, table, df, keys, lambda part: part.join(df.select(*keys), keys, "left_anti").select(*part.columns).unionByName(df, allowMissingColumns=True))
 
 
 def merge(spark: SparkSession, table: str, source: DataFrame, keys, cols, keep: str = "source") -> None:
     """Rows with a stored key set its ``cols`` (unless ``keep`` is "target"), others are inserted with keys and ``cols``."""
-    old = spark.table(table)
-    part = source.select(*names(keys), *names(cols))
-    _rewrite(spark, table, upsert(old, part, keys, "new" if keep == "source" else "old").select(*old.columns))
+    keys, old = names(keys), spark.table(table)
+    part = source.select(*keys, *names(cols))
+    _check_keys(part, keys)
+    _update(spark, table, part, keys, lambda held: upsert(held, part, keys, "new" if keep == "source" else "old").select(*old.columns))
