@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources import database as D
 from ..sources import tables as T
 from .registry import query, table
 from .storage import folder
@@ -300,3 +301,28 @@ def removed_parts(spark, d):
     name = _parted(spark, d)
     T.remove(spark, name, "v > 100 OR s = 'MACHINERY'")
     return spark.table(name)
+
+
+def _database(spark, d) -> dict:
+    """A database file in the shared folder that holds one side."""
+    import os
+
+    home = folder(spark).removeprefix("file://").removeprefix("file:")
+    os.makedirs(home)
+    connect = {"database": f"{home}/base.db", "timeout": 600}
+    D.write(_old(spark, d).coalesce(2), "t", connect, keys="k")
+    return connect
+
+
+@query("get_data_database", f"SELECT k, s FROM {_OLD} WHERE v > 100")
+def from_database(spark, d):
+    return D.read(spark, "t", _database(spark, d), schema="k long, v double, s string", column="k", partitions=4).where("v > 100").select("k", "s")
+
+
+for _mode, _sql in (("replace", _NEW_WINS), ("insert_ignore", _OLD_WINS)):
+    def _into(spark, d, mode=_mode):
+        connect = _database(spark, d)
+        D.write(_new(spark, d).coalesce(2), "t", connect, keys="k", sink=mode)
+        return D.read(spark, "t", connect, schema="k long, v double, s string, w int", column="k", partitions=4)
+
+    query(f"df_to_sql_database_{_mode}", _sql)(_into)

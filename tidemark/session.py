@@ -14,7 +14,7 @@ _SHIPPED: set[str] = set()
 def session(name: str = "tidemark", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow on; ``conf`` adds to that (keys with __ for dots)."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC")
-    builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.python.filterPushdown.enabled", "true")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
