@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import distributions as P
 from tidemark.functions import scalars as X
-from tidemark.operators import extrema, frame, scoring, solve, stats
+from tidemark.operators import extrema, frame, scoring, solve, stats, subsets
 from tidemark.operators.order import Order
 from tidemark.sources import files, tables
 
@@ -141,7 +141,7 @@ def test_sums(spark):
     rows = [(k, i, float(rng.randint(-3, 12))) for k in range(12) for i in range(9)]
     df = spark.createDataFrame(rows, "k int, i long, x double")
     got = {}
-    for r in solve.sums_by(df, "k", "x", 10.0, "i", 10000).collect():
+    for r in subsets.sums_by(df, "k", "x", 10.0, "i", stretch=7).collect():
         got.setdefault(r.k, set()).add(tuple(r["items"]))
     best = {r.k: r.total for r in solve.nearest_sum_by(df, "k", "x", 20.0).collect()}
     loads = {r.k: r.total for r in solve.knapsack_value_by(df.withColumn("w", F.abs("x").cast("int")), "k", "x", "w", 15).collect()}
@@ -154,6 +154,37 @@ def test_sums(spark):
         assert loads[k] == exact[k] == max([0] + [sum(x[i] for i in c) for c in sets if sum(abs(x[i]) for i in c) <= 15])
 
 
+def test_all_sets_by_both_tables():
+    rng = random.Random(9)
+    for _ in range(150):
+        n, places = rng.randrange(0, 9), rng.choice((0, 1, 3))
+        values = [round(rng.uniform(-9, 20), places) for _ in range(n)]
+        target, below, above = round(rng.uniform(-5, 25), places), rng.choice((0, 0.5, 3)), rng.choice((0, 1))
+        *sizes, goal, under, over = solve._scaled(*values, target, below, above)
+        want = {c for m in range(1, n + 1) for c in combinations(range(n), m) if goal - under <= sum(sizes[k] for k in c) <= goal + over}
+        for made in (subsets.Layers(sizes, goal - under, goal + over), subsets.Halves(sizes, goal - under, goal + over)):
+            got = [tuple(made.set_of(k)) for k in range(made.count)]
+            assert len(got) == len(want) and set(got) == want
+    many = subsets.sets_table(tuple([1.0] * 60), 30.0)
+    assert many.count == math.comb(60, 30) and many.set_of(many.count - 1) == list(range(30, 60))
+    fine = tuple(rng.uniform(0, 1) for _ in range(30))  # no two sums are alike
+    assert isinstance(subsets.sets_table(fine, 7.5, 1e-6, 1e-6), subsets.Halves)
+    for k in range(min(50, subsets.sets_table(fine, 7.5, 1e-6, 1e-6).count)):
+        assert abs(sum(fine[i] for i in subsets.sets_table(fine, 7.5, 1e-6, 1e-6).set_of(k)) - 7.5) < 2e-6
+
+
+def test_stretches_of_sets(spark):
+    df = spark.createDataFrame([(k, i, float(1 + (i * k) % 5)) for k in (1, 2) for i in range(14)] + [(3, 1, None), (None, 5, 6.0)], "k int, i long, x double")
+    whole = sorted((r.k or 0, tuple(r["items"])) for r in subsets.sums_by(df, "k", "x", 6.0, "i").collect())
+    counts = {r.k: r.sets for r in subsets.count_sums_by(df, "k", "x", 6.0, "i").collect()}
+    assert {k: sum(r[0] == (k or 0) for r in whole) for k in counts} == counts and counts[None] == 1 and len(set(whole)) == len(whole)
+    part = [(r.k or 0, tuple(r["items"])) for r in subsets.sums_by(df, "k", "x", 6.0, "i", first=5, last=25, stretch=4).collect()]
+    assert len(part) == 40 and set(part) < set(whole)
+    assert solve.subset_sum(5, [4.0, 1.0, 2.0, 3.0]) == [0, 1] and solve.subset_sum(5, [4.0, 1.0, 2.0, 3.0], smallest=True) in ([0, 1], [2, 3])
+    assert [r[0] for r in spark.range(1).select(subsets.last_fitting(F.array(*map(F.lit, [1.0, 5.0, 9.0])), 5.0)).collect()] == [1]
+    assert [r[0] for r in spark.range(1).select(subsets.last_fitting(F.array().cast("array<double>"), 5.0)).collect()] == [-1]
+
+
 def test_known_ciphers(spark):
     from tidemark.functions import scalars
 

@@ -43,15 +43,15 @@ def _scaled(*numbers: float) -> list[int]:
     return [int(Fraction(x) * 10**places) for x in exact]
 
 
-def subset_sum(target: float, items: list[float], below: float = 0.0, above: float = 0.0, count: int | None = None) -> list[int] | None:
+def subset_sum(target: float, items: list[float], below: float = 0.0, above: float = 0.0, count: int | None = None, smallest: bool = False) -> list[int] | None:
     """Positions of items whose sum is in [target - below, target + above], else None; ``count`` of them if given.
 
-    Depth first from the largest item; the sums of what is left bound the search.  A sum that was reached before with
+    Depth first from the largest item, or from the ``smallest``; the sums of what is left bound the search.  A sum that was reached before with
     the same items left is not followed again, so the search always ends, and None means that there is no such sum.
     Steps and memory are bounded by items x different sums, which may be very many if items have many decimals.
     Nulls, NaN and infinities are not taken.
     """
-    order = sorted((k for k, x in enumerate(items) if x is not None and math.isfinite(x)), key=lambda k: -items[k])
+    order = sorted((k for k, x in enumerate(items) if x is not None and math.isfinite(x)), key=lambda k: items[k] if smallest else -items[k])
     *sizes, goal, under, over, slack = _scaled(*(items[k] for k in order), target, below, above, 1e-9)
     up = [0] * (len(order) + 1)
     down = [0] * (len(order) + 1)
@@ -90,12 +90,13 @@ def knapsack_by(df: DataFrame, key: str, value: str, weight: str, capacity: floa
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-def subset_sum_by(df: DataFrame, key: str, value: str, target: float, ident: str, below: float = 0.0, above: float = 0.0, count: int | None = None) -> DataFrame:
+def subset_sum_by(df: DataFrame, key: str, value: str, target: float, ident: str, below: float = 0.0, above: float = 0.0, count: int | None = None,
+                  smallest: bool = False) -> DataFrame:
     """(key, items): for each key the ids of values that add up to the target, null if there are none."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(ident, kind="stable")
-        taken = subset_sum(target, frame[value].tolist(), below, above, count)
+        taken = subset_sum(target, frame[value].tolist(), below, above, count, smallest)
         return pd.DataFrame({key: [frame[key].iloc[0]], "items": [None if taken is None else [int(frame[ident].iloc[k]) for k in taken]]})
 
     return df.groupBy(key).applyInPandas(run, T.StructType([df.schema[key], T.StructField("items", T.ArrayType(T.LongType()))]))
@@ -137,34 +138,6 @@ def nearest_sum_by(df: DataFrame, key: str, value: str, target: float) -> DataFr
     return df.groupBy(key).applyInPandas(run, T.StructType([df.schema[key], T.StructField("total", T.DoubleType())]))
 
 
-def sums_by(df: DataFrame, key: str, value: str, target: float, ident: str, most: int) -> DataFrame:
-    """(key, items): up to ``most`` different sets of each key's values that add up to the target, as sorted ids.
-
-    ``most`` is how many are asked for, as many targets have exponentially many sets.  Memory is bounded by items x
-    different sums.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(ident, kind="stable")
-        *sizes, goal = _scaled(*frame[value].tolist(), target)
-        ids, found = frame[ident].tolist(), []
-        reach = [{0}]  # sums of some of the items from k on, so every branch that is followed ends in a set
-        for x in reversed(sizes):
-            reach.append(reach[-1] | {x + s for s in reach[-1]})
-        reach.reverse()
-        stack = [(0, 0, ())]
-        while stack and len(found) < most:
-            k, total, taken = stack.pop()
-            if k == len(sizes):
-                if taken:
-                    found.append([int(ids[i]) for i in taken])
-                continue
-            stack += [s for s in ((k + 1, total, taken), (k + 1, total + sizes[k], (*taken, k))) if goal - s[1] in reach[k + 1]]
-        return pd.DataFrame({key: pd.Series([frame[key].iloc[0]] * len(found), dtype=frame[key].dtype), "items": pd.Series(found, dtype=object)})
-
-    return df.groupBy(key).applyInPandas(run, T.StructType([df.schema[key], T.StructField("items", T.ArrayType(T.LongType()))]))
-
-
 def candidates(df: DataFrame, value: str, target: float, tolerance: float = 0.0) -> DataFrame:
     """The rows whose value alone is not over the target."""
     return df.where(F.col(value) <= target + tolerance)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extrema as E
 from ..operators import lags as L
-from ..operators import solve
+from ..operators import solve, subsets
 from .registry import query, table
 from .series import PRE, USER, W, events
 
@@ -189,17 +189,43 @@ def nearest_broken(spark, d):
     return solve.nearest_sum_by(table(spark, d, "lineitem").select("l_suppkey", "l_tax"), "l_suppkey", "l_tax", 0.55).withColumn("total", F.round("total", 6))
 
 
-@query("find_addends_recu")
+_BAND = """WITH RECURSIVE a AS (SELECT l_orderkey, l_orderkey * 10 + l_linenumber AS k, CAST(round((l_quantity - 25.5) * 10) AS BIGINT) AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS r FROM lineitem),
+s AS (SELECT l_orderkey, r, x, [k] AS items FROM a UNION ALL SELECT a.l_orderkey, a.r, s.x + a.x, list_append(s.items, a.k) FROM s JOIN a ON a.l_orderkey = s.l_orderkey AND a.r > s.r)"""
+
+
+def _lines(spark, d):
+    """Quantities about their middle: with decimals, half of them negative."""
+    return table(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity") - 25.5).alias("x"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+
+
+@query("find_addends_recu", _BAND + " SELECT l_orderkey, array_to_string(items, ',') AS items FROM s WHERE x BETWEEN 75 AND 115")
 def addend_sets(spark, d):
+    """Every set of an order's lines whose quantities add up to 10 more or less."""
+    sets = subsets.sums_by(_lines(spark, d), "l_orderkey", "x", 10.0, "k", below=2.5, above=1.5)
+    return sets.select("l_orderkey", F.array_join("items", ",").alias("items"))
+
+
+@query("find_addends_recu_count", """WITH RECURSIVE a AS (SELECT l_partkey, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem),
+s AS (SELECT l_partkey, CAST(0 AS BIGINT) AS r, list_transform(range(101), lambda c: CASE WHEN c = 0 THEN 1::HUGEINT ELSE 0::HUGEINT END) AS ways FROM a GROUP BY 1
+UNION ALL SELECT s.l_partkey, s.r + 1, list_transform(range(101), lambda c: CASE WHEN c >= a.q THEN s.ways[c + 1] + s.ways[c - a.q + 1] ELSE s.ways[c + 1] END) FROM s JOIN a ON a.l_partkey = s.l_partkey AND a.r = s.r + 1)
+SELECT l_partkey, CAST(max(ways[101]) AS DOUBLE) AS sets FROM s GROUP BY 1""")
+def addend_counts(spark, d):
+    """How many sets of a part's lines add up to 100; there may be very many."""
     rows = table(spark, d, "lineitem").select("l_partkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
-    return solve.sums_by(rows, "l_partkey", "l_quantity", 50.0, "k", 5)
+    return subsets.count_sums_by(rows, "l_partkey", "l_quantity", 100.0, "k").select("l_partkey", F.col("sets").cast("double").alias("sets"))
+
+
+@query("backfind_sml1st_index", "SELECT l_orderkey, CAST(coalesce(list_max(list_filter(range(len(a)), lambda k: a[k + 1] <= 20.5)), 0) AS INTEGER) AS place FROM (SELECT l_orderkey, list(l_quantity ORDER BY l_quantity) AS a FROM lineitem GROUP BY 1)")
+def last_fitting(spark, d):
+    held = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_quantity")).alias("a"))
+    return held.select("l_orderkey", subsets.last_fitting(F.col("a"), 20.0, 0.5).alias("place"))
 
 
 @query("find_addends_smlfirst")
 def addends_small_first(spark, d):
-    """Values that add up to the target, within a tolerance, a given number of them."""
+    """Values that add up to the target, within a tolerance, a given number of them; the search begins with the smallest."""
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
-    return solve.subset_sum_by(rows, "l_suppkey", "l_quantity", 60.0, "k", below=1.0, above=1.0, count=3)
+    return solve.subset_sum_by(rows, "l_suppkey", "l_quantity", 60.0, "k", below=1.0, above=1.0, count=3, smallest=True)
 
 
 @query("get_alts_sml", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity <= 20.5")

@@ -319,7 +319,7 @@ def from_database(spark, d):
     return D.read(spark, "t", _database(spark, d), schema="k long, v double, s string", column="k", partitions=4).where("v > 100").select("k", "s")
 
 
-for _mode, _sql in (("replace", _NEW_WINS), ("insert_ignore", _OLD_WINS)):
+for _mode, _sql in (("replace", _NEW_WINS), ("insert_ignore", _OLD_WINS.replace("s, w", "s, CASE WHEN a.k IS NULL THEN w END AS w"))):
     def _into(spark, d, mode=_mode):
         connect = _database(spark, d)
         D.write(_new(spark, d).coalesce(2), "t", connect, keys="k", sink=mode)
