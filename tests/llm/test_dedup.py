@@ -120,3 +120,22 @@ def test_no_rows(nothing):
     assert mark_exact_copies(nothing).count() == drop_exact_copies(nothing).count() == 0
     assert near_duplicates(nothing).count() == drop_near_duplicates(nothing).count() == 0
     assert repeated_passages(nothing).count() == 0
+
+
+def test_frames_that_are_no_table(spark):
+    """Shuffled rows are in other places in each reading, and adaptive plans split them in other ways."""
+    from tidemark.llm.quality import keep_good, score_quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        moved = docs.repartition("doc_id").join(docs.select("doc_id").distinct(), "doc_id")
+        for make in (mark_exact_copies, drop_exact_copies, repeated_passages, lambda df: score_quality(df, labels).drop("score", "evidence"), lambda df: keep_good(df, labels)):
+            got, want = make(moved), make(docs)
+            assert got.count() == want.count() > 0
+            if make in (mark_exact_copies, repeated_passages):
+                columns = [c for c in want.columns if c not in ("row", "number")]
+                assert got.select(columns).exceptAll(want.select(columns)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -84,3 +84,38 @@ def test_text_media(request, name):
     got = tiff.text_media(df).collect()
     assert Counter(tuple(r)[:5] for r in got) == texts
     assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
+
+
+def test_damaged_files_give_an_error_row():
+    rng = random.Random(4)
+    image = (np.arange(64 * 48) % 7).astype(np.uint8).reshape(64, 48)
+    files = [tiff.write_tiff([image, image[:20]], c, p, t, rows_per_strip=9) for c in (tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for p in (1, 2) for t in (None, (16, 32))]
+    for _ in range(20_000):
+        raw = bytearray(rng.choice(files))
+        first = struct.unpack_from("<I", raw, 4)[0]
+        for _ in range(rng.randrange(1, 4)):
+            raw[rng.randrange(first, len(raw))] = rng.choice((0, 255, rng.randrange(256)))
+        for pixels, facts in tiff.pages(bytes(raw)):
+            assert "error" in facts if pixels is None else pixels.size <= tiff.MOST_SAMPLES
+
+
+@pytest.mark.parametrize("tag,tile", [(tiff.ROWS_PER_STRIP, None), (tiff.WIDTH, None), (tiff.HEIGHT, None), (tiff.TILE_WIDTH, (16, 32)), (tiff.TILE_HEIGHT, (16, 32))])
+@pytest.mark.parametrize("value", [0, 1 << 31])
+def test_sizes_that_cannot_be(tag, tile, value):
+    raw = bytearray(tiff.write_tiff([np.full((40, 40), 7, np.uint8)], tiff.PLAIN, 1, tile))
+    at = struct.unpack_from("<I", raw, 4)[0]
+    for k in range(struct.unpack_from("<H", raw, at)[0]):
+        if struct.unpack_from("<H", raw, at + 2 + 12 * k)[0] == tag:
+            struct.pack_into("<I", raw, at + 10 + 12 * k, value)
+    found = list(tiff.pages(bytes(raw)))
+    if tag == tiff.ROWS_PER_STRIP and value:
+        assert (found[0][0] == 7).all()  # more rows than there are is one strip
+    else:
+        assert len(found) == 1 and found[0][0] is None and found[0][1]["error"]
+
+
+def test_decoders_stop_at_the_size():
+    assert tiff.unlzw(tiff.lzw(b"ab" * 90_000), 7) == b"abababa"
+    image = np.zeros((4000, 4000), np.uint8)
+    raw = tiff.write_tiff([image], tiff.DEFLATE, rows_per_strip=4000)
+    assert next(tiff.pages(raw))[0].size == 16_000_000

@@ -86,9 +86,21 @@ def pinned(df: DataFrame) -> DataFrame:
     return df
 
 
+def _is_table(df: DataFrame) -> bool:
+    """Whether the rows come from written files as they are, through selections and filters at most."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.children().isEmpty() and node.nodeName().startswith("Relation") or node.getClass().getSimpleName() == "LogicalRelation"
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with each row's place in it as a long; the same in every reading of a written table."""
-    return pinned(df).withColumn(name, F.monotonically_increasing_id())
+    """``df`` with each row's place in it as a long, the same in every reading.
+
+    A frame that is no written table would be computed for each reading, with other places after a shuffle: it is written first.
+    """
+    held = df if _is_table(df) else Scratch(df.sparkSession).put(df, "rows")
+    return pinned(held).withColumn(name, F.monotonically_increasing_id())
 
 
 def text_of(col: str = "text"):

@@ -99,8 +99,9 @@ def lzw(raw: bytes) -> bytes:
     return bytes(out) + (held << rest).to_bytes((bits + rest) // 8, "big")
 
 
-def unlzw(data: bytes) -> bytes:
-    out, held, bits, at = [], 0, 0, 0
+def unlzw(data: bytes, most: int | None = None) -> bytes:
+    """The bytes of an LZW stream, decoding no further than ``most`` of them."""
+    out, held, bits, at, size = [], 0, 0, 0, 0
     single = [bytes((k,)) for k in range(256)] + [b"", b""]
     table, width, last = list(single), 9, b""
     while True:
@@ -124,6 +125,9 @@ def unlzw(data: bytes) -> bytes:
         else:
             raise ValueError("an LZW code is out of range")
         out.append(entry)
+        size += len(entry)
+        if most is not None and size >= most:
+            return b"".join(out)[:most]
         if last:
             table.append(last + entry[:1])
         last = entry
@@ -192,6 +196,10 @@ def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
     return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+#: Most samples of a page, and of one of its strips or tiles, that are read: what a header says is allocated only below it.
+MOST_SAMPLES = 1 << 27
+
+
 def _page(data: bytes, fields: dict[int, tuple]) -> tuple[np.ndarray, dict]:
     one = lambda tag, default=None: fields[tag][0] if tag in fields else default
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
@@ -202,19 +210,25 @@ def _page(data: bytes, fields: dict[int, tuple]) -> tuple[np.ndarray, dict]:
         raise ValueError("samples in planes of their own are not read")
     tiled = TILE_OFFSETS in fields
     bh, bw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
-    across = -(-width // bw)
+    if min(width, height, samples, bh, bw) < 1:
+        raise ValueError("a size is zero")
+    if max(height * width, bh * bw) * samples > MOST_SAMPLES:
+        raise ValueError(f"a page has over {MOST_SAMPLES} samples")
+    across, down = -(-width // bw), -(-height // bh)
+    offsets, counts = fields[TILE_OFFSETS if tiled else STRIP_OFFSETS], fields[TILE_COUNTS if tiled else STRIP_COUNTS]
+    if min(len(offsets), len(counts)) < across * down:
+        raise ValueError("strips or tiles are missing")
     out = np.zeros((height, width, samples), np.uint8)
-    counts = fields[TILE_COUNTS if tiled else STRIP_COUNTS]
-    for k, (at, n) in enumerate(zip(fields[TILE_OFFSETS if tiled else STRIP_OFFSETS], counts)):
+    for k, (at, n) in enumerate(zip(offsets[: across * down], counts)):
         y, x = k // across * bh, k % across * bw
         rows = bh if tiled else min(bh, height - y)
         part, size = data[at : at + n], rows * bw * samples
         if compression == PACKBITS:
             part = unpackbits(part, size)
         elif compression == LZW:
-            part = unlzw(part)
+            part = unlzw(part, size)
         elif compression in (DEFLATE, OLD_DEFLATE):
-            part = zlib.decompress(part)
+            part = zlib.decompressobj().decompress(part, size)
         elif compression != PLAIN:
             raise ValueError(f"compression {compression} is not read")
         block = np.frombuffer(part, np.uint8, size).reshape(rows, bw, samples)
@@ -240,7 +254,7 @@ def pages(data: bytes) -> Iterator[tuple[np.ndarray | None, dict]]:
             seen.add(at)
             fields, at = _fields(data, at, order)
             yield _page(data, fields)
-    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error, OverflowError, MemoryError) as e:
         yield None, {"error": str(e) or type(e).__name__}
 
 
