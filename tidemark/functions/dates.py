@@ -261,20 +261,3 @@ def western_sign(d: Column) -> Column:
     ends = F.array(*[F.lit(k) for k in SIGN_ENDS])
     at = F.pmod(m - 1 + F.when(F.dayofmonth(d) > F.element_at(ends, m), 1).otherwise(0), F.lit(12))
     return F.element_at(F.array(*[F.lit(s) for s in SIGNS]), at.cast("int") + 1)
-
-
-def sun_longitude_term(d: Column) -> Column:
-    """Solar term (0..23, 0 at the spring equinox) that begins on the date, else null: from the sun's apparent longitude.
-
-    The longitude is the usual low-precision series (to a hundredth of a degree) at midnight UTC+8 on both sides of the
-    day, so a term within minutes of midnight may be a day off.
-    """
-
-    def term(days):
-        g = F.radians(F.lit(357.529) + 0.98560028 * days)
-        lam = 280.459 + 0.98564736 * days + 1.915 * F.sin(g) + 0.020 * F.sin(2 * g)
-        return F.floor(F.pmod(lam, F.lit(360.0)) / 15)
-
-    start = F.datediff(d, F.lit(datetime.date(2000, 1, 1))) - 0.5 - 8 / 24
-    a, b = term(start), term(start + 1)
-    return F.when(a != b, b.cast("int"))

@@ -62,7 +62,6 @@ _date("get_next_nth_inweekday", lambda: D.nth_weekday_day(O(), 7), f"CAST({_BASE
 _date("get_xingzuo", lambda: D.western_sign(O()), f"['Capricorn', 'Aquarius', 'Pisces', 'Aries', 'Taurus', 'Gemini', 'Cancer', 'Leo', 'Virgo', 'Libra', 'Scorpio', 'Sagittarius'][(month({S}) - 1 + CASE WHEN day({S}) > [19, 18, 20, 19, 20, 21, 22, 22, 22, 23, 22, 21][month({S})] THEN 1 ELSE 0 END) % 12 + 1]")
 _HOURS = f"(datediff('day', DATE '1949-10-01', {S}) * 12 + (hour(o_orderdate) + 1) // 2)"
 _date("get_tgdz_hour", lambda: D.cycle_hour(F.col(_T)), f"substr('甲乙丙丁戊己庚辛壬癸', CAST({_HOURS} % 10 + 1 AS BIGINT), 1) || substr('子丑寅卯辰巳午未申酉戌亥', CAST({_HOURS} % 12 + 1 AS BIGINT), 1)")
-query("get_solar_terms")(lambda spark, d: orders(spark, d).select("o_orderkey", D.sun_longitude_term(O()).alias("y")))
 
 
 @query("cut_date", f"SELECT o_orderkey, CAST(b AS VARCHAR) AS begin, CAST(least(b + 9, e) AS VARCHAR) AS \"end\" FROM (SELECT o_orderkey, unnest(generate_series({S}, {S} + 25, INTERVAL 10 DAY))::DATE AS b, {S} + 25 AS e FROM orders)")
