@@ -31,7 +31,7 @@ def plain(df):
 
 
 def _load() -> None:
-    for module in ("series", "frame", "stats", "scaling", "scoring", "dates", "lunar", "scalars", "baskets", "learning", "sequential", "pivots", "storage", "store", "chance", "fits"):
+    for module in ("series", "frame", "stats", "scaling", "scoring", "dates", "lunar", "convert", "scalars", "baskets", "learning", "sequential", "pivots", "storage", "store", "chance", "fits"):
         importlib.import_module(f"{__package__}.{module}")
 
 
