@@ -77,7 +77,6 @@ def between(spark, d):
 #: Off: the first day of each month, if a weekday; worked: the second Saturday of each January.
 _NUM = """cal AS (SELECT day, (isodow(day) = 6 AND month(day) = 1 AND day(day) BETWEEN 8 AND 14) OR (isodow(day) < 6 AND day(day) > 1) AS is_workday, CASE WHEN day(day) = 1 THEN 'first' END AS name FROM days),
 num AS (SELECT *, CAST(sum(CASE WHEN is_workday THEN 1 ELSE 0 END) OVER (ORDER BY day) AS BIGINT) AS ordinal FROM cal)"""
-_CAL = f"WITH days AS (SELECT CAST(DATE '1992-01-01' + CAST(i AS INTEGER) AS DATE) AS day FROM range(3288) r(i)), {_NUM}"
 #: The same calendar over the time of the orders, with a margin.
 _WIDE = f"WITH lim AS (SELECT min({S}) AS a, max({S}) AS b FROM orders), days AS (SELECT CAST(unnest(generate_series(a - 60, b + 60, INTERVAL 1 DAY)) AS DATE) AS day FROM lim), {_NUM}"
 
@@ -98,21 +97,6 @@ def _shifted(spark, d, n, forth):
     return plain(D.shift_workdays(dates, "day", cal, n, forth=forth))
 
 
-@query("is_workday", _CAL + " SELECT CAST(day AS VARCHAR) AS day, is_workday, name, ordinal FROM num")
-def calendar(spark, d):
-    return plain(_calendar(spark))
-
-
-@query("get_holidays", _CAL + " SELECT CAST(day AS VARCHAR) AS day FROM num WHERE NOT is_workday")
-def holidays(spark, d):
-    return plain(_calendar(spark).where("NOT is_workday").select("day"))
-
-
-@query("get_work_dates", _CAL + " SELECT CAST(day AS VARCHAR) AS day FROM num WHERE is_workday AND day BETWEEN DATE '1995-03-01' AND DATE '1996-03-01'")
-def workdays(spark, d):
-    return plain(_calendar(spark).where("is_workday AND day BETWEEN DATE '1995-03-01' AND DATE '1996-03-01'").select("day"))
-
-
 for _name, _n, _forth, _sql in (
         ("get_recent_workday", 0, True, "(SELECT min(day) FROM num WHERE is_workday AND day >= o)"), ("get_recent_workday_pre", 0, False, "(SELECT max(day) FROM num WHERE is_workday AND day <= o)"),
         ("get_next_nth_workday", 5, True, "(SELECT day FROM num w WHERE is_workday AND w.ordinal = (SELECT ordinal FROM num WHERE day = o) + 5)"),
@@ -121,14 +105,6 @@ for _name, _n, _forth, _sql in (
         lambda spark, d, n=_n, forth=_forth: _shifted(spark, d, n, forth))
 
 
-for _name, _sql, _make in (
-        ("is_holiday", "SELECT CAST(day AS VARCHAR) AS day, NOT is_workday AS off FROM num", lambda cal: cal.select("day", (~F.col("is_workday")).alias("off"))),
-        ("get_holiday_detail", "SELECT CAST(day AS VARCHAR) AS day, NOT is_workday AS off, name FROM num", lambda cal: cal.select("day", (~F.col("is_workday")).alias("off"), "name")),
-        ("is_in_lieu", "SELECT CAST(day AS VARCHAR) AS day, name IS NOT NULL AND isodow(day) = 1 AS in_lieu FROM num", lambda cal: cal.select("day", (F.col("name").isNotNull() & (F.weekday("day") == 0)).alias("in_lieu"))),
-        ("get_workdays", "SELECT CAST(day AS VARCHAR) AS day FROM num WHERE is_workday AND day BETWEEN DATE '1994-02-01' AND DATE '1994-12-31'", lambda cal: cal.where("is_workday AND day BETWEEN DATE '1994-02-01' AND DATE '1994-12-31'").select("day")),
-        ("get_work_dates_chncal", "SELECT CAST(day AS VARCHAR) AS day FROM num WHERE is_workday", lambda cal: cal.where("is_workday").select("day"))):
-    query(_name, f"{_CAL} {_sql}")(lambda spark, d, make=_make: plain(make(_calendar(spark))))
-
 #: Trading days: weekdays worked since the market opened.
 _OPEN = datetime.date(1993, 6, 1)
 _TRADE = _WIDE.replace("num AS (SELECT *, CAST(sum(CASE WHEN is_workday", "trade AS (SELECT day, is_workday AND isodow(day) < 6 AND day >= DATE '1993-06-01' AS is_workday, name FROM cal),\nnum AS (SELECT *, CAST(sum(CASE WHEN is_workday").replace("AS ordinal FROM cal)", "AS ordinal FROM trade)")
@@ -142,6 +118,50 @@ def _order_days(spark, d):
     return dates, _calendar(spark, begin - margin, end + margin) if begin else _calendar(spark)
 
 
+def _on_calendar(name, sql, make):
+    """A query of each order and its day in the calendar of the orders' time."""
+
+    def run(spark, d):
+        begin, end = orders(spark, d).agg(F.min(O()), F.max(O())).first()
+        margin = datetime.timedelta(days=60)
+        cal = F.broadcast(_calendar(spark, begin - margin, end + margin) if begin else _calendar(spark))  # one row a day
+        return plain(make(orders(spark, d).select("o_orderkey", O().alias("o")), cal))
+
+    query(name, f"{_WIDE}, o AS (SELECT o_orderkey, {S} AS o FROM orders) {sql}")(run)
+
+
+def _here(*cols):
+    return lambda x, cal: x.join(cal, F.col("o") == F.col("day")).selectExpr("o_orderkey", *cols)
+
+
+def _ahead(days: int, worked: bool):
+    def make(x, cal):
+        each = x.select("o_orderkey", F.explode(F.sequence("o", F.date_add("o", days))).alias("day"))
+        return each.join(cal.where(F.col("is_workday") == worked).select("day"), "day").select("o_orderkey", "day")
+
+    return make
+
+
+_OFF = "NOT is_workday AS off"
+_on_calendar("is_workday", "SELECT o_orderkey, is_workday, name, ordinal - (SELECT ordinal FROM num WHERE day = (SELECT min(o) FROM o)) AS place FROM o JOIN num ON o = day",
+             lambda x, cal: x.join(cal, F.col("o") == F.col("day")).select("o_orderkey", "is_workday", "name", (F.col("ordinal") - cal.where(F.col("day") == x.agg(F.min("o")).first()[0]).first()["ordinal"]).alias("place")))
+_on_calendar("is_holiday", "SELECT o_orderkey, NOT is_workday AS off FROM o JOIN num ON o = day", _here(_OFF))
+_on_calendar("get_holiday_detail", "SELECT o_orderkey, NOT is_workday AS off, name FROM o JOIN num ON o = day", _here(_OFF, "name"))
+_on_calendar("is_in_lieu", "SELECT o_orderkey, name IS NOT NULL AND isodow(day) = 1 AS in_lieu FROM o JOIN num ON o = day", _here("name IS NOT NULL AND weekday(day) = 0 AS in_lieu"))
+_on_calendar("get_holidays", "SELECT o_orderkey, CAST(day AS VARCHAR) AS day FROM o JOIN num ON day BETWEEN o AND o + 7 WHERE NOT is_workday", _ahead(7, False))
+_on_calendar("get_workdays", "SELECT o_orderkey, CAST(day AS VARCHAR) AS day FROM o JOIN num ON day BETWEEN o AND o + 4 WHERE is_workday", _ahead(4, True))
+_on_calendar("get_work_dates", "SELECT CAST(day AS VARCHAR) AS day, count(o_orderkey) AS orders FROM num LEFT JOIN o ON o = day WHERE is_workday AND day BETWEEN (SELECT min(o) FROM o) AND (SELECT max(o) FROM o) GROUP BY day",
+             lambda x, cal: _worked(x, cal).groupBy("day").agg(F.count("o_orderkey").alias("orders")))
+_on_calendar("get_work_dates_chncal", "SELECT CAST(date_trunc('month', day) AS DATE)::VARCHAR AS month, count(DISTINCT day) AS days, count(o_orderkey) AS orders FROM num LEFT JOIN o ON o = day WHERE is_workday AND day BETWEEN (SELECT min(o) FROM o) AND (SELECT max(o) FROM o) GROUP BY 1",
+             lambda x, cal: _worked(x, cal).groupBy(F.trunc("day", "month").alias("month")).agg(F.count_distinct("day").alias("days"), F.count("o_orderkey").alias("orders")))
+
+
+def _worked(x, cal):
+    """The working days of the orders' time, with their orders."""
+    begin, end = x.agg(F.min("o"), F.max("o")).first()
+    return cal.where("is_workday").where(F.col("day").between(begin, end)).select("day").join(x, F.col("o") == F.col("day"), "left")
+
+
 def _moved(name, sql, cal_sql, move, trading=False):
     def run(spark, d):
         dates, cal = _order_days(spark, d)
