@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learn as M
+from ..operators.boost import boost
 from .registry import query, table
 
 COLS = ["l_quantity", "l_tax", "l_discount"]
@@ -39,6 +40,15 @@ def trees(spark, d):
     return model.transform(M.vector(lines(spark, d), COLS)).select("l_orderkey", "l_linenumber", "prediction")
 
 
+@query("lgb_train_multi")
+def boosted_classes(spark, d):
+    """Return flags by boosting, rows weighted by quantity, a fifth of the orders for early stopping; all lines are scored."""
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "days"]
+    df = table(spark, d, "lineitem").withColumn("days", F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")))
+    model = boost(df, "l_returnflag", cols, weight="l_quantity", valid=F.col("l_orderkey") % 5 == 0, rounds=4, patience=2)
+    return model.transform(df).select("l_orderkey", "l_linenumber", "prediction", F.round(F.array_max("probability"), 6).alias("probability"))
+
+
 @query("get_features_importance")
 def importance(spark, d):
     return spark.createDataFrame(M.importances(M.boosted_trees(lines(spark, d), "y", COLS, "binary", maxIter=3, maxDepth=3), COLS), "name string, share double")
