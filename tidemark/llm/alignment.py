@@ -63,7 +63,7 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Vocabularies:
     """Ids and byte lengths of units in both vocabularies; what has been tokenised is kept, ``most`` units at most."""
 
-    def __init__(self, ranks_path: str, model_path: str, most: int = 150_000, line: int = 200):
+    def __init__(self, ranks_path: str, model_path: str, most: int = 100_000, line: int = 200):
         self.a, self.sp, self.most, self.line = encoder(ranks_path, False), processor(model_path), most, line
         sp = self.sp
         self.size_b = sp.get_piece_size()
@@ -326,7 +326,7 @@ class Alignment:
     """The alignment of a table's documents, stored by chunk: :meth:`documents` and :meth:`pairs` read it."""
 
     def __init__(self, df: DataFrame, ranks_path: str | None = None, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 chunk_bytes: int = 4 << 20, lane_tokens: int = 256, as_text: bool = False):
+                 chunk_bytes: int = 2 << 20, lane_tokens: int = 256, as_text: bool = False):
         ranks_path, model_path = ranks_path or public("byte_bpe_50k.tiktoken"), model_path or public("piece_bpe_32k.model")
         slim = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         self.size_b = processor(model_path).get_piece_size()
