@@ -123,6 +123,6 @@ def test_date_ranges_of_all_orders(spark):
     assert sorted(map(tuple, registry.queries()["cut_date"](spark, FOLDER).select("o_orderkey", "begin", "end").collect())) == cut
     days = []
     for k, b in begun.items():
-        # the first weekday is left out, as the reference's range is open at its beginning
+        # the first weekday is left out, as the range is open at its beginning
         days += [(k, str(x)) for x in [b + i * day for i in range(10) if (b + i * day).isoweekday() < 6][1:]]
     assert sorted(map(tuple, registry.queries()["get_dates_between"](spark, FOLDER).select("o_orderkey", "day").collect())) == sorted(days)

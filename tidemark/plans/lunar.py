@@ -80,3 +80,38 @@ def elements(spark, d):
 FROM orders JOIN sn a ON a.day = CAST(o_orderdate AS DATE) JOIN sn b ON b.day = CAST(o_orderdate AS DATE) + 1""")
 def terms(spark, d):
     return _orders(spark, d).select("o_orderkey", L.term_of(F.col("date")).alias("term"))
+
+
+_EIGHT = f"""{_PILLARS},
+e8 AS (SELECT o_orderkey, pillars || ',' || {_cycle("(CAST(o_orderdate AS DATE) - DATE '1949-10-01') * 12 + (hour(o_orderdate) + 1) // 2")} || '时' AS eight FROM pn JOIN orders USING (o_orderkey))"""
+
+
+def _eight(date, year, time):
+    """The names of year, month, day and two hours."""
+    return F.concat(L.pillars(date, year), F.lit(","), D.cycle_hour(time), F.lit("时"))
+
+
+def _times(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("time"))
+
+
+@query("get_bazi", f"{_SERIES}, {_EIGHT} SELECT o_orderkey, eight FROM e8")
+def eight(spark, d):
+    named = _lunar(spark, d).join(_times(spark, d), "o_orderkey")
+    return named.select("o_orderkey", _eight(F.col("date"), F.col("lunar_year"), F.col("time")).alias("eight"))
+
+
+def _from_lunar_times(spark, d):
+    """Orders known by their lunar dates, in no leap month, and their time of day."""
+    told = _lunar(spark, d).where("NOT leap").drop("date").join(_times(spark, d), "o_orderkey")
+    return L.from_lunar(told, L.lunar_calendar(spark, FIRST, LAST)).select("o_orderkey", _eight(F.col("day"), F.col("lunar_year"), F.col("time")).alias("eight"))
+
+
+@query("get_bazi_lunar", f"{_SERIES}, {_EIGHT} SELECT o_orderkey, eight FROM e8 JOIN lu USING (o_orderkey) WHERE NOT leap")
+def eight_from_lunar(spark, d):
+    return _from_lunar_times(spark, d)
+
+
+@query("get_wuxing_lunar", f"{_SERIES}, {_EIGHT} SELECT o_orderkey, array_to_string(list_transform(string_split(eight, ','), lambda x: translate(translate(left(x, 2), '{D.STEMS}', '{L.STEM_ELEMENTS}'), '{D.BRANCHES}', '{L.BRANCH_ELEMENTS}')), ',') AS elements FROM e8 JOIN lu USING (o_orderkey) WHERE NOT leap")
+def elements_from_lunar(spark, d):
+    return _from_lunar_times(spark, d).select("o_orderkey", F.array_join(F.transform(F.split("eight", ","), lambda x: L.elements(F.substring(x, 1, 2))), ",").alias("elements"))
