@@ -88,6 +88,13 @@ def test_white_space_marks_and_scripts(spark):
     assert {hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "" for r in texts} == {w[7] for w in brute(rows)[0]}
 
 
+def test_new_words_of_texts_with_and_without_other_white_space(spark):
+    """Units that a chunk meets for the first time in both kinds of texts are stored once, so later units keep their tokens."""
+    rows = [(0, "quixolent brambulous fennigrade words"), (1, "so  wide brambulous fennigrade\n end"), (2, "then skorvative tumblequist ends"), (3, "\t see skorvative tumblequist ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    same(align_documents(df).collect(), brute(rows)[0])
+
+
 def test_units_give_the_text_back():
     for text in ODD:
         assert " ".join(units_of(text)) == text

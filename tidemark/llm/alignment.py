@@ -114,10 +114,10 @@ class Vocabularies:
             self.known[u] = len(self.known)
 
     def look_up(self, units: list[str]) -> np.ndarray:
-        """Places of the units in the store."""
+        """Places of the units in the store; units may repeat, but each is stored once."""
         if len(self.known) > self.most:
             self.forget()
-        new = [u for u in units if u not in self.known]
+        new = [u for u in dict.fromkeys(units) if u not in self.known]
         if new:
             self._add(new)
         return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
