@@ -36,6 +36,19 @@ def test_documents(request, name):
         assert back == {r.doc_id: r.text for r in df.collect()}
 
 
+def test_units_are_cut_where_no_piece_joins_and_encoded_once_over_chunks(spark):
+    """Words with and without punctuation share a unit, in all chunks; units of the greatest length are folded too."""
+    path = public("piece_bpe_32k.model")
+    assert P.units("word word%%% word", path).count("▁word") == 3
+    sp, rng = P.processor(path), random.Random(5)
+    words = ["theand", "ofthe.", "&&&", "naïve,", "x" * 60, "ab" * 31, "中文", "été%%%", "", "a\n", "▁b", "\u0000", "it's", "10,000", "=====", "\t"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for k in range(200)]
+    want = {k: sp.encode(t) for k, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (500, 8 << 20):
+        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in P.encode_documents(df, chunk_bytes=size, buckets=7).collect()} == want
+
+
 def test_viterbi(spark):
     rng, rows, want = random.Random(1), [], {}
     for k in range(40):
