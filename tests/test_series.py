@@ -84,3 +84,13 @@ def test_order_of_rows_and_partitions_do_not_matter(spark):
         df = spark.createDataFrame(parts, "k int, t int, x int").repartition(n)
         got.append(sorted(map(tuple, S.con_count(df, ORDER, F.col("x") > 1).collect())))
     assert got[0] == got[1]
+
+
+def test_rolling_corr_of_columns_that_do_not_vary(spark):
+    a, b = [1.0, 1.0, 1.0, 2.0, 4.0, None, 3.0, 5.0], [1.0, 2.0, 5.0, 5.0, 5.0, 5.0, 1.0, 4.0]
+    df = frame(spark, a, b, schema="k int, t int, a double, b double")
+    want = [None, None, None, 0.5, None, None, 1.0, 1.0]  # pairs with a null are left out
+    assert column(S.rolling_corr(df, ORDER, "a", "b", 3), "corr") == [w if w is None else pytest.approx(w) for w in want]
+    # equal values that are no binary fractions leave no rest, either
+    flat = frame(spark, [0.1] * 9, [k / 7 for k in range(9)], schema="k int, t int, a double, b double")
+    assert column(S.rolling_corr(flat, ORDER, "a", "b", 5), "corr") == [None] * 9

@@ -253,9 +253,14 @@ def pct_change(df: DataFrame, order: Order, col: str, lag: int = 1, out: str = "
 
 
 def rolling_corr(df: DataFrame, order: Order, a: str, b: str, n: int, out: str = "corr") -> DataFrame:
-    """Correlation of two columns over the last ``n`` rows, null until there are ``n``."""
+    """Correlation of two columns over the last ``n`` rows, null until there are ``n`` and where one of them does not vary.
+
+    ``F.corr`` divides by zero there, which ANSI mode makes an error; so the quotient is written out, over rows with both values.
+    """
     w = order.last(n)
-    return df.withColumn(out, F.when(F.count(F.lit(1)).over(w) == n, F.corr(a, b).over(w)))
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    corr = F.try_divide(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
+    return df.withColumn(out, F.when(F.count(F.lit(1)).over(w) == n, corr))
 
 
 def group_rolling(df: DataFrame, order: Order, col: str, n: int, agg: Callable[[Column], Column], least: int | None = None, out: str = "rolled") -> DataFrame:
