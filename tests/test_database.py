@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import sqlite3
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNull, StringStartsWith
 
 from tidemark.session import ship_package
+from tidemark.sources import database
 from tidemark.sources.database import FilteredReader, read, write
 
 SCHEMA = "k long, v double, s string, d date, b boolean"
@@ -83,3 +85,33 @@ def test_a_failing_job_changes_nothing(spark, base, rows):
     with pytest.raises(Exception):
         write(broken, "t", base, overwrite=True)
     assert stored(base, "SELECT count(*) FROM t") == [(50,)] and [r[0] for r in stored(base, "SELECT name FROM sqlite_master")] == ["t"]
+
+
+@pytest.mark.parametrize("sink", ["replace"])
+def test_work_of_a_sink_grows_with_the_rows(base, monkeypatch, sink):
+    steps, plain = [0], database.connection
+
+    def counting(options):
+        held = plain(options)
+        held.set_progress_handler(lambda: steps.__setitem__(0, steps[0] + 1), 100)
+        return held
+
+    monkeypatch.setattr(database, "connection", counting)
+    took = []
+    for n in (1000, 4000):
+        table = f"{sink}{n}"
+        with sqlite3.connect(**base) as held:
+            held.execute(f"CREATE TABLE {table} (k BIGINT, j TEXT, v BIGINT)")
+            held.executemany(f"INSERT INTO {table} VALUES (?, ?, 0)", [(k * 7919 % n, "a") for k in range(n)])
+        options = {"connect": json.dumps(base), "table": table, "keys": "k,j", "sink": sink}
+        writer = database.Writer(options, T._parse_datatype_string("k long, j string, v long"), False)
+        # half of the keys are stored, the others are new; with a null no key is another's
+        new = [(k, "a", 1) for k in range(n // 2, n + n // 2)] + [(None, "a", 1), (0, None, 1)]
+        steps[0] = 0
+        writer.commit([writer.write(iter(new))])
+        took.append(steps[0])
+        old = 1 if sink == "replace" else 0
+        assert stored(base, f"SELECT count(*), sum(v = {old}) FROM {table} WHERE k >= {n // 2} AND k < {n}") == [(n // 2, n // 2)]
+        assert stored(base, f"SELECT count(*), sum(v), count(DISTINCT k) FROM {table}") == [(n + n // 2 + 2, n // 2 + 2 + old * n // 2, n + n // 2)]
+    assert took[1] < 6 * took[0]
+    assert [r[0] for r in stored(base, "SELECT type FROM sqlite_master")] == ["table"] * 2
