@@ -87,7 +87,7 @@ def test_a_failing_job_changes_nothing(spark, base, rows):
     assert stored(base, "SELECT count(*) FROM t") == [(50,)] and [r[0] for r in stored(base, "SELECT name FROM sqlite_master")] == ["t"]
 
 
-@pytest.mark.parametrize("sink", ["replace"])
+@pytest.mark.parametrize("sink", ["replace", "insert_ignore"])
 def test_work_of_a_sink_grows_with_the_rows(base, monkeypatch, sink):
     steps, plain = [0], database.connection
 

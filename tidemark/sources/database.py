@@ -258,8 +258,10 @@ class Writer(DataSourceWriter):
                 listed = ", ".join(map(_name, self.keys))
                 cursor.execute(f"SELECT count(*) FROM (SELECT {listed} FROM {beside} GROUP BY {listed} HAVING count(*) > 1) r")
                 twice = cursor.fetchone()[0]
-                cursor.execute(f"SELECT count(*) FROM {target} WHERE EXISTS (SELECT 1 FROM {beside} b WHERE {same})")
-                if twice or self.sink == "insert" and cursor.fetchone()[0]:
+                if self.sink == "insert" and not twice:
+                    cursor.execute(f"SELECT count(*) FROM {target} WHERE EXISTS (SELECT 1 FROM {beside} b WHERE {same})")
+                    twice = cursor.fetchone()[0]
+                if twice:
                     raise ValueError(f"a key of {self.keys} comes twice")
             rest = [c for c in self.kinds if c not in self.keys]
             if self.sink == "replace" and rest:
