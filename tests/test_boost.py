@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.operators import learn
 from tidemark.operators.boost import boost
 
@@ -57,3 +59,23 @@ def test_early_stop_and_two_classes(spark, table):
     assert own.join(gbt, "k").where("prediction = g").count() / test.count() > 0.95
     with pytest.raises(ValueError):
         boost(two.where("z = 1"), "z", "a")
+
+
+def test_rounds_leave_nothing_on_disk(spark, table, monkeypatch):
+    session.cut(spark.range(1))  # the folder is there
+    home = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+
+    def tables():
+        return {folder for folder, _, files in os.walk(home) if any(f.endswith(".parquet") or f.startswith("part-") for f in files)}
+
+    before, seen, put = tables(), [], session.Latest.put
+
+    def watched(self, df):
+        out = put(self, df)
+        seen.append(len(tables() - before))
+        return out
+
+    monkeypatch.setattr(session.Latest, "put", watched)
+    model = boost(table, "y", ["a", "b"], weight="w", rounds=3)
+    assert len(model.losses) == 3 and seen == [1] * 4 and tables() == before
+    assert boost(table, "y", ["a", "b"], rounds=0).transform(table).select("probability").distinct().count() == 1

@@ -1,9 +1,11 @@
 """Gradient boosting of several classes with softmax, weights and early stopping.
 
 Features are cut in bins by quantiles.  A round grows one tree for each class; for each level the sums of gradients and
-curvatures by class, node, feature and bin come from one aggregation, which combines map-side, so what reaches the driver
-is bounded by classes x nodes x features x bins, whatever the number of rows.  Rows carry their raw scores and are written
-after each round, so plans do not grow and a lost executor costs no round.  Null values go left at every split.
+curvatures by class, node, feature and bin are added up within the tasks, batch by batch, and then over them, so what a task
+holds and what reaches the driver is bounded by classes x nodes x features x bins, whatever the number of rows.  Rows are
+written with their bins and raw scores after each round, in place of those of the round before: plans do not grow, a lost
+executor costs no round, and the disk holds two such tables at most and none in the end.  Gradients, curvatures and nodes
+are computed from them and the trees whenever they are asked for.  Null values go left at every split.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Latest
 from .order import names
 
 TINY = 1e-6
@@ -36,46 +39,131 @@ class Boosted:
     value: np.ndarray | None = None
     losses: list[tuple[float, float | None]] = field(default_factory=list)  # of training and validation rows, by round
 
-    def binned(self) -> Column:
-        """The bins of a row's features: 0 for null, else 1 more than the edges below."""
-        parts = []
-        for c, edges in zip(self.cols, self.edges):
-            x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-            below = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < x)) if edges else F.lit(0)
-            parts.append(F.when(x.isNull(), 0).otherwise(below + 1).cast("int"))
-        return F.array(*parts)
-
     def transform(self, df: DataFrame, out: str = "prediction", probabilities: str = "probability") -> DataFrame:
         """``df`` with the likeliest class and the probabilities of all, in the order of ``classes``."""
-        feature, bins, value, prior, depth = self.feature, self.bin, self.value, self.prior, self.depth
-
-        @F.pandas_udf("array<double>")
-        def scores(x: pd.Series) -> pd.Series:
-            rows = np.stack(x.to_list()) if len(x) else np.zeros((0, 1), int)
-            raw = np.tile(prior, (len(rows), 1))
-            for r in range(len(feature)):
-                for k in range(len(prior)):
-                    node = np.zeros(len(rows), int)
-                    for _ in range(depth):
-                        f = feature[r, k, node]
-                        right = rows[np.arange(len(rows)), np.maximum(f, 0)] > bins[r, k, node]
-                        node = np.where(f < 0, node, 2 * node + 1 + right)
-                    raw[:, k] += value[r, k, node]
-            p = np.exp(raw - raw.max(1, keepdims=True)) if len(raw) else raw
-            return pd.Series(list(p / p.sum(1, keepdims=True)))
-
-        scored = df.withColumn(probabilities, scores(self.binned()))
+        binned, softmax = _binned(self.edges), _softmax()
+        added, prior = [_added(*tree, self.depth) for tree in zip(self.feature, self.bin, self.value)], self.prior
+
+        @F.arrow_udf("array<double>")
+        def scores(*columns: pa.Array) -> pa.Array:
+            x = binned(columns)
+            raw = np.tile(prior, (len(x), 1))
+            for more in added:
+                raw += more(x)
+            return pa.ListArray.from_arrays(np.arange(0, raw.size + 1, raw.shape[1], dtype=np.int32), softmax(raw).ravel())
+
+        scored = df.withColumn(probabilities, scores(*[F.col(c).cast("double") for c in self.cols]))
         best = F.array_position(probabilities, F.array_max(probabilities)).cast("int")
         return scored.withColumn(out, F.element_at(F.array(*map(F.lit, self.classes)), best))
 
 
-def _softmax(scores: Column) -> Column:
-    p = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    return F.get(F.transform(F.array(p), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))), F.lit(0))
+# What runs in tasks is made here as closures, which need no import of this package there.
+
+
+def _binned(edges: list[list[float]]):
+    """The bins of rows' features, rows x features: 0 for null and NaN, else 1 more than the edges below."""
+
+    def binned(columns) -> np.ndarray:
+        parts = []
+        for column, own in zip(columns, edges):
+            x = column.to_numpy(zero_copy_only=False)  # nulls are NaN
+            parts.append(np.where(np.isnan(x), 0, np.searchsorted(np.array(own, float), x) + 1))
+        return np.stack(parts, axis=1).astype(np.int32)
+
+    return binned
+
+
+def _softmax():
+    def softmax(raw: np.ndarray) -> np.ndarray:
+        p = np.exp(raw - raw.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    return softmax
+
+
+def _node(feature: np.ndarray, split: np.ndarray):
+    """The node of each row in the tree of class ``k`` after so many ``steps``."""
+
+    def node(x: np.ndarray, k: int, steps: int) -> np.ndarray:
+        at, rows = np.zeros(len(x), int), np.arange(len(x))
+        for _ in range(steps):
+            f = feature[k, at]
+            at = np.where(f < 0, at, 2 * at + 1 + (x[rows, np.maximum(f, 0)] > split[k, at]))
+        return at
+
+    return node
+
+
+def _added(feature: np.ndarray, split: np.ndarray, value: np.ndarray, depth: int):
+    """What the trees of a round add to rows' scores, rows x classes."""
+    node = _node(feature, split)
+
+    def added(x: np.ndarray) -> np.ndarray:
+        return np.stack([value[k, node(x, k, depth)] for k in range(len(value))], axis=1)
+
+    return added
+
+
+ROWS = "x array<int>, y int, w double, v boolean, f array<double>"
+SUMS = "k int, node int, f int, b int, g double, h double"
+
+
+def _first(edges: list[list[float]], prior: np.ndarray):
+    """Features, y, w and v to ROWS with the scores before the first round."""
+    binned = _binned(edges)
+
+    def first(batches):
+        for batch in batches:
+            x, n = binned(batch.columns[:-3]), batch.num_rows
+            bins = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+            scores = pa.ListArray.from_arrays(np.arange(0, n * len(prior) + 1, len(prior), dtype=np.int32), np.tile(prior, n))
+            yield pa.RecordBatch.from_arrays([bins, *batch.columns[-3:], scores], names=["x", "y", "w", "v", "f"])
+
+    return first
+
+
+def _next(trees: tuple, depth: int, classes: int, features: int):
+    """ROWS with the scores after the round."""
+    added = _added(*trees, depth)
+
+    def after(batches):
+        for batch in batches:
+            x, f = batch.column("x").flatten().to_numpy().reshape(-1, features), batch.column("f").flatten().to_numpy().reshape(-1, classes)
+            scores = pa.ListArray.from_arrays(np.arange(0, f.size + 1, classes, dtype=np.int32), (f + added(x)).ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], scores], names=["x", "y", "w", "v", "f"])
+
+    return after
+
+
+def _sums(feature: np.ndarray, split: np.ndarray, level: int, classes: int, features: int, bins: int):
+    """ROWS to a task's SUMS of gradients and curvatures at the nodes of ``level``; with k -1, the loss and weight of training (node 0) and validation rows (1)."""
+    node, softmax, first, wide, tiny = _node(feature, split), _softmax(), 2**level - 1, 2**level, TINY
 
+    def sums(batches):
+        g, h, loss = np.zeros((classes, features, wide * bins)), np.zeros((classes, features, wide * bins)), np.zeros((2, 2))
+        for batch in batches:
+            x, f = batch.column("x").flatten().to_numpy().reshape(-1, features), batch.column("f").flatten().to_numpy().reshape(-1, classes)
+            y, w, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "v"))
+            p, v = softmax(f), v.astype(bool)
+            lost = -w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-15))
+            for side, those in enumerate((~v, v)):
+                loss[side] += lost[those].sum(), w[those].sum()
+            x, y, w, p = x[~v], y[~v], w[~v], p[~v]
+            for k in range(classes):
+                at = node(x, k, level) - first
+                here = at >= 0  # other rows are in leaves above
+                own = p[here, k]
+                gradient, curvature = w[here] * (own - (y[here] == k)), w[here] * np.maximum(own * (1 - own), tiny)
+                for j in range(features):
+                    cell = at[here] * bins + x[here, j]
+                    g[k, j] += np.bincount(cell, gradient, wide * bins)
+                    h[k, j] += np.bincount(cell, curvature, wide * bins)
+        k, j, cell = np.nonzero(h)
+        both = [(np.full(2, -1), k), (np.arange(2), cell // bins + first), (np.full(2, -1), j), (np.full(2, -1), cell % bins), (loss[:, 0], g[k, j, cell]), (loss[:, 1], h[k, j, cell])]
+        columns = [pa.array(np.concatenate(pair), pa.int32() if n < 4 else pa.float64()) for n, pair in enumerate(both)]
+        yield pa.RecordBatch.from_arrays(columns, names=["k", "node", "f", "b", "g", "h"])
 
-def _table(values: np.ndarray) -> Column:
-    return F.array(*[F.array(*[F.lit(v) for v in row]) for row in values.tolist()])
+    return sums
 
 
 def _splits(hist: pd.DataFrame, l2: float, least: float) -> dict[tuple[int, int], tuple[int, int, tuple, tuple]]:
@@ -114,41 +202,39 @@ def boost(df: DataFrame, y: str, cols, weight: str | None = None, valid: Column
     shares = [k / bins for k in range(1, bins)]
     edges = [sorted(set(e)) for e in some.where(~held).select(*[F.col(c).cast("double") for c in cols]).approxQuantile(cols, shares, 0.001)]
     model = Boosted(cols, classes, edges, prior, depth)
-    K, nodes = len(classes), 2 ** (depth + 1) - 1
+    K, nodes, wide = len(classes), 2 ** (depth + 1) - 1, max(map(len, edges)) + 2
     place = F.array_position(F.array(*map(F.lit, classes)), F.col(y)).cast("int") - 1
-    rows = cut(some.select(model.binned().alias("x"), place.alias("y"), w.alias("w"), held.alias("v"), F.array(*[F.lit(float(p)) for p in prior]).alias("f")).where("y >= 0"))
-    trees, best = [], (math.inf, 0)
-    for turn in range(rounds):
-        step = rows.withColumn("p", _softmax(F.col("f")))
-        step = step.withColumn("s", F.transform("p", lambda p, k: F.struct((F.col("w") * (p - F.when(F.col("y") == k, 1.0).otherwise(0.0))).alias("g"), (F.col("w") * F.greatest(p * (1 - p), F.lit(TINY))).alias("h"))))
-        step = cut(step.select("x", "y", "w", "v", "f", "s", F.transform("f", lambda _: F.lit(0)).alias("n")))
-        feature, split, value = np.full((K, nodes), -1), np.zeros((K, nodes), int), np.zeros((K, nodes))
-        for level in range(depth):
-            first = 2**level - 1
-            each = step.where("NOT v").select("x", F.posexplode(F.arrays_zip("s", "n")).alias("k", "c")).where(F.col("c.n") >= first)
-            each = each.select("k", F.col("c.n").alias("node"), F.col("c.s.g").alias("g"), F.col("c.s.h").alias("h"), F.posexplode("x").alias("f", "b"))
-            hist = pd.DataFrame([tuple(r) for r in each.groupBy("k", "node", "f", "b").agg(F.sum("g"), F.sum("h")).collect()], columns=["k", "node", "f", "b", "g", "h"])
-            if level == 0:
-                for k, part in hist[hist.f == 0].groupby("k"):
-                    value[k, 0] = -rate * part.g.sum() / (part.h.sum() + l2)
-            for (k, node), (f, b, *sides) in _splits(hist, l2, least).items():
-                feature[k, node], split[k, node] = f, b
-                for side, (g, h) in enumerate(sides):
-                    value[k, 2 * node + 1 + side] = -rate * g / (h + l2)
-            tf, tb = _table(feature), _table(split)
-            moved = F.transform("n", lambda n, k: F.when((n < first) | (F.get(F.get(tf, k), n) < 0), n).otherwise(
-                2 * n + 1 + (F.get(F.col("x"), F.get(F.get(tf, k), n)) > F.get(F.get(tb, k), n)).cast("int")))
-            step = step.withColumn("n", moved)
-        tv = _table(value)
-        rows = cut(step.withColumn("f", F.transform(F.arrays_zip("f", "n"), lambda c, k: c["f"] + F.get(F.get(tv, k), c["n"]))).select("x", "y", "w", "v", "f"))
-        trees.append((feature, split, value))
-        loss = rows.select("v", "w", (-F.col("w") * F.log(F.greatest(F.get(_softmax(F.col("f")), F.col("y")), F.lit(1e-15)))).alias("l"))
-        found = {r.v: r.l / r.w for r in loss.groupBy("v").agg(F.sum("l").alias("l"), F.sum("w").alias("w")).collect() if r.w}
-        model.losses.append((found.get(False), found.get(True)))
-        if found.get(True, math.inf) < best[0]:
-            best = found[True], turn + 1
-        if patience is not None and True in found and turn + 1 - best[1] >= patience:
-            break
+    drawn = some.select(*[F.col(c).cast("double").alias(f"x{n}") for n, c in enumerate(cols)], place.alias("y"), w.alias("w"), held.alias("v")).where("y >= 0")
+    trees, best, latest = [], (math.inf, 0), Latest(df.sparkSession)
+
+    def measured(level: int) -> tuple[pd.DataFrame, dict[bool, float]]:
+        """The sums at the nodes of a level, and the losses with the trees of the rounds before."""
+        each = rows.mapInArrow(_sums(feature, split, level, K, len(cols), wide), SUMS)
+        found = pd.DataFrame([tuple(r) for r in each.groupBy("k", "node", "f", "b").agg(F.sum("g"), F.sum("h")).collect()], columns=["k", "node", "f", "b", "g", "h"])
+        return found[found.k >= 0], {bool(r.node): r.g / r.h for r in found[found.k < 0].itertuples() if r.h}
+
+    try:
+        rows = latest.put(drawn.mapInArrow(_first(edges, prior), ROWS))
+        for turn in range(rounds + 1):
+            feature, split, value = np.full((K, nodes), -1), np.zeros((K, nodes), int), np.zeros((K, nodes))
+            hist, found = measured(0)
+            if turn:
+                model.losses.append((found.get(False), found.get(True)))
+                if found.get(True, math.inf) < best[0]:
+                    best = found[True], turn
+            if turn == rounds or turn and patience is not None and True in found and turn - best[1] >= patience:
+                break
+            for k, part in hist[hist.f == 0].groupby("k"):
+                value[k, 0] = -rate * part.g.sum() / (part.h.sum() + l2)
+            for level in range(depth):
+                for (k, node), (f, b, *sides) in _splits(measured(level)[0] if level else hist, l2, least).items():
+                    feature[k, node], split[k, node] = f, b
+                    for side, (g, h) in enumerate(sides):
+                        value[k, 2 * node + 1 + side] = -rate * g / (h + l2)
+            trees.append((feature, split, value))
+            rows = latest.put(rows.mapInArrow(_next(trees[-1], depth, K, len(cols)), ROWS))
+    finally:
+        latest.drop()
     kept = trees[: best[1]] if patience is not None and best[1] else trees
     model.feature, model.bin, model.value = (np.array([t[k] for t in kept]) for k in range(3))
     return model
