@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import session
+from tidemark.operators import boost as operator
 from tidemark.operators import learn
 from tidemark.operators.boost import boost
 
@@ -79,3 +80,16 @@ def test_rounds_leave_nothing_on_disk(spark, table, monkeypatch):
     model = boost(table, "y", ["a", "b"], weight="w", rounds=3)
     assert len(model.losses) == 3 and seen == [1] * 4 and tables() == before
     assert boost(table, "y", ["a", "b"], rounds=0).transform(table).select("probability").distinct().count() == 1
+
+
+@pytest.mark.parametrize(("classes", "bins"), [(3, 33), (3, 300), (900, 33)])
+def test_blocks_there_and_back(classes, bins):
+    rng, n = np.random.default_rng(2), 5001
+    columns = [rng.integers(0, bins, (n, 4)), rng.integers(0, classes, n), rng.random(n), rng.random(n) < 0.5, rng.random((n, classes))]
+    pack, unpack = operator._blocks(classes, 4, bins)
+    held = pack(*columns)
+    assert max(sum(len(c[k].as_py()) for c in held.columns) for k in range(held.num_rows)) <= operator.BLOCK
+    back = list(unpack([held.slice(0, 2), held.slice(2)]))
+    assert sum(len(part[0]) for part in back) == n and all(part[4].nbytes <= operator.BYTES for part in back)
+    for k, column in enumerate(columns):
+        assert np.array_equal(np.concatenate([part[k] for part in back]), column)

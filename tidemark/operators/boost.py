@@ -4,8 +4,9 @@ Features are cut in bins by quantiles.  A round grows one tree for each class; f
 curvatures by class, node, feature and bin are added up within the tasks, batch by batch, and then over them, so what a task
 holds and what reaches the driver is bounded by classes x nodes x features x bins, whatever the number of rows.  Rows are
 written with their bins and raw scores after each round, in place of those of the round before: plans do not grow, a lost
-executor costs no round, and the disk holds two such tables at most and none in the end.  Gradients, curvatures and nodes
-are computed from them and the trees whenever they are asked for.  Null values go left at every split.
+executor costs no round, and the disk holds two such tables at most and none in the end.  They are written in blocks of
+some hundred rows, whose columns are bytes, as passing single rows to Python costs more than the sums.  Gradients,
+curvatures and nodes are computed from them and the trees whenever they are asked for.  Null values go left at every split.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class Boosted:
             raw = np.tile(prior, (len(x), 1))
             for more in added:
                 raw += more(x)
-            return pa.ListArray.from_arrays(np.arange(0, raw.size + 1, raw.shape[1], dtype=np.int32), softmax(raw).ravel())
+            return pa.ListArray.from_arrays(np.arange(0, raw.size + 1, raw.shape[1], dtype=np.int32), softmax(raw).T.ravel())
 
         scored = df.withColumn(probabilities, scores(*[F.col(c).cast("double") for c in self.cols]))
         best = F.array_position(probabilities, F.array_max(probabilities)).cast("int")
@@ -75,8 +76,10 @@ def _binned(edges: list[list[float]]):
 
 def _softmax():
     def softmax(raw: np.ndarray) -> np.ndarray:
-        p = np.exp(raw - raw.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        """Classes x rows of scores by row."""
+        turned = np.ascontiguousarray(raw.T)
+        p = np.exp(turned - turned.max(axis=0))
+        return p / p.sum(axis=0)
 
     return softmax
 
@@ -104,58 +107,76 @@ def _added(feature: np.ndarray, split: np.ndarray, value: np.ndarray, depth: int
     return added
 
 
-ROWS = "x array<int>, y int, w double, v boolean, f array<double>"
+BLOCKS = "x binary, y binary, w binary, v binary, f binary"
 SUMS = "k int, node int, f int, b int, g double, h double"
+#: Bytes of a block, of which Spark's reader takes some thousands at a time, and rows and bytes that are computed at once.
+BLOCK, AT_ONCE, BYTES = 16_384, 16_384, 2**24
 
 
-def _first(edges: list[list[float]], prior: np.ndarray):
-    """Features, y, w and v to ROWS with the scores before the first round."""
-    binned = _binned(edges)
+def _blocks(classes: int, features: int, bins: int):
+    """Two functions: bins, labels, weights, whether a row validates, and scores to BLOCKS, and back in stretches of rows."""
+    shapes = [(np.min_scalar_type(bins), (features,)), (np.dtype(np.int32), ()), (np.dtype(np.float64), ()), (np.dtype(bool), ()), (np.dtype(np.float64), (classes,))]
+    row = sum(kind.itemsize * math.prod(shape) for kind, shape in shapes)
+    size = max(1, BLOCK // row)
+    at_once = max(size, min(AT_ONCE, BYTES // row))
+
+    def pack(*columns: np.ndarray) -> pa.RecordBatch:
+        held = [column.astype(kind) for column, (kind, _) in zip(columns, shapes)]
+        cuts = range(0, len(held[0]), size)
+        return pa.RecordBatch.from_arrays([pa.array([column[i : i + size].tobytes() for i in cuts], pa.binary()) for column in held], names=["x", "y", "w", "v", "f"])
+
+    def unpack(batches):
+        for batch in batches:
+            whole = [np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, *shape) for column, (kind, shape) in zip(batch.columns, shapes)]
+            for i in range(0, len(whole[0]), at_once):
+                yield [column[i : i + at_once] for column in whole]
+
+    return pack, unpack
+
+
+def _first(edges: list[list[float]], prior: np.ndarray, blocks: tuple):
+    """Features, y, w and v to BLOCKS with the scores before the first round."""
+    binned, (pack, _) = _binned(edges), blocks
 
     def first(batches):
         for batch in batches:
-            x, n = binned(batch.columns[:-3]), batch.num_rows
-            bins = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-            scores = pa.ListArray.from_arrays(np.arange(0, n * len(prior) + 1, len(prior), dtype=np.int32), np.tile(prior, n))
-            yield pa.RecordBatch.from_arrays([bins, *batch.columns[-3:], scores], names=["x", "y", "w", "v", "f"])
+            yield pack(binned(batch.columns[:-3]), *[column.to_numpy(zero_copy_only=False) for column in batch.columns[-3:]], np.tile(prior, (batch.num_rows, 1)))
 
     return first
 
 
-def _next(trees: tuple, depth: int, classes: int, features: int):
-    """ROWS with the scores after the round."""
-    added = _added(*trees, depth)
+def _next(trees: tuple, depth: int, blocks: tuple):
+    """BLOCKS with the scores after the round."""
+    added, (pack, unpack) = _added(*trees, depth), blocks
 
     def after(batches):
-        for batch in batches:
-            x, f = batch.column("x").flatten().to_numpy().reshape(-1, features), batch.column("f").flatten().to_numpy().reshape(-1, classes)
-            scores = pa.ListArray.from_arrays(np.arange(0, f.size + 1, classes, dtype=np.int32), (f + added(x)).ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], scores], names=["x", "y", "w", "v", "f"])
+        for x, y, w, v, f in unpack(batches):
+            yield pack(x, y, w, v, f + added(x))
 
     return after
 
 
-def _sums(feature: np.ndarray, split: np.ndarray, level: int, classes: int, features: int, bins: int):
-    """ROWS to a task's SUMS of gradients and curvatures at the nodes of ``level``; with k -1, the loss and weight of training (node 0) and validation rows (1)."""
-    node, softmax, first, wide, tiny = _node(feature, split), _softmax(), 2**level - 1, 2**level, TINY
+def _sums(feature: np.ndarray, split: np.ndarray, level: int, classes: int, features: int, bins: int, blocks: tuple):
+    """BLOCKS to a task's SUMS of gradients and curvatures at the nodes of ``level``; with k -1, at level 0, the loss and weight of training (node 0) and validation rows (1)."""
+    node, softmax, first, wide, tiny, (_, unpack) = _node(feature, split), _softmax(), 2**level - 1, 2**level, TINY, blocks
 
     def sums(batches):
         g, h, loss = np.zeros((classes, features, wide * bins)), np.zeros((classes, features, wide * bins)), np.zeros((2, 2))
-        for batch in batches:
-            x, f = batch.column("x").flatten().to_numpy().reshape(-1, features), batch.column("f").flatten().to_numpy().reshape(-1, classes)
-            y, w, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "v"))
-            p, v = softmax(f), v.astype(bool)
-            lost = -w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-15))
-            for side, those in enumerate((~v, v)):
-                loss[side] += lost[those].sum(), w[those].sum()
-            x, y, w, p = x[~v], y[~v], w[~v], p[~v]
+        for x, y, w, v, f in unpack(batches):
+            if level == 0:
+                lost = -w * np.log(np.maximum(softmax(f)[y, np.arange(len(y))], 1e-15))
+                for side, those in enumerate((~v, v)):
+                    loss[side] += lost[those].sum(), w[those].sum()
+            x, y, w, p = x[~v], y[~v], w[~v], softmax(f[~v])
+            turned = np.ascontiguousarray(x.T)
             for k in range(classes):
                 at = node(x, k, level) - first
+                gradient, curvature = w * (p[k] - (y == k)), w * np.maximum(p[k] * (1 - p[k]), tiny)
                 here = at >= 0  # other rows are in leaves above
-                own = p[here, k]
-                gradient, curvature = w[here] * (own - (y[here] == k)), w[here] * np.maximum(own * (1 - own), tiny)
+                kept = slice(None) if here.all() else here
+                at, gradient, curvature = at[kept] * bins, gradient[kept], curvature[kept]
                 for j in range(features):
-                    cell = at[here] * bins + x[here, j]
+                    cell = at + turned[j][kept]
                     g[k, j] += np.bincount(cell, gradient, wide * bins)
                     h[k, j] += np.bincount(cell, curvature, wide * bins)
         k, j, cell = np.nonzero(h)
@@ -205,16 +226,16 @@ def boost(df: DataFrame, y: str, cols, weight: str | None = None, valid: Column
     K, nodes, wide = len(classes), 2 ** (depth + 1) - 1, max(map(len, edges)) + 2
     place = F.array_position(F.array(*map(F.lit, classes)), F.col(y)).cast("int") - 1
     drawn = some.select(*[F.col(c).cast("double").alias(f"x{n}") for n, c in enumerate(cols)], place.alias("y"), w.alias("w"), held.alias("v")).where("y >= 0")
-    trees, best, latest = [], (math.inf, 0), Latest(df.sparkSession)
+    trees, best, latest, blocks = [], (math.inf, 0), Latest(df.sparkSession), _blocks(K, len(cols), wide)
 
     def measured(level: int) -> tuple[pd.DataFrame, dict[bool, float]]:
         """The sums at the nodes of a level, and the losses with the trees of the rounds before."""
-        each = rows.mapInArrow(_sums(feature, split, level, K, len(cols), wide), SUMS)
+        each = rows.mapInArrow(_sums(feature, split, level, K, len(cols), wide, blocks), SUMS)
         found = pd.DataFrame([tuple(r) for r in each.groupBy("k", "node", "f", "b").agg(F.sum("g"), F.sum("h")).collect()], columns=["k", "node", "f", "b", "g", "h"])
         return found[found.k >= 0], {bool(r.node): r.g / r.h for r in found[found.k < 0].itertuples() if r.h}
 
     try:
-        rows = latest.put(drawn.mapInArrow(_first(edges, prior), ROWS))
+        rows = latest.put(drawn.mapInArrow(_first(edges, prior, blocks), BLOCKS))
         for turn in range(rounds + 1):
             feature, split, value = np.full((K, nodes), -1), np.zeros((K, nodes), int), np.zeros((K, nodes))
             hist, found = measured(0)
@@ -232,7 +253,7 @@ def boost(df: DataFrame, y: str, cols, weight: str | None = None, valid: Column
                     for side, (g, h) in enumerate(sides):
                         value[k, 2 * node + 1 + side] = -rate * g / (h + l2)
             trees.append((feature, split, value))
-            rows = latest.put(rows.mapInArrow(_next(trees[-1], depth, K, len(cols)), ROWS))
+            rows = latest.put(rows.mapInArrow(_next(trees[-1], depth, blocks), BLOCKS))
     finally:
         latest.drop()
     kept = trees[: best[1]] if patience is not None and best[1] else trees
